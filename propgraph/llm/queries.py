@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.llm import bpe, token_counts
+from propgraph.llm import bpe, packing, token_counts
 from propgraph.llm.common import table
 
 
@@ -29,7 +29,16 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_bpe_round_trip)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of at most 2048 tokens; one row per piece."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json")))
+    narrow = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    packed = packing.pack(narrow, ["doc_id", "start", "ids_crc32"], packing.group_count(docs.count()))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op6_bpe_round_trip, op8_packing)}
 
 #: Results of these queries in DuckDB's SQL.
 ORACLES: dict[str, str] = {}
