@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.llm import bpe, packing, token_counts
+from propgraph.llm import bpe, exact_dedup, packing, token_counts
 from propgraph.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the document that stays of its equal texts."""
+    return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of at most 2048 tokens; one row per piece."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,7 +43,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_bpe_round_trip, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op6_bpe_round_trip, op7_exact_dedup, op8_packing)}
 
 #: Results of these queries in DuckDB's SQL.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": """
+        SELECT doc_id,
+               max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+               count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents""",
+}
