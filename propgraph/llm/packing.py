@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propgraph.llm.common import whole_text
-from propgraph.llm.pretokens import WORD_PATTERN, Memo, compiled, exotic, lowered
+from propgraph.llm.pretokens import WORD_PATTERN, Memo, as_shown, compiled, exotic, lowered
 
 #: Documents to a group, on average.
 GROUP_DOCS = 8192
@@ -33,7 +33,9 @@ def _words(path: str):
     def packed(text: str) -> bytes:
         return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    return packed, Memo(packed).__getitem__, compiled(WORD_PATTERN).findall
+    merge = tok.model.tokenize  # the merges alone: the word is cut and in its normal form already
+    word = Memo(lambda w: np.array([t.id for t in merge(as_shown(w))], dtype="<u4").tobytes())
+    return packed, word.__getitem__, compiled(WORD_PATTERN).findall
 
 
 def word_ids(text: str, path: str) -> bytes:

@@ -22,7 +22,7 @@ EXOTIC = regex.compile(f"[^{SAFE}]")
 #: Pieces longer than this are encoded each time and not remembered.
 MEMO_CHARS = 64
 #: Remembered pieces of one Python worker; beyond it the memo starts anew.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 1_000_000
 
 #: Fixed value: the split of the word-end vocabulary, as its tokenizer file states it.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -45,6 +45,18 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@functools.cache
+def _char_of_byte() -> list[str]:
+    shown = {b: c for c, b in byte_of_char().items()}
+    return [shown[b] for b in range(256)]
+
+
+def as_shown(piece: str) -> str:
+    """A pre-token in the characters of a byte-level vocabulary."""
+    chars = _char_of_byte()
+    return "".join([chars[b] for b in piece.encode()])
+
+
 class Memo(dict):
     """Values of pre-tokens; a missing one is computed, and kept if it is short.  Never holds more than MEMO_PIECES beyond what is known at the start."""
 

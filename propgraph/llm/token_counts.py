@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from propgraph.llm.common import whole_text
-from propgraph.llm.pretokens import Memo, byte_of_char, compiled, exotic
+from propgraph.llm.pretokens import Memo, as_shown, byte_of_char, compiled, exotic
 
 
 @functools.cache
@@ -48,7 +48,8 @@ def _counter(path: str, whole: frozenset[str]):
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     cut = compiled("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
     find = compiled(public_tokenizers.PATTERN).findall
-    memo = Memo(lambda piece: len(tok.encode(piece, add_special_tokens=False).ids), dict.fromkeys(whole, 1))
+    merge = tok.model.tokenize  # the merges alone: the piece is cut already
+    memo = Memo(lambda piece: len(merge(as_shown(piece))), dict.fromkeys(whole, 1))
     value = memo.__getitem__
 
     def count(text: str) -> int:
