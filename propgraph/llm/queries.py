@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.llm import bpe, exact_dedup, packing, token_counts
+from propgraph.llm import bpe, exact_dedup, packing, simhash, token_counts
 from propgraph.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component of fingerprints at most two bits apart."""
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded by the byte-level ranks and decoded again, as digests of ids and bytes."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,7 +48,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_bpe_round_trip, op7_exact_dedup, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing)}
 
 #: Results of these queries in DuckDB's SQL.
 ORACLES: dict[str, str] = {
