@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.llm import bpe, exact_dedup, packing, simhash, token_counts
+from propgraph.llm import bpe, exact_dedup, language_id, packing, simhash, token_counts
 from propgraph.llm.common import table
 
 
@@ -48,7 +48,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.learn(docs.where(~language_id.held_out()))
+    rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.predict(rows, filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op10_language_id)}
 
 #: Results of these queries in DuckDB's SQL.
 ORACLES: dict[str, str] = {
