@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.llm import bpe, exact_dedup, language_id, packing, pii, simhash, token_counts
-from propgraph.llm.common import table
+from propgraph.llm import bpe, exact_dedup, hilbert, language_id, packing, pii, simhash, token_counts, weighted_sampling
+from propgraph.llm.common import stored, table, whole_text
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,39 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document and of its edited text, and how alike they and the next document's are."""
+    pairs = weighted_sampling.edited_pairs(table(spark, sf_dir, "documents"))
+    versions = pairs.select("doc_id", F.posexplode(F.array("text", "edited")).alias("edited", "text"))
+    signed = weighted_sampling.signatures(versions, ["doc_id", "edited"])
+    both = signed.groupBy("doc_id").agg(
+        F.max(F.when(F.col("edited") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("edited") == 1, F.col("signature"))).alias("changed")
+    )
+    facts = pairs.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    own = stored(facts.join(both, "doc_id"), "signatures")
+    following = own.select(F.col("doc_id").alias("next_id"), F.col("own").alias("theirs"))
+    return own.join(following, "next_id").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        weighted_sampling.shown(F.col("own")).alias("fingerprint"),
+        weighted_sampling.shown(F.col("changed")).alias("edited_fingerprint"),
+        weighted_sampling.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        weighted_sampling.likeness(F.col("own"), F.col("theirs")).alias("near_next"),
+    )
+
+
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards along a Hilbert curve over language, source, length and id; row counts differ by at most one."""
+    docs = table(spark, sf_dir, "documents")
+    low, high = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    dims = [hilbert.by_value(F.col("lang")), hilbert.by_value(F.col("source")), hilbert.by_size(F.col("n_chars")), hilbert.by_range(F.col("doc_id"), low, high)]
+    text = whole_text()
+    keep = {"doc_id": F.col("doc_id"), "size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary"))}
+    placed = hilbert.shard(docs, dims, 8, "doc_id", keep)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the component of fingerprints at most two bits apart."""
     return simhash.classes(table(spark, sf_dir, "documents"))
@@ -76,7 +109,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_weighted_sampling, op4_hilbert_shards, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id)}
 
 #: Results of these queries in DuckDB's SQL.
 ORACLES: dict[str, str] = {
