@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.llm import bpe, exact_dedup, hilbert, language_id, packing, pii, simhash, token_counts, weighted_sampling
+from propgraph.llm import bpe, chat, exact_dedup, hilbert, language_id, packing, pii, simhash, token_counts, weighted_sampling
 from propgraph.llm.common import stored, table, whole_text
 
 
@@ -16,6 +16,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted as budgeted windows and read back."""
+    control = F.lit("</s>[INST] ok [/INST]")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    made = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), control.alias("text"))
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(convs.unionByName(made)))
+
+
 def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document and of its edited text, and how alike they and the next document's are."""
     pairs = weighted_sampling.edited_pairs(table(spark, sf_dir, "documents"))
@@ -109,7 +118,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_weighted_sampling, op4_hilbert_shards, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_windows, op3_weighted_sampling, op4_hilbert_shards, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id)}
 
 #: Results of these queries in DuckDB's SQL.
 ORACLES: dict[str, str] = {
