@@ -26,7 +26,7 @@ DEPTH = 16
 #: Rows that a bucket holds before it splits.
 BUCKET_ROWS = 4096
 #: Bytes of texts that a task keeps to collapse further copies of them.
-COLLAPSE_BYTES = 32 << 20
+COLLAPSE_BYTES = 8 << 20
 
 
 def directory(occupancy: np.ndarray, capacity: int) -> np.ndarray:
@@ -137,3 +137,15 @@ def exact_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keys, index = build_index(df, doc_id, text)
     found = keys.join(index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"])
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def distinct_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df without the rows whose text another row keeps; of rows that repeat the kept row's id and text, one stays.  All columns of df stay as they are."""
+    classes = stored(exact_classes(df, doc_id, text), "dedup-classes")
+    dropped = classes.where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct()
+    twice = stored(classes.where(F.col("kept")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_drop")), "dedup-twice")
+    out = df.join(dropped, df[doc_id] == F.col("_drop"), "left_anti")
+    if twice.isEmpty():
+        return out
+    again = out.join(twice, out[doc_id] == F.col("_drop"), "left_semi").dropDuplicates([doc_id, text])
+    return out.join(twice, out[doc_id] == F.col("_drop"), "left_anti").unionByName(again)

@@ -77,5 +77,5 @@ class Memo(dict):
 
 
 def lowered(text: str) -> str:
-    """The normal form of the word-end vocabulary: NFC, runs of white space as one blank, lower case.  Only for texts that are not exotic."""
-    return compiled(r"\s+").sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+    """The normal form of the word-end vocabulary, NFC in lower case; its runs of white space need no merging, as the split drops them.  Only for texts that are not exotic."""
+    return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()

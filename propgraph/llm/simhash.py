@@ -33,24 +33,33 @@ BLOCK = 1 << 15
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """The 64-bit fingerprint: a bit is one if more than half of the shingles' XXH64 have it."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The XXH64 of each shingle, repeats included: of fewer words the whole sequence, of none nothing."""
     import xxhash
 
     tokens = WORD.findall(text.lower() if text.isascii() else text.translate(_UPPER))
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     if len(tokens) < words:
         shingles = [" ".join(tokens)]
     else:
         shingles = map(" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The bytes of the bits that more than half of the hashes have."""
     ones = np.zeros(64, "i8")
     for k in range(0, len(hashes), BLOCK):
         part = hashes[k : k + BLOCK].view("u1").reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype="i8")
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > len(hashes), bitorder="little")
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """The 64-bit fingerprint: a bit is one if more than half of the shingles' XXH64 have it."""
+    return int(_majority(shingle_hashes(text, words)).view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,3 +166,118 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: i
     name = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = named.join(name, "component").select("fp", "component_id")
     return prints.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- similarity of word shingles -------------------------------------------------------------------
+
+#: Words of a shingle and least Jaccard similarity of near duplicates.
+NEAR_WORDS, NEAR = 5, 0.8
+#: A wide fingerprint has 32 positional bytes; candidates differ in at most WIDE_RADIUS of its 256 bits.
+WIDE, WIDE_RADIUS = 32, 40
+#: Posting keys of a wide fingerprint, and positional bytes that a key joins.
+KEYS, KEY_BYTES = 48, 3
+
+
+def wide_fingerprint(text: str) -> bytes:
+    """256 bits over three-word shingles: the fingerprint's 64, and those of three further mixes of each shingle's hash."""
+    h = shingle_hashes(text, 3)
+    parts = []
+    for _ in range(WIDE // 8):
+        parts.append(_majority(h).tobytes())
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return b"".join(parts)
+
+
+def _key_positions() -> np.ndarray:
+    """The byte positions of each posting key: fixed draws, evenly spread over the fingerprint."""
+    rng = np.random.default_rng(11)
+    return np.concatenate([rng.permutation(WIDE)[: WIDE // KEY_BYTES * KEY_BYTES].reshape(-1, KEY_BYTES) for _ in range(-(-KEYS * KEY_BYTES // (WIDE - KEY_BYTES)))])[:KEYS]
+
+
+def _spanning(prints: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Links that connect what chains of pairs within radius connect among one list's fingerprints [n, 4]: each found node looks at the nodes not found yet."""
+    a, b = [], []
+    left = np.arange(len(nodes))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= radius
+            hit = left[near]
+            a += [int(nodes[i])] * len(hit)
+            b += nodes[hit].tolist()
+            queue += hit.tolist()
+            left = left[~near]
+    return a, b
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of the task's posting lists; rows come sorted by (combo, bytes)."""
+    kept: list | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, WIDE // 8)
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), prints]
+            rows = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
+            change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+            end = int(change[-1]) + 1 if len(change) else 0
+            kept, rows = [r[end:] for r in rows], [r[:end] for r in rows]
+        elif kept is None:
+            return
+        else:
+            rows = kept
+        combo, part, node, prints = rows
+        if len(combo) < 2:
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], (combo[1:] != combo[:-1]) | (part[1:] != part[:-1])]))
+        size = np.diff(np.concatenate([starts, [len(combo)]]))
+        a, b = [], []
+        two = starts[size == 2]
+        near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= WIDE_RADIUS
+        a += node[two[near]].tolist()
+        b += node[two[near] + 1].tolist()
+        for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            more = _spanning(prints[s : s + n], node[s : s + n], WIDE_RADIUS)
+            a += more[0]
+            b += more[1]
+        a, b = np.array(a, "i8"), np.array(b, "i8")
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+
+    Candidates share the positional bytes of a posting key and differ in at most 40 of 256 bits (a
+    similarity of 0.8 makes about 39 of five-word shingles, fewer of the three-word ones taken here); each
+    candidate pair is verified on its shingle sets.  A list gives the links that connect it, not its pairs.
+    Equal fingerprints are one node, named by the smallest doc_id.  Rows of null doc_id are left out.
+    """
+    spark = df.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingle_hashes(t, NEAR_WORDS)).view("i8") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    body = df.where(df[doc_id].isNotNull()).select(df[doc_id].cast("long").alias("doc_id"), whole_text(df[text]).alias("text"))
+    prints = stored(body.mapInArrow(run, "doc_id long, fp binary"), "wide-prints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    keys = F.array(*(F.conv(F.hex(F.concat(*(F.substring("fp", int(p) + 1, 1) for p in own))), 16, 10).cast("int") for own in _key_positions()))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = nodes.select("node", "fp", F.posexplode(keys).alias("combo", "bytes")).select("combo", "bytes", "node", "fp")
+    lists = postings.repartition(n, "combo", "bytes").sortWithinPartitions("combo", "bytes")
+    pairs = stored(lists.mapInArrow(_candidates, "a long, b long").distinct(), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    have = stored(body.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<bigint>"), "near-sets")
+    two = pairs.join(have.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a").join(have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b")
+    both = F.size(F.array_intersect("one", "two"))
+    links = two.where(both >= NEAR * (F.size("one") + F.size("two") - both)).select("a", "b")
+    tied = components(links)
+    named = prints.join(nodes, "fp").join(tied, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    return named
