@@ -19,17 +19,22 @@ from propgraph.llm.common import stored, whole_text
 SAMPLES = 16
 
 
-def _unit(bits: Column) -> Column:
-    """The low 32 bits as a number strictly between 0 and 1."""
-    return (bits.bitwiseAND(0xFFFFFFFF) + F.lit(0.5)) * F.lit(2.0**-32)
+#: Samples that are reduced side by side: few, so that the generated code of one row stays small.
+BESIDE = 4
 
 
-def log_value(term: Column, log_weight: Column, k: int) -> Column:
-    """ln a of a hashed term in sample k."""
-    one, two, three = (F.xxhash64(term, F.lit(3 * k + j)) for j in range(3))
-    r = -F.log(_unit(one) * _unit(F.shiftrightunsigned(one, 32)))
-    c = -F.log(_unit(two) * _unit(F.shiftrightunsigned(two, 32)))
-    beta = _unit(three)
+def _unit(bits: Column, width: int) -> Column:
+    """So many bits as a number strictly between 0 and 1."""
+    return (bits + F.lit(0.5)) * F.lit(2.0**-width)
+
+
+def log_value(term: Column, log_weight: Column, k: Column) -> Column:
+    """ln a of a hashed term in sample k.  Two hashes give four numbers of 24 bits, and beta their spare bits."""
+    one, two = F.xxhash64(term, k), F.xxhash64(k, term)
+    low, mid = (lambda h: h.bitwiseAND(0xFFFFFF)), (lambda h: F.shiftrightunsigned(h, 24).bitwiseAND(0xFFFFFF))
+    r = -F.log(_unit(low(one), 24) * _unit(mid(one), 24))
+    c = -F.log(_unit(low(two), 24) * _unit(mid(two), 24))
+    beta = _unit(F.shiftleft(F.shiftrightunsigned(one, 48), 16).bitwiseOR(F.shiftrightunsigned(two, 48)), 32)
     return F.log(c) - r * (F.floor(log_weight / r + beta) - beta + 1)
 
 
@@ -46,8 +51,11 @@ def signatures(df: DataFrame, key: list[str], text: str = "text", samples: int =
     """
     words = df.select(*key, F.explode(terms(whole_text(text))).alias("_word")).select(*key, F.xxhash64("_word").alias("_term"))
     weighted = words.groupBy(*key, "_term").agg(F.count("*").alias("_n")).select(*key, "_term", F.log("_n").alias("_log"))
-    least = weighted.groupBy(*key).agg(*(F.min(log_value(F.col("_term"), F.col("_log"), k)).alias(f"_{k}") for k in range(samples)))
-    return least.select(*key, F.array(*(F.xxhash64(f"_{k}").bitwiseAND(0xFFFFFFFF) for k in range(samples))).alias("signature"))
+    blocks = weighted.select("*", F.explode(F.array(*(F.lit(k) for k in range(0, samples, BESIDE)))).alias("_block"))
+    least = blocks.groupBy(*key, "_block").agg(*(F.min(log_value(F.col("_term"), F.col("_log"), F.col("_block") + j)).alias(f"_{j}") for j in range(BESIDE)))
+    parts = least.select(*key, "_block", F.array(*(F.xxhash64(f"_{j}").bitwiseAND(0xFFFFFFFF) for j in range(BESIDE))).alias("_part"))
+    whole = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_block", "_part"))).alias("_parts"))
+    return whole.select(*key, F.flatten("_parts._part").alias("signature"))
 
 
 def shown(signature: Column) -> Column:
