@@ -11,7 +11,7 @@ own budget.  The loss covers the new turns' assistant texts alone, so each is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propgraph.llm.common import whole_text
@@ -35,25 +35,28 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def conversations(df: DataFrame, key: str = "conv_id", tokens: str | None = None) -> DataFrame:
-    """(key, turns, sums): a conversation's turns in order of turn, role and text, and the prefix sums of their tokens.
+    """(key, turns): a conversation's turns in order of turn, role and text, each with the prefix sum `upto` of their tokens.
 
     Null role or text counts as empty, a null turn comes first; repeated rows are turns of their own.  A
     conversation is one output of the operator, so its turns meet in one row.
     """
     size = F.col(tokens) if tokens else estimated_tokens(whole_text())
-    turn = F.struct("turn", whole_text("role").alias("role"), whole_text("text").alias("text"), F.coalesce(size.cast("long"), F.lit(0)).alias("tokens"))
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    sums = F.aggregate(
-        "turns", F.array(F.lit(0).cast("long")), lambda acc, t: F.concat(acc, F.array(F.element_at(acc, -1) + t["tokens"]))
-    )
-    return rows.withColumn("sums", sums)
+    rows = df.select(key, "turn", whole_text("role").alias("role"), whole_text("text").alias("text"), F.coalesce(size.cast("long"), F.lit(0)).alias("tokens"))
+    so_far = Window.partitionBy(key).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("upto", F.sum("tokens").over(so_far))
+    return summed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "tokens", "upto"))).alias("turns"))
+
 
+def _before(turns: Column, j: Column) -> Column:
+    """The tokens of all turns before turn j."""
+    return F.get(turns, j)["upto"] - F.get(turns, j)["tokens"]
 
-def _history(sums: Column, start: Column, first: Column, turns: int, budget: int) -> Column:
-    """How many turns before `start` are repeated: the most, up to `turns`, that fit the budget and are no system turn."""
+
+def _history(turns: Column, start: Column, first: Column, most: int, budget: int) -> Column:
+    """How many turns before `start` are repeated: the most, up to `most`, that fit the budget and are no system turn."""
     fits = F.lit(0)
-    for m in range(1, turns + 1):
-        fits = F.when((start - m >= first) & (F.get(sums, start) - F.get(sums, start - m) <= budget), F.lit(m)).otherwise(fits)
+    for m in range(1, most + 1):
+        fits = F.when((start - m >= first) & (_before(turns, start) - _before(turns, start - m) <= budget), F.lit(m)).otherwise(fits)
     return fits
 
 
@@ -64,32 +67,35 @@ def windows(df: DataFrame, key: str = "conv_id", tokens: str | None = None, budg
     are new; targets holds the start (from 0) and length of each new assistant text within formatted, in
     characters.  A turn over the budget is a window of its own.  An empty table gives no rows.
     """
-    convs = conversations(df, key, tokens)
-    led = F.when(F.get("turns", F.lit(0))["role"] == SYSTEM, F.lit(1)).otherwise(F.lit(0))
-    convs = convs.withColumn("led", led)
-    sums = F.col("sums")
-
-    def context(start: Column) -> Column:
-        past = _history(sums, start, F.col("led"), history, history_budget)
-        own = F.get(sums, start) - F.get(sums, start - past)
-        return F.when(start <= F.col("led"), F.struct(F.lit(0).alias("turns"), F.lit(0).cast("long").alias("tokens"))).otherwise(
-            F.struct(past.alias("turns"), (own + F.when(F.col("led") == 1, F.get(sums, F.lit(1))).otherwise(0)).cast("long").alias("tokens"))
-        )
+    turns, led = F.col("turns"), F.col("led")
+    convs = conversations(df, key, tokens).withColumn("led", F.when(F.get("turns", F.lit(0))["role"] == SYSTEM, F.lit(1)).otherwise(F.lit(0)))
 
     def step(acc: Column, j: Column) -> Column:
-        start = F.element_at(acc, -1)
-        used = context(start)["tokens"] + F.get(sums, j + 1) - F.get(sums, start)
-        return F.when((used > budget) & (j > start), F.concat(acc, F.array(j))).otherwise(acc)
-
-    starts = F.aggregate(F.sequence(F.lit(0), F.size("turns") - 1), F.array(F.lit(0)), step)
-    cut = convs.withColumn("starts", starts).select("*", F.posexplode("starts").alias("window", "start"))
-    end = F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns"))
-    cut = cut.withColumn("past", context(F.col("start"))["turns"]).withColumn("new", F.slice("turns", F.col("start") + 1, end - F.col("start")))
-    system = F.when((F.col("start") > F.col("led")) & (F.col("led") == 1), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-    cut = cut.withColumn("context", F.concat(system, F.slice("turns", F.greatest(F.col("start") - F.col("past") + 1, F.lit(1)), F.col("past"))))
-
-    def shown(turns: Column) -> Column:
-        return F.transform(turns, lambda t: F.concat(F.lit(TURN), escaped(t["role"]), F.lit(TEXT), escaped(t["text"]), F.lit(END)))
+        """acc: starts of the windows so far, and the tokens before the new turns of the last one less its context's."""
+        used = F.get(turns, j)["upto"] - acc["base"]
+        past = _history(turns, j, led, history, history_budget)
+        context = _before(turns, j) - _before(turns, j - past) + F.when(led == 1, F.get(turns, F.lit(0))["tokens"]).otherwise(0)
+        opened = F.struct(F.concat(acc["starts"], F.array(j)).alias("starts"), (_before(turns, j) - F.when(j > led, context).otherwise(0)).alias("base"))
+        return F.when((used > budget) & (j > F.element_at(acc["starts"], -1)), opened).otherwise(acc)
+
+    none = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("base"))
+    convs = convs.withColumn("starts", F.aggregate(F.sequence(F.lit(0), F.size("turns") - 1), none, step)["starts"])
+
+    def example(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("turns"))
+        past = _history(turns, start, led, history, history_budget)
+        system = F.slice(turns, 1, F.when((start > led) & (led == 1), F.lit(1)).otherwise(F.lit(0)))
+        return F.struct(
+            k.alias("window"),
+            F.concat(system, F.slice(turns, F.greatest(start - past + 1, F.lit(1)), F.when(start > led, past).otherwise(F.lit(0)))).alias("context"),
+            F.slice(turns, start + 1, end - start).alias("new"),
+        )
+
+    # each example takes its own turns along, so a long conversation is not repeated for every one of its windows
+    cut = convs.select(key, F.explode(F.transform("starts", example)).alias("e")).select(key, "e.window", "e.context", "e.new")
+
+    def shown(those: Column) -> Column:
+        return F.transform(those, lambda t: F.concat(F.lit(TURN), escaped(t["role"]), F.lit(TEXT), escaped(t["text"]), F.lit(END)))
 
     cut = cut.withColumns({"old": F.array_join(shown(F.col("context")), ""), "shown": shown(F.col("new"))})
     begin = F.struct(F.char_length("old").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("targets"))
