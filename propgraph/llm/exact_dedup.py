@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propgraph.llm.common import stored, whole_text
@@ -49,7 +49,7 @@ def directory(occupancy: np.ndarray, capacity: int) -> np.ndarray:
     return bucket
 
 
-def _slot(h) -> F.Column:
+def _slot(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - DEPTH).cast("int")
 
 

@@ -27,7 +27,7 @@ SLOT_BITS = 20
 PER_LANGUAGE = 1500
 MIN_SHARE = 1e-5
 #: Characters normalised and looked up at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 UNDETERMINED = "und"
 
 _SEPARATOR = "\x01"

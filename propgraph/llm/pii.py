@@ -351,7 +351,7 @@ def fit(df: DataFrame, text: str = "text", docs: int = SAMPLE_DOCS) -> Tagger:
 # --- whole texts -------------------------------------------------------------------------------------
 
 #: Windows decoded at a time.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def tag_texts(texts: list[str], m: Tagger) -> list[np.ndarray]:
@@ -436,7 +436,7 @@ def _texts_at_a_time(texts: list[str]) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
     for t in texts:
-        if part and size + len(t) > 1 << 21:
+        if part and size + len(t) > 1 << 19:
             yield part
             part, size = [], 0
         part.append(t)

@@ -21,8 +21,8 @@ SAFE = r"\x00-ɏ‐-⁞₠-₿ぁ-ゖ゠-ヿ一-龥"
 EXOTIC = regex.compile(f"[^{SAFE}]")
 #: Pieces longer than this are encoded each time and not remembered.
 MEMO_CHARS = 64
-#: Remembered pieces of one Python worker; beyond it the memo starts anew.
-MEMO_PIECES = 1_000_000
+#: Remembered pieces of one Python worker, some 200 bytes each.
+MEMO_PIECES = 400_000
 
 #: Fixed value: the split of the word-end vocabulary, as its tokenizer file states it.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -58,19 +58,26 @@ def as_shown(piece: str) -> str:
 
 
 class Memo(dict):
-    """Values of pre-tokens; a missing one is computed, and kept if it is short.  Never holds more than MEMO_PIECES beyond what is known at the start."""
+    """Values of pre-tokens; a missing one is computed, and kept if it is short.
+
+    Beyond what is known at the start it holds MEMO_PIECES at most, in two generations: when the young
+    one is full it becomes the old one, and pieces used again are taken over from there.
+    """
 
     def __init__(self, value, known: dict | None = None):
         super().__init__(known or {})
-        self.value, self.known, self.room = value, known or {}, MEMO_PIECES
+        self.value, self.known, self.old, self.room = value, known or {}, {}, MEMO_PIECES // 2
 
     def __missing__(self, piece: str):
-        out = self.value(piece)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.value(piece)
         if len(piece) <= MEMO_CHARS:
             if self.room <= 0:
+                self.old = dict(self)
                 self.clear()
                 self.update(self.known)
-                self.room = MEMO_PIECES
+                self.room = MEMO_PIECES // 2
             self[piece] = out
             self.room -= 1
         return out
