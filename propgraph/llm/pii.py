@@ -25,6 +25,8 @@ from propgraph.llm.common import whole_text
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the sample for training is expected to hold, with and without base spans.
 SAMPLE_DOCS = 300
+#: Characters of each that the driver takes for training (texts are tagged whole).
+SAMPLE_CHARS = 16_384
 WINDOW, OVERLAP = 256, 32
 HIDDEN = 8
 
@@ -339,7 +341,7 @@ def labelled_windows(texts: list[str], count: int = 3000, length: int = 64, seed
 def fit(df: DataFrame, text: str = "text", docs: int = SAMPLE_DOCS) -> Tagger:
     """A tagger trained on a sample of df's texts drawn by hash: about `docs` of those with an @ or a plus and digit, as many of the others."""
     body = whole_text(df[f"`{text}`"])
-    rows = df.select(F.substring(body, 1, 1 << 16).alias("text"), body.rlike(r"@|\+[0-9]").alias("marked"), F.xxhash64(body).alias("h"))
+    rows = df.select(F.substring(body, 1, SAMPLE_CHARS).alias("text"), body.rlike(r"@|\+[0-9]").alias("marked"), F.xxhash64(body).alias("h"))
     sizes = {r["marked"]: r["count"] for r in rows.groupBy("marked").count().collect()}
     share = lambda m: int(min(1.0, docs / max(1, sizes.get(m, 0))) * (1 << 30))
     place = F.pmod("h", F.lit(1 << 30))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import unicodedata
 
 import regex
@@ -33,8 +34,30 @@ def exotic(text: str) -> bool:
 
 
 @functools.cache
-def compiled(pattern: str) -> regex.Pattern:
-    return regex.compile(pattern)
+def _spelled_out(kind: str) -> str:
+    """The safe characters of a kind such as \\p{L}, as ranges for a character class."""
+    of, ranges = regex.compile(kind), []
+    for c in range(0x10000):
+        if of.match(chr(c)) and not EXOTIC.match(chr(c)):
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
+
+
+@functools.cache
+def compiled(pattern: str) -> re.Pattern:
+    """A pattern for texts that are not exotic: letters, numbers and white space are spelled out, which the plain re module scans twice as fast as properties."""
+    kinds = {k: _spelled_out(k) for k in (r"\p{L}", r"\p{N}", r"\s")}
+
+    def in_class(m: re.Match) -> str:
+        return functools.reduce(lambda t, k: t.replace(k, kinds[k]), kinds, m.group())
+
+    out = re.sub(r"\[[^\]]*\]", in_class, pattern)
+    for k, ranges in kinds.items():
+        out = out.replace(k, f"[{ranges}]")
+    return re.compile(out.replace(r"\S", "[^" + kinds[r"\s"] + "]"))
 
 
 @functools.cache
