@@ -30,28 +30,61 @@ class NodeTable:
 
 
 @dataclass(frozen=True)
-class EdgeTable:
-    """load: makes the table of src, dst and, on edges made by closure, derived = true (null on others).
+class EdgePart:
+    """Edges of one type between two leaf labels (None: not known).
 
-    src, dst: leaf labels that its ends may have, if known.  unique: no pair is there twice.
+    load: makes the table of src, dst and, on edges made by closure, derived = true (null on others).
+    merge: of equal pairs one counts; whether a pair is there at all can be asked without merging.
     """
 
     load: Callable[[], DataFrame]
-    src: frozenset[str] | None = None
-    dst: frozenset[str] | None = None
-    unique: bool = False
+    src: str | None = None
+    dst: str | None = None
+    merge: bool = False
 
     @cached_property
-    def df(self) -> DataFrame:
+    def raw(self) -> DataFrame:
         return self.load()
 
-    def identified(self) -> DataFrame:
-        """src, dst and edge_id: the pair itself where pairs are unique, else with a number among equal pairs."""
-        pair = self.df.select("src", "dst")
-        if self.unique:
-            return pair.withColumn("edge_id", F.concat_ws("\x1f", "src", "dst"))
-        n = F.row_number().over(Window.partitionBy("src", "dst").orderBy("src"))
-        return pair.withColumn("edge_id", F.concat_ws("\x1f", "src", "dst", n.cast("string")))
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.raw.distinct() if self.merge else self.raw
+
+
+@dataclass(frozen=True)
+class EdgeTable:
+    """The parts of an edge type.  unique: no pair is there twice."""
+
+    parts: tuple[EdgePart, ...]
+    unique: bool = False
+
+    @property
+    def df(self) -> DataFrame:
+        return self.between(None, None)
+
+    def between(self, src: set[str] | None, dst: set[str] | None, raw: bool = False) -> DataFrame:
+        """The edges whose ends may have these leaf labels (None: any); parts between others are not read.  raw: equal pairs may repeat."""
+        fits = lambda leaf, wanted: leaf is None or wanted is None or leaf in wanted
+        kept = [p.raw if raw else p.df for p in self.parts if fits(p.src, src) and fits(p.dst, dst)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept) if kept else self.parts[0].df.where(F.lit(False))
+
+    def ends(self) -> DataFrame | None:
+        """(sl, dl): leaf labels that edges join, a part with any edge being asked for one; None if a part's leaves are not known."""
+        if not (self.known("src") and self.known("dst")):
+            return None
+        return reduce(DataFrame.unionAll, [p.raw.limit(1).select(F.lit(p.src).alias("sl"), F.lit(p.dst).alias("dl")) for p in self.parts])
+
+    def known(self, end: str) -> bool:
+        """Whether every part names the leaf of its src or dst."""
+        return all(getattr(p, end) is not None for p in self.parts)
+
+
+def with_ids(pairs: DataFrame, unique: bool) -> DataFrame:
+    """src, dst and edge_id: the pair itself where pairs are unique, else with a number among equal pairs."""
+    if unique:
+        return pairs.withColumn("edge_id", F.concat_ws("\x1f", "src", "dst"))
+    n = F.row_number().over(Window.partitionBy("src", "dst").orderBy("src"))
+    return pairs.withColumn("edge_id", F.concat_ws("\x1f", "src", "dst", n.cast("string")))
 
 
 @dataclass

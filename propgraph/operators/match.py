@@ -3,8 +3,9 @@
     match(g, "s", "Nation").hop("CONTAINS", "c", "Customer").where(F.col("s.Name") == "NATION_3")
 
 Every named variable is a struct column of node_id and properties, so ``s.Name`` is a plain column for
-filters and projections; Catalyst prunes what is not used.  A hop to an unnamed end joins the edge
-table alone unless its label has to be looked up.
+filters and projections; Catalyst prunes what is not used.  A hop reads only the parts of its edge type
+that the labels at both ends allow, and to an unnamed end it joins those edges alone: parts between
+known leaves need no look at the nodes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propgraph.operators.graph import PropertyGraph
+from propgraph.operators.graph import PropertyGraph, with_ids
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,7 @@ class Pattern:
     at: str  # the variable that the next hop leaves from
     hops: int = 0
     used: tuple[tuple[str, str], ...] = ()  # (edge type, edge id column) of this pattern
+    leaves: tuple[tuple[str, frozenset[str]], ...] = ()  # leaf labels that a variable may have
 
     def where(self, *conditions: Column) -> Pattern:
         df = self.df
@@ -35,26 +37,30 @@ class Pattern:
         """The next hop leaves from this variable."""
         return replace(self, at=var)
 
-    def _edges(self, kind: str | None, direction: str, identified: bool) -> DataFrame | None:
-        table = self.graph.edges.get(kind) if kind else None
-        if kind and table is None:
+    def _may_be(self, var: str) -> set[str] | None:
+        return dict(self.leaves).get(var)
+
+    def _edges(self, kind: str | None, direction: str, var: str, labels: tuple[str, ...], identified: bool = False, raw: bool = False) -> tuple[DataFrame, bool] | None:
+        """(edges as _from, _to and edge_id if identified; whether the far end's labels are settled by the parts taken)."""
+        near, far = self._may_be(var), set(self.graph.leaves(*labels)) if labels else None
+        if kind is None:
+            df, settled = self.graph.all_edges().select("src", "dst"), not labels
+        elif kind not in self.graph.edges:
             return None
-        df = (table.identified() if identified else table.df.select("src", "dst")) if table else self.graph.all_edges().select("src", "dst")
+        else:
+            table = self.graph.edges[kind]
+            ends = {"out": (near, far), "in": (far, near)}.get(direction, (None, None))
+            df = table.between(*ends, raw).select("src", "dst")
+            settled = not labels or direction != "both" and table.known("dst" if direction == "out" else "src")
+        if identified:
+            df = with_ids(df, bool(kind) and self.graph.edges[kind].unique)
         names = ["src", "dst"] if direction != "in" else ["dst", "src"]
         more = ["edge_id"] if identified else []
         out = df.select(F.col(names[0]).alias("_from"), F.col(names[1]).alias("_to"), *more)
         if direction == "both":
             loops = df.where("src <> dst").select(F.col("dst").alias("_from"), F.col("src").alias("_to"), *more)
             out = out.unionAll(loops)
-        return out
-
-    def _implied(self, kind: str | None, direction: str, labels: tuple[str, ...]) -> bool:
-        """Whether every far end of the edge type has one of the labels."""
-        if not labels:
-            return True
-        table = self.graph.edges.get(kind) if kind else None
-        ends = None if table is None or direction == "both" else table.dst if direction == "out" else table.src
-        return ends is not None and ends <= set(self.graph.leaves(*labels))
+        return out, settled
 
     def hop(self, kind: str | None, var: str | None = None, *labels: str, direction: str = "out", how: str = "inner", same_type_again: bool = False) -> Pattern:
         """Follow edges of a type (None: any) to nodes with any of the labels (none: any node).
@@ -64,25 +70,28 @@ class Pattern:
         that the pattern follows more than once.
         """
         k = self.hops + 1
-        edges = self._edges(kind, direction, same_type_again)
-        ends = self.graph.nodes(*labels)
+        found = self._edges(kind, direction, self.at, labels, same_type_again)
         anonymous = var is None
         var = var or f"_{k}"
-        if edges is None or ends is None:
+        may_be = frozenset(self.graph.leaves(*labels))
+        if found is None or not may_be:
             far = F.lit(None).cast("struct<node_id:string>").alias(var)
             df = self.df.withColumn(var, far) if how == "left" else self.df.withColumn(var, far).where(F.lit(False))
             return replace(self, df=df, at=var, hops=k)
+        edges, settled = found
         start = F.col(f"{self.at}.node_id")
         used = self.used
         if same_type_again:
             edges = edges.withColumnRenamed("edge_id", f"_edge{k}")
         edges = edges.withColumnsRenamed({"_from": f"_from{k}", "_to": f"_to{k}"})
         to = F.col(f"_to{k}")
-        if anonymous and self._implied(kind, direction, labels):
+        if anonymous and settled:
             reach = edges.select("*", F.struct(to.alias("node_id")).alias(var))
         elif anonymous:
-            reach = edges.join(ends.select(F.col("node_id").alias("_end")), to == F.col("_end"), "left_semi").select("*", F.struct(to.alias("node_id")).alias(var))
+            ends = self.graph.nodes(*labels).select(F.col("node_id").alias("_end"))
+            reach = edges.join(ends, to == F.col("_end"), "left_semi").select("*", F.struct(to.alias("node_id")).alias(var))
         else:
+            ends = self.graph.nodes(*labels)
             nodes = ends.select(F.struct(*ends.columns).alias(var))
             reach = edges.join(nodes, to == F.col(f"{var}.node_id"))
         df = self.df.join(reach, start == F.col(f"_from{k}"), how)
@@ -91,33 +100,35 @@ class Pattern:
                 if other == kind:
                     df = df.where(F.col(column) != F.col(f"_edge{k}"))
             used = (*used, (kind or "", f"_edge{k}"))
-        return replace(self, df=df.drop(f"_from{k}", f"_to{k}"), at=var, hops=k, used=used)
+        return replace(self, df=df.drop(f"_from{k}", f"_to{k}"), at=var, hops=k, used=used, leaves=(*self.leaves, (var, may_be)))
 
-    def _reaching(self, kind: str | None, labels: tuple[str, ...], direction: str) -> DataFrame | None:
-        edges, ends = self._edges(kind, direction, False), self.graph.nodes(*labels)
-        if edges is None or ends is None:
+    def _reaching(self, kind: str | None, labels: tuple[str, ...], direction: str, var: str) -> DataFrame | None:
+        found = self._edges(kind, direction, var, labels, raw=True)
+        if found is None or not self.graph.leaves(*labels):
             return None
-        if not self._implied(kind, direction, labels):
-            edges = edges.join(ends.select(F.col("node_id").alias("_end")), F.col("_to") == F.col("_end"), "left_semi")
+        edges, settled = found
+        if not settled:
+            ends = self.graph.nodes(*labels).select(F.col("node_id").alias("_end"))
+            edges = edges.join(ends, F.col("_to") == F.col("_end"), "left_semi")
         return edges.select("_from")
 
     def having(self, kind: str | None, *labels: str, var: str | None = None, direction: str = "out") -> Pattern:
         """Keep what has such a hop (a semi join)."""
-        reach = self._reaching(kind, labels, direction)
+        reach = self._reaching(kind, labels, direction, var or self.at)
         if reach is None:
             return replace(self, df=self.df.where(F.lit(False)))
         return replace(self, df=self.df.join(reach, F.col(f"{var or self.at}.node_id") == F.col("_from"), "left_semi"))
 
     def lacking(self, kind: str | None, *labels: str, var: str | None = None, direction: str = "out") -> Pattern:
         """Keep what has no such hop (an anti join)."""
-        reach = self._reaching(kind, labels, direction)
+        reach = self._reaching(kind, labels, direction, var or self.at)
         if reach is None:
             return self
         return replace(self, df=self.df.join(reach, F.col(f"{var or self.at}.node_id") == F.col("_from"), "left_anti"))
 
     def flagged(self, name: str, kind: str | None, *labels: str, var: str | None = None, direction: str = "out") -> Pattern:
         """Add a boolean column: whether such a hop exists, for conditions under OR."""
-        reach = self._reaching(kind, labels, direction)
+        reach = self._reaching(kind, labels, direction, var or self.at)
         if reach is None:
             return replace(self, df=self.df.withColumn(name, F.lit(False)))
         known = reach.distinct()
@@ -141,7 +152,7 @@ def match(graph: PropertyGraph, var: str, *labels: str) -> Pattern:
     if nodes is None:
         some = next(iter(graph.tables.values())).df
         return Pattern(graph, some.where(F.lit(False)).select(F.struct("node_id").alias(var)), var)
-    return Pattern(graph, nodes.select(F.struct(*nodes.columns).alias(var)), var)
+    return Pattern(graph, nodes.select(F.struct(*nodes.columns).alias(var)), var, leaves=((var, frozenset(graph.leaves(*labels))),))
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ PRIORITY = ("Name", "ObjectType", "FireRating", "IsExternal", "LoadBearing", "Le
 
 
 def label_counts(graph: PropertyGraph) -> DataFrame:
-    """(label, n): a node counts once for each of its labels."""
-    return graph.labelled().select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    """(label, n): a node counts once for each of its labels.  Leaves are counted first, so no node row is multiplied."""
+    leaves = graph.labelled().groupBy("leaf", "labels").agg(F.count("*").alias("n"))
+    return leaves.select(F.explode("labels").alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n"))
 
 
 def type_counts(graph: PropertyGraph) -> DataFrame:
@@ -36,33 +39,33 @@ def rarest_labels(graph: PropertyGraph) -> DataFrame:
     return rows.groupBy("node_id").agg(F.min_by("label", F.struct("n", "place")).alias("label"))
 
 
-def signatures(graph: PropertyGraph) -> DataFrame:
-    """(src_label, type, dst_label): the distinct rarest labels that edges of a type join.
+def joined_leaves(graph: PropertyGraph) -> DataFrame:
+    """(type, sl, dl): the leaf labels that edges of a type join.  Parts between known leaves are asked for one edge; only others join the nodes."""
+    rows = []
+    for kind, table in graph.edges.items():
+        pairs = table.ends()
+        if pairs is None:
+            at = graph.labelled().select("node_id", "leaf")
+            one = table.df.join(at.select(F.col("node_id").alias("src"), F.col("leaf").alias("sl")), "src")
+            pairs = one.join(at.select(F.col("node_id").alias("dst"), F.col("leaf").alias("dl")), "dst").select("sl", "dl").distinct()
+        rows.append(pairs.select(F.lit(kind).alias("type"), "sl", "dl"))
+    return reduce(DataFrame.unionAll, rows)
 
-    Leaf labels decide a node's rarest label, so ends are looked up by leaf: the edges join (node_id, leaf)
-    and the rest is a table of leaves.
-    """
+
+def signatures(graph: PropertyGraph) -> DataFrame:
+    """(src_label, type, dst_label): the distinct rarest labels that edges of a type join."""
+    leaves = [(leaf, k, label) for leaf, t in graph.tables.items() for k, label in enumerate(t.labels)]
+    places = graph.labelled().sparkSession.createDataFrame(leaves, "leaf string, place int, label string")
     counts = label_counts(graph)
-    leaves = graph.labelled().select("leaf", "labels").distinct().select("leaf", F.posexplode("labels").alias("place", "label"))
-    rarest = leaves.join(F.broadcast(counts), "label").groupBy("leaf").agg(F.min_by("label", F.struct("n", "place")).alias("label"))
-    at = graph.labelled().select("node_id", "leaf")
-    pairs = (
-        graph.all_edges()
-        .join(at.select(F.col("node_id").alias("src"), F.col("leaf").alias("sl")), "src")
-        .join(at.select(F.col("node_id").alias("dst"), F.col("leaf").alias("dl")), "dst")
-        .select("type", "sl", "dl")
-        .distinct()
-    )
-    named = pairs.join(F.broadcast(rarest.select(F.col("leaf").alias("sl"), F.col("label").alias("src_label"))), "sl")
+    rarest = places.join(F.broadcast(counts), "label").groupBy("leaf").agg(F.min_by("label", F.struct("n", "place")).alias("label"))
+    named = joined_leaves(graph).join(F.broadcast(rarest.select(F.col("leaf").alias("sl"), F.col("label").alias("src_label"))), "sl")
     return named.join(F.broadcast(rarest.select(F.col("leaf").alias("dl"), F.col("label").alias("dst_label"))), "dl").select("src_label", "type", "dst_label").distinct()
 
 
 def endpoint_labels(graph: PropertyGraph) -> DataFrame:
     """(type, src_labels, dst_labels): the distinct label lists at the ends of edges."""
-    at = graph.labelled().select("node_id", F.array_join("labels", ":").alias("own"))
-    edges = graph.all_edges()
-    two = edges.join(at.select(F.col("node_id").alias("src"), F.col("own").alias("src_labels")), "src").join(at.select(F.col("node_id").alias("dst"), F.col("own").alias("dst_labels")), "dst")
-    return two.select("type", "src_labels", "dst_labels").distinct()
+    own = F.create_map(*(F.lit(x) for leaf, t in graph.tables.items() for x in (leaf, ":".join(t.labels))))
+    return joined_leaves(graph).select("type", own[F.col("sl")].alias("src_labels"), own[F.col("dl")].alias("dst_labels")).distinct()
 
 
 def known_keys(graph: PropertyGraph) -> DataFrame:

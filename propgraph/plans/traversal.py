@@ -12,8 +12,8 @@ from propgraph.sources.tables import trading_graph as graph
 
 
 def one_hop_count(spark: SparkSession, sf: str) -> DataFrame:
-    m = match(graph(spark, sf), "n", "Nation").hop("CONTAINS", "c", "Customer").where(F.col("n.Name") == "NATION_3")
-    return m.agg(F.count("c").alias("n"))
+    m = match(graph(spark, sf), "n", "Nation").hop("CONTAINS", None, "Customer").where(F.col("n.Name") == "NATION_3")
+    return m.agg(F.count("_1").alias("n"))
 
 
 def reverse_hop(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,8 +66,8 @@ def undirected_hop(spark: SparkSession, sf: str) -> DataFrame:
 
 def optional_match(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with how many parts they open, those without any too."""
-    m = match(graph(spark, sf), "o", "Order").hop("HAS_OPENING", "p", "Part", how="left")
-    n = m.groupBy(F.col("o.node_id").alias("o")).agg(F.count("p").alias("parts"))
+    m = match(graph(spark, sf), "o", "Order").hop("HAS_OPENING", None, "Part", how="left")
+    n = m.groupBy(F.col("o.node_id").alias("o")).agg(F.count("_1").alias("parts"))
     return n.groupBy("parts").agg(F.count("*").alias("n"))
 
 

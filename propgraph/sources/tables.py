@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.operators.graph import EdgeTable, NodeTable, PropertyGraph
+from propgraph.operators.graph import EdgePart, EdgeTable, NodeTable, PropertyGraph
 
 PREFIX = {"Region": "R", "Nation": "N", "Customer": "C", "Supplier": "S", "Order": "O", "Part": "P", "Material": "M"}
 LABELS = {
@@ -50,10 +50,10 @@ def trading_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         after = read("customer").select("c_custkey", F.expr("lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey)").alias("after"))
         return after.where("after IS NOT NULL").select(_id("Customer", "c_custkey").alias("src"), _id("Customer", "after").alias("dst"))
 
-    def edge(load: Callable[[], DataFrame], src: tuple[str, ...], dst: tuple[str, ...], unique: bool = True) -> EdgeTable:
-        return EdgeTable(load, frozenset(src), frozenset(dst), unique)
+    def part(src: str, dst: str, load: Callable[[], DataFrame], merge: bool = False) -> EdgePart:
+        return EdgePart(load, src, dst, merge)
 
-    order, part, supplier = ("Order", "l_orderkey"), ("Part", "l_partkey"), ("Supplier", "l_suppkey")
+    order, product, supplier = ("Order", "l_orderkey"), ("Part", "l_partkey"), ("Supplier", "l_suppkey")
     return PropertyGraph(
         {
             "Region": nodes("Region", "region", "r_regionkey", "r_name"),
@@ -65,21 +65,25 @@ def trading_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
             "Material": NodeTable(LABELS["Material"], materials),
         },
         {
-            "DECOMPOSES": edge(
-                lambda: pairs("nation", ("Region", "n_regionkey"), ("Nation", "n_nationkey")).unionAll(pairs("orders", ("Customer", "o_custkey"), ("Order", "o_orderkey"))),
-                ("Region", "Customer"),
-                ("Nation", "Order"),
+            "DECOMPOSES": EdgeTable(
+                (
+                    part("Region", "Nation", lambda: pairs("nation", ("Region", "n_regionkey"), ("Nation", "n_nationkey"))),
+                    part("Customer", "Order", lambda: pairs("orders", ("Customer", "o_custkey"), ("Order", "o_orderkey"))),
+                ),
+                True,
             ),
-            "CONTAINS": edge(
-                lambda: pairs("customer", ("Nation", "c_nationkey"), ("Customer", "c_custkey")).unionAll(pairs("supplier", ("Nation", "s_nationkey"), ("Supplier", "s_suppkey"))),
-                ("Nation",),
-                ("Customer", "Supplier"),
+            "CONTAINS": EdgeTable(
+                (
+                    part("Nation", "Customer", lambda: pairs("customer", ("Nation", "c_nationkey"), ("Customer", "c_custkey"))),
+                    part("Nation", "Supplier", lambda: pairs("supplier", ("Nation", "s_nationkey"), ("Supplier", "s_suppkey"))),
+                ),
+                True,
             ),
-            "IS_OF_TYPE": edge(lambda: pairs("lineitem", order, part), ("Order",), ("Part",), False),
-            "HAS_MATERIAL": edge(lambda: pairs("part", ("Part", "p_partkey"), ("Material", "p_type")).distinct(), ("Part",), ("Material",)),
-            "BOUNDED_BY": edge(lambda: pairs("lineitem", order, supplier), ("Order",), ("Supplier",), False),
-            "HAS_OPENING": edge(lambda: pairs("lineitem", order, part).distinct(), ("Order",), ("Part",)),
-            "FILLS": edge(lambda: pairs("lineitem", supplier, part).distinct(), ("Supplier",), ("Part",)),
-            "CONNECTED_TO": edge(connected, ("Customer",), ("Customer",)),
+            "IS_OF_TYPE": EdgeTable((part("Order", "Part", lambda: pairs("lineitem", order, product)),)),
+            "HAS_MATERIAL": EdgeTable((part("Part", "Material", lambda: pairs("part", ("Part", "p_partkey"), ("Material", "p_type")), True),), True),
+            "BOUNDED_BY": EdgeTable((part("Order", "Supplier", lambda: pairs("lineitem", order, supplier)),)),
+            "HAS_OPENING": EdgeTable((part("Order", "Part", lambda: pairs("lineitem", order, product), True),), True),
+            "FILLS": EdgeTable((part("Supplier", "Part", lambda: pairs("lineitem", supplier, product), True),), True),
+            "CONNECTED_TO": EdgeTable((part("Customer", "Customer", connected),), True),
         },
     )

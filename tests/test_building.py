@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from propgraph.functions import names, tokens, values
 from propgraph.operators import closure, etl, grammar, profile, prompts, scoring, sinks, vocabulary
-from propgraph.operators.graph import EdgeTable, NodeTable, PropertyGraph
+from propgraph.operators.graph import EdgePart, EdgeTable, NodeTable, PropertyGraph
 from propgraph.operators.match import match
 from propgraph.sources import documents, step
+from propgraph.sources.tables import trading_graph
 
 
 def gid(n):
@@ -64,7 +65,7 @@ def building(spark, recs):
     for leaf in {r["class"] for r in nodes.select("class").distinct().collect()}:
         tables[leaf] = NodeTable(chains[leaf], lambda leaf=leaf: nodes.where(F.col("class") == leaf).select("node_id", "Name"))
     kinds = {r["type"] for r in edges.select("type").distinct().collect()}
-    return PropertyGraph(tables, {k: EdgeTable(lambda k=k: edges.where(F.col("type") == k).select("src", "dst")) for k in kinds})
+    return PropertyGraph(tables, {k: EdgeTable((EdgePart(lambda k=k: edges.where(F.col("type") == k).select("src", "dst")),)) for k in kinds})
 
 
 def test_records_and_nodes(recs):
@@ -113,6 +114,12 @@ def test_negation_is_an_anti_join(building):
     assert "LeftAnti" in plan and "Cartesian" not in plan
 
 
+def test_parts_between_other_labels_are_not_read(spark, sf):
+    g = trading_graph(spark, sf)
+    plan = match(g, "n", "Nation").hop("CONTAINS", None, "Customer").agg(F.count("_1"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "s_suppkey" not in plan and plan.count("Join") == 1
+
+
 def test_derived_containment(building):
     made = closure.derived_containment(building.edges["CONTAINS"].df, building.edges["DECOMPOSES"].df)
     assert [(int(r["src"]), int(r["dst"]), r["derived"]) for r in made.collect()] == [(10, 50, True)]
