@@ -68,9 +68,24 @@ def endpoint_labels(graph: PropertyGraph) -> DataFrame:
     return joined_leaves(graph).select("type", own[F.col("sl")].alias("src_labels"), own[F.col("dl")].alias("dst_labels")).distinct()
 
 
+def key_statistics(graph: PropertyGraph) -> DataFrame:
+    """(leaf, labels, key, kind, n, about): per leaf and key its column type, how many nodes have it, and about how many values there are.
+
+    One aggregate per node table, so no row is multiplied by its properties; the result is a row per column.
+    """
+    parts = []
+    for leaf, t in graph.tables.items():
+        fields = [f for f in t.df.schema.fields if f.name != "node_id"]
+        if not fields:
+            continue
+        own = [F.struct(F.lit(f.name).alias("key"), F.lit(f.dataType.simpleString()).alias("kind"), F.count(f"`{f.name}`").alias("n"), F.approx_count_distinct(f"`{f.name}`").alias("about")) for f in fields]
+        parts.append(t.df.agg(F.array(*own).alias("all")).select(F.lit(leaf).alias("leaf"), F.array(*map(F.lit, t.labels)).alias("labels"), F.inline("all")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def known_keys(graph: PropertyGraph) -> DataFrame:
     """(label, key): every property key that occurs on nodes of a label."""
-    return graph.properties().select(F.explode("labels").alias("label"), "key").distinct()
+    return key_statistics(graph).where("n > 0").select(F.explode("labels").alias("label"), "key").distinct()
 
 
 def degrees(graph: PropertyGraph, kind: str, label: str) -> DataFrame:
@@ -90,25 +105,38 @@ def priority(name: Column) -> Column:
 def enumerations(graph: PropertyGraph, excluded: tuple[str, ...] = (), most: int = MOST_VALUES, probes: int = PROBES) -> DataFrame:
     """(label, key, choices): properties whose values on a label are few, all text, none blank and short on average.
 
-    One pass instead of a probe per property: values are first reduced to distinct ones per key (a set of
-    more than most + 1 is cut when it is counted, so a key of many values costs its count alone).  Of a
-    label's keys the first `probes` by priority and name are looked at.
+    Of a label's keys the first `probes` by priority and name are looked at.  A first pass over each node
+    table counts its columns (and about how many values each has, within 5 %), which settles what cannot
+    be an enumeration: other types, and more than four times as many values as allowed.  Only what is
+    left is grouped by value.
     """
-    rows = graph.properties().where(~F.col("key").isin(*excluded)) if excluded else graph.properties()
-    pairs = rows.select(F.explode("labels").alias("label"), "key", F.col("value.t").alias("t"), F.col("value.s").alias("s"))
-    distinct = pairs.groupBy("label", "key", "t", "s").agg(F.count("*").alias("n"))
-    ranked = distinct.withColumn("place", F.dense_rank().over(Window.partitionBy("label").orderBy(priority(F.col("key")), "key"))).where(F.col("place") <= probes)
-    nth = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("label", "key").orderBy("s"))).where(F.col("nth") <= most + 1)
-    own = nth.groupBy("label", "key").agg(
-        F.count("*").alias("n"), F.min((F.col("t") == "string") & (F.trim("s") != "")).alias("text"), F.avg(F.length("s")).alias("mean"), F.sort_array(F.collect_list("s")).alias("choices")
-    )
-    return own.where(F.col("text") & F.col("n").between(1, most) & (F.col("mean") <= MEAN_LENGTH)).select("label", "key", "choices")
+    stats = key_statistics(graph).where((F.col("n") > 0) & ~F.col("key").isin(*excluded)) if excluded else key_statistics(graph).where("n > 0")
+    of_label = stats.select(F.explode("labels").alias("label"), "leaf", "key", "kind", "about")
+    place = F.dense_rank().over(Window.partitionBy("label").orderBy(priority(F.col("key")), "key"))
+    probed = of_label.withColumn("place", place).where(F.col("place") <= probes)
+    text = probed.groupBy("label", "key").agg(F.max("about").alias("about"), F.min(F.col("kind") == "string").alias("text"), F.collect_set("leaf").alias("leaves"))
+    wanted = text.where(F.col("text") & (F.col("about") <= 4 * most)).select("label", "key", F.explode("leaves").alias("leaf")).collect()  # a row per label, key and leaf
+    columns: dict[str, set[str]] = {}
+    for r in wanted:
+        columns.setdefault(r["leaf"], set()).add(r["key"])
+    spark = graph.labelled().sparkSession
+    if not wanted:
+        return spark.createDataFrame([], "label string, key string, choices array<string>")
+    parts = []
+    for leaf, keys in columns.items():
+        pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"`{k}`").alias("s")) for k in sorted(keys)))
+        values_of = graph.tables[leaf].df.select(F.inline(pairs)).where("s IS NOT NULL")
+        parts.append(values_of.groupBy("key", "s").agg(F.count("*").alias("n")).select(F.lit(leaf).alias("leaf"), "key", "s"))
+    labels = spark.createDataFrame([(r["label"], r["key"], r["leaf"]) for r in wanted], "label string, key string, leaf string")
+    few = reduce(DataFrame.unionAll, parts).join(F.broadcast(labels), ["key", "leaf"]).select("label", "key", "s").distinct()
+    own = few.groupBy("label", "key").agg(F.count("*").alias("n"), F.min(F.trim("s") != "").alias("filled"), F.avg(F.length("s")).alias("mean"), F.sort_array(F.collect_list("s")).alias("choices"))
+    return own.where(F.col("filled") & F.col("n").between(1, most) & (F.col("mean") <= MEAN_LENGTH)).select("label", "key", "choices")
 
 
 def class_profile(graph: PropertyGraph) -> DataFrame:
     """(leaf, n, keys): per leaf label its nodes and sorted property keys."""
     n = graph.labelled().groupBy("leaf").agg(F.count("*").alias("n"))
-    keys = graph.properties().groupBy("leaf").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    keys = key_statistics(graph).where("n > 0").groupBy("leaf").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     return n.join(keys, "leaf", "left")
 
 

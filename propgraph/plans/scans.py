@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.functions import values
+from propgraph.operators import profile
 from propgraph.operators.match import match
 from propgraph.sources.tables import trading_graph as graph
 
@@ -143,7 +144,7 @@ def mixed_types(spark: SparkSession, sf: str) -> DataFrame:
 
 def keys_unwind(spark: SparkSession, sf: str) -> DataFrame:
     """The distinct keys of a label's nodes that a condition selects."""
-    keys = graph(spark, sf).properties().where(F.array_contains("labels", "Customer")).select("key").distinct()
+    keys = profile.known_keys(graph(spark, sf)).where("label = 'Customer'").select("key")
     return keys.where(F.col("key").isin("Name", "Width") | F.lower("key").contains("seg"))
 
 
