@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from propgraph.llm.common import stored, whole_text
 
-SAMPLES = 16
+SAMPLES = 32
 
 
 #: Samples that are reduced side by side: few, so that the generated code of one row stays small.
