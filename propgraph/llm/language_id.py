@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,7 @@ class Filters:
     languages: list[str]
     tables: list[np.ndarray] = field(default_factory=list)
 
-    @property
+    @cached_property
     def rate(self) -> np.ndarray:
         fill = [((t >> t.dtype.type(b)) & t.dtype.type(1)).mean() for t in self.tables for b in range(min(64, 8 * t.itemsize))]
         return np.array(fill[: len(self.languages)]) ** HASHES
@@ -173,6 +174,7 @@ def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """
     made = ["lang_pred", "score"]
     rest = [c for c in df.columns if c not in made]
+    _ = filters.rate  # once, here, and not by every task
     shared = df.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

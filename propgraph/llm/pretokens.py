@@ -23,7 +23,7 @@ EXOTIC = regex.compile(f"[^{SAFE}]")
 #: Pieces longer than this are encoded each time and not remembered.
 MEMO_CHARS = 64
 #: Remembered pieces of one Python worker, some 200 bytes each.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
 
 #: Fixed value: the split of the word-end vocabulary, as its tokenizer file states it.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
