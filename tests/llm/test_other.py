@@ -1,5 +1,6 @@
 """Sharding, chat windows, language identification, personal data and the pipeline."""
 
+import functools
 import hashlib
 import itertools
 import random
@@ -232,7 +233,12 @@ def test_spans_and_redaction(spark, tagger):
     assert pii.spans_of(plain, pii.tag_texts([plain], tagger)[0]) == []
 
 
-def test_personal_data_query(spark, sf):
+@pytest.fixture
+def short_training(monkeypatch):
+    monkeypatch.setattr(pii, "train", functools.partial(pii.train, steps=30))
+
+
+def test_personal_data_query(spark, sf, short_training):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.op9_personal_data(spark, sf).collect()
     assert len(rows) == len(texts)
@@ -243,7 +249,7 @@ def test_personal_data_query(spark, sf):
         assert set(filter(None, shown.split(","))) <= set(r["spans"].split(","))
 
 
-def test_pipeline(spark, sf, tmp_path):
+def test_pipeline(spark, sf, tmp_path, short_training):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before = docs.columns, docs.count()
     sizes = []
@@ -261,7 +267,7 @@ def test_pipeline(spark, sf, tmp_path):
     assert len(texts) == len(set(texts))
 
 
-def test_pipeline_of_odd_rows(spark, sf):
+def test_pipeline_of_odd_rows(spark, sf, short_training):
     rows = [(1, "the cat sat on the mat and the dog", "en", None, 3), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "the cat sat on the mat and the dog", "en", "s", 3), (4, "the cat sat on the mat and the dog", "en", "s", 3), (None, "the dog sat and the cat on the mat", "en", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
