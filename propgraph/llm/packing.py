@@ -43,7 +43,8 @@ def word_ids(text: str, path: str) -> bytes:
     packed, word, find = _words(path)
     if exotic(text) or "<|" in text:  # control strings inside texts are the library's to find
         return packed(text)
-    return b"".join(map(word, find(lowered(text))))
+    low = lowered(text)
+    return packed(text) if exotic(low) else b"".join(map(word, find(low)))
 
 
 def tokenise(df: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text") -> DataFrame:
