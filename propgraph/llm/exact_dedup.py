@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propgraph.llm.common import stored, whole_text
+from propgraph.llm.common import BATCH_ROWS, stored, whole_text
 
 #: Bits of the hash that the directory may use, so at most 65 536 slots whatever the input.
 DEPTH = 16
@@ -53,76 +54,109 @@ def _slot(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - DEPTH).cast("int")
 
 
-def _larger(a: int | None, b: int | None) -> int | None:
-    return b if a is None or b is not None and b > a else a
-
-
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Copies within a task become one row (bucket, h, sha, text, keep, n); what has shown copies is remembered and leaves at the end."""
+    """Copies within a task become one row (bucket, h, sha, text, keep, n, and the kept row's other columns); what has shown copies is remembered and leaves at the end."""
     hot: dict[tuple, list] = {}
-    held = 0
+    held, schema = 0, None
     for batch in batches:
         new: dict[tuple, list] = {}
-        for b, h, sha, text, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        schema = _partial(batch.schema, 5)
+        for b, h, sha, text, doc, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             k = (h, text)
             seen = hot.get(k) or new.get(k)
             if seen is None:
-                new[k] = [b, h, sha, text, doc, 1]
+                new[k] = [b, h, sha, text, doc, 1, *rest]
             else:
-                seen[4], seen[5] = _larger(seen[4], doc), seen[5] + 1
+                _add(seen, 4, doc, 1, rest)
         for k in [k for k, v in new.items() if v[5] > 1]:
             hot[k] = new.pop(k)
             held += len(k[1])
-        yield _rows(list(new.values()))
+        yield _rows(list(new.values()), schema)
         if held > COLLAPSE_BYTES:
-            yield _rows(list(hot.values()))
+            yield _rows(list(hot.values()), schema)
             hot, held = {}, 0
-    yield _rows(list(hot.values()))
+    if hot:
+        yield _rows(list(hot.values()), schema)
 
 
 _PARTIAL = pa.schema([("bucket", pa.int32()), ("h", pa.int64()), ("sha", pa.string()), ("text", pa.binary()), ("keep", pa.int64()), ("n", pa.int64())])
 _CLASS = pa.schema([("bucket", pa.int32()), ("h", pa.int64()), ("sha", pa.string()), ("chain", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
+def _partial(given: pa.Schema, at: int) -> pa.Schema:
+    """The schema of collapsed rows, with the other columns that `given` has from `at` on."""
+    return pa.schema([*_PARTIAL, *list(given)[at:]])
+
+
+def _add(entry: list, at: int, doc: int | None, n: int, rest: list) -> None:
+    """Count n more copies in an entry (keep at `at`, then n, then the other columns); the row of the larger doc_id gives the columns."""
+    if doc is not None and (entry[at] is None or doc > entry[at]):
+        entry[at], entry[at + 2 :] = doc, rest
+    entry[at + 1] += n
+
+
 def _rows(rows: list[list], schema: pa.Schema = _PARTIAL) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes of the owner's buckets, from rows sorted by hash: only the chain of one hash is held at a time."""
-    at, chain = None, []  # chain: [bucket, sha, text, keep, n] of each different text
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(hash, chain) of an owner's rows, which come sorted by hash: a chain has [bucket, sha, text, keep, n, other columns] of each different text, and only one is held at a time."""
+    at, chain = None, []
     for batch in batches:
-        out = []
-        for b, h, sha, text, keep, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, h, sha, text, keep, n, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if h != at:
-                out += [[e[0], at, e[1], k, e[3], e[4]] for k, e in enumerate(chain)]
+                if chain:
+                    yield at, chain
                 at, chain = h, []
             for e in chain:
                 if e[2] == text:
-                    e[3], e[4] = _larger(e[3], keep), e[4] + n
+                    _add(e, 3, keep, n, rest)
                     break
             else:
-                chain.append([b, sha, text, keep, n])
-        yield _rows(out, _CLASS)
-    yield _rows([[e[0], at, e[1], k, e[3], e[4]] for k, e in enumerate(chain)], _CLASS)
+                chain.append([b, sha, text, keep, n, *rest])
+    if chain:
+        yield at, chain
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes of the owner's buckets."""
+    for part in _some(([e[0], h, e[1], k, e[3], e[4]] for h, chain in _chains(batches) for k, e in enumerate(chain)), BATCH_ROWS):
+        yield _rows(part, _CLASS)
+
+
+def _some(rows: Iterator[list], size: int) -> Iterator[list[list]]:
+    while part := list(itertools.islice(rows, size)):
+        yield part
+
+
+def _owners(rows: DataFrame, counts: DataFrame, bucket_rows: int, rest: list[str]) -> DataFrame:
+    """Collapsed rows at the owners of their buckets, sorted by hash.  rows: doc_id, text, h, sha and `rest`; counts: (slot, count)."""
+    spark = rows.sparkSession
+    held = np.zeros(1 << DEPTH, "i8")
+    for slot, n in counts.collect():  # at most 2 ** DEPTH rows
+        held[slot] = n
+    # buckets keep the shape of the data, not its size: they grow with the input beyond the greatest directory
+    bucket = directory(held, max(bucket_rows, int(held.sum()) >> (DEPTH - 2)))
+    slots = spark.createDataFrame(pa.table({"slot": pa.array(np.arange(len(bucket)), pa.int32()), "bucket": pa.array(bucket, pa.int32())}))
+    placed = rows.withColumn("slot", _slot(F.col("h"))).join(F.broadcast(slots), "slot").select("bucket", "h", "sha", "text", "doc_id", *rest)
+    types = dict(placed.dtypes)
+    partial = placed.mapInArrow(_collapse, ", ".join(["bucket int, h long, sha string, text binary, keep long, n long", *(f"`{c}` {types[c]}" for c in rest)]))
+    return partial.repartition("bucket").sortWithinPartitions("h")
+
+
+def _hashed(df: DataFrame, doc_id: str, text: str, rest: list[Column]) -> DataFrame:
+    body = whole_text(df[f"`{text}`"]).cast("binary")
+    rows = df.select(df[f"`{doc_id}`"].cast("long").alias("doc_id"), body.alias("text"), *rest)
+    return rows.withColumns({"h": F.xxhash64("text"), "sha": F.sha2("text", 256)})
 
 
 def build_index(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """(keys, index): keys has doc_id, h, sha per row; index has bucket, h, sha, chain, keep_id, group_size per different text."""
-    spark = df.sparkSession
-    body = whole_text(df[f"`{text}`"]).cast("binary")
-    rows = df.select(df[f"`{doc_id}`"].cast("long").alias("doc_id"), body.alias("text")).withColumns({"h": F.xxhash64("text"), "sha": F.sha2("text", 256)})
+    rows = _hashed(df, doc_id, text, [])
     keys = stored(rows.select("doc_id", "h", "sha"), "dedup-keys")
-    counts = np.zeros(1 << DEPTH, "i8")
-    for slot, n in keys.groupBy(_slot(F.col("h")).alias("slot")).count().collect():  # at most 2 ** DEPTH rows
-        counts[slot] = n
-    # buckets keep the shape of the data, not its size: they grow with the input beyond the greatest directory
-    bucket = directory(counts, max(bucket_rows, int(counts.sum()) >> (DEPTH - 2)))
-    slots = spark.createDataFrame(pa.table({"slot": pa.array(np.arange(len(bucket)), pa.int32()), "bucket": pa.array(bucket, pa.int32())}))
-    placed = rows.withColumn("slot", _slot(F.col("h"))).join(F.broadcast(slots), "slot").select("bucket", "h", "sha", "text", "doc_id")
-    partial = placed.mapInArrow(_collapse, "bucket int, h long, sha string, text binary, keep long, n long")
-    owned = partial.repartition("bucket").sortWithinPartitions("h").mapInArrow(_own, "bucket int, h long, sha string, chain int, keep_id long, group_size long")
+    counts = keys.groupBy(_slot(F.col("h")).alias("slot")).count()
+    owned = _owners(rows, counts, bucket_rows, []).mapInArrow(_own, "bucket int, h long, sha string, chain int, keep_id long, group_size long")
     return keys, stored(owned, "dedup-index")
 
 
@@ -139,13 +173,27 @@ def exact_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def distinct_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows whose text another row keeps; of rows that repeat the kept row's id and text, one stays.  All columns of df stay as they are."""
-    classes = stored(exact_classes(df, doc_id, text), "dedup-classes")
-    dropped = classes.where(~F.col("kept")).select(F.col("doc_id").alias("_drop")).distinct()
-    twice = stored(classes.where(F.col("kept")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_drop")), "dedup-twice")
-    out = df.join(dropped, df[doc_id] == F.col("_drop"), "left_anti")
-    if twice.isEmpty():
-        return out
-    again = out.join(twice, out[doc_id] == F.col("_drop"), "left_semi").dropDuplicates([doc_id, text])
-    return out.join(twice, out[doc_id] == F.col("_drop"), "left_anti").unionByName(again)
+def distinct_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row of df per different text: that of the largest doc_id, with all its columns as they are.
+
+    A null doc_id is smaller than any other; of rows that repeat id and text one stays; null and empty
+    texts are equal, and the row that stays keeps the one it has.  An empty table gives no rows.  Texts
+    are shuffled once: an owner has the kept row's other columns beside its text.
+    """
+    rest = [f"_{k}" for k in range(len(df.columns))]
+    columns = [df[f"`{c}`"].alias(r) if c != text else df[f"`{c}`"].isNull().alias(r) for c, r in zip(df.columns, rest, strict=True)]
+    rows = _hashed(df, doc_id, text, columns)
+    counts = rows.groupBy(_slot(F.col("h")).alias("slot")).count()
+    kept = _owners(rows, counts, bucket_rows, rest)
+    types = dict(kept.dtypes)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        schema = pa.schema([first.schema.field("text"), *list(first.schema)[6:]])
+        for part in _some(([e[2], *e[5:]] for _, chain in _chains(itertools.chain([first], batches)) for e in chain), BATCH_ROWS):
+            yield _rows(part, schema)
+
+    out = kept.mapInArrow(own, ", ".join(["text binary", *(f"`{r}` {types[r]}" for r in rest)]))
+    return out.select(*((F.when(~F.col(r), F.col("text").cast("string")) if c == text else F.col(r)).alias(c) for c, r in zip(df.columns, rest, strict=True)))
