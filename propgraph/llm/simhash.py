@@ -173,9 +173,13 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: i
 #: Words of a shingle and least Jaccard similarity of near duplicates.
 NEAR_WORDS, NEAR = 5, 0.8
 #: A wide fingerprint has 32 positional bytes; candidates differ in at most WIDE_RADIUS of its 256 bits.
-WIDE, WIDE_RADIUS = 32, 40
+WIDE, WIDE_RADIUS = 32, 52
 #: Posting keys of a wide fingerprint, and positional bytes that a key joins.
-KEYS, KEY_BYTES = 48, 3
+KEYS, KEY_BYTES = 96, 3
+#: Fingerprints of a posting list that is compared pair by pair; a longer one gives links that connect it.
+SHORT_LIST = 16
+#: Rows of one list that are held at a time; of those done, one of each chain found stays to meet the rest.
+LIST_ROWS = 8192
 
 
 def wide_fingerprint(text: str) -> bytes:
@@ -196,12 +200,13 @@ def _key_positions() -> np.ndarray:
     return np.concatenate([rng.permutation(WIDE)[: WIDE // KEY_BYTES * KEY_BYTES].reshape(-1, KEY_BYTES) for _ in range(-(-KEYS * KEY_BYTES // (WIDE - KEY_BYTES)))])[:KEYS]
 
 
-def _spanning(prints: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Links that connect what chains of pairs within radius connect among one list's fingerprints [n, 4]: each found node looks at the nodes not found yet."""
-    a, b = [], []
+def _spanning(prints: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[int], list[int], list[int]]:
+    """Links that connect what chains of pairs within radius connect among one list's fingerprints [n, 4]: each found node looks at the nodes not found yet.  Also the place of each chain's first node."""
+    a, b, roots = [], [], []
     left = np.arange(len(nodes))
     while len(left):
         queue, left = [int(left[0])], left[1:]
+        roots.append(queue[0])
         while queue and len(left):
             i = queue.pop()
             near = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= radius
@@ -210,11 +215,11 @@ def _spanning(prints: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[
             b += nodes[hit].tolist()
             queue += hit.tolist()
             left = left[~near]
-    return a, b
+    return a, b, roots
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the task's posting lists; rows come sorted by (combo, bytes)."""
+    """Candidate pairs of the task's posting lists; rows come sorted by (combo, bytes) and, within a list, in an order of each combination's own."""
     kept: list | None = None
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
@@ -224,6 +229,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
             end = int(change[-1]) + 1 if len(change) else 0
             kept, rows = [r[end:] for r in rows], [r[:end] for r in rows]
+            if len(kept[0]) > LIST_ROWS:
+                a, b, roots = _spanning(kept[3], kept[2], WIDE_RADIUS)
+                yield _linked(a, b)
+                kept = [r[roots] for r in kept]
         elif kept is None:
             return
         else:
@@ -234,25 +243,34 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], (combo[1:] != combo[:-1]) | (part[1:] != part[:-1])]))
         size = np.diff(np.concatenate([starts, [len(combo)]]))
         a, b = [], []
-        two = starts[size == 2]
-        near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= WIDE_RADIUS
-        a += node[two[near]].tolist()
-        b += node[two[near] + 1].tolist()
-        for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        left = np.where(np.repeat(size, size) <= SHORT_LIST, np.repeat(starts + size, size) - np.arange(len(combo)), 0)
+        for step in range(1, SHORT_LIST):
+            i = np.flatnonzero(left > step)
+            near = i[np.bitwise_count(prints[i] ^ prints[i + step]).sum(axis=1) <= WIDE_RADIUS]
+            a += node[near].tolist()
+            b += node[near + step].tolist()
+        for s, n in zip(starts[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist(), strict=True):
             more = _spanning(prints[s : s + n], node[s : s + n], WIDE_RADIUS)
             a += more[0]
             b += more[1]
-        a, b = np.array(a, "i8"), np.array(b, "i8")
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        yield _linked(a, b)
+
+
+def _linked(a: list[int], b: list[int]) -> pa.RecordBatch:
+    one, two = np.array(a, "i8"), np.array(b, "i8")
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
 
 
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-    Candidates share the positional bytes of a posting key and differ in at most 40 of 256 bits (a
+    Candidates share the positional bytes of a posting key and differ in at most WIDE_RADIUS of 256 bits (a
     similarity of 0.8 makes about 39 of five-word shingles, fewer of the three-word ones taken here); each
-    candidate pair is verified on its shingle sets.  A list gives the links that connect it, not its pairs.
-    Equal fingerprints are one node, named by the smallest doc_id.  Rows of null doc_id are left out.
+    candidate pair is verified on its shingle sets.  A list of up to SHORT_LIST fingerprints gives its pairs,
+    a longer one the links that connect it, from another root in each of the KEYS combinations.  Equal
+    fingerprints (of the same shingles, but for white space and case) are one node, named by the smallest
+    doc_id; texts without words are one class.  Repeated ids are one node, rows of null doc_id are left
+    out, and an empty table gives no rows.
     """
     spark = df.sparkSession
 
@@ -271,13 +289,13 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     keys = F.array(*(F.conv(F.hex(F.concat(*(F.substring("fp", int(p) + 1, 1) for p in own))), 16, 10).cast("int") for own in _key_positions()))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = nodes.select("node", "fp", F.posexplode(keys).alias("combo", "bytes")).select("combo", "bytes", "node", "fp")
-    lists = postings.repartition(n, "combo", "bytes").sortWithinPartitions("combo", "bytes")
+    lists = postings.repartition(n, "combo", "bytes").sortWithinPartitions("combo", "bytes", F.xxhash64("node", "combo"))
     pairs = stored(lists.mapInArrow(_candidates, "a long, b long").distinct(), "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     have = stored(body.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<bigint>"), "near-sets")
     two = pairs.join(have.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a").join(have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b")
     both = F.size(F.array_intersect("one", "two"))
-    links = two.where(both >= NEAR * (F.size("one") + F.size("two") - both)).select("a", "b")
+    links = two.where(both >= NEAR * (F.size("one") + F.size("two") - both) - 1e-9).select("a", "b")
     tied = components(links)
     named = prints.join(nodes, "fp").join(tied, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return named
