@@ -176,3 +176,37 @@ def test_sampling_of_odd_rows(spark):
     assert weighted_sampling.edited_pairs(df.limit(0)).count() == 0
     alone = weighted_sampling.edited_pairs(df.where("doc_id = 3")).first()
     assert (alone["next_id"], alone["edited"]) == (3, "A A")
+
+
+def test_near_classes_against_brute_force(spark, monkeypatch):
+    """Edited copies, some of one text in a long list: no link between documents that are none, and few missed."""
+    monkeypatch.setattr(simhash, "SHORT_LIST", 4)
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(3000)]
+    docs = []
+    for k in range(50):
+        body = r.choices(words, k=r.randint(60, 300))
+        docs.append(body)
+        for _ in range(r.randint(1, 3) if k else 25):
+            copy = list(body)
+            for _ in range(max(1, len(copy) // 80)):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            docs.append(copy)
+    texts = {d: " ".join(w) for d, w in enumerate(docs)}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in enumerate(docs)}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    want = brute_components(pairs, sets)
+    df = spark.createDataFrame([(d, t, None, None) for d, t in texts.items()], DOCS)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(df).collect()}
+    assert got.keys() == want.keys() and all(want[d] == want[c] for d, c in got.items())
+    assert len(pairs) > 100 and sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+
+
+def test_distinct_rows_keep_their_columns(spark):
+    """The row of the largest id stays with its own columns, whatever they are called or hold."""
+    rows = [(1, "a", 1, None, [1]), (3, "a", 2, "x", None), (2, "a", 3, "y", [2]), (4, "", 4, None, []), (5, None, 5, "z", [5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket int, sha string, `a.b` array<int>")
+    kept = exact_dedup.distinct_rows(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [(3, "a", 2, "x", None), (5, None, 5, "z", [5])]
+    assert exact_dedup.distinct_rows(df.limit(0)).count() == 0
