@@ -11,6 +11,7 @@ being compared with every other.  Found pairs are tallied byte by byte and verif
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -268,15 +269,17 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     similarity of 0.8 makes about 39 of five-word shingles, fewer of the three-word ones taken here); each
     candidate pair is verified on its shingle sets.  A list of up to SHORT_LIST fingerprints gives its pairs,
     a longer one the links that connect it, from another root in each of the KEYS combinations.  Equal
-    fingerprints (of the same shingles, but for white space and case) are one node, named by the smallest
-    doc_id; texts without words are one class.  Repeated ids are one node, rows of null doc_id are left
+    shingle sets (the same SHA-256 of the sorted hashes) are one node, named by the smallest doc_id; equal
+    fingerprints of different sets are candidates like any other.  Texts without words are one class.  Repeated ids are one node, rows of null doc_id are left
     out, and an empty table gives no rows.
     """
     spark = df.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            own = [hashlib.sha256(np.unique(shingle_hashes(t, NEAR_WORDS)).tobytes()).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t) for t in texts], pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "fp", "set"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,8 +287,8 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     body = df.where(df[doc_id].isNotNull()).select(df[doc_id].cast("long").alias("doc_id"), whole_text(df[text]).alias("text"))
-    prints = stored(body.mapInArrow(run, "doc_id long, fp binary"), "wide-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    prints = stored(body.mapInArrow(run, "doc_id long, fp binary, set binary"), "wide-prints")
+    nodes = prints.groupBy("set").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"))
     keys = F.array(*(F.conv(F.hex(F.concat(*(F.substring("fp", int(p) + 1, 1) for p in own))), 16, 10).cast("int") for own in _key_positions()))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = nodes.select("node", "fp", F.posexplode(keys).alias("combo", "bytes")).select("combo", "bytes", "node", "fp")
@@ -297,5 +300,5 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     both = F.size(F.array_intersect("one", "two"))
     links = two.where(both >= NEAR * (F.size("one") + F.size("two") - both) - 1e-9).select("a", "b")
     tied = components(links)
-    named = prints.join(nodes, "fp").join(tied, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    named = prints.select("doc_id", "set").join(nodes.select("set", "node"), "set").join(tied, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return named

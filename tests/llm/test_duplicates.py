@@ -210,3 +210,14 @@ def test_distinct_rows_keep_their_columns(spark):
     assert kept.columns == df.columns
     assert sorted(map(tuple, kept.collect())) == [(3, "a", 2, "x", None), (5, None, 5, "z", [5])]
     assert exact_dedup.distinct_rows(df.limit(0)).count() == 0
+
+
+def test_equal_fingerprints_of_other_texts(spark):
+    """A line repeated 40 times decides every bit: the rest of the text still tells documents apart."""
+    r = random.Random(9)
+    line = " ".join(["all rights of this line are kept by owner"] * 40)
+    texts = [line + " " + " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(6)]
+    texts.append(texts[0].upper().replace(" ", "\n"))
+    rows = [(d, t, None, None) for d, t in enumerate(texts)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
