@@ -177,10 +177,12 @@ NEAR_WORDS, NEAR = 5, 0.8
 WIDE, WIDE_RADIUS = 32, 52
 #: Posting keys of a wide fingerprint, and positional bytes that a key joins.
 KEYS, KEY_BYTES = 96, 3
-#: Fingerprints of a posting list that is compared pair by pair; a longer one gives links that connect it.
+#: Fingerprints of a posting list whose pairs are given at once; a longer one gives links that connect it first.
 SHORT_LIST = 16
 #: Rows of one list that are held at a time; of those done, one of each chain found stays to meet the rest.
 LIST_ROWS = 8192
+#: About so many rows of a long list make a block; two blocks are compared at a time.
+LIST_BLOCK = 512
 
 
 def wide_fingerprint(text: str) -> bytes:
@@ -201,8 +203,14 @@ def _key_positions() -> np.ndarray:
     return np.concatenate([rng.permutation(WIDE)[: WIDE // KEY_BYTES * KEY_BYTES].reshape(-1, KEY_BYTES) for _ in range(-(-KEYS * KEY_BYTES // (WIDE - KEY_BYTES)))])[:KEYS]
 
 
-def _spanning(prints: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[int], list[int], list[int]]:
-    """Links that connect what chains of pairs within radius connect among one list's fingerprints [n, 4]: each found node looks at the nodes not found yet.  Also the place of each chain's first node."""
+def _close(prints: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Of rows [n, 4] and one or as many others: within WIDE_RADIUS, and of sizes that a similarity of NEAR allows."""
+    near = np.bitwise_count(prints ^ other).sum(axis=1) <= WIDE_RADIUS
+    return near & (np.minimum(sizes, other_sizes) >= NEAR * np.maximum(sizes, other_sizes) - 1e-9)
+
+
+def _spanning(prints: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Links that connect what chains of close pairs connect among one list's fingerprints [n, 4]: each found node looks at the nodes not found yet.  Also the place of each chain's first node."""
     a, b, roots = [], [], []
     left = np.arange(len(nodes))
     while len(left):
@@ -210,7 +218,7 @@ def _spanning(prints: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[
         roots.append(queue[0])
         while queue and len(left):
             i = queue.pop()
-            near = np.bitwise_count(prints[left] ^ prints[i]).sum(axis=1) <= radius
+            near = _close(prints[left], sizes[left], prints[i], sizes[i])
             hit = left[near]
             a += [int(nodes[i])] * len(hit)
             b += nodes[hit].tolist()
@@ -220,46 +228,115 @@ def _spanning(prints: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[list[
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the task's posting lists; rows come sorted by (combo, bytes) and, within a list, in an order of each combination's own."""
+    """Candidate pairs (a, b) of the task's posting lists, and of each list of more than SHORT_LIST its rows (a, null, key).
+
+    Rows come sorted by key and, within a list, in an order of each combination's own.
+    """
     kept: list | None = None
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
             prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, WIDE // 8)
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), prints]
+            fresh = np.ones(len(prints), bool)  # not yet given as a row of a long list
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), prints, fresh]
             rows = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
-            change = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+            change = np.flatnonzero(rows[0][1:] != rows[0][:-1])
             end = int(change[-1]) + 1 if len(change) else 0
             kept, rows = [r[end:] for r in rows], [r[:end] for r in rows]
             if len(kept[0]) > LIST_ROWS:
-                a, b, roots = _spanning(kept[3], kept[2], WIDE_RADIUS)
-                yield _linked(a, b)
+                a, b, roots = _spanning(kept[3], kept[2], kept[1])
+                yield _linked(a, b, kept[1][kept[4]], kept[0][kept[4]])
+                kept[4] = np.zeros(len(kept[4]), bool)
                 kept = [r[roots] for r in kept]
         elif kept is None:
             return
         else:
             rows = kept
-        combo, part, node, prints = rows
-        if len(combo) < 2:
+        key, node, count, prints, fresh = rows
+        if not len(key):
             continue
-        starts = np.flatnonzero(np.concatenate([[True], (combo[1:] != combo[:-1]) | (part[1:] != part[:-1])]))
-        size = np.diff(np.concatenate([starts, [len(combo)]]))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([starts, [len(key)]]))
+        # a list of which rows went before is long, however many of its roots are left
+        long = (size > SHORT_LIST) | ~np.logical_and.reduceat(fresh, starts)
         a, b = [], []
-        left = np.where(np.repeat(size, size) <= SHORT_LIST, np.repeat(starts + size, size) - np.arange(len(combo)), 0)
+        left = np.where(np.repeat(long, size), 0, np.repeat(starts + size, size) - np.arange(len(key)))
         for step in range(1, SHORT_LIST):
             i = np.flatnonzero(left > step)
-            near = i[np.bitwise_count(prints[i] ^ prints[i + step]).sum(axis=1) <= WIDE_RADIUS]
+            near = i[_close(prints[i], count[i], prints[i + step], count[i + step])]
             a += node[near].tolist()
             b += node[near + step].tolist()
-        for s, n in zip(starts[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist(), strict=True):
-            more = _spanning(prints[s : s + n], node[s : s + n], WIDE_RADIUS)
+        for s, n in zip(starts[long].tolist(), size[long].tolist(), strict=True):
+            more = _spanning(prints[s : s + n], count[s : s + n], node[s : s + n])
             a += more[0]
             b += more[1]
-        yield _linked(a, b)
+        listed = np.repeat(long, size) & fresh
+        yield _linked(a, b, node[listed], key[listed])
 
 
-def _linked(a: list[int], b: list[int]) -> pa.RecordBatch:
+def _linked(a: list[int], b: list[int], listed: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
     one, two = np.array(a, "i8"), np.array(b, "i8")
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+    pairs = [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.nulls(len(one), pa.int32())]
+    rows = [pa.array(listed, pa.int64()), pa.nulls(len(listed), pa.int64()), pa.array(keys, pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(pairs, rows, strict=True)], names=["a", "b", "key"])
+
+
+def _first_keys(differing: np.ndarray) -> np.ndarray:
+    """Of rows [n, 4] of differing bits, the first posting key whose bytes are all equal."""
+    masks = np.array([sum(1 << int(p) for p in own) for own in _key_positions()], "u4")
+    equal = np.packbits(np.ascontiguousarray(differing).view("u1").reshape(-1, WIDE) == 0, axis=1, bitorder="little").view("<u4")
+    return ((equal & masks) == masks).argmax(axis=1)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs between components, of cells (key, lo, hi): rows of block lo against those of block hi, or one block's own pairs.
+
+    A pair that shares several posting keys is given for the first of them only.
+    """
+
+    def cell(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, lo, hi, block, node, component, count, prints = rows
+        one, two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        a, b = [], []
+        for at, i in enumerate(one.tolist()):
+            rest = two[at + 1 :] if lo[0] == hi[0] else two
+            rest = rest[component[rest] != component[i]]
+            rest = rest[_close(prints[rest], count[rest], prints[i], count[i])]
+            rest = rest[_first_keys(prints[rest] ^ prints[i]) == key[0] >> 24] if len(rest) else rest
+            a += [int(node[i])] * len(rest)
+            b += node[rest].tolist()
+        return _linked(a, b, np.zeros(0, "i8"), np.zeros(0, "i4"))
+
+    kept: list | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            prints = np.frombuffer(b"".join(batch.column(7).to_pylist()), "<u8").reshape(-1, WIDE // 8)
+            new = [*(batch.column(k).to_numpy() for k in range(7)), prints]
+            kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
+        if kept is None:
+            return
+        change = np.flatnonzero((kept[0][1:] != kept[0][:-1]) | (kept[1][1:] != kept[1][:-1]) | (kept[2][1:] != kept[2][:-1])) + 1
+        ends = change.tolist() + ([len(kept[0])] if batch is None and len(kept[0]) else [])
+        for start, end in zip([0, *ends], ends, strict=False):
+            yield cell([r[start:end] for r in kept])
+        kept = [r[ends[-1] :] for r in kept] if ends else kept
+
+
+def _unlinked(listed: DataFrame, nodes: DataFrame, tied: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of long lists (key, node) whose nodes are of different components: with them no pair of a list is left out.
+
+    A list within one component needs none.  The others are compared in blocks, each pair of blocks in a
+    cell of its own, so a list of any length is spread over tasks.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    now = listed.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = now.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    blocks = F.ceil(F.col("rows") / LIST_BLOCK).cast("int")
+    open_ = now.join(apart.select("key", blocks.alias("blocks")), "key").join(nodes.select("node", "size", "fp"), "node")
+    placed = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    rows = cells.select("key", lo, hi, "block", "node", "component", "size", "fp")
+    return rows.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_across, "a long, b long, key int").select("a", "b").distinct()
 
 
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,7 +345,8 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Candidates share the positional bytes of a posting key and differ in at most WIDE_RADIUS of 256 bits (a
     similarity of 0.8 makes about 39 of five-word shingles, fewer of the three-word ones taken here); each
     candidate pair is verified on its shingle sets.  A list of up to SHORT_LIST fingerprints gives its pairs,
-    a longer one the links that connect it, from another root in each of the KEYS combinations.  Equal
+    a longer one the links that connect it, from another root in each of the KEYS combinations, and, once
+    those are verified, all of its pairs that they left in different components.  Equal
     shingle sets (the same SHA-256 of the sorted hashes) are one node, named by the smallest doc_id; equal
     fingerprints of different sets are candidates like any other.  Texts without words are one class.  Repeated ids are one node, rows of null doc_id are left
     out, and an empty table gives no rows.
@@ -278,8 +356,10 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            own = [hashlib.sha256(np.unique(shingle_hashes(t, NEAR_WORDS)).tobytes()).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t) for t in texts], pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "fp", "set"])
+            own = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in texts]
+            digests = pa.array([hashlib.sha256(x.tobytes()).digest() for x in own], pa.binary())
+            columns = [batch.column(0), pa.array([wide_fingerprint(t) for t in texts], pa.binary()), digests, pa.array([len(x) for x in own], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "set", "size"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,18 +367,25 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     body = df.where(df[doc_id].isNotNull()).select(df[doc_id].cast("long").alias("doc_id"), whole_text(df[text]).alias("text"))
-    prints = stored(body.mapInArrow(run, "doc_id long, fp binary, set binary"), "wide-prints")
-    nodes = prints.groupBy("set").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"))
+    prints = stored(body.mapInArrow(run, "doc_id long, fp binary, set binary, size int"), "wide-prints")
+    nodes = prints.groupBy("set").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("size").alias("size"))
     keys = F.array(*(F.conv(F.hex(F.concat(*(F.substring("fp", int(p) + 1, 1) for p in own))), 16, 10).cast("int") for own in _key_positions()))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = nodes.select("node", "fp", F.posexplode(keys).alias("combo", "bytes")).select("combo", "bytes", "node", "fp")
-    lists = postings.repartition(n, "combo", "bytes").sortWithinPartitions("combo", "bytes", F.xxhash64("node", "combo"))
-    pairs = stored(lists.mapInArrow(_candidates, "a long, b long").distinct(), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    have = stored(body.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<bigint>"), "near-sets")
-    two = pairs.join(have.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a").join(have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b")
-    both = F.size(F.array_intersect("one", "two"))
-    links = two.where(both >= NEAR * (F.size("one") + F.size("two") - both) - 1e-9).select("a", "b")
-    tied = components(links)
+    postings = nodes.select("node", "size", "fp", F.posexplode(keys).alias("combo", "bytes")).select((F.shiftleft("combo", 24) + F.col("bytes")).alias("key"), "node", "size", "fp")
+    lists = postings.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("node", F.shiftright("key", 24)))
+    found = stored(lists.mapInArrow(_candidates, "a long, b long, key int"), "near-lists")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        have = stored(body.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<bigint>"), "near-sets")
+        two = pairs.join(have.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a").join(have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b")
+        both = F.size(F.array_intersect("one", "two"))
+        return two.where(both >= NEAR * (F.size("one") + F.size("two") - both) - 1e-9).select("a", "b")
+
+    tied = components(verified(stored(found.where("b IS NOT NULL").select("a", "b").distinct(), "near-pairs")))
+    more = stored(_unlinked(found.where("b IS NULL").select(F.col("a").alias("node"), "key"), nodes.select("node", "size", "fp"), tied), "near-more")
+    if not more.isEmpty():
+        old = tied.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        tied = components(verified(more).union(old))
     named = prints.select("doc_id", "set").join(nodes.select("set", "node"), "set").join(tied, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return named

@@ -221,3 +221,28 @@ def test_equal_fingerprints_of_other_texts(spark):
     rows = [(d, t, None, None) for d, t in enumerate(texts)]
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
+
+
+def test_pairs_within_a_shared_passage(spark):
+    """Documents of one passage (similarity 0.71 across): every pair of 0.85 that meets in a posting list is linked."""
+    r = random.Random(10)
+
+    def draw(n):
+        return ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+
+    passage, docs = draw(400), []
+    for _ in range(200):
+        own = draw(43)
+        docs += [passage + own + draw(39), passage + own + draw(39)]
+    texts = [" ".join(w) for w in docs]
+    prints = np.array([np.frombuffer(simhash.wide_fingerprint(t), "u1") for t in texts])
+    met = []
+    for a in range(0, len(docs), 2):
+        differing = prints[a] ^ prints[a + 1]
+        shared = (differing[simhash._key_positions()] == 0).all(axis=1).any()
+        if shared and np.bitwise_count(differing).sum() <= simhash.WIDE_RADIUS:
+            met.append(a)
+    rows = [(d, t, None, None) for d, t in enumerate(texts)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(met) > 150 and all(got[a] == got[a + 1] == a for a in met)
+    assert len(set(got.values())) == len(docs) - len(met)
