@@ -186,8 +186,12 @@ LIST_BLOCK = 512
 
 
 def wide_fingerprint(text: str) -> bytes:
-    """256 bits over three-word shingles: the fingerprint's 64, and those of three further mixes of each shingle's hash."""
-    h = shingle_hashes(text, 3)
+    """256 bits over the distinct three-word shingles: 64 of their hashes, and 64 of each of three further mixes of them.
+
+    Distinct, as the similarity is one of sets: a set of five-word shingles has one set of three-word ones,
+    however often a line repeats.  An edit changes fewer of these than of five-word shingles.
+    """
+    h = np.unique(shingle_hashes(text, 3))
     parts = []
     for _ in range(WIDE // 8):
         parts.append(_majority(h).tobytes())

@@ -246,3 +246,16 @@ def test_pairs_within_a_shared_passage(spark):
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
     assert len(met) > 150 and all(got[a] == got[a + 1] == a for a in met)
     assert len(set(got.values())) == len(docs) - len(met)
+
+
+def test_repeats_do_not_hide_near_copies(spark):
+    """Documents with one line 2 times and 10, 30 or 120 times, and a word changed besides: still near copies."""
+    r = random.Random(11)
+    rows = []
+    for k, times in enumerate((10, 30, 120) * 4):
+        body = ["".join(r.choices("abcdefghij", k=6)) for _ in range(300)]
+        line = ["".join(r.choices("abcdefghij", k=6)) for _ in range(11)]
+        rows.append((k, " ".join(body + line * 2), None, None))
+        rows.append((100 + k, " ".join(["changed", *body[1:]] + line * times), None, None))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {d: d % 100 for d in got} and len(got) == 24
