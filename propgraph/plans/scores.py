@@ -32,7 +32,15 @@ def numeric_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def svr_json(spark: SparkSession, sf: str) -> DataFrame:
     """Direct answers as JSON lists: fenced, within prose, or none at all."""
-    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 10 < 5")
+    return _answers(spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 10 < 5"))
+
+
+def svr_json_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Direct answers of all orders."""
+    return _answers(spark.read.parquet(f"{sf}/orders.parquet"))
+
+
+def _answers(o: DataFrame) -> DataFrame:
     answer = (
         F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('```json\n["'), "o_orderstatus", F.lit('", 5]\n```')))
         .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("The answer is [true, "), F.col("o_custkey").cast("string"), F.lit(', "7"].')))
@@ -112,7 +120,15 @@ def scalar_set_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def stddev_by_group(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as runs of a nation: mean and sample deviation, 0 for a single run."""
-    c = spark.read.parquet(f"{sf}/customer.parquet").where("c_nationkey > 0 OR c_custkey = 1")
+    return _runs(spark.read.parquet(f"{sf}/customer.parquet").where("c_nationkey > 0 OR c_custkey = 1"))
+
+
+def stddev_by_group_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All customers as runs of their nations."""
+    return _runs(spark.read.parquet(f"{sf}/customer.parquet"))
+
+
+def _runs(c: DataFrame) -> DataFrame:
     s = scoring.across_runs(c, ["c_nationkey"], ["c_acctbal"])
     return s.select("c_nationkey", "runs", F.round("c_acctbal_mean", 4).alias("mean"), F.round("c_acctbal_std", 4).alias("std"))
 
@@ -121,6 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         record_tokens, list_tokens, numeric_text, svr_json, scr_labels_props, token_jaccard, ea_prf, gold_shape, difficulty_summary, category_summary, metrics_by_group, scalar_set_split, stddev_by_group,
+        svr_json_all, stddev_by_group_all,
     )
 }
 
@@ -148,4 +165,7 @@ ORACLES = {
     "metrics_by_group": f"SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(ea), 4) AS ea FROM {_RESULTS} GROUP BY 1, 2",
     "scalar_set_split": f"SELECT round(avg(ea) FILTER (gold IS NOT NULL), 4) AS scalar, 0::DOUBLE AS sets, count(*) AS n FROM {_RESULTS}",
     "stddev_by_group": "SELECT c_nationkey, count(*) AS runs, round(avg(c_acctbal), 4) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 4) AS std FROM customer WHERE c_nationkey > 0 OR c_custkey = 1 GROUP BY 1",
+    "svr_json_all": """SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 4) AS valid, CASE o_orderkey % 5 WHEN 0 THEN o_orderstatus || ',num:5' WHEN 1 THEN array_to_string(list_sort(list_distinct(['bool:true', 'num:' || o_custkey, 'num:7'])), ',') WHEN 4 THEN '' END AS tokens
+        FROM orders""",
+    "stddev_by_group_all": "SELECT c_nationkey, count(*) AS runs, round(avg(c_acctbal), 4) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 4) AS std FROM customer GROUP BY 1",
 }
