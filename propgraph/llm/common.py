@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Words of 64 bits that a sieve of ids may have, whatever their number: a broadcast of a few MB.
+SIEVE_WORDS = 1 << 17
+
+
+def _sieved(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
+    """df plus `flag`: false where the key is not among ids for sure.  ids: one column."""
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SIEVE_WORDS * 64))
+    spots = ids.select(place(F.col(ids.columns[0])).alias("spot"))
+    bit = F.expr("shiftleft(1L, cast(spot & 63 AS int))")
+    words = spots.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    spot, word, bits = (unused(df, x) for x in ("spot", "word", "bits"))
+    words = words.select(F.col("word").alias(word), F.col("bits").alias(bits))
+    at = df.withColumn(spot, place(df[f"`{key}`"])).withColumn(word, F.shiftright(spot, 6))
+    hit = F.coalesce(F.expr(f"(`{bits}` & shiftleft(1L, cast(`{spot}` & 63 AS int))) <> 0"), F.lit(False)) & df[f"`{key}`"].isNotNull()
+    return at.join(F.broadcast(words), word, "left").select(*(df[f"`{c}`"] for c in df.columns), hit.alias(flag))
+
+
+def among(df: DataFrame, ids: DataFrame, key: str, change: Callable[[DataFrame], DataFrame], changed_key: str) -> DataFrame:
+    """change(df) of the rows whose key is in ids.  A sieve of bounded size takes out most others before anything is changed or shuffled."""
+    flag = unused(df, "maybe")
+    rows = change(_sieved(df, ids, key, flag).where(flag).drop(flag))
+    return rows.join(ids.withColumnRenamed(ids.columns[0], changed_key), changed_key, "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df's rows whose key is not in ids; those of null key stay.  Only rows that a sieve of bounded size holds back are shuffled."""
+    flag = unused(df, "maybe")
+    told = _sieved(df, ids, key, flag)
+    rest = told.where(flag).drop(flag)
+    gone = ids.select(F.col(ids.columns[0]).alias(unused(df, "gone")))
+    return told.where(~F.col(flag)).drop(flag).unionByName(rest.join(gone, rest[f"`{key}`"] == gone[gone.columns[0]], "left_anti"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if x not in taken)
+
+
 def whole_text(col: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -178,9 +178,9 @@ def test_sampling_of_odd_rows(spark):
     assert (alone["next_id"], alone["edited"]) == (3, "A A")
 
 
-def test_near_classes_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("limits", [{}, {"short_list": 4, "block": 8}, {"short_list": 4, "list_rows": 12, "block": 8}], ids=["as built", "long lists, small blocks", "lists beyond their bound"])
+def test_near_classes_against_brute_force(spark, limits):
     """Edited copies, some of one text in a long list: no link between documents that are none, and few missed."""
-    monkeypatch.setattr(simhash, "SHORT_LIST", 4)
     r = random.Random(8)
     words = ["".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(3000)]
     docs = []
@@ -197,7 +197,7 @@ def test_near_classes_against_brute_force(spark, monkeypatch):
     pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
     want = brute_components(pairs, sets)
     df = spark.createDataFrame([(d, t, None, None) for d, t in texts.items()], DOCS)
-    got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(df).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(df, **limits).collect()}
     assert got.keys() == want.keys() and all(want[d] == want[c] for d, c in got.items())
     assert len(pairs) > 100 and sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
 
@@ -223,8 +223,9 @@ def test_equal_fingerprints_of_other_texts(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
 
 
-def test_pairs_within_a_shared_passage(spark):
-    """Documents of one passage (similarity 0.71 across): every pair of 0.85 that meets in a posting list is linked."""
+@pytest.mark.parametrize("block", [simhash.FAMILY_BLOCK, 50], ids=["as built", "small blocks"])
+def test_pairs_within_a_shared_passage(spark, block):
+    """Documents of one passage (similarity 0.71 across) in long posting lists: their pairs of 0.85 are linked, and nothing else."""
     r = random.Random(10)
 
     def draw(n):
@@ -234,18 +235,10 @@ def test_pairs_within_a_shared_passage(spark):
     for _ in range(200):
         own = draw(43)
         docs += [passage + own + draw(39), passage + own + draw(39)]
-    texts = [" ".join(w) for w in docs]
-    prints = np.array([np.frombuffer(simhash.wide_fingerprint(t), "u1") for t in texts])
-    met = []
-    for a in range(0, len(docs), 2):
-        differing = prints[a] ^ prints[a + 1]
-        shared = (differing[simhash._key_positions()] == 0).all(axis=1).any()
-        if shared and np.bitwise_count(differing).sum() <= simhash.WIDE_RADIUS:
-            met.append(a)
-    rows = [(d, t, None, None) for d, t in enumerate(texts)]
-    got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
-    assert len(met) > 150 and all(got[a] == got[a + 1] == a for a in met)
-    assert len(set(got.values())) == len(docs) - len(met)
+    rows = [(d, " ".join(w), None, None) for d, w in enumerate(docs)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(spark.createDataFrame(rows, DOCS), block=block).collect()}
+    caught = sum(got[a] == got[a + 1] == a for a in range(0, len(docs), 2))
+    assert caught >= 190 and len(set(got.values())) == len(docs) - caught
 
 
 def test_repeats_do_not_hide_near_copies(spark):
