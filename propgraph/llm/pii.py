@@ -3,8 +3,8 @@
 The patterns give the base spans.  The tagger is trained on the driver from labelled spans: windows of
 a bounded sample of documents with the patterns' spans, and windows into which generated items (also
 of forms that the patterns do not know) are put.  At run time each whole text is cut into overlapping
-windows, every window is decoded, and each position takes its tag from the window in which it lies
-farthest from an edge; spans are read from that one sequence of tags.
+windows; where two overlap their emissions are blended, and one CRF path is decoded over the whole text's
+emissions, so tags are reconciled globally.
 """
 
 from __future__ import annotations
@@ -20,20 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propgraph.llm.common import whole_text
+from propgraph.llm.common import unused, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the sample for training is expected to hold, with and without base spans.
 SAMPLE_DOCS = 300
-#: Characters of each that the driver takes for training (texts are tagged whole).
-SAMPLE_CHARS = 16_384
 WINDOW, OVERLAP = 256, 32
 HIDDEN = 8
 
 # The base patterns.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # from a run's start and without going back: linear, and the same matches
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -65,10 +63,9 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns, by start and then kind as listed."""
     found: list[Span] = [("email", a, b) for a, b in _emails(text)]
-    digits = [0]
     if re.search("[0-9]", text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
                 found.append(("ip", *m.span()))
         for m in CARD.finditer(text):
             digits = re.sub("[^0-9]", "", m.group())
@@ -82,28 +79,36 @@ def base_spans(text: str) -> list[Span]:
 
 # --- characters and tags -------------------------------------------------------------------------
 
-#: Characters with a class of their own; others go by what they are.  Class 0 pads a window.
-_OWN = "@.-+() _%,:=\n\"[]"
-_LOWER, _UPPER, _DIGIT, _LETTER, _REST = range(len(_OWN) + 1, len(_OWN) + 6)
-CLASSES = _REST + 1
+#: Every printable ASCII character, line break and tab is an input of its own; other letters and other characters
+#: share BUCKETS inputs each by their code point.  Input 0 pads a window.
+_OWN = "\n\t" + "".join(map(chr, range(32, 127)))
+BUCKETS = 16
+_LETTER = len(_OWN) + 1
+_REST = _LETTER + BUCKETS
+CLASSES = _REST + BUCKETS
 TAGS = 1 + len(KINDS)
 
 
 @functools.cache
 def _class_of() -> np.ndarray:
-    table = np.full(0x110000, _REST, "u1")
-    for c in range(128, 0x3000):
-        if chr(c).isalpha():
-            table[c] = _LETTER
-    table[0x3000:] = _LETTER
-    table[ord("a") : ord("z") + 1] = _LOWER
-    table[ord("A") : ord("Z") + 1] = _UPPER
-    table[ord("0") : ord("9") + 1] = _DIGIT
+    code = np.arange(0x110000)
+    table = (_REST + code % BUCKETS).astype("u1")
+    letter = (code >= 0x3000) | np.fromiter((c < 0x3000 and chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    table[letter] = _LETTER + code[letter] % BUCKETS
     for k, c in enumerate(_OWN):
         table[ord(c)] = k + 1
     return table
 
 
+def _alike() -> np.ndarray:
+    """Of each input the first one of its sort: such inputs begin with like weights, and learn their own."""
+    own = np.arange(CLASSES)
+    for sort in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"):
+        own[[_OWN.index(c) + 1 for c in sort]] = _OWN.index(sort[0]) + 1
+    own[_LETTER:_REST], own[_REST:] = _LETTER, _REST
+    return own
+
+
 def classes_of(text: str) -> np.ndarray:
     return _class_of()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
 
@@ -161,36 +166,43 @@ class Tagger:
         out += self.bo
         return out.reshape(*both.shape[:2], TAGS)
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tags [window, time] under emissions and transitions.
+    def decode(self, e: np.ndarray) -> np.ndarray:
+        """The best tags of emissions [position, tag], before and after which the tag is 0.
 
-        A path's stay in other tags gains at most what entering, each step within and leaving gain over
-        remaining at tag 0, so a window whose every position prefers tag 0 by more is all 0 without a search.
+        A stay in other tags from s to j gains, over tag 0, at most the sum of u over it and a constant, where
+        u is the rival's lead plus the best step between other tags.  Where even the best such stay over a
+        position loses, its tag is 0 for certain: only the stretches between such positions are searched.
         """
-        e = self.emissions(x)
-        tags = np.zeros(x.shape, "i1")
-        over = self.tr - self.tr[0, 0]
-        gain = max(0.0, float(over[1:, 1:].max())) + max(0.0, float(over[0, 1:].max())) + max(0.0, float(over[1:, 0].max()))
-        rival = np.maximum.reduce([e[:, :, k] for k in range(1, TAGS)])
-        busy = np.flatnonzero((e[:, :, 0] - rival < gain + 1e-3).any(axis=0))
-        if len(busy):
-            tags[busy] = self._search(np.ascontiguousarray(e[:, busy].transpose(0, 2, 1)))
+        tags = np.zeros(len(e), "i1")
+        over = (self.tr - self.tr[0, 0]).astype("f8")
+        step = over[1:, 1:].max()
+        total = np.concatenate([[0.0], np.cumsum((e[:, 1:].max(axis=1) - e[:, 0]).astype("f8") + step)])
+        most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        open_ = most + over[0, 1:].max() + over[1:, 0].max() - step > -1e-3
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], open_, [False]])))
+        spans = sorted(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True), key=lambda s: s[1] - s[0])
+        while spans:
+            longest = spans[-1][1] - spans[-1][0]
+            many = max(1, min(4096, (1 << 20) // (longest + 1)))
+            part = [x for x in spans[-many:] if 2 * (x[1] - x[0]) >= longest]
+            del spans[-len(part) :]
+            x = np.full((longest + 1, TAGS, len(part)), -1e6, "f4")
+            x[:, 0] = 0
+            for k, (a, b) in enumerate(part):
+                x[: b - a, :, k] = e[a:b]
+            x[0] += self.tr[0][:, None]
+            for k, ((a, b), own) in enumerate(zip(part, self._search(x), strict=True)):
+                tags[a:b] = own[: b - a]
         return tags
 
     def _search(self, e: np.ndarray) -> np.ndarray:
-        """Viterbi over emissions [time, tag, window]."""
+        """Viterbi over emissions [time, tag, stretch]."""
         steps, _, windows = e.shape
         best, back = e[0], np.zeros((steps, TAGS, windows), "i1")
         for t in range(1, steps):
-            now = np.empty_like(best)
-            for k in range(TAGS):
-                top = best[0] + self.tr[0, k]
-                for j in range(1, TAGS):
-                    path = best[j] + self.tr[j, k]
-                    back[t, k][path > top] = j
-                    np.maximum(top, path, out=top)
-                now[k] = top + e[t, k]
-            best = now
+            paths = best[:, None] + self.tr[:, :, None]
+            back[t] = paths.argmax(axis=0)
+            best = paths.max(axis=0) + e[t]
         out = np.zeros((windows, steps), "i1")
         at, rows = best.argmax(axis=0), np.arange(windows)
         for t in range(steps - 1, -1, -1):
@@ -202,6 +214,7 @@ class Tagger:
 def _start(rng: np.random.Generator) -> Tagger:
     scale = lambda *shape: rng.normal(0, 0.3, shape).astype("f4")
     wx = scale(2, CLASSES, 4 * HIDDEN)
+    wx = wx[:, _alike()] + 0.1 * wx
     wx[:, :, : 3 * HIDDEN] += 0.5  # gates begin half open
     return Tagger(wx, scale(2, HIDDEN, 4 * HIDDEN), scale(2 * HIDDEN, TAGS), np.zeros(TAGS, "f4"), np.zeros((TAGS, TAGS), "f4"))
 
@@ -306,27 +319,27 @@ def labelled_windows(texts: list[str], count: int = 3000, length: int = 64, seed
     """Windows of classes and tags: the patterns' spans in the texts, items and decoys put into stretches of them, and plain stretches."""
     r = random.Random(seed)
     texts = [t for t in texts if t] or ["nothing to see here. "]
+    known = [base_spans(t) for t in texts]
     out = []
 
     def add(text: str, spans: list[Span], at: int) -> None:
         x, y = np.zeros(length, "u1"), np.zeros(length, "i1")
         part = classes_of(text[at : at + length])
         x[: len(part)] = part
-        for kind, a, b in spans:
+        for kind, a, b in (s for s in spans if s[1] < at + length and s[2] > at):
             y[max(0, a - at) : max(0, min(b, at + length) - at)] = 1 + KINDS.index(kind)
         out.append((x, y))
 
-    for t in texts:
-        spans = base_spans(t)
-        for _, a, b in spans[:8]:
-            add(t, spans, max(0, a - r.randint(4, max(5, length - (b - a) - 4))))
-    out = r.sample(out, min(len(out), count // 2))
+    marked = [(t, spans, a, b) for t, spans in zip(texts, known, strict=True) for _, a, b in spans]
+    for t, spans, a, b in r.sample(marked, min(len(marked), count // 2)):
+        add(t, spans, max(0, a - r.randint(4, max(5, length - (b - a) - 4))))
     while len(out) < count:
-        t = r.choice(texts)
+        k = r.randrange(len(texts))
+        t = texts[k]
         at = r.randrange(max(1, len(t) - length))
         stretch = t[at : at + length]
         if base_spans(stretch) or r.random() < 0.25:
-            add(t, base_spans(t), at) if len(t) < 20_000 else add(stretch, base_spans(stretch), 0)
+            add(t, known[k], at)
             continue
         kind, item = _item(r) if r.random() < 0.7 else ("", _decoy(r))
         k = r.randrange(max(1, len(stretch)))
@@ -339,15 +352,17 @@ def labelled_windows(texts: list[str], count: int = 3000, length: int = 64, seed
 
 
 def fit(df: DataFrame, text: str = "text", docs: int = SAMPLE_DOCS) -> Tagger:
-    """A tagger trained on a sample of df's texts drawn by hash: about `docs` of those with an @ or a plus and digit, as many of the others."""
+    """A tagger trained on a sample of df's rows drawn by a hash of all their columns: about `docs` of those with an @ or a plus and digit, as many of the others.
+
+    Copies are drawn one by one, so a group of any size adds its share only; sampled texts are taken whole.
+    """
     body = whole_text(df[f"`{text}`"])
-    rows = df.select(F.substring(body, 1, SAMPLE_CHARS).alias("text"), body.rlike(r"@|\+[0-9]").alias("marked"), F.xxhash64(body).alias("h"))
+    rows = df.select(body.alias("text"), body.rlike(r"@|\+[0-9]").alias("marked"), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("h"))
     sizes = {r["marked"]: r["count"] for r in rows.groupBy("marked").count().collect()}
     share = lambda m: int(min(1.0, docs / max(1, sizes.get(m, 0))) * (1 << 30))
     place = F.pmod("h", F.lit(1 << 30))
     drawn = rows.where(F.when(F.col("marked"), place < share(True)).otherwise(place < share(False)))
-    texts = sorted({r["text"] for r in drawn.limit(8 * docs).collect()})
-    return train(labelled_windows(texts))
+    return train(labelled_windows(sorted({r["text"] for r in drawn.select("text").collect()})))
 
 
 # --- whole texts -------------------------------------------------------------------------------------
@@ -356,28 +371,39 @@ def fit(df: DataFrame, text: str = "text", docs: int = SAMPLE_DOCS) -> Tagger:
 BLOCK = 1024
 
 
-def tag_texts(texts: list[str], m: Tagger) -> list[np.ndarray]:
-    """The reconciled tags of each text."""
+def emissions_of(texts: list[str], m: Tagger) -> list[np.ndarray]:
+    """Emissions [position, tag] of each whole text; where two windows overlap, one fades into the other."""
     step = WINDOW - OVERLAP
     codes = [classes_of(t) for t in texts]
-    starts = [range(0, max(1, len(c) - OVERLAP), step) for c in codes]
+    starts = [range(0, max(1, len(c)), step) for c in codes]
     x = np.zeros((sum(map(len, starts)), WINDOW), "u1")
+    goes_on = np.ones(len(x), bool)  # a window that another one of the same text is before
     row = 0
     for c, own in zip(codes, starts, strict=True):
+        goes_on[row] = False
         for s in own:
             part = c[s : s + WINDOW]
             x[row, : len(part)] = part
             row += 1
-    tags = np.concatenate([m.decode(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)]) if len(x) else x.astype("i1")
-    out, row, half = [], 0, OVERLAP // 2
-    for c, own in zip(codes, starts, strict=True):
-        whole = np.zeros(len(own) * step + OVERLAP, "i1")
-        for k, s in enumerate(own):  # of an overlap, each window keeps the half that is nearer its middle
-            a = half if k else 0
-            whole[s + a : s + WINDOW] = tags[row, a:]
-            row += 1
-        out.append(whole[: len(c)])
-    return out
+    e = np.concatenate([m.emissions(x[k : k + BLOCK]).transpose(1, 0, 2) for k in range(0, len(x), BLOCK)])
+    fade = (np.arange(1, OVERLAP + 1, dtype="f4") / (OVERLAP + 1))[None, :, None]
+    at = np.flatnonzero(goes_on)
+    e[at, :OVERLAP] = e[at, :OVERLAP] * fade + e[at - 1, step:] * (1 - fade)
+    flat = np.ascontiguousarray(e[:, :step]).reshape(-1, TAGS)
+    first = np.cumsum([0, *map(len, starts)]) * step
+    return [flat[a : a + len(c)] for a, c in zip(first.tolist(), codes, strict=False)]
+
+
+def tag_texts(texts: list[str], m: Tagger) -> list[np.ndarray]:
+    """The tags of each text: one best path over all of its emissions."""
+    if not texts:
+        return []
+    between = np.full((1, TAGS), -1e6, "f4")
+    between[0, 0] = 0  # tag 0 for certain, so that texts are decoded side by side and no path crosses
+    parts = emissions_of(texts, m)
+    tags = m.decode(np.concatenate([x for part in parts for x in (part, between)]))
+    ends = np.cumsum([len(part) + 1 for part in parts])
+    return [tags[b - len(part) - 1 : b - 1] for part, b in zip(parts, ends.tolist(), strict=True)]
 
 
 def _runs(tags: np.ndarray) -> list[Span]:
@@ -471,7 +497,7 @@ def find(df: DataFrame, tagger: Tagger, text: str = "text", redacted: bool = Fal
             yield pa.RecordBatch.from_arrays([*columns, lists], names=[*rest, "spans"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"])
-    return df.select(*(df[f"`{c}`"] for c in rest), df[f"`{text}`"].alias("_text")).mapInArrow(run, schema)
+    return df.select(*(df[f"`{c}`"] for c in rest), df[f"`{text}`"].alias(unused(df, "body"))).mapInArrow(run, schema)
 
 
 def redact(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
