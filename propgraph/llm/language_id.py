@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propgraph.llm.common import whole_text
+from propgraph.llm.common import stored, unused, whole_text
 
 N = 4
 HASHES = 3
 SLOT_BITS = 20
 PER_LANGUAGE = 1500
 MIN_SHARE = 1e-5
-#: Characters normalised and looked up at a time.
+#: Characters normalised, and n-grams looked up, at a time; a longer text is normalised whole.
 BLOCK = 1 << 18
 UNDETERMINED = "und"
 
@@ -119,7 +119,7 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, "i4")), pa.array(h.view("i8")), pa.array(n)], names=["k", "h", "n"])
 
     counted = drawn.select(place[F.col("lang")].alias("k"), "text").mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
+    counted = stored(counted, "gram-counts")
     totals = {r["k"]: r["t"] for r in counted.groupBy("k").agg(F.sum("n").alias("t")).collect()}
     least = F.create_map(*(F.lit(x) for k, t in totals.items() for x in (k, max(2.0, t * min_share)))) if totals else F.lit(None).cast("map<int,double>")
     bits = counted.where(F.col("n") >= least[F.col("k")]).select(
@@ -128,7 +128,6 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         F.explode(F.array(*(F.expr(f"cast(shiftrightunsigned(h, {SLOT_BITS * k}) & {(1 << SLOT_BITS) - 1} AS int)") for k in range(HASHES)))).alias("slot"),
     )
     words = bits.groupBy("w", "slot").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2 ** SLOT_BITS rows per 64 languages
-    counted.unpersist()
     kind = next(np.dtype(f"u{b}") for b in (1, 2, 4, 8) if 8 * b >= min(64, len(languages)))
     tables = [np.zeros(1 << SLOT_BITS, kind) for _ in range(-(-len(languages) // 64))]
     w, slot, value = (words.column(c).to_numpy() for c in ("w", "slot", "bits"))
@@ -155,13 +154,13 @@ def scores(texts: list[str], filters: Filters) -> np.ndarray:
     """Per text and language, the share of n-grams in the language, corrected for false positives: (share - rate) / (1 - rate), at least 0."""
     out = []
     for part in blocks(texts):
-        # a text longer than a block is looked up a block at a time; n-grams across the cut are left as two ends
-        cut = [t[k : k + BLOCK] for t in part for k in range(0, max(1, len(t)), BLOCK)]
-        owner = np.repeat(np.arange(len(part)), [max(1, -(-len(t) // BLOCK)) for t in part])
-        h, lengths = grams(cut)
-        hits, n = np.zeros((len(part), len(filters.languages)), "i8"), np.zeros(len(part), "i8")
-        np.add.at(hits, owner, filters.hits(h, lengths))
-        np.add.at(n, owner, lengths)
+        h, n = grams(part)
+        hits = np.zeros((len(part), len(filters.languages)), "i8")
+        owner, at = np.repeat(np.arange(len(part)), n), 0
+        while at < len(h):  # a long text's n-grams, made once of the whole text, are looked up some at a time
+            own, lengths = np.unique(owner[at : at + BLOCK], return_counts=True)
+            hits[own] += filters.hits(h[at : at + BLOCK], lengths)
+            at += BLOCK
         out.append(np.clip((hits / np.maximum(n, 1)[:, None] - filters.rate) / np.maximum(1 - filters.rate, 1e-9), 0, 1))
     return np.concatenate(out) if out else np.zeros((0, len(filters.languages)))
 
@@ -180,7 +179,7 @@ def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("_text")).to_pylist()]
+            texts = [t or "" for t in batch.column(len(rest)).to_pylist()]
             lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool)
             best, score = np.zeros(len(texts), "i8"), np.zeros(len(texts))
             if known.languages and len(texts):
@@ -188,12 +187,11 @@ def predict(df: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
                 best = table.argmax(axis=1)
                 score = np.where(lettered, table[np.arange(len(texts)), best], 0.0)
             names = [known.languages[b] if ok and known.languages else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score)], names=[*rest, *made])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score)], names=[*rest, *made])
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), "lang_pred string", "score double"])
-    return df.select(*(df[f"`{c}`"] for c in rest), whole_text(df[f"`{text}`"]).alias("_text")).mapInArrow(run, schema)
+    return df.select(*(df[f"`{c}`"] for c in rest), whole_text(df[f"`{text}`"]).alias(unused(df, "body"))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
