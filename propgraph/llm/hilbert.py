@@ -1,11 +1,12 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
 Dimensions are quantised to BITS bits each; their bit planes drive a table of curve states (built from
-the rule of Hamilton's compact Hilbert indices) to an index of at most 2 ** 16 values.  Rows are ordered
-by that index and cut into runs, so a shard is a compact region and a filter on any dimension prunes
-shards.  Ranks are found without a global sort: counts of curve cells give offsets, and a row's rank
-within its cell is a window over that cell; a large cell is dealt into sub-cells of bounded size first.
-All is DataFrame code; only ids, sizes and curve indices are shuffled, never texts.
+the rule of Hamilton's compact Hilbert indices) to an index of at most 2 ** 16 values.  Groups of rows
+that belong together (equal texts) are ordered by that index and cut into runs of about equal bytes, so a
+shard is a compact region, a filter on any dimension prunes shards, and no group is torn.  Places are
+found without a global sort: sums over curve cells give offsets, and a place within its cell is a window
+over that cell; a large cell is dealt into sub-cells of bounded size first.  All is DataFrame code; only
+ids, sizes, hashes and curve indices are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -13,14 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propgraph.llm.common import stored
+
 BITS = 4
 #: Rows that a cell holds before it is dealt into sub-cells; a thousandth of the input where that is more.
 CELL_ROWS = 8192
 
 
-def by_value(col: Column, bits: int = BITS) -> Column:
-    """A coordinate that equal values share; null is a value."""
-    return F.pmod(F.xxhash64(col), F.lit(1 << bits)).cast("int")
+def by_value(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """A coordinate of its own for each of the most frequent values, in order of value; rarer ones and null share 0."""
+    ranked = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")).count().orderBy(F.desc("count"), "value")
+    values = sorted(r["value"] for r in ranked.limit((1 << bits) - 1).collect())
+    places = [F.when(F.col(f"`{column}`") == v, F.lit(k + 1)) for k, v in enumerate(values)]
+    return F.coalesce(*places, F.lit(0)).cast("int")
 
 
 def by_size(col: Column, bits: int = BITS) -> Column:
@@ -69,23 +75,37 @@ def curve_index(dims: list[Column], bits: int = BITS) -> Column:
     return F.shiftrightunsigned(F.aggregate(planes, F.lit(0).cast("long"), step), 16).cast("int")
 
 
-def shard(df: DataFrame, dims: list[Column], shards: int, key: str, keep: dict[str, Column]) -> DataFrame:
-    """One row per row of df: the `keep` columns, curve, shard (0 to shards - 1) and slot (gapless from 0 in its shard).
+def _dealt(df: DataFrame, weight: int, *name: str) -> DataFrame:
+    """df plus _fan: into how many sub-cells the rows of a cell (of equal `name` columns) are dealt; `weight`: all rows."""
+    cells = df.groupBy(*name).count()
+    return df.join(F.broadcast(cells.select(*name, F.ceil(F.col("count") / max(CELL_ROWS, weight >> 10)).alias("_fan"))), list(name))
+
+
+def shard(df: DataFrame, dims: list[Column], shards: int, key: str, size: Column, group: Column, keep: dict[str, Column]) -> DataFrame:
+    """One row per row of df: the `keep` columns, curve (that of the row's group: the least of its rows), shard (0 to shards - 1) and slot (gapless from 0 in its shard).
 
-    Rows are ordered by curve index, sub-cell and key; shards are equal runs of that order, so their row
-    counts differ by at most one.  Rows with equal keys, null among them, stand in any order.  An empty
-    table gives no rows.  What is broadcast is a row per occupied cell and sub-cell: at most 2 ** 16 and
-    about a thousand more.
+    Rows of equal `group` (a hash) are in one shard.  Groups are ordered by curve index, sub-cell and group;
+    shards are runs of that order of about equal sums of `size`: a group lies where its middle does, so a shard
+    differs from its share by one group's size at each end at most.  Slots go by curve index, sub-cell, group and
+    key, with nulls first; rows equal in these are alike.  An empty table gives no rows.  What is broadcast is a
+    row per occupied cell, sub-cell and shard: at most 2 ** 16 and some thousands more.
     """
-    placed = df.withColumn("_curve", curve_index(dims))
-    cells = placed.groupBy("_curve").count()
-    total = cells.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    fan = cells.select("_curve", F.ceil(F.col("count") / max(CELL_ROWS, total >> 10)).alias("_fan"))
-    dealt = placed.join(F.broadcast(fan), "_curve").withColumn("_sub", F.pmod(F.xxhash64(F.lit("sub"), F.col(key)), F.col("_fan")).cast("int"))
+    made = {"_key": F.col(key), "_group": group, "_size": size.cast("long"), "_curve": curve_index(dims)} | {f"_keep{k}": c for k, c in enumerate(keep.values())}
+    rows = stored(df.select(*(c.alias(k) for k, c in made.items())), "hilbert-rows")
+    groups = rows.groupBy("_group").agg(F.min("_curve").alias("_curve"), F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
+    total, many, different = groups.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.coalesce(F.sum("_rows"), F.lit(0)), F.count("*")).first()
+    dealt = _dealt(groups, different, "_curve").withColumn("_sub", F.pmod(F.xxhash64(F.lit("sub"), "_group"), F.col("_fan")).cast("int")).drop("_fan")
     order = Window.orderBy("_curve", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_curve", "_sub").count().select("_curve", "_sub", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("_before"))
-    rows = dealt.select("_curve", "_sub", F.col(key).alias("_key"), *(c.alias(k) for k, c in keep.items()))
-    within = F.row_number().over(Window.partitionBy("_curve", "_sub").orderBy("_key"))
-    ranked = rows.withColumn("_within", within).join(F.broadcast(offsets), ["_curve", "_sub"]).withColumn("_rank", F.col("_before") + F.col("_within") - 1)
-    place = ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div {max(1, total)} AS int)"))
-    return place.select(*keep, F.col("_curve").alias("curve"), "shard", F.expr(f"_rank - ceil(shard * {total}L / {shards}D)").cast("long").alias("slot"))
+    offsets = dealt.groupBy("_curve", "_sub").agg(F.sum("_bytes").alias("_b")).select("_curve", "_sub", F.coalesce(F.sum("_b").over(order), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("_curve", "_sub").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    spots = dealt.withColumn("_within", F.coalesce(F.sum("_bytes").over(own), F.lit(0))).join(F.broadcast(offsets), ["_curve", "_sub"])
+    middle = (F.col("_before") + F.col("_within")) * 2 + F.col("_bytes")
+    spots = spots.withColumn("_middle", middle).withColumn("shard", F.least(F.expr(f"cast(_middle * {shards} div {max(2, 2 * total)} AS int)"), F.lit(shards - 1)))
+    placed = rows.drop("_curve").join(spots.select("_group", "_curve", "_sub", "shard"), "_group")
+    placed = _dealt(placed, many, "shard", "_curve", "_sub").withColumn("_deal", F.pmod(F.xxhash64(F.lit("deal"), "_key", "_group"), F.col("_fan")).cast("int"))
+    cell = ["shard", "_curve", "_sub", "_deal"]
+    ahead = Window.partitionBy("shard").orderBy(*cell[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_group", "_key"))
+    numbered = placed.withColumn("_rank", rank).join(F.broadcast(starts), cell)
+    return numbered.select(*(F.col(f"_keep{k}").alias(name) for k, name in enumerate(keep)), F.col("_curve").alias("curve"), "shard", (F.col("_first") + F.col("_rank") - 1).cast("long").alias("slot"))
