@@ -68,31 +68,46 @@ def likeness(one: Column, two: Column) -> Column:
     return F.size(F.filter(F.zip_with(one, two, lambda a, b: a == b), lambda same: same)) / F.size(one)
 
 
-def neighbours(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, next_id) for every different id: the next smaller one, and after the smallest the largest.
+#: What tells documents apart: their id (0 for null), whether it is null, and the text's hash.
+KEY = ["id", "no_id", "text_hash"]
 
-    Ids are dealt into ranges, written to the shared folder so that the ranges stay as they are; each
-    range is a window of its own, and a range's last id takes the largest of the next range that has any.
+
+def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """KEY, doc_id and text of every row; null text is empty."""
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole_text(F.col(f"`{text}`")).alias("text"))
+    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("text_hash"), "doc_id", "text")
+
+
+def neighbours(keys: DataFrame) -> DataFrame:
+    """KEY and next_key (a struct of KEY) for every row of distinct KEY: the next smaller id (of equal ids, the smaller hash), null ids after all others, and after the last the first.
+
+    Keys are dealt into ranges, written to the shared folder so that the ranges stay as they are; each
+    range is a window of its own, and a range's last key takes the first of the next range that has any.
     """
     from pyspark.sql import Window
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = df.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    ids = stored(ids.repartitionByRange(n, "doc_id").withColumn("range", F.spark_partition_id()), "id-ranges")
-    tops = ids.groupBy("range").agg(F.max("doc_id").alias("top"))  # a row per partition
-    below = tops.select("range", F.coalesce(F.lag("top").over(Window.orderBy("range")), F.max("top").over(Window.partitionBy(F.lit(1)))).alias("below"))
-    within = F.lag("doc_id").over(Window.partitionBy("range").orderBy("doc_id"))
-    return ids.withColumn("lower", within).join(F.broadcast(below), "range").select("doc_id", F.coalesce("lower", "below").alias("next_id"))
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.struct(~F.col("no_id"), "id", "text_hash")  # ascending, so null ids come first
+    own = F.struct(*KEY)
+    ids = keys.select(order.alias("place"), own.alias("key")).repartitionByRange(n, "place").withColumn("range", F.spark_partition_id())
+    ids = stored(ids, "id-ranges")
+    tops = ids.groupBy("range").agg(F.max_by("key", "place").alias("top"))  # a row per partition
+    last = F.last("top").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    below = tops.select("range", F.coalesce(F.lag("top").over(Window.orderBy("range")), last).alias("below"))
+    within = F.lag("key").over(Window.partitionBy("range").orderBy("place"))
+    return ids.withColumn("lower", within).join(F.broadcast(below), "range").select("key.*", F.coalesce("lower", "below").alias("next_key"))
 
 
 def edited_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, next_id, n_chars, text, edited) per row of unique, non-null doc_id: the edited text's last floor(n_chars / 2) code points are the next document's first."""
-    docs = df.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    near = neighbours(docs)
-    sizes = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
-    lent = near.join(sizes, "doc_id").select(F.col("next_id").alias("lender"), F.col("doc_id").alias("borrower"), F.expr("cast(n_chars div 2 AS int)").alias("_k"))
-    heads = docs.join(lent, F.col("doc_id") == F.col("lender")).select("borrower", F.substring("text", F.lit(1), F.col("_k")).alias("_head"), F.col("lender").alias("next_id"))
-    both = docs.join(heads, F.col("doc_id") == F.col("borrower"))
-    n = F.char_length("text")
-    kept = F.substring("text", F.lit(1), F.expr("cast(char_length(text) - char_length(text) div 2 AS int)"))
-    return both.select("doc_id", "next_id", n.cast("long").alias("n_chars"), "text", F.concat(kept, "_head").alias("edited"))
+    """KEY, doc_id, next_key, copies, n_chars, text, edited per different (id, text): the edited text's last floor(n_chars / 2) code points are the next document's first.
+
+    Null text counts as empty.  Rows that repeat id and text are one document, `copies` says how many; other
+    rows of one id are documents of their own, as are rows of null id.
+    """
+    docs = keyed(df, doc_id, text)
+    sizes = docs.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max(F.char_length("text")).cast("long").alias("n_chars"))
+    lent = neighbours(sizes).join(sizes, KEY).select(*(F.col(f"next_key.{k}").alias(k) for k in KEY), F.struct(*KEY).alias("borrower"), "copies", "n_chars")
+    heads = docs.join(lent, KEY).select("borrower.*", F.struct(*KEY).alias("next_key"), "copies", "n_chars", F.substring("text", F.lit(1), F.expr("cast(n_chars div 2 AS int)")).alias("_head"))
+    both = docs.join(heads, KEY).dropDuplicates(KEY)  # rows of equal key are alike, and are together already
+    kept = F.substring("text", F.lit(1), F.expr("cast(n_chars - n_chars div 2 AS int)"))
+    return both.select(*KEY, "doc_id", "next_key", "copies", "n_chars", "text", F.concat(kept, "_head").alias("edited"))
