@@ -111,10 +111,11 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataF
     pass through (one named ids is replaced).  Only texts longer than CHUNK characters are shuffled:
     their chunks go to tasks by document and chunk, and their ids are put together by document.
     """
-    rest = [c for c in df.columns if c not in (text, "ids")]
+    given = [c for c in df.columns if c not in (text, "ids")]
+    rest = [f"c{k}" for k in range(len(given))]  # names that the helpers' own do not clash with
     types = dict(df.dtypes)
-    fields = [f"`{c}` {types[c]}" for c in rest]
-    rows = df.select(*(df[f"`{c}`"] for c in rest), whole_text(df[f"`{text}`"]).alias("_text"))
+    fields = [f"{r} {types[c]}" for r, c in zip(rest, given, strict=True)]
+    rows = df.select(*(df[f"`{c}`"].alias(r) for r, c in zip(rest, given, strict=True)), whole_text(df[f"`{text}`"]).alias("_text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +153,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataF
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = ", ".join([*fields, "_row long", "_start long", "_chunk string", "_ends binary", "_counts binary", "_ids binary"])
     shared = cut_up.repartition(n, "_row", "_start").mapInArrow(coded, spread)
-    return short.unionByName(shared.groupBy("_row").applyInArrow(together, out))
+    return short.unionByName(shared.groupBy("_row").applyInArrow(together, out)).toDF(*given, "ids")
 
 
 def id_lists(packed: list[bytes]) -> pa.ListArray:

@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propgraph.llm.common import whole_text
+from propgraph.llm.common import unused, whole_text
 from propgraph.llm.pretokens import WORD_PATTERN, Memo, as_shown, compiled, exotic, lowered
 
-#: Documents to a group, on average.
-GROUP_DOCS = 8192
+#: Pieces to a group, on average.
+GROUP_PIECES = 8192
 
 
 @functools.cache
@@ -61,7 +61,7 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text")
             ids = [word_ids(t, tokenizer) + end for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary())], names=[*rest, "ids"])
 
-    rows = df.select(*(df[f"`{c}`"] for c in rest), whole_text(df[f"`{text}`"]).alias("_text"))
+    rows = df.select(*(df[f"`{c}`"] for c in rest), whole_text(df[f"`{text}`"]).alias(unused(df, "body")))
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in rest), "ids binary"]))
 
 
@@ -114,8 +114,10 @@ def pack(df: DataFrame, key: list[str], groups: int, capacity: int = 2048, seed:
     to the capacity unless its tokens are a power of two.  An empty table gives no rows.
     """
     made = ["sequence_id", "offset", "padded_length"]
-    rows = df.drop(*made).withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(groups)))
-    names = [c for c in rows.columns if c != "_group"]
+    rows = df.drop(*made)
+    group = unused(rows, "group")
+    rows = rows.withColumn(group, F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(groups)))
+    names = [c for c in rows.columns if c != group]
     types = dict(rows.dtypes)
 
     def run(table: pa.Table) -> pa.Table:
@@ -124,14 +126,14 @@ def pack(df: DataFrame, key: list[str], groups: int, capacity: int = 2048, seed:
         bins, offsets = first_fit_decreasing(lengths, capacity)
         total = np.bincount(bins, weights=lengths).astype("i8")
         padded = np.where(total & (total - 1) == 0, total, capacity)[bins]
-        base = pc.shift_left(table.column("_group").cast(pa.int64()), 32)
+        base = pc.shift_left(table.column(group).cast(pa.int64()), 32)
         return pa.table(
             [*(table.column(c) for c in names), pc.add(base, pa.array(bins)), pa.array(offsets), pa.array(padded)], names=[*names, *made]
         )
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"{c} long" for c in made)])
-    return rows.groupBy("_group").applyInArrow(run, schema)
+    return rows.groupBy(group).applyInArrow(run, schema)
 
 
-def group_count(n_docs: int) -> int:
-    return max(1, -(-n_docs // GROUP_DOCS))
+def group_count(n_pieces: int) -> int:
+    return max(1, -(-n_pieces // GROUP_PIECES))

@@ -26,17 +26,22 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole document and of its edited text, and how alike they and the next document's are."""
+    """Fingerprints of every whole document and of its edited text, and how alike they and the next document's are.
+
+    Null text counts as empty.  Null ids come after all others; rows that repeat an id are documents of their own,
+    and rows that repeat id and text have the same result each.  No documents, no rows.
+    """
     pairs = weighted_sampling.edited_pairs(table(spark, sf_dir, "documents"))
-    versions = pairs.select("doc_id", F.posexplode(F.array("text", "edited")).alias("edited", "text"))
-    signed = weighted_sampling.signatures(versions, ["doc_id", "edited"])
-    both = signed.groupBy("doc_id").agg(
+    key = weighted_sampling.KEY
+    versions = pairs.select(*key, F.posexplode(F.array("text", "edited")).alias("edited", "text"))
+    signed = weighted_sampling.signatures(versions, [*key, "edited"])
+    both = signed.groupBy(*key).agg(
         F.max(F.when(F.col("edited") == 0, F.col("signature"))).alias("own"), F.max(F.when(F.col("edited") == 1, F.col("signature"))).alias("changed")
     )
-    facts = pairs.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    own = stored(facts.join(both, "doc_id"), "signatures")
-    following = own.select(F.col("doc_id").alias("next_id"), F.col("own").alias("theirs"))
-    return own.join(following, "next_id").select(
+    facts = pairs.select(*key, "doc_id", "next_key", "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    own = stored(facts.join(both, key), "signatures")
+    following = own.select(F.struct(*key).alias("next_key"), F.col("own").alias("theirs"))
+    return own.join(following, "next_key").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -44,18 +49,23 @@ def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         weighted_sampling.shown(F.col("changed")).alias("edited_fingerprint"),
         weighted_sampling.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         weighted_sampling.likeness(F.col("own"), F.col("theirs")).alias("near_next"),
-    )
+        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
+    ).drop("_copy")
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in eight shards along a Hilbert curve over language, source, length and id; row counts differ by at most one."""
+    """All documents in eight shards along a Hilbert curve over language, source, length and id; sums of bytes are near equal, equal texts are in one shard.
+
+    Null text counts as empty; rows of null or repeated doc_id have slots of their own; no documents, no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     low, high = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
-    dims = [hilbert.by_value(F.col("lang")), hilbert.by_value(F.col("source")), hilbert.by_size(F.col("n_chars")), hilbert.by_range(F.col("doc_id"), low, high)]
+    dims = [hilbert.by_value(docs, "lang"), hilbert.by_value(docs, "source"), hilbert.by_size(F.col("n_chars")), hilbert.by_range(F.col("doc_id"), low, high)]
     text = whole_text()
-    keep = {"doc_id": F.col("doc_id"), "size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary"))}
-    placed = hilbert.shard(docs, dims, 8, "doc_id", keep)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    size = F.octet_length(text).cast("long") + 1
+    keep = {"doc_id": F.col("doc_id"), "size": size, "text_crc32": F.crc32(text.cast("binary"))}
+    placed = hilbert.shard(docs, dims, 8, "doc_id", size, F.xxhash64(text), keep)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +96,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.pieces(packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json")))
     narrow = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    packed = packing.pack(narrow, ["doc_id", "start", "ids_crc32"], packing.group_count(docs.count()))
+    narrow = stored(narrow.withColumn("row", F.monotonically_increasing_id()), "pieces")  # repeated rows differ by it
+    packed = packing.pack(narrow, ["doc_id", "start", "ids_crc32", "row"], packing.group_count(narrow.count()))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")
 
 

@@ -172,10 +172,26 @@ def test_sampling_of_odd_rows(spark):
     got = {r["doc_id"]: r["signature"] for r in weighted_sampling.signatures(df, ["doc_id"]).collect()}
     assert got[1] == got[2] and got[3] != got[1] and len(got) == 4
     pairs = weighted_sampling.edited_pairs(df)
-    assert {r["doc_id"]: r["next_id"] for r in pairs.select("doc_id", "next_id").collect()} == {4: 3, 3: 2, 2: 1, 1: 4}
+    assert {r["doc_id"]: r["next_key"]["id"] for r in pairs.collect()} == {4: 3, 3: 2, 2: 1, 1: 4}
     assert weighted_sampling.edited_pairs(df.limit(0)).count() == 0
     alone = weighted_sampling.edited_pairs(df.where("doc_id = 3")).first()
-    assert (alone["next_id"], alone["edited"]) == (3, "A A")
+    assert (alone["next_key"]["id"], alone["edited"]) == (3, "A A")
+
+
+def test_sampling_of_null_and_repeated_ids(spark, tmp_path):
+    """Every row has a result: of its own text and the next one's in the order of ids, then texts' hashes, null ids last."""
+    rows = [(1, "a b c d"), (1, "e f g h i"), (2, None), (2, None), (None, "x y"), (None, "x y"), (None, "z"), (3, "one two three")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_weighted_sampling(spark, str(tmp_path)).collect()
+    hashed = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, hashed[x[1]]), reverse=True)
+    edited = {}
+    for own, other in zip(order, order[1:] + order[:1], strict=True):
+        half = len(own[1]) // 2
+        edited[own] = hashlib.sha256((own[1][: len(own[1]) - half] + other[1][:half]).encode()).hexdigest()
+    want = sorted((str(d), len(t or ""), edited[d, t or ""]) for d, t in rows)
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert len({r["fingerprint"] for r in got if r["n_chars"] == 3}) == 1
 
 
 @pytest.mark.parametrize("limits", [{}, {"short_list": 4, "block": 8}, {"short_list": 4, "list_rows": 12, "block": 8}], ids=["as built", "long lists, small blocks", "lists beyond their bound"])
