@@ -18,12 +18,21 @@ from propgraph.llm.common import prepare, stored, table, without
 LEAST_SCORE = 0.2
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ...: what an operator adds clashes with none of them."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def _named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: texts without letters (undetermined) and of no learned language go."""
     prepare(spark)
     filters = language_id.learn(docs.where(~language_id.held_out()))
-    seen = language_id.predict(docs.withColumn("_body", F.col("text")), filters, "_body")
-    return seen.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    seen = language_id.predict(_numbered(docs), filters, f"c{docs.columns.index('text')}")
+    return _named(seen.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with [KIND] in place of personal data; n_chars is that of the new text."""
     prepare(spark)
-    found = pii.find(docs, pii.fit(docs), redacted=True)
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    text = f"c{docs.columns.index('text')}"
+    found = pii.find(_numbered(docs), pii.fit(docs), text, redacted=True)
+    return _named(found, docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +61,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     cut = packing.pieces(packing.tokenise(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")))
     narrow = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.pack(narrow, ["doc_id", "start", "ids_crc32"], packing.group_count(docs.count()))
+    narrow = stored(narrow.withColumn("row", F.monotonically_increasing_id()), "pieces")  # repeated rows differ by it
+    return packing.pack(narrow, ["doc_id", "start", "ids_crc32", "row"], packing.group_count(narrow.count())).drop("row")
 
 
 STAGES = [("language", identify), ("exact", drop_copies), ("near", drop_near_copies), ("personal", redact), ("pack", pack)]
