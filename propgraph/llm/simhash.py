@@ -26,27 +26,30 @@ from propgraph.llm.components import components
 
 RADIUS = 2
 #: Fixed values of the fingerprint's definition.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 15
 #: Fingerprints of a posting list whose pairs are all tallied; a longer list is dealt into lists of more shared bytes.
 SHORT = 64
 
-_UPPER = {c: c + 32 for c in range(65, 91)}
+
+def words_of(text: str) -> list[bytes]:
+    """The words in UTF-8, A-Z as a-z: lower() of bytes changes no others."""
+    return WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
     """The XXH64 of each shingle, repeats included: of fewer words the whole sequence, of none nothing."""
     import xxhash
 
-    tokens = WORD.findall(text.lower() if text.isascii() else text.translate(_UPPER))
+    tokens = words_of(text)
     if not tokens:
         return np.zeros(0, "<u8")
     if len(tokens) < words:
-        shingles = [" ".join(tokens)]
+        shingles = [b" ".join(tokens)]
     else:
-        shingles = map(" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))
+        shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
     return np.array([digest(s, SEED) for s in shingles], dtype="<u8")
 
@@ -199,19 +202,44 @@ FAMILY_BLOCK = 1024
 SMALL = -(1 << 63)
 
 
-def wide_fingerprint(text: str) -> bytes:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """The XXH64 of each word of the lower-cased text."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(t, SEED) for t in words_of(text)], "<u8")
+
+
+def distinct_shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the distinct n-word shingles, made of the words' hashes, sorted: of fewer words the whole sequence, of none nothing."""
+    n = min(n, len(words))
+    if not n:
+        return np.zeros(0, "<u8")
+    end = len(words) - n + 1
+    h = words[:end]
+    for k in range(1, n):
+        h = _mixed(h + np.uint64(k)) ^ words[k : k + end]
+    h = np.sort(_mixed(h + np.uint64(n)))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def wide_fingerprint(words: np.ndarray) -> bytes:
     """256 bits over the distinct two-word shingles: 64 of their hashes, and 64 of each of three further mixes of them.
 
     Distinct, as the similarity is one of sets: a set of five-word shingles has one set of two-word ones,
     however often a line repeats.
     """
-    h = np.unique(shingle_hashes(text, WIDE_WORDS))
+    h = distinct_shingles(words, WIDE_WORDS)
     parts = []
     for _ in range(WIDE // 8):
         parts.append(_majority(h).tobytes())
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
+        h = _mixed(h)
     return b"".join(parts)
 
 
@@ -261,7 +289,7 @@ PAIR, TRIED, FAMILY = 0, 1, 2
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], short_list: int, list_rows: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, kind) of the task's posting lists, whose rows (key, node, part) come sorted by key and, within a list, in an order of each key's own."""
+    """(a, b, kind) of the task's posting lists, whose rows (key, node, part) come sorted by key and node."""
 
     def given(a: list[int], b: list[int], kind: list[int]) -> pa.RecordBatch:
         one, two = np.array(a, "i8"), np.array(b, "i8")
@@ -402,15 +430,15 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            own = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in texts]
+            words = [word_hashes(t) for t in batch.column(1).to_pylist()]
+            own = [distinct_shingles(w, NEAR_WORDS) for w in words]
             digests = pa.array([hashlib.sha256(x.tobytes()).digest() for x in own], pa.binary())
-            columns = [batch.column(0), pa.array([wide_fingerprint(t) for t in texts], pa.binary()), digests, pa.array([len(x) for x in own], pa.int32())]
+            columns = [batch.column(0), pa.array([wide_fingerprint(w) for w in words], pa.binary()), digests, pa.array([len(x) for x in own], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "set", "size"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(shingle_hashes(t, NEAR_WORDS).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+            own = [np.unique(distinct_shingles(word_hashes(t), NEAR_WORDS).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "shingles"])
 
     body = df.where(df[f"`{doc_id}`"].isNotNull()).select(df[f"`{doc_id}`"].cast("long").alias("doc_id"), whole_text(df[f"`{text}`"]).alias("text"))
@@ -420,7 +448,7 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = nodes.where("size > 0").select("node", "fp").mapInArrow(_postings, "key int, node long, part long")
-    lists = postings.repartition(n, "key").sortWithinPartitions("key", F.xxhash64("node", F.shiftright("key", 24)))
+    lists = postings.repartition(n, "key").sortWithinPartitions("key", "node")  # lists of one group have one root, so their links are the same rows
     found = stored(lists.mapInArrow(lambda batches: _candidates(batches, short_list, list_rows), "a long, b long, kind int").distinct(), "near-lists")
     families = components(found.where(F.col("kind") != PAIR).select("a", "b"))
     families = families.select("node", F.col("component").alias("family"))
