@@ -11,7 +11,7 @@ All is DataFrame code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propgraph.llm.common import stored, whole_text
@@ -44,7 +44,7 @@ def terms(text: Column) -> Column:
 
 
 def signatures(df: DataFrame, key: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """(key, signature: array<bigint>) per row of df; rows of equal key count as one text.
+    """(key, signature: array<bigint>) per key of df; rows of equal key count as one text.
 
     A text's words are counted and reduced where its row lies if df is partitioned by (part of) the key,
     else they are pre-aggregated and shuffled by it.  Null text counts as empty; an empty table gives no rows.
@@ -68,14 +68,19 @@ def likeness(one: Column, two: Column) -> Column:
     return F.size(F.filter(F.zip_with(one, two, lambda a, b: a == b), lambda same: same)) / F.size(one)
 
 
-#: What tells documents apart: their id (0 for null), whether it is null, and the text's hash.
-KEY = ["id", "no_id", "text_hash"]
+#: What tells documents apart: their id (0 for null), and the text's hash, whose last bit says that the id is null.
+KEY = ["id", "text_hash"]
 
 
 def keyed(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """KEY, doc_id and text of every row; null text is empty."""
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole_text(F.col(f"`{text}`")).alias("text"))
-    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("text_hash"), "doc_id", "text")
+    """KEY and text of every row; null text is empty."""
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), whole_text(F.col(f"`{text}`")).alias("text"))
+    marked = F.shiftleft(F.xxhash64("text"), 1) + F.col("id").isNull().cast("long")
+    return docs.select(F.coalesce("id", F.lit(0)).alias("id"), marked.alias("text_hash"), "text")
+
+
+def no_id(text_hash: Column) -> Column:
+    return text_hash.bitwiseAND(1) == 1
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -84,10 +89,8 @@ def neighbours(keys: DataFrame) -> DataFrame:
     Keys are dealt into ranges, written to the shared folder so that the ranges stay as they are; each
     range is a window of its own, and a range's last key takes the first of the next range that has any.
     """
-    from pyspark.sql import Window
-
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = F.struct(~F.col("no_id"), "id", "text_hash")  # ascending, so null ids come first
+    order = F.struct(~no_id(F.col("text_hash")), "id", "text_hash")  # ascending, so null ids come first
     own = F.struct(*KEY)
     ids = keys.select(order.alias("place"), own.alias("key")).repartitionByRange(n, "place").withColumn("range", F.spark_partition_id())
     ids = stored(ids, "id-ranges")
@@ -104,10 +107,13 @@ def edited_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Null text counts as empty.  Rows that repeat id and text are one document, `copies` says how many; other
     rows of one id are documents of their own, as are rows of null id.
     """
-    docs = keyed(df, doc_id, text)
+    docs = keyed(df, doc_id, text)  # of the same columns on both sides, so that texts are shuffled once for both joins
     sizes = docs.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max(F.char_length("text")).cast("long").alias("n_chars"))
+    sizes = stored(sizes, "sampling-keys")
     lent = neighbours(sizes).join(sizes, KEY).select(*(F.col(f"next_key.{k}").alias(k) for k in KEY), F.struct(*KEY).alias("borrower"), "copies", "n_chars")
-    heads = docs.join(lent, KEY).select("borrower.*", F.struct(*KEY).alias("next_key"), "copies", "n_chars", F.substring("text", F.lit(1), F.expr("cast(n_chars div 2 AS int)")).alias("_head"))
-    both = docs.join(heads, KEY).dropDuplicates(KEY)  # rows of equal key are alike, and are together already
+    head = F.substring("text", F.lit(1), F.expr("cast(n_chars div 2 AS int)")).alias("_head")
+    heads = docs.join(lent, KEY).select("borrower.*", F.struct(*KEY).alias("next_key"), "copies", "n_chars", head)
+    one = F.row_number().over(Window.partitionBy(*KEY).orderBy("n_chars"))  # rows of equal key are alike, and together already
+    both = docs.join(heads, KEY).withColumn("_one", one).where("_one = 1")
     kept = F.substring("text", F.lit(1), F.expr("cast(n_chars - n_chars div 2 AS int)"))
-    return both.select(*KEY, "doc_id", "next_key", "copies", "n_chars", "text", F.concat(kept, "_head").alias("edited"))
+    return both.select(*KEY, F.when(~no_id(F.col("text_hash")), F.col("id")).alias("doc_id"), "next_key", "copies", "n_chars", "text", F.concat(kept, "_head").alias("edited"))

@@ -183,7 +183,7 @@ def test_sampling_of_null_and_repeated_ids(spark, tmp_path):
     rows = [(1, "a b c d"), (1, "e f g h i"), (2, None), (2, None), (None, "x y"), (None, "x y"), (None, "z"), (3, "one two three")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op3_weighted_sampling(spark, str(tmp_path)).collect()
-    hashed = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    hashed = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.shiftleft(F.xxhash64("t"), 1).alias("h")).collect()}
     order = sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, hashed[x[1]]), reverse=True)
     edited = {}
     for own, other in zip(order, order[1:] + order[:1], strict=True):
