@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.functions import tokens, values
 from propgraph.operators import grammar, profile, scoring
+from propgraph.operators.closure import keep
 from propgraph.operators.graph import PropertyGraph
 
 
@@ -93,12 +94,30 @@ class Engine:
                 cells.append(tokens.value_token(values.value(col, f.dataType)))
         return rows.select(tokens.record(*cells).alias("token")).where("token IS NOT NULL AND token <> ''").distinct()
 
+    def attempt(self, name: str) -> tuple[DataFrame, str | None]:
+        """The tokens of a named query and no message, or, where it fails, no tokens and a message."""
+        try:
+            return keep(self.execute(name)), None
+        except KeyError:
+            return self._nothing("token string"), f"no query: {name}"
+        except Exception as e:  # the query is the user's
+            return self._nothing("token string"), f"execution_failed: {e}"
+
+    def _nothing(self, schema: str) -> DataFrame:
+        return self.graph_session().createDataFrame([], schema)
+
     def gold(self, names: list[str]) -> DataFrame:
-        """(index, gold): the tokens of each named query, in the order of the names; a name without a query has none."""
-        parts = [self.execute(name).select(F.lit(k).alias("index"), "token") for k, name in enumerate(names) if name in self.queries]
-        if not parts:
-            return next(iter(self.graph.tables.values())).df.sparkSession.createDataFrame([], "index int, gold array<string>")
-        return functools.reduce(DataFrame.unionAll, parts).groupBy("index").agg(F.collect_set("token").alias("gold"))
+        """(index, gold, error): the tokens of each named query, in the order of the names; one that fails or is missing has none and a message."""
+        if not names:
+            return self._nothing("index int, gold array<string>, error string")
+        parts = [(k, *self.attempt(name)) for k, name in enumerate(names)]
+        rows = functools.reduce(DataFrame.unionAll, (df.select(F.lit(k).alias("index"), "token") for k, df, _ in parts))
+        errors = self.graph_session().createDataFrame([(k, e) for k, _, e in parts], "index int, error string")
+        found = rows.groupBy("index").agg(F.collect_set("token").alias("gold"))
+        return errors.join(found, "index", "left").select("index", F.coalesce("gold", F.array().cast("array<string>")).alias("gold"), "error")
+
+    def graph_session(self) -> SparkSession:
+        return next(iter(self.graph.tables.values())).df.sparkSession
 
     def evaluate(self, cases: DataFrame, outputs: DataFrame) -> DataFrame:
         """Scores of outputs (index, svr, scr, tokens) against cases (index, gold)."""

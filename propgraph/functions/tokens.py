@@ -20,19 +20,29 @@ def integer(col: Column) -> Column:
     return F.concat(F.lit(NUMBER), col.cast("long").cast("string"))
 
 
+def whole_number(digits: Column) -> Column:
+    """A whole number given as text of any length: its sign and digits, without a plus and leading zeros."""
+    plain = F.regexp_replace(digits, r"^\+?(-?)0*(?=[0-9])", "$1")
+    return F.concat(F.lit(NUMBER), F.when(plain == "-0", F.lit("0")).otherwise(plain))
+
+
 def decimal(col: Column) -> Column:
-    """Rounded to six digits (ties to even); -0.0 is 0.0."""
-    return F.concat(F.lit(NUMBER), (F.bround(col.cast("double"), 6) + F.lit(0.0)).cast("string"))
+    """Rounded to six digits (ties to even), in positional form below 1e16; -0.0 is 0.0."""
+    number = F.bround(col.cast("double"), 6) + F.lit(0.0)
+    positional = F.regexp_replace(number.try_cast("decimal(38,6)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    positional = F.when(positional.endswith("."), F.concat(positional, F.lit("0"))).otherwise(positional)
+    return F.concat(F.lit(NUMBER), F.when(F.abs(number) < 1e16, positional).otherwise(number.cast("string")))
 
 
 def boolean(col: Column) -> Column:
-    return F.concat(F.lit(BOOLEAN), col.cast("string"))
+    """1 or 0."""
+    return F.concat(F.lit(BOOLEAN), col.cast("int").cast("string"))
 
 
 def text(col: Column) -> Column:
     """A string cell: numeric text counts as a number, a 22-character id as it stands, blank text as nothing."""
     trimmed = F.trim(col)
-    as_number = F.when(trimmed.rlike(r"^[+-]?[0-9]+$"), integer(trimmed.try_cast("long"))).otherwise(decimal(trimmed.try_cast("double")))
+    as_number = F.when(trimmed.rlike(r"^[+-]?[0-9]+$"), whole_number(trimmed)).otherwise(decimal(trimmed.try_cast("double")))
     return F.when(trimmed == "", F.lit(None)).when(F.length(trimmed) == 22, trimmed).when(trimmed.rlike(NUMERIC), as_number).otherwise(trimmed)
 
 

@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def transitive_closure(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(src, dst) of every path of one or more edges (src, dst), up to `most` edges long (None: any).
+def keep(df: DataFrame) -> DataFrame:
+    """df computed now: in the checkpoint folder, which outlives executors, or (none set, as in tests) in a cache."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    held = df.persist()
+    held.count()
+    return held
+
+
+def transitive_closure(edges: DataFrame, most: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst) of every path of one or more edges (src, dst), up to `most` edges long (None: any), from `sources` (src; None: any).
 
     Semi-naive: each round extends only the pairs found new in the last one, and pairs met before are
     dropped, so a cycle ends (and gives its own (a, a) pairs).  Rounds are as many as the longest
     shortest path.  Every round is checkpointed where a checkpoint folder is set, else cached.
     """
-    spark = edges.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
     base = edges.select("src", "dst").distinct()
-    found = new = keep(base)
+    found = new = keep(base if sources is None else base.join(sources.select("src").distinct(), "src", "left_semi"))
     length = 1
     while (most is None or length < most) and not new.isEmpty():
         step = new.select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         new = keep(step.join(found, ["src", "dst"], "left_anti"))
-        found = keep(found.unionAll(new))
+        found = found.unionAll(new)  # rounds stay apart, each kept once
         length += 1
     return found
 

@@ -46,12 +46,11 @@ def query_regex(labels: list[str], properties: list[str], relations: list[str],
     text = rf"'[^'\\]{{0,{limits.text}}}'"
     number = r"-?[0-9]{1,9}(?:\.[0-9]{1,4})?"
     literal = f"(?:{text}|{number}|true|false)"
-    free = sorted(set(properties) - set(choices)) or properties
+    free = sorted(set(properties) - {p for p, own in choices.items() if own})  # a property of listed values takes no other text
     access = rf"{var}\.{one_of(free)}"
     tests = [
         *(rf"{var}\.{re.escape(p)}{opt}(?:=|<>|!=){opt}'{one_of(own)}'" for p, own in sorted(choices.items()) if own),
-        rf"(?:{access}|(?:{'|'.join(CONVERSIONS)})\({access}\)){opt}(?:{'|'.join(COMPARISONS)}){opt}{literal}",
-        rf"(?:NOT{ws})?{var}\.{prop}{ws}(?:{'|'.join(t.replace(' ', ws) for t in TEXT_TESTS)}){ws}{text}",
+        *([rf"(?:{access}|(?:{'|'.join(CONVERSIONS)})\({opt}{access}{opt}\)){opt}(?:{'|'.join(COMPARISONS)}){opt}{literal}", rf"(?:NOT{ws})?{access}{ws}(?:{'|'.join(t.replace(' ', ws) for t in TEXT_TESTS)}){ws}{text}"] if free else []),
         rf"{var}\.{prop}{ws}IS{ws}(?:NOT{ws})?NULL",
     ]
     condition = "(?:" + "|".join(tests) + ")"

@@ -12,7 +12,9 @@ from propgraph.operators.graph import PropertyGraph
 #: How many distinct values make an enumeration, their greatest mean length, and probes per label.
 MOST_VALUES, MEAN_LENGTH, PROBES = 50, 80, 12
 #: Fixed value: properties that come first.
-PRIORITY = ("Name", "ObjectType", "FireRating", "IsExternal", "LoadBearing", "Level", "Description")
+PRIORITY = ("Name", "LongName", "ObjectType", "PredefinedType", "FireRating", "Material", "Category")
+#: Fixed value: properties whose values are never listed.
+EXCLUDED = ("GlobalId", "Tag", "OwnerHistory", "ObjectPlacement", "Description", "LongDescription", "Representation")
 
 
 def label_counts(graph: PropertyGraph) -> DataFrame:
@@ -102,7 +104,7 @@ def priority(name: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), name), F.lit(0)), F.lit(len(PRIORITY) + 1))
 
 
-def enumerations(graph: PropertyGraph, excluded: tuple[str, ...] = (), most: int = MOST_VALUES, probes: int = PROBES) -> DataFrame:
+def enumerations(graph: PropertyGraph, excluded: tuple[str, ...] = EXCLUDED, most: int = MOST_VALUES, probes: int = PROBES) -> DataFrame:
     """(label, key, choices): properties whose values on a label are few, all text, none blank and short on average.
 
     Of a label's keys the first `probes` by priority and name are looked at.  A first pass over each node

@@ -10,6 +10,8 @@ from propgraph.functions.tokens import BOOLEAN, NUMBER, answer_tokens
 #: Labels in node patterns, and properties after a dot (these also fire inside literals and decimals, as the reference score does).
 LABELS = r"\(\s*\w*\s*:\s*([A-Za-z_][A-Za-z0-9_:]*)\s*\)"
 PROPERTIES = r"(?U)\b\w+\.(\w+)\b"
+#: Names after a dot that are no properties.
+NO_PROPERTIES = ("id", "labels", "type")
 
 
 def used_labels(query: Column) -> Column:
@@ -18,7 +20,8 @@ def used_labels(query: Column) -> Column:
 
 
 def used_properties(query: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(query, F.lit(PROPERTIES), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(query, F.lit(PROPERTIES), F.lit(1)))
+    return F.filter(found, lambda x: ~x.isin(*NO_PROPERTIES))
 
 
 def schema_compliance(query: Column, labels: Column, properties: Column) -> Column:
@@ -93,7 +96,7 @@ def summary(results: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ranking(summaries: DataFrame, setting: str, metrics: list[str]) -> DataFrame:
-    """(metric, place, setting): settings by each metric, best first; ties keep the settings' order."""
+    """(metric, place, setting): settings by each metric, best first; ties go by name."""
     rows = summaries.select(setting, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics))))
     place = F.row_number().over(Window.partitionBy("metric").orderBy(F.col("score").desc(), setting))
     return rows.select("metric", place.alias("place"), setting)

@@ -12,10 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Property names of boolean and numeric kind.
-BOOLEANS = ("IsExternal", "LoadBearing", "IsLandscaped", "Compartmentation", "Combustible", "FireExit", "SmokeStop", "HandicapAccessible")
-NUMBERS = ("Width", "Height", "Depth", "Length", "Area", "Volume", "NetFloorArea", "GrossFloorArea", "Thickness", "Elevation", "RiserHeight", "TreadLength", "NumberOfRiser", "NumberOfTreads")
-NUMERIC_TYPES = ("IFCREAL", "IFCINTEGER", "IFCLENGTHMEASURE", "IFCAREAMEASURE", "IFCVOLUMEMEASURE", "IFCPOSITIVELENGTHMEASURE")
+#: Property names of boolean and numeric kind in lower case, and what document types contain.
+BOOLEANS = ("isexternal", "loadbearing", "isclosed", "islandmark", "compartmentation", "status")
+NUMBERS = (
+    "height", "width", "length", "depth", "thickness", "area", "volume", "netarea", "grossarea", "netvolume", "grossvolume",
+    "perimeter", "slope", "rise", "run", "nominalheight", "nominalwidth", "nominallength", "thermaltransmittance",
+)
+NUMERIC_TYPES = ("REAL", "INTEGER", "LENGTH", "AREA", "VOLUME")
+TEXT_TYPES = ("LABEL", "TEXT")
 
 
 def merge_entities(model: DataFrame, document: DataFrame) -> DataFrame:
@@ -36,14 +40,16 @@ def merge_properties(model: DataFrame, document: DataFrame) -> DataFrame:
 
 
 def classify(name: Column, data_type: Column, choices: Column) -> Column:
-    """STRICT if its values are listed; BOOLEAN by name (listed, or beginning with is); NUMERIC by name; else by the document's type; else OPEN."""
-    kind = F.upper(F.coalesce(data_type, F.lit("")))
+    """STRICT if its values are listed; BOOLEAN by name (listed, or beginning with is); NUMERIC by name; else by what the document's type contains (BOOLEAN, NUMERIC, STRING); else OPEN.  In any case of letters."""
+    kind, lower = F.upper(F.coalesce(data_type, F.lit(""))), F.lower(name)
+    among = lambda parts: reduce(lambda a, b: a | b, (kind.contains(p) for p in parts))
     return (
         F.when(F.coalesce(F.size(choices), F.lit(0)) > 0, "STRICT")
-        .when(name.isin(*BOOLEANS) | F.lower(name).startswith("is"), "BOOLEAN")
-        .when(name.isin(*NUMBERS), "NUMERIC")
-        .when(kind == "IFCBOOLEAN", "BOOLEAN")
-        .when(kind.isin(*NUMERIC_TYPES), "NUMERIC")
+        .when(lower.isin(*BOOLEANS) | lower.startswith("is"), "BOOLEAN")
+        .when(lower.isin(*NUMBERS), "NUMERIC")
+        .when(kind.contains("BOOLEAN"), "BOOLEAN")
+        .when(among(NUMERIC_TYPES), "NUMERIC")
+        .when(among(TEXT_TYPES), "STRING")
         .otherwise("OPEN")
     )
 

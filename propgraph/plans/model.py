@@ -94,7 +94,8 @@ def endpoint_label_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def known_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.known_keys(graph(spark, sf)).where(F.col("label").isin("Customer", "Party", "Material"))
+    """Every label with every key that its nodes have."""
+    return profile.known_keys(graph(spark, sf))
 
 
 def value_enumerations(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,7 +117,7 @@ def property_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Kinds of the graph's property keys, with a document that lists values for one of them."""
     keys = profile.known_keys(graph(spark, sf)).select(F.col("key").alias("property"))
     document = spark.sql(
-        "SELECT * FROM VALUES ('c_mktsegment', 'IFCLABEL', array('BUILDING', 'MACHINERY')), ('c_mktsegment', 'IFCLABEL', array('AUTOMOBILE')), ('p_size', 'IFCINTEGER', NULL), ('IsExternal', 'IFCBOOLEAN', NULL) AS t(property, data_type, choices)"
+        "SELECT * FROM VALUES ('c_mktsegment', 'IFCLABEL', array('BUILDING', 'MACHINERY')), ('c_mktsegment', 'IFCLABEL', array('AUTOMOBILE')), ('p_size', 'IfcInteger', NULL), ('ISEXTERNAL', NULL, NULL), ('NetVolume', NULL, NULL), ('p_brand', 'IfcLabel', NULL), ('p_name', 'xs:TextType', NULL), ('o_totalprice', 'IfcPositiveLengthMeasure', NULL), ('Closed', 'IfcBoolean', NULL) AS t(property, data_type, choices)"
     )
     merged = vocabulary.merge_properties(keys, document.withColumn("choices", F.coalesce("choices", F.array().cast("array<string>"))))
     return merged.select("property", "source", "kind", F.array_join("choices", "|").alias("choices"))
@@ -198,13 +199,13 @@ ORACLES = {
         SELECT DISTINCT a.label AS src_label, type, b.label AS dst_label FROM {EDGES} JOIN r a ON a.leaf = sl JOIN r b ON b.leaf = dl""",
     "endpoint_label_pairs": f"""WITH l AS (SELECT leaf, string_agg(label, ':' ORDER BY place) AS own FROM (SELECT DISTINCT leaf, label, place FROM {LABELLED}) GROUP BY 1)
         SELECT DISTINCT type, a.own AS src_labels, b.own AS dst_labels FROM {EDGES} JOIN l a ON a.leaf = sl JOIN l b ON b.leaf = dl""",
-    "known_keys": f"SELECT DISTINCT label, key FROM {_ALL_KEYS} k JOIN (SELECT DISTINCT leaf, label FROM {LABELLED}) l USING (leaf) WHERE label IN ('Customer', 'Party', 'Material')",
+    "known_keys": f"SELECT DISTINCT label, key FROM {_ALL_KEYS} k JOIN (SELECT DISTINCT leaf, label FROM {LABELLED}) l USING (leaf)",
     "value_enumerations": f"SELECT label, key, count(*) AS n, string_agg(s, '|' ORDER BY s) AS choices FROM (SELECT DISTINCT label, key, s FROM {_texts()}) GROUP BY 1, 2 HAVING count(*) BETWEEN 1 AND 50 AND bool_and(trim(s) <> '') AND avg(length(s)) <= 80",
     "class_profiles": f"SELECT leaf, n, string_agg(key, ',' ORDER BY key) AS keys FROM {_ALL_KEYS} JOIN (SELECT leaf, count(*) AS n FROM {LABELLED} WHERE place = 0 GROUP BY 1) USING (leaf) GROUP BY 1, 2",
     "duplicate_ids": "SELECT 0::BIGINT AS n",
-    "property_classes": f"""WITH m AS (SELECT DISTINCT key AS property FROM {_ALL_KEYS}), d(property, choices) AS (VALUES ('c_mktsegment', 'AUTOMOBILE|BUILDING|MACHINERY'), ('p_size', ''), ('IsExternal', ''))
+    "property_classes": f"""WITH m AS (SELECT DISTINCT key AS property FROM {_ALL_KEYS}), d(property, choices) AS (VALUES ('c_mktsegment', 'AUTOMOBILE|BUILDING|MACHINERY'), ('p_size', ''), ('ISEXTERNAL', ''), ('NetVolume', ''), ('p_brand', ''), ('p_name', ''), ('o_totalprice', ''), ('Closed', ''))
         SELECT property, CASE WHEN m.property IS NULL THEN 'document' WHEN d.property IS NULL THEN 'model' ELSE 'both' END AS source,
-          CASE property WHEN 'c_mktsegment' THEN 'STRICT' WHEN 'p_size' THEN 'NUMERIC' WHEN 'IsExternal' THEN 'BOOLEAN' ELSE 'OPEN' END AS kind, choices
+          CASE property WHEN 'c_mktsegment' THEN 'STRICT' WHEN 'p_size' THEN 'NUMERIC' WHEN 'o_totalprice' THEN 'NUMERIC' WHEN 'NetVolume' THEN 'NUMERIC' WHEN 'ISEXTERNAL' THEN 'BOOLEAN' WHEN 'Closed' THEN 'BOOLEAN' WHEN 'p_brand' THEN 'STRING' WHEN 'p_name' THEN 'STRING' ELSE 'OPEN' END AS kind, choices
         FROM m FULL JOIN d USING (property)""",
     "vocab_union": f"""WITH m AS (SELECT label AS entity, count(*) AS n FROM {LABELLED} GROUP BY 1), d AS (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'Nation' ELSE n_name END AS entity FROM nation)
         SELECT entity, coalesce(n, 0)::BIGINT AS n, m.entity IS NOT NULL AS from_model, d.entity IS NOT NULL AS from_document FROM m FULL JOIN d USING (entity)""",

@@ -32,7 +32,7 @@ def numeric_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def svr_json(spark: SparkSession, sf: str) -> DataFrame:
     """Direct answers as JSON lists: fenced, within prose, or none at all."""
-    return _answers(spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 10 < 5"))
+    return _answers(spark.read.parquet(f"{sf}/orders.parquet"))
 
 
 def svr_json_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +56,7 @@ def scr_labels_props(spark: SparkSession, sf: str) -> DataFrame:
     """Compliance of queries whose labels and properties are partly unknown."""
     n = spark.read.parquet(f"{sf}/customer.parquet")
     query = F.concat(
-        F.lit("MATCH (s:"), F.when(F.col("c_custkey") % 3 == 0, "Nation").otherwise("Planet"), F.lit(")-[:CONTAINS]->(c:customer) WHERE s."), F.when(F.col("c_custkey") % 4 == 0, "Name").otherwise("Width"), F.lit(" = 'x' RETURN c.c_acctbal")
+        F.lit("MATCH (s:"), F.when(F.col("c_custkey") % 3 == 0, "Nation").otherwise("Planet"), F.lit(")-[:CONTAINS]->(c:customer) WHERE s."), F.when(F.col("c_custkey") % 4 == 0, "Name").otherwise("Width"), F.lit(" = 'x' RETURN c.c_acctbal, c.id, s.labels, s.type")
     )
     blank = F.when(F.col("c_custkey") % 11 == 0, F.lit("  ")).when(F.col("c_custkey") % 13 == 0, F.lit("RETURN 1")).otherwise(query)
     valid = [F.array(*map(F.lit, names)) for names in (("nation", "customer"), ("name", "c_acctbal"))]
@@ -119,8 +119,8 @@ def scalar_set_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stddev_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as runs of a nation: mean and sample deviation, 0 for a single run."""
-    return _runs(spark.read.parquet(f"{sf}/customer.parquet").where("c_nationkey > 0 OR c_custkey = 1"))
+    """Customers as runs of their nations: mean and sample deviation, 0 for a single run."""
+    return _runs(spark.read.parquet(f"{sf}/customer.parquet"))
 
 
 def stddev_by_group_all(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,11 +149,11 @@ _RESULTS = """(SELECT o_orderkey AS index, o_orderstatus, o_orderpriority, gold,
       1.0 + count(DISTINCT l_partkey) FILTER (l_partkey % 2 = 0)::DOUBLE AS made FROM lineitem GROUP BY 1) ON gold = o_orderkey)"""
 
 ORACLES = {
-    "record_tokens": "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment || '~num:' || c_nationkey || '~bool:' || (c_acctbal > 0) END AS token FROM customer",
+    "record_tokens": "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment || '~num:' || c_nationkey || '~bool:' || (c_acctbal > 0)::INT END AS token FROM customer",
     "list_tokens": "SELECT n_regionkey, string_agg('g-' || n_name, '+' ORDER BY 'g-' || n_name) AS token FROM nation GROUP BY 1",
     "numeric_text": "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'num:' || p_size ELSE p_brand END AS token, count(*) AS n FROM part GROUP BY 1",
-    "svr_json": """SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 4) AS valid, CASE o_orderkey % 5 WHEN 0 THEN o_orderstatus || ',num:5' WHEN 1 THEN array_to_string(list_sort(list_distinct(['bool:true', 'num:' || o_custkey, 'num:7'])), ',') WHEN 4 THEN '' END AS tokens
-        FROM orders WHERE o_orderkey % 10 < 5""",
+    "svr_json": """SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 4) AS valid, CASE o_orderkey % 5 WHEN 0 THEN o_orderstatus || ',num:5' WHEN 1 THEN array_to_string(list_sort(list_distinct(['bool:1', 'num:' || o_custkey, 'num:7'])), ',') WHEN 4 THEN '' END AS tokens
+        FROM orders""",
     "scr_labels_props": """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 0 WHEN c_custkey % 13 = 0 THEN 1 ELSE round((2 + (c_custkey % 3 = 0)::INT + (c_custkey % 4 = 0)::INT) / 4, 6) END::DOUBLE AS scr,
           CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 3 = 0 THEN '' ELSE 'Planet' END AS labels, CASE WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 4 = 0 THEN '' ELSE 'Width' END AS properties FROM customer""",
     "token_jaccard": f"SELECT index, round(ea, 6) AS ea FROM {_RESULTS}",
@@ -164,8 +164,8 @@ ORACLES = {
     "category_summary": f"SELECT o_orderstatus AS category, count(*) AS n, round(avg(svr), 4) AS svr, round(avg(ea) FILTER (gold IS NOT NULL), 4) AS ea FROM {_RESULTS} GROUP BY 1",
     "metrics_by_group": f"SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(ea), 4) AS ea FROM {_RESULTS} GROUP BY 1, 2",
     "scalar_set_split": f"SELECT round(avg(ea) FILTER (gold IS NOT NULL), 4) AS scalar, 0::DOUBLE AS sets, count(*) AS n FROM {_RESULTS}",
-    "stddev_by_group": "SELECT c_nationkey, count(*) AS runs, round(avg(c_acctbal), 4) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 4) AS std FROM customer WHERE c_nationkey > 0 OR c_custkey = 1 GROUP BY 1",
-    "svr_json_all": """SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 4) AS valid, CASE o_orderkey % 5 WHEN 0 THEN o_orderstatus || ',num:5' WHEN 1 THEN array_to_string(list_sort(list_distinct(['bool:true', 'num:' || o_custkey, 'num:7'])), ',') WHEN 4 THEN '' END AS tokens
+    "stddev_by_group": "SELECT c_nationkey, count(*) AS runs, round(avg(c_acctbal), 4) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 4) AS std FROM customer GROUP BY 1",
+    "svr_json_all": """SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 4) AS valid, CASE o_orderkey % 5 WHEN 0 THEN o_orderstatus || ',num:5' WHEN 1 THEN array_to_string(list_sort(list_distinct(['bool:1', 'num:' || o_custkey, 'num:7'])), ',') WHEN 4 THEN '' END AS tokens
         FROM orders""",
     "stddev_by_group_all": "SELECT c_nationkey, count(*) AS runs, round(avg(c_acctbal), 4) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 4) AS std FROM customer GROUP BY 1",
 }

@@ -195,7 +195,18 @@ def test_tokens(spark):
         tokens.value_token(values.value(F.lit(5.0), __import__("pyspark.sql.types", fromlist=["x"]).DoubleType())).alias("d"),
     ).first()
     assert sel["r"] == "Level 1\x1enum:5" and sel["b"] == "g-a\x1fg-b\x1fg-c" and sel["n"] is None and sel["z"] is None
-    assert sel["a"] == ["num:5", "num:3.14", "bool:true", "x"] and sel["d"] == "num:5.0"
+    assert sel["a"] == ["num:5", "num:3.14", "bool:1", "x"] and sel["d"] == "num:5.0"
+
+
+def test_tokens_of_numbers(spark):
+    cells = ["12345678901234567890", "+0012", "-0", "12345678.9", "0.0001", "1e7", "5."]
+    got = spark.range(1).select(*(tokens.text(F.lit(c)).alias(f"t{k}") for k, c in enumerate(cells))).first()
+    assert list(got) == ["num:12345678901234567890", "num:12", "num:0", "num:12345678.9", "num:0.0001", "num:10000000.0", "num:5.0"]
+
+
+def test_properties_leave_out_functions(spark):
+    got = spark.range(1).select(scoring.used_properties(F.lit("RETURN a.id, a.Name, b.labels, b.type, c.Width")).alias("p")).first()
+    assert got["p"] == ["Name", "Width"]
 
 
 def test_accuracy(spark):

@@ -18,7 +18,18 @@ def engine(spark, sf):
 
 def test_execute(engine):
     assert {r["token"] for r in engine.execute("nations").collect()} >= {"N:0", "N:24"}
-    assert engine.gold(["rich", "nothing"]).count() == 1
+    got = {r["index"]: (len(r["gold"]) > 0, r["error"]) for r in engine.gold(["rich", "nothing"]).collect()}
+    assert got == {0: (True, None), 1: (False, "no query: nothing")}
+
+
+def test_failing_queries_are_rows(engine, spark):
+    """A query that cannot be planned, and one that fails as it runs, give no tokens and a message; the others go on."""
+    engine.queries["unknown"] = lambda g: g.tables["Nation"].df.select("no_such_column")
+    engine.queries["fails"] = lambda g: g.tables["Nation"].df.select(F.raise_error(F.lit("broken")).alias("x"))
+    got = {r["index"]: (len(r["gold"]), r["error"]) for r in engine.gold(["unknown", "rich", "fails"]).collect()}
+    assert got[1][0] > 0 and got[1][1] is None
+    assert all(got[k][0] == 0 and got[k][1].startswith("execution_failed") for k in (0, 2))
+    del engine.queries["unknown"], engine.queries["fails"]
 
 
 def test_validate(engine, spark):
