@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.functions import tokens, values
-from propgraph.operators import grammar, profile, scoring
+from propgraph.operators import grammar, profile, reports, scoring
 from propgraph.operators.closure import keep
 from propgraph.operators.graph import PropertyGraph
 
@@ -123,6 +123,16 @@ class Engine:
         """Scores of outputs (index, svr, scr, tokens) against cases (index, gold)."""
         return scoring.evaluate(cases, outputs)
 
+    def score(self, outputs: DataFrame) -> DataFrame:
+        """outputs (output, output_type) with svr and scr, each by its type."""
+        valid = [F.array(*(F.lit(x.lower()) for x in names)) for names in (self.labels, self.properties)]
+        svr = reports.syntax_validity(F.col("output"), F.col("output_type"), self.regex)
+        return outputs.select("*", svr.alias("svr"), reports.compliance(F.col("output"), F.col("output_type"), *valid).alias("scr"))
+
+    def compare(self, cases: DataFrame, outputs: DataFrame) -> dict[str, DataFrame]:
+        """The comparison of outputs of several settings (see reports.comparison)."""
+        return reports.comparison(self.evaluate(cases, outputs))
+
     def run(self, questions: list[str], generator: Generator, setting: str, context: str = "") -> list[dict[str, str | int | None]]:
         """(index, question, output, error) of each question; a failing generation is a row with its error, not the end of the run."""
         out: list[dict[str, str | int | None]] = []

@@ -47,6 +47,20 @@ def system_prompt(context: Context, setting: str, most_examples: int = 3) -> str
     return "\n\n".join(parts)
 
 
+def listing_prompt(labels: list[str], properties: list[str]) -> str:
+    """The prompt without a vocabulary: sorted labels and properties, or a line that none are known."""
+    lines = lambda names, kind: "\n".join(f"  - {x}" for x in sorted(names)) or f"  (no schema loaded: use any valid {kind})"
+    return f"You translate questions about a property graph into queries.\n\nLabels:\n{lines(labels, 'label')}\n\nProperties:\n{lines(properties, 'property')}"
+
+
+def choose(setting: str, context: Context | None, labels: list[str] = [], properties: list[str] = [], grounding: str = "") -> str:
+    """The prompt of a setting: of queries the vocabulary's if there is one, else the listing; of direct answers with the grounding text if grounded."""
+    if writes_queries(setting):
+        return system_prompt(context, setting) if context else listing_prompt(labels, properties)
+    task = "Answer questions about a model with a JSON list alone."
+    return f"{task}\n\n{grounding}" if grounded(setting) and grounding else task
+
+
 def user_prompt(question: str) -> str:
     return f"Question: {question}\nQuery:"
 

@@ -87,7 +87,7 @@ def summary(results: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("n"),
         *(_mean(m).alias(f"{m}_mean") for m in ("svr", "scr", "ea", "f1")),
         F.count_if(F.col("svr") > 0).alias("valid"),
-        F.count_if(F.col("ea") >= 1.0).alias("perfect"),
+        F.count_if((F.col("svr") == 1) & (F.col("scr") == 1) & (F.col("ea") == 1)).alias("perfect"),
         _mean("ea", scalar).alias("ea_mean_scalar"),
         _mean("ea", filled & ~scalar).alias("ea_mean_set"),
         _mean("ea", filled).alias("ea_mean_non_trivial"),
@@ -95,10 +95,11 @@ def summary(results: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def ranking(summaries: DataFrame, setting: str, metrics: list[str]) -> DataFrame:
-    """(metric, place, setting): settings by each metric, best first; ties go by name."""
+def ranking(summaries: DataFrame, setting: str, metrics: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, place, setting): settings by each metric, best first; ties go in the given order, then by name."""
     rows = summaries.select(setting, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("score")) for m in metrics))))
-    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.col("score").desc(), setting))
+    given = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)).cast("array<string>"), F.col(setting)), F.lit(0)), F.lit(len(order) + 1))
+    place = F.row_number().over(Window.partitionBy("metric").orderBy(F.col("score").desc(), given, setting))
     return rows.select("metric", place.alias("place"), setting)
 
 

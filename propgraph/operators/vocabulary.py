@@ -7,6 +7,7 @@ signatures (src_label, type, dst_label).
 from __future__ import annotations
 
 import re
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,6 +64,24 @@ def with_graph(entities: DataFrame, properties: DataFrame, label_counts: DataFra
     return entities.unionByName(added), kept
 
 
+def merge(document: tuple[DataFrame, DataFrame] | None, model: tuple[DataFrame, DataFrame] | None, graph: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities and properties of a document, a model and a graph, each of which may be absent.
+
+    document: (entity) and (property, data_type, choices); model: (entity, n) and (property); graph: label counts and
+    known keys.  First the entities and properties are merged, then corrected by the graph.
+    """
+    given = document or model or graph
+    if given is None:
+        raise ValueError("a vocabulary needs a document, a model or a graph")
+    nothing = lambda schema: given[0].sparkSession.createDataFrame([], schema)
+    own = document or (nothing("entity string"), nothing("property string, data_type string, choices array<string>"))
+    seen = model or (nothing("entity string, n long"), nothing("property string"))
+    if model is None and graph is not None:
+        seen = (seen[0], graph[1].select(F.col("key").alias("property")).distinct())
+    entities, properties = merge_entities(seen[0], own[0]), merge_properties(seen[1], own[1])
+    return (entities, properties) if graph is None else with_graph(entities, properties, *graph)
+
+
 def named(properties: DataFrame, name: str) -> DataFrame:
     """The property of a name: exactly, else in any case."""
     exact = properties.where(F.col("property") == name).withColumn("_r", F.lit(0))
@@ -112,8 +131,3 @@ def few_shot_examples(graph_counts: dict[str, int], signatures: list[tuple[str,
             break
     seen: set[str] = set()
     return [e for e in out if not (e["query"] in seen or seen.add(e["query"]))][:most]
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    """Distinct rows of several vocabularies of one shape."""
-    return reduce(DataFrame.unionByName, frames).distinct()
