@@ -11,7 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from propgraph.functions import values
@@ -134,8 +135,24 @@ class PropertyGraph:
         return self.labelled().groupBy("node_id").count().where("count > 1")
 
     def write(self, path: str) -> None:
-        """Node tables by leaf and edge tables by type, overwriting what was there: a reload never doubles anything."""
+        """Node tables by leaf and edge tables by type, in place of what was there: leaves and types that the graph lacks are emptied."""
         for leaf, t in self.tables.items():
             t.df.write.mode("overwrite").parquet(f"{path}/nodes/leaf={leaf}")
         for kind, e in self.edges.items():
             e.df.write.mode("overwrite").parquet(f"{path}/edges/type={kind}")
+        session = next(iter(self.tables.values())).df.sparkSession
+        _wipe(session, f"{path}/nodes", "leaf", set(self.tables))
+        _wipe(session, f"{path}/edges", "type", set(self.edges))
+
+
+def _wipe(session: SparkSession, folder: str, part: str, kept: set[str]) -> None:
+    """Empties the parts of a folder that are not kept; names of parts are a few hundred."""
+    try:
+        there = session.read.parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no part was ever written
+            return
+        raise
+    for name in sorted({str(r[0]) for r in there.select(part).distinct().collect()} - kept):
+        old = session.read.parquet(f"{folder}/{part}={name}").schema
+        session.createDataFrame([], old).write.mode("overwrite").parquet(f"{folder}/{part}={name}")

@@ -7,7 +7,6 @@ signatures (src_label, type, dst_label).
 from __future__ import annotations
 
 import re
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,8 +130,11 @@ def dump(spark: SparkSession, path: str) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, order: list[str], text: str, budget: int) -> DataFrame:
-    """The first rows, in order, whose texts' tokens (a quarter of the characters each) together stay within a budget."""
-    from pyspark.sql import Window
+    """The first rows, in order, whose texts' tokens (a quarter of the characters each) together stay within a budget.
 
+    Rows of null or empty text take nothing from it and are left out.  Every other takes a token at least, so the
+    first budget + 1 hold all that can fit: only those meet in the running sum's one task.
+    """
+    first = rows.where(F.length(text) > 0).orderBy(*order).limit(budget + 1)
     so_far = F.sum(F.ceil(F.length(text) / 4)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_sum", so_far).where(F.col("_sum") <= budget).drop("_sum")
+    return first.withColumn("_sum", so_far).where(F.col("_sum") <= budget).drop("_sum")

@@ -1,4 +1,4 @@
-"""Building models in STEP files (one record to a line, as exporters write them), read as text lines.
+"""Building models in STEP files (one record to a line, as exporters write them, or over several), read as text.
 
 A file is split between tasks like any text file; records are cut into arguments with regular
 expressions, and references are joined by (file, id), so many models load as one job.
@@ -29,28 +29,47 @@ SUPERTYPES = [
     ("IfcWallType", "IfcBuildingElementType"), ("IfcDoorType", "IfcBuildingElementType"), ("IfcWindowType", "IfcBuildingElementType"),
 ]
 
-#: Relation class -> (edge type, place of the source argument, place of the target argument).
+#: Relation class, subtypes too -> (edge type, place of the source argument, place of the target argument).
 RELATIONS = {
     "IFCRELCONTAINEDINSPATIALSTRUCTURE": ("CONTAINS", 5, 4),
     "IFCRELAGGREGATES": ("DECOMPOSES", 4, 5),
     "IFCRELVOIDSELEMENT": ("HAS_OPENING", 4, 5),
     "IFCRELFILLSELEMENT": ("FILLS", 5, 4),
     "IFCRELSPACEBOUNDARY": ("BOUNDED_BY", 4, 5),
+    "IFCRELSPACEBOUNDARY1STLEVEL": ("BOUNDED_BY", 4, 5),
+    "IFCRELSPACEBOUNDARY2NDLEVEL": ("BOUNDED_BY", 4, 5),
     "IFCRELCONNECTSELEMENTS": ("CONNECTED_TO", 5, 6),
     "IFCRELCONNECTSPATHELEMENTS": ("CONNECTED_TO", 5, 6),
+    "IFCRELCONNECTSWITHREALIZINGELEMENTS": ("CONNECTED_TO", 5, 6),
     "IFCRELDEFINESBYTYPE": ("IS_OF_TYPE", 4, 5),
 }
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, id, class, args: array<string>) of every record.  A missing path fails when it is read."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+def _lines(spark: SparkSession, path: str, ends: str | None) -> DataFrame:
+    if ends is None:
+        return spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    pieces = spark.read.option("lineSep", ends).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\s*[\r\n]+\s*", " ").alias("value"))
+    return pieces.select("file", F.concat(F.rtrim("value"), F.when(F.rtrim("value").endswith(";"), "").otherwise(F.lit(";"))).alias("value"))
+
+
+def records(spark: SparkSession, path: str, ends: str | None = None) -> DataFrame:
+    """(file, id, class, args: array<string>) of every record.  A missing path fails when it is read.
+
+    ends: None for a record to a line; for files whose records go over several lines, what a record ends with,
+    semicolon and line break (";\\n" or ";\\r\\n").  What is left out either way is counted by unread().
+    """
+    lines = _lines(spark, path, ends)
     parts = lines.where(F.col("value").rlike(RECORD)).select(
         "file", F.regexp_extract("value", RECORD, 1).cast("long").alias("id"), F.upper(F.regexp_extract("value", RECORD, 2)).alias("class"), F.regexp_extract("value", RECORD, 3).alias("body")
     )
     return parts.select("file", "id", "class", F.transform(F.regexp_extract_all("body", F.lit(ARGUMENT), F.lit(1)), lambda a: F.trim(a)).alias("args"))
 
 
+def unread(spark: SparkSession, path: str, ends: str | None = None) -> DataFrame:
+    """(file, n): per file the lines that begin like a record but are none as a whole, so that records() leaves them out."""
+    return _lines(spark, path, ends).where(F.col("value").rlike(r"^\s*#[0-9]+\s*=") & ~F.col("value").rlike(RECORD)).groupBy("file").agg(F.count("*").alias("n"))
+
+
 def text_of(arg: Column) -> Column:
     """The text of an argument such as 'a' or IFCLABEL('a'); null for $ and *."""
     inner = F.regexp_extract(arg, rf"^(?:[A-Za-z0-9_]+\()?({_TEXT})\)?$", 1)
