@@ -61,3 +61,15 @@ def test_stream_of_rates(spark, sf, tmp_path):
     got = spark.table("rates").agg(F.sum("n")).first()[0]
     assert got == 6 * events.count()
     assert rates.within_rate(spark.table("rates"), 1, 1e9).count() >= 0
+
+
+def test_scores_and_comparison_of_settings(engine, spark):
+    made = spark.createDataFrame(
+        [(0, "query_soft", "query", "MATCH (n:Nation) RETURN n.Name", ["a"]), (0, "direct", "direct", "no list", ["a"]), (1, "query_soft", "query", "MATCH (n:Planet) RETURN n.Name", None)],
+        "index int, setting string, output_type string, output string, tokens array<string>",
+    ).select("*", F.lit(None).cast("string").alias("difficulty"), F.lit("names").alias("category"))
+    scored = engine.score(made)
+    assert sorted((r["setting"], r["index"], r["svr"], r["scr"]) for r in scored.collect()) == [("direct", 0, 0.0, 1.0), ("query_soft", 0, 1.0, 1.0), ("query_soft", 1, 0.0, 0.5)]
+    cases = spark.createDataFrame([(0, ["a"]), (1, ["b"])], "index int, gold array<string>")
+    means = {r["setting"]: (r["n"], r["ea_mean"], r["perfect"]) for r in engine.compare(cases, scored)["setting_results"].collect()}
+    assert means == {"query_soft": (2, 0.5, 1), "direct": (1, 0.0, 0)}
