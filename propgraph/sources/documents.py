@@ -79,8 +79,15 @@ def properties_of(pairs: DataFrame, entity: str) -> DataFrame:
 
 
 #: What stands in for a document that names nothing.
-COMMON_ENTITIES = ("IFCWALL", "IFCDOOR", "IFCWINDOW", "IFCSLAB", "IFCSPACE", "IFCBUILDINGSTOREY", "IFCBUILDING", "IFCCOLUMN", "IFCBEAM", "IFCSTAIR", "IFCROOF", "IFCRAILING")
-COMMON_PROPERTIES = ("Name", "GlobalId", "Description", "ObjectType", "FireRating", "IsExternal", "LoadBearing", "ThermalTransmittance", "AcousticRating")
+COMMON_ENTITIES = (
+    "IFCPROJECT", "IFCSITE", "IFCBUILDING", "IFCBUILDINGSTOREY", "IFCSPACE", "IFCWALL", "IFCWALLSTANDARDCASE", "IFCSLAB", "IFCROOF", "IFCCOLUMN", "IFCBEAM", "IFCMEMBER", "IFCDOOR", "IFCWINDOW",
+    "IFCSTAIR", "IFCRAMP", "IFCRAILING", "IFCCURTAINWALL", "IFCPLATE", "IFCFLOWSEGMENT", "IFCFLOWTERMINAL", "IFCFLOWFITTING", "IFCPIPESEGMENT", "IFCDUCTSEGMENT", "IFCOPENINGELEMENT",
+    "IFCVOIDINGELEMENT", "IFCFURNISHINGELEMENT", "IFCBUILDINGELEMENTPROXY",
+)
+COMMON_PROPERTIES = (
+    "GlobalId", "Name", "Description", "ObjectType", "FireRating", "IsExternal", "LoadBearing", "Reference", "ThermalTransmittance", "AcousticRating", "NetArea", "GrossArea", "NetVolume",
+    "GrossVolume", "Length", "Width", "Height", "Perimeter", "NominalLength", "NominalWidth", "NominalHeight", "Status", "Phase",
+)
 
 
 def or_common(found: DataFrame, column: str, common: tuple[str, ...]) -> DataFrame:
