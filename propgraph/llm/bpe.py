@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propgraph.llm.common import whole_text
-from propgraph.llm.pretokens import Memo, compiled, exotic
+from propgraph.llm.pretokens import Memo, compiled, pretokens
 
 #: Characters of a chunk, and how far it reaches into the next one.
 CHUNK, OVERLAP = 32_768, 512
@@ -42,7 +42,7 @@ def _coder(path: str, pattern: str):
     def packed(text: str) -> bytes:
         return np.array(coder.encode_ordinary(text), dtype="<i4").tobytes()
 
-    return packed, Memo(packed).__getitem__, compiled(pattern)
+    return Memo(packed).__getitem__, compiled(pattern).findall
 
 
 @functools.cache
@@ -56,24 +56,21 @@ def _bytes_of(path: str) -> list[bytes]:
 
 def encode_text(text: str, path: str, pattern: str) -> bytes:
     """The ids of one text as little-endian 32-bit integers."""
-    packed, piece, pre = _coder(path, pattern)
-    return packed(text) if exotic(text) else b"".join(map(piece, pre.findall(text)))
+    piece, find = _coder(path, pattern)
+    return b"".join(map(piece, pretokens(text, find)))
 
 
 def cut(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
-    """(start, chunk) of each chunk; the last one ends with the text.  A text on whose characters the pattern's libraries might differ stays whole."""
-    if len(text) <= size or exotic(text):
+    """(start, chunk) of each chunk; the last one ends with the text."""
+    if len(text) <= size:
         return [(0, text)]
     return [(k, text[k : k + size + overlap]) for k in range(0, len(text), size)]
 
 
 def encode_chunk(start: int, chunk: str, path: str, pattern: str) -> tuple[bytes, bytes, bytes]:
-    """Of each pre-token of a chunk: where it ends in the document, and how many ids it has; then all ids."""
-    packed, piece, pre = _coder(path, pattern)
-    if exotic(chunk):
-        ids = packed(chunk)
-        return np.array([start + len(chunk)], "<i8").tobytes(), np.array([len(ids) // 4], "<i4").tobytes(), ids
-    pieces = pre.findall(chunk)
+    """Of each pre-token (or stretch left to the library) of a chunk: where it ends in the document, and how many ids it has; then all ids."""
+    piece, find = _coder(path, pattern)
+    pieces = pretokens(chunk, find)
     ids = [piece(p) for p in pieces]
     ends = start + np.cumsum(np.fromiter(map(len, pieces), "<i8", len(pieces)))
     return ends.astype("<i8").tobytes(), (np.fromiter(map(len, ids), "<i4", len(ids)) // 4).astype("<i4").tobytes(), b"".join(ids)

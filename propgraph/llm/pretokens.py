@@ -1,8 +1,9 @@
 """Cutting a text into pre-tokens exactly as the tokenizer libraries do, and the memo of their tokens.
 
 The libraries carry their own Unicode tables.  The ``regex`` module agrees with them on the
-characters in SAFE (compared character by character, see tests/llm/test_tokens.py); a text with any
-other character is handed to the library as a whole, so results never depend on that agreement.
+characters in SAFE (compared character by character, see tests/llm/test_tokens.py); of a text with
+other characters only the stretches between white space that hold one are handed to the library, so
+results never depend on that agreement.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: punctuation, currency signs, kana and the common Han block.
 SAFE = r"\x00-ɏ‐-⁞₠-₿ぁ-ゖ゠-ヿ一-龥"
 EXOTIC = regex.compile(f"[^{SAFE}]")
+#: Characters that some version of Unicode or some library has as white space, or that are near such.
+MAYBE_SPACE = r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
+#: Where every split here ends a pre-token: white space after a character that no version of Unicode has as white space.
+#: No pre-token goes on from one to the other, and no rule looks back, so what follows is cut as a text of its own.
+STRETCH = regex.compile(r"[ \t\n\r]*+(?:[^ \t\n\r]|(?<=[\s" + MAYBE_SPACE + r"])[ \t\n\r])*+")
 #: Pieces longer than this are encoded each time and not remembered.
 MEMO_CHARS = 64
 #: Remembered pieces of one Python worker, some 200 bytes each.
@@ -60,6 +66,16 @@ def compiled(pattern: str) -> re.Pattern:
     return re.compile(out.replace(r"\S", "[^" + kinds[r"\s"] + "]"))
 
 
+def pretokens(text: str, find) -> list[str]:
+    """What a text is encoded by: the pre-tokens that `find` (of a compiled split) gives, and each stretch with an exotic character in one piece, for the library to cut."""
+    if not exotic(text):
+        return find(text)
+    out: list[str] = []
+    for stretch in STRETCH.findall(text):
+        out += [stretch] if exotic(stretch) else find(stretch)
+    return out
+
+
 @functools.cache
 def byte_of_char() -> dict[str, int]:
     """The printable stand-in of each byte in a byte-level vocabulary: printable Latin-1 is itself, others follow from U+0100."""

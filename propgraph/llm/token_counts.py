@@ -2,7 +2,8 @@
 
 Offline, every string of the vocabulary is encoded alone; those that come back as their own single
 id are *proven whole*.  At run time a pre-token found in that set counts one without any merging,
-and only the others are merged (each distinct one once per worker).
+and only the others are merged (each distinct one once per worker).  A stretch with characters whose
+class the libraries might see otherwise is one piece here, cut and merged by the library.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from propgraph.llm.common import unused, whole_text
-from propgraph.llm.pretokens import Memo, as_shown, byte_of_char, compiled, exotic
+from propgraph.llm.pretokens import Memo, as_shown, byte_of_char, compiled, exotic, pretokens
 
 
 @functools.cache
@@ -27,7 +28,7 @@ def _tokenizer(path: str):
 
 
 def proven_whole(path: str) -> frozenset[str]:
-    """The pre-tokens that are one token: vocabulary strings that the pattern leaves whole and that encode alone as their own id."""
+    """The pieces that are one token: vocabulary strings that the pattern leaves whole and that encode alone as their own id."""
     tok, back, find = _tokenizer(path), byte_of_char(), compiled(public_tokenizers.PATTERN).findall
     special = {t.content for t in tok.get_added_tokens_decoder().values()}
     strings: dict[str, int] = {}
@@ -36,7 +37,7 @@ def proven_whole(path: str) -> frozenset[str]:
             s = bytes(back[c] for c in shown).decode()
         except (KeyError, UnicodeDecodeError):
             continue  # part of a character, or no byte-level string
-        if s not in special and not exotic(s) and find(s) == [s]:
+        if s not in special and (exotic(s) or find(s) == [s]):
             strings[s] = i
     found = tok.encode_batch(list(strings), add_special_tokens=False)
     return frozenset(s for (s, i), e in zip(strings.items(), found, strict=True) if e.ids == [i])
@@ -49,16 +50,15 @@ def _counter(path: str, whole: frozenset[str]):
     cut = compiled("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
     find = compiled(public_tokenizers.PATTERN).findall
     merge = tok.model.tokenize  # the merges alone: the piece is cut already
-    memo = Memo(lambda piece: len(merge(as_shown(piece))), dict.fromkeys(whole, 1))
-    value = memo.__getitem__
+
+    def merged(piece: str) -> int:
+        return len(tok.encode(piece, add_special_tokens=False).ids) if exotic(piece) else len(merge(as_shown(piece)))
+
+    value = Memo(merged, dict.fromkeys(whole, 1)).__getitem__
 
     def count(text: str) -> int:
-        if exotic(text):
-            return len(tok.encode(text, add_special_tokens=False).ids)
-        if "<" not in text:
-            return sum(map(value, find(text)))
-        parts = cut.split(text)
-        return len(parts) - 1 + sum(sum(map(value, find(p))) for p in parts)
+        parts = cut.split(text) if "<" in text else [text]
+        return len(parts) - 1 + sum(sum(map(value, pretokens(p, find))) for p in parts)
 
     return count
 

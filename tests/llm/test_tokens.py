@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from propgraph.llm import bpe, packing, queries, token_counts
-from propgraph.llm.pretokens import Memo
+from propgraph.llm.pretokens import Memo, compiled, pretokens
 
 JSON, RANKS, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
 PATTERN = public_tokenizers.PATTERN
-PIECES = ["a", "B ", " ", "\n", "'S", "'s", "!", "É", "é", "1", "  ", "ing", "<|endoftext|>", "<|startoftext|>", "<|", "ü", "\t", "日", "Σ", "İ", "ß", "\xa0", "Don't", "\x1c", "\x85", "é", "λ", "\U0001f600", "x" * 90]
+PIECES = ["a", "B ", " ", "\n", "'S", "'s", "!", "É", "é", "1", "  ", "ing", "<|endoftext|>", "<|startoftext|>", "<|", "ü", "\t", "日", "Σ", "İ", "ß", "\xa0", "Don't", "\x1c", "\x85", "é", "λ", "\U0001f600", "x" * 90, "привет", " мир", "\u3000", "\u2028", "\u200b", "\u180e", "กข", "'", "\u0301", "한", " \n", "…"]
 texts = st.lists(st.sampled_from(PIECES), max_size=60).map("".join)
 
 
@@ -61,6 +61,12 @@ def test_safe_characters_agree(libraries, counter):
         assert counter(s) == len(full.encode(s, add_special_tokens=False).ids), hex(c)
 
 
+def test_only_stretches_are_handed_over():
+    find = compiled(PATTERN).findall
+    assert pretokens("one two \U0001f600! three\n\nλ four", find) == ["one", " two", " \U0001f600!", " three", "\n\nλ", " four"]
+    assert pretokens("a\u3000 b \u3000", find) == ["a\u3000 b", " \u3000"]  # white space that the libraries may join
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr("propgraph.llm.pretokens.MEMO_PIECES", 10)
     memo = Memo(str.upper, {"k": "K"})
@@ -68,7 +74,7 @@ def test_memo_is_bounded(monkeypatch):
     assert len(memo) + len(memo.old) <= 14 and memo["k"] == "K"
 
 
-ODD = [(1, "a b <|endoftext|> c", "x"), (2, None, "x"), (3, "", None), (3, "", None), (None, "word", "y"), (4, "abc " * 30_000, "z"), (5, "λ" * 40_000, "z")]
+ODD = [(1, "a b <|endoftext|> c", "x"), (2, None, "x"), (3, "", None), (3, "", None), (None, "word", "y"), (4, "abc " * 30_000, "z"), (5, "λ" * 40_000, "z"), (6, "мир and word, " * 6_000, "z")]
 
 
 @pytest.fixture(scope="module")
@@ -89,6 +95,7 @@ def test_round_trip_of_odd_rows(odd, libraries):
     assert sorted((r["doc_id"] or 0, bytes(r["decoded"]).decode()) for r in rows) == sorted((r[0] or 0, r[1] or "") for r in ODD)
     ids = {r["doc_id"]: r["ids"] for r in rows}
     assert ids[4] == libraries[1].encode_ordinary(ODD[5][1]) and ids[2] == []
+    assert all(ids[r[0]] == libraries[1].encode_ordinary(r[1]) for r in ODD[6:])
     assert bpe.encode(odd.limit(0), RANKS, PATTERN).count() == 0
 
 
