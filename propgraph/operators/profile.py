@@ -15,6 +15,8 @@ MOST_VALUES, MEAN_LENGTH, PROBES = 50, 80, 12
 PRIORITY = ("Name", "LongName", "ObjectType", "PredefinedType", "FireRating", "Material", "Category")
 #: Fixed value: properties whose values are never listed.
 EXCLUDED = ("GlobalId", "Tag", "OwnerHistory", "ObjectPlacement", "Description", "LongDescription", "Representation")
+#: Sources of one target that are compared within one cell.
+SOURCES = 1024
 
 
 def label_counts(graph: PropertyGraph) -> DataFrame:
@@ -142,8 +144,17 @@ def class_profile(graph: PropertyGraph) -> DataFrame:
     return n.join(keys, "leaf", "left")
 
 
-def shared_neighbours(edges: DataFrame) -> DataFrame:
-    """(a, b): pairs of sources that have a target in common, a < b."""
+def shared_neighbours(edges: DataFrame, block: int = SOURCES) -> DataFrame:
+    """(a, b): pairs of sources that have a target in common, a < b, once each.
+
+    The sources of a target are dealt to blocks of about `block`, and two blocks meet in a cell of their
+    own: a target with very many sources is compared by many tasks, in at most about block^2 pairs each.
+    Rows with a null end have no part in it.
+    """
     pair = edges.select("src", "dst").distinct()
-    other = pair.select(F.col("src").alias("b"), "dst")
-    return pair.join(other, "dst").where("src < b").select(F.col("src").alias("a"), "b").distinct()
+    blocks = pair.groupBy("dst").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = pair.join(blocks, "dst").withColumn("own", F.pmod(F.xxhash64("src"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = dealt.select(F.col("src").alias("a"), "dst", F.col("own").alias("row"), every.alias("col"))
+    other = dealt.select(F.col("src").alias("b"), "dst", every.alias("row"), F.col("own").alias("col"))
+    return one.join(other, ["dst", "row", "col"]).where("a < b").select("a", "b").distinct()

@@ -140,11 +140,8 @@ def derived_contains(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shared_neighbour_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers that fill a part of the smallest sizes together."""
-    g = graph(spark, sf)
-    small = g.nodes("Part").where("p_size <= 2").select("node_id")
-    fills = g.edges["FILLS"].df.join(small, F.col("dst") == F.col("node_id"), "left_semi")
-    return profile.shared_neighbours(fills)
+    """Suppliers that fill a part together."""
+    return profile.shared_neighbours(graph(spark, sf).edges["FILLS"].df)
 
 
 QUERIES = {
@@ -189,6 +186,6 @@ ORACLES = {
         up(src, dst) AS (SELECT src, dst FROM e WHERE starts_with(src, 'R:') UNION SELECT up.src, e.dst FROM up JOIN e ON up.dst = e.src)
         SELECT src, count(*) AS n FROM up GROUP BY 1""",
     "derived_contains": "SELECT 'N:' || c_nationkey AS src, count(DISTINCT o_orderkey) AS n, count(DISTINCT o_orderkey) AS derived FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1",
-    "shared_neighbour_pairs": """WITH f AS (SELECT DISTINCT 'S:' || l_suppkey AS s, l_partkey AS p FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 2)
+    "shared_neighbour_pairs": """WITH f AS (SELECT DISTINCT 'S:' || l_suppkey AS s, l_partkey AS p FROM lineitem)
         SELECT DISTINCT x.s AS a, y.s AS b FROM f x JOIN f y ON x.p = y.p AND x.s < y.s""",
 }

@@ -140,6 +140,16 @@ def test_profile(building):
     assert {(r["label"], r["key"]) for r in profile.known_keys(building).collect()} >= {("IfcSpace", "Name")}
 
 
+def test_shared_neighbours_in_cells(spark):
+    edges = [(f"s{k}", "hub") for k in range(40)] + [("s1", "x"), ("s1", "x"), ("t", "x"), ("alone", "y"), (None, "hub"), ("u", None), ("w", None)]
+    made = spark.createDataFrame(edges, "src string, dst string")
+    hub = {(a, b) for a in (f"s{k}" for k in range(40)) for b in (f"s{k}" for k in range(40)) if a < b}
+    for block in (3, 1024):
+        got = [tuple(r) for r in profile.shared_neighbours(made, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == hub | {("s1", "t")}
+    assert profile.shared_neighbours(made.limit(0)).count() == 0
+
+
 def test_write_is_idempotent(building, tmp_path, spark):
     for _ in range(2):
         building.write(str(tmp_path / "g"))
