@@ -57,11 +57,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: column pruning still works on what is kept."""
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet into the shared folder and read again, and where."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: column pruning still works on what is kept."""
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what `stored_at` wrote, once nothing reads it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Words of 64 bits that a sieve of ids may have, whatever their number: a broadcast of a few MB.

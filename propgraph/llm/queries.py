@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.llm import bpe, chat, exact_dedup, hilbert, language_id, packing, pii, simhash, token_counts, weighted_sampling
+from propgraph.llm import bpe, chat, exact_dedup, hilbert, language_id, packing, pii, simhash, token_counts, weighted_sampling, yinyang
 from propgraph.llm.common import stored, table, whole_text
 
 
@@ -129,7 +129,59 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_windows, op3_weighted_sampling, op4_hilbert_shards, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id)}
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of 64 finite components in one of 40 clusters after five rounds; vectors of other lengths or with null, nan or infinite components have no row.
+
+    Null and repeated ids are vectors of their own; no vectors, no rows.
+    """
+    vectors = yinyang.integers(table(spark, sf_dir, "embeddings"))
+    order = F.sha2(F.concat(F.lit("2:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
+    return yinyang.cluster(vectors, order)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_windows, op3_weighted_sampling, op4_hilbert_shards, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id, op12_yinyang_clusters)}
+
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """op12 in SQL: every round compares every vector with every centroid."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+            SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS c, v
+            FROM (SELECT sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM kept ORDER BY h, v LIMIT {k}))""",
+    ]
+    for t in range(rounds + 1):
+        steps.append(
+            f"""a{t} AS MATERIALIZED (
+            SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS near
+            FROM (SELECT r, vec_id, kept.v, c0.c, list_sum(list_transform(range(1, {dims + 1}), lambda i: (kept.v[i] - c{t}.v[i]) * (kept.v[i] - c{t}.v[i])))::BIGINT AS d
+                  FROM kept, c{t})
+            GROUP BY r)""".replace("c0.c,", f"c{t}.c,")
+        )
+        if t < rounds:
+            steps.append(
+                f"""c{t + 1} AS MATERIALIZED (
+            SELECT c, coalesce(m.v, c{t}.v) AS v
+            FROM c{t} LEFT JOIN (
+                SELECT c, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY i) AS v
+                FROM (SELECT near.c AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{t}, range(1, {dims + 1}) g(i) GROUP BY 1, 2)
+                GROUP BY c) m USING (c))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f"""
+        SELECT vec_id, near.c AS cluster, near.d AS distance,
+               (sum(near.d) OVER (PARTITION BY near.c))::BIGINT AS cluster_inertia,
+               (sum(near.d) OVER ())::BIGINT AS inertia,
+               sha256(list_aggregate(list_transform(c{rounds}.v, lambda x: x::VARCHAR), 'string_agg', ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = near.c"""
+    )
+
 
 #: Results of these queries in DuckDB's SQL.
 ORACLES: dict[str, str] = {
@@ -140,4 +192,5 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op12_yinyang_clusters": _clusters_sql(),
 }
