@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.llm import bpe, chat, exact_dedup, hilbert, language_id, packing, pii, simhash, token_counts, weighted_sampling, yinyang
+from propgraph.llm import bpe, chat, exact_dedup, hilbert, language_id, line_crf, packing, pii, simhash, token_counts, weighted_sampling, yinyang
 from propgraph.llm.common import stored, table, whole_text
 
 
@@ -139,7 +139,19 @@ def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.cluster(vectors, order)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_windows, op3_weighted_sampling, op4_hilbert_shards, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id, op12_yinyang_clusters)}
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by the labels of its lines, learned from the labels of documents that are not held out.
+
+    Null text counts as empty; rows of null or repeated id are documents of their own; no documents, no rows.
+    """
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    field = line_crf.learn(docs, labels.where(~line_crf.held_out()))
+    rows = docs.select("doc_id", line_crf.held_out().alias("held_out"), "text")
+    return line_crf.predict(rows, field).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_windows, op3_weighted_sampling, op4_hilbert_shards, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id, op12_yinyang_clusters, op13_line_quality)}
 
 
 
