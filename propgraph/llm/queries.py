@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.llm import bpe, chat, exact_dedup, hilbert, language_id, line_crf, packing, pii, simhash, token_counts, weighted_sampling, yinyang
+from propgraph.llm import bpe, chat, exact_dedup, hilbert, language_id, line_crf, packing, pii, prefix_trie, simhash, token_counts, weighted_sampling, yinyang
 from propgraph.llm.common import stored, table, whole_text
 
 
@@ -129,6 +129,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all conversations, each rebuilt with the beginning of its hundred's first.
+
+    Null role or text counts as empty, null turns come first, repeated rows are turns of their own; rows of null
+    conv_id have no conversation to be rebuilt and are left out; no conversations, no rows.
+    """
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector of 64 finite components in one of 40 clusters after five rounds; vectors of other lengths or with null, nan or infinite components have no row.
 
@@ -151,7 +160,7 @@ def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.predict(rows, field).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_windows, op3_weighted_sampling, op4_hilbert_shards, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id, op12_yinyang_clusters, op13_line_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_chat_windows, op3_weighted_sampling, op4_hilbert_shards, op5_simhash, op6_bpe_round_trip, op7_exact_dedup, op8_packing, op9_personal_data, op10_language_id, op11_prefix_trie, op12_yinyang_clusters, op13_line_quality)}
 
 
 
@@ -204,5 +213,37 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op11_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        owns AS (
+            SELECT conv_id, count(*) AS own, conv_id - conv_id % 100 AS base,
+                   xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1))))) % 6 AS h
+            FROM turns GROUP BY conv_id),
+        convs AS (
+            SELECT o.*, least(o.h, coalesce(b.own, 0)) AS borrowed, least(o.h, coalesce(b.own, 0)) + greatest(o.own - o.h, 0) AS n
+            FROM owns o LEFT JOIN owns b ON b.conv_id = o.base),
+        rebuilt AS (
+            SELECT c.conv_id, c.n, t.pos + 1 AS depth, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos < c.h
+            UNION ALL
+            SELECT c.conv_id, c.n, t.pos - c.h + c.borrowed + 1, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+        paths AS (
+            SELECT conv_id, n, depth, length(text) AS chars,
+                   list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path
+            FROM rebuilt
+            UNION ALL SELECT conv_id, n, 0, 0, [] FROM convs),
+        nodes AS MATERIALIZED (
+            SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = n), '')) AS ends_sha256
+            FROM paths GROUP BY path),
+        kin AS MATERIALIZED (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        sums AS (
+            SELECT path[:i] AS path, sum(saved)::BIGINT AS saved_tokens, sum((n_children IS NULL)::BIGINT)::BIGINT AS n_leaves
+            FROM (SELECT n.path, saved, n_children, unnest(range(0, depth + 1)) AS i FROM nodes n LEFT JOIN kin USING (path)) GROUP BY 1)
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+        FROM nodes n JOIN sums s USING (path) LEFT JOIN kin k USING (path) LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[:n.depth - 1]""",
     "op12_yinyang_clusters": _clusters_sql(),
 }

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propgraph.llm.common import discard, prepare, stored_at
+from propgraph.llm.common import discard, prepare, rebatched, stored_at
 
 #: Centroids of one group.
 GROUP = 10
@@ -135,18 +135,6 @@ def integers(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
     return rows.select("vec_id", F.when(F.col("large"), F.raise_error(F.lit("a component is too large for exact distances"))).otherwise(F.col("v")).cast("array<int>").alias("v"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, ROWS or a little more at a time."""
-    some: list[pa.RecordBatch] = []
-    for batch in batches:
-        some.append(batch)
-        if sum(b.num_rows for b in some) >= ROWS:
-            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
-            some = []
-    if some:
-        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
-
-
 def _listed(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -158,7 +146,7 @@ def _pass(rows: DataFrame, c: Centroids, last: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = shared.value
-        for batch in _batches(batches):
+        for batch in rebatched(batches, ROWS):
             if not batch.num_rows:
                 continue
             x = _listed(batch.column("v"), width).astype("i8")
