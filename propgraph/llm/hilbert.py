@@ -3,7 +3,9 @@
 Dimensions are quantised to BITS bits each; their bit planes drive a table of curve states (built from
 the rule of Hamilton's compact Hilbert indices) to an index of at most 2 ** 16 values.  Groups of rows
 that belong together (equal texts) are ordered by that index and cut into runs of about equal bytes, so a
-shard is a compact region, a filter on any dimension prunes shards, and no group is torn.  Places are
+shard is a compact region and no group is torn.  Coordinates are quantiles, so rows are
+spread over all planes, as few shards are cut by the top planes alone: a filter on any dimension prunes
+shards, but for rows that lie with a copy of theirs.  Places are
 found without a global sort: sums over curve cells give offsets, and a place within its cell is a window
 over that cell; a large cell is dealt into sub-cells of bounded size first.  All is DataFrame code; only
 ids, sizes, hashes and curve indices are shuffled, never texts.
@@ -17,21 +19,28 @@ from pyspark.sql import functions as F
 from propgraph.llm.common import stored
 
 BITS = 4
+#: Values of a dimension that have places of their own.
+VALUES = 64
 #: Rows that a cell holds before it is dealt into sub-cells; a thousandth of the input where that is more.
 CELL_ROWS = 8192
 
 
 def by_value(df: DataFrame, column: str, bits: int = BITS) -> Column:
-    """A coordinate of its own for each of the most frequent values, in order of value; rarer ones and null share 0."""
+    """The quantile at which a value's rows have their middle, values in order; beyond the VALUES most frequent ones, and null: 0."""
     ranked = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")).count().orderBy(F.desc("count"), "value")
-    values = sorted(r["value"] for r in ranked.limit((1 << bits) - 1).collect())
-    places = [F.when(F.col(f"`{column}`") == v, F.lit(k + 1)) for k, v in enumerate(values)]
+    values = sorted(tuple(r) for r in ranked.limit(VALUES).collect())
+    total, before, places = sum(n for _, n in values), 0, []
+    for value, n in values:
+        places.append(F.when(F.col(f"`{column}`") == value, F.lit((2 * before + n << bits) // (2 * total))))
+        before += n
     return F.coalesce(*places, F.lit(0)).cast("int")
 
 
-def by_size(col: Column, bits: int = BITS) -> Column:
-    """The number of binary digits of a size; null or negative: 0."""
-    return F.least(F.floor(F.log2(F.greatest(F.coalesce(col, F.lit(0)), F.lit(0)) + 1)).cast("int"), F.lit((1 << bits) - 1))
+def by_quantile(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """How many of the (approximate) quantiles that cut the numbers into 2 ** bits parts lie below a number; null: 0."""
+    parts = 1 << bits
+    cuts = df.agg(F.percentile_approx(F.col(f"`{column}`"), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    return F.coalesce(sum(((F.col(f"`{column}`") > cut).cast("int") for cut in cuts), F.lit(0)), F.lit(0))
 
 
 def by_range(col: Column, low: int, high: int, bits: int = BITS) -> Column:

@@ -5,7 +5,7 @@ n-gram returns every language that contains it (bit-sliced filters).  A text's s
 is the share of its n-grams with that language's bit, corrected for the filter's false positives.
 
 The filter is learned from a bounded sample: of each language, PER_LANGUAGE documents are expected
-to be drawn by a hash of their id, and n-grams are kept that make up MIN_SHARE of the sample.  It is
+to be drawn by a hash of their id and text, and n-grams are kept that make up MIN_SHARE of the sample.  It is
 a table of 2 ** SLOT_BITS words, whatever the corpus.
 """
 
@@ -108,7 +108,7 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         return Filters([])
     share = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, per_language / sizes[name]))))
     place = F.create_map(*(F.lit(x) for k, name in enumerate(languages) for x in (name, k)))
-    drawn = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    drawn = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -68,7 +68,7 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int = 1, text: str = "text")
 def pieces(df: DataFrame, length: int = 2048) -> DataFrame:
     """One row per piece: df's columns with ids cut to the piece, plus start, length and doc_tokens.  A document without ids has no piece."""
     n = F.octet_length("ids") / 4
-    cut = df.withColumns({"doc_tokens": n.cast("long"), "_k": F.explode(F.sequence(F.lit(0), F.ceil(n / length).cast("int") - 1))})
+    cut = df.where(F.octet_length("ids") > 0).withColumns({"doc_tokens": n.cast("long"), "_k": F.explode(F.sequence(F.lit(0), F.ceil(n / length).cast("int") - 1))})
     start = F.col("_k").cast("long") * length
     return cut.withColumns({"start": start, "length": F.least(F.lit(length).cast("long"), F.col("doc_tokens") - start)}).withColumn(
         "ids", F.substring(F.col("ids"), (F.col("start") * 4 + 1).cast("int"), F.lit(4 * length))
@@ -109,8 +109,8 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 def pack(df: DataFrame, key: list[str], groups: int, capacity: int = 2048, seed: int = 0) -> DataFrame:
     """df (one row per piece, with its length between 1 and capacity) plus sequence_id, offset and padded_length.
 
-    A piece's group is drawn from a hash of the key columns, so a hot document's pieces are dealt over
-    all groups and a rerun gives the same sequences (ties are broken by the key).  A sequence is padded
+    A piece's group is drawn from a hash of the key columns, so a hot document's pieces are dealt over all groups;
+    ties are broken by the key.  The same rows with the same keys give the same sequences.  A sequence is padded
     to the capacity unless its tokens are a power of two.  An empty table gives no rows.
     """
     made = ["sequence_id", "offset", "padded_length"]

@@ -352,17 +352,20 @@ def labelled_windows(texts: list[str], count: int = 3000, length: int = 64, seed
 
 
 def fit(df: DataFrame, text: str = "text", docs: int = SAMPLE_DOCS) -> Tagger:
-    """A tagger trained on a sample of df's rows drawn by a hash of all their columns: about `docs` of those with an @ or a plus and digit, as many of the others.
+    """A tagger trained on a sample of df's different texts drawn by hash: about `docs` of those with an @ or a plus and digit, as many of the others.
 
-    Copies are drawn one by one, so a group of any size adds its share only; sampled texts are taken whole.
+    A text counts once, however many rows have it, and no more than 2 * docs of either sort come to the driver;
+    sampled texts are taken whole.
     """
     body = whole_text(df[f"`{text}`"])
-    rows = df.select(body.alias("text"), body.rlike(r"@|\+[0-9]").alias("marked"), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("h"))
-    sizes = {r["marked"]: r["count"] for r in rows.groupBy("marked").count().collect()}
+    rows = df.select(body.alias("text"), body.rlike(r"@|\+[0-9]").alias("marked"), F.xxhash64(body).alias("h"))
+    sizes = {r["marked"]: r["n"] for r in rows.groupBy("marked").agg(F.approx_count_distinct("h").alias("n")).collect()}
     share = lambda m: int(min(1.0, docs / max(1, sizes.get(m, 0))) * (1 << 30))
     place = F.pmod("h", F.lit(1 << 30))
     drawn = rows.where(F.when(F.col("marked"), place < share(True)).otherwise(place < share(False)))
-    return train(labelled_windows(sorted({r["text"] for r in drawn.select("text").collect()})))
+    once = drawn.groupBy("marked", "h").agg(F.first("text").alias("text"))
+    texts = {r["text"] for marked in (True, False) for r in once.where(F.col("marked") == marked).orderBy("h").select("text").limit(2 * docs).collect()}
+    return train(labelled_windows(sorted(texts)))
 
 
 # --- whole texts -------------------------------------------------------------------------------------

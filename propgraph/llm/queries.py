@@ -60,7 +60,7 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     low, high = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
-    dims = [hilbert.by_value(docs, "lang"), hilbert.by_value(docs, "source"), hilbert.by_size(F.col("n_chars")), hilbert.by_range(F.col("doc_id"), low, high)]
+    dims = [hilbert.by_value(docs, "lang"), hilbert.by_value(docs, "source"), hilbert.by_quantile(docs, "n_chars"), hilbert.by_range(F.col("doc_id"), low, high)]
     text = whole_text()
     size = F.octet_length(text).cast("long") + 1
     keep = {"doc_id": F.col("doc_id"), "size": size, "text_crc32": F.crc32(text.cast("binary"))}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from propgraph.llm.common import among, stored, whole_text
+from propgraph.llm.common import among, stored, unused, whole_text, without
 from propgraph.llm.components import components
 
 RADIUS = 2
@@ -424,7 +424,7 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
     verified like pairs, and then all pairs of a family that are in different components still are compared.  Equal
     shingle sets (the same SHA-256 of the sorted hashes) are one node, named by the smallest doc_id; equal
     fingerprints of different sets are candidates like any other.  Texts without words are one class.  Repeated
-    ids are one node, rows of null doc_id are left out, and an empty table gives no rows.  Texts are not shuffled.
+    ids are one node (`without_near_copies` numbers rows where there are any), rows of null doc_id are left out, and an empty table gives no rows.  Texts are not shuffled.
     """
     spark = df.sparkSession
 
@@ -472,3 +472,19 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shor
         tied = components(more.union(tied.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = prints.select("doc_id", "set").join(nodes.select("set", "node"), "set").join(tied, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return named.distinct()
+
+
+def without_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df's rows but those of which a near duplicate (`near_classes`) of a smaller doc_id stays; null ids come before all others.
+
+    Where ids are null or repeat, rows are numbered in order of id first, so that each is a document of its own.
+    """
+    ids = df.select(df[f"`{doc_id}`"].alias("id"))
+    if ids.groupBy("id").count().where("id IS NULL OR count > 1").isEmpty():
+        rows, key = df, doc_id
+    else:
+        key = unused(df, "row")
+        rows = stored(df.repartitionByRange(df[f"`{doc_id}`"], F.xxhash64(df[f"`{text}`"])).sortWithinPartitions(df[f"`{doc_id}`"]).withColumn(key, F.monotonically_increasing_id()), "numbered")
+    classes = near_classes(rows, key, text)
+    gone = stored(classes.where("doc_id <> component_id").select("doc_id"), "near-gone")
+    return without(rows, gone, key).select(*(f"`{c}`" for c in df.columns))

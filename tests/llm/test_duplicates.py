@@ -268,3 +268,32 @@ def test_repeats_do_not_hide_near_copies(spark):
         rows.append((100 + k, " ".join(["changed", *body[1:]] + line * times), None, None))
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {d: d % 100 for d in got} and len(got) == 24
+
+
+def test_repeated_ids_lose_no_row(spark):
+    """Rows of one id are documents of their own: a near copy goes, another text of the same id or of null id stays."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    a, other, b, c = (words(200) for _ in range(4))
+    near = " ".join([*a[:100], "changed", *a[101:]])
+    rows = [(1, " ".join(a), "en", "s", 1), (5, near, "en", "s", 1), (5, " ".join(other), "en", "s", 1), (9, " ".join(b), "en", "s", 1), (None, " ".join(c), "en", "s", 1), (None, near + " end", "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["text"]) for x in kept.collect()) == sorted((-1 if i is None else i, t) for i, t, *_ in rows if i != 1 and t != near)
+    once = corpus_pipeline.drop_near_copies(spark, df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), "").collect()
+    assert len(once) == 2 + (5 in {x["doc_id"] for x in once})
+
+
+def test_tagger_sample_is_bounded(spark, monkeypatch):
+    """Copies count once, and what reaches the driver has a bound."""
+    from propgraph.llm import pii
+
+    seen = []
+    monkeypatch.setattr(pii, "labelled_windows", lambda texts: seen.append(texts) or [])
+    monkeypatch.setattr(pii, "train", lambda windows: None)
+    df = spark.createDataFrame([("hot text a@b.de",)] * 5000 + [("hot plain text",)] * 5000 + [(f"text {i}",) for i in range(500)], "text string")
+    pii.fit(df, docs=20)
+    assert len(seen[0]) == len(set(seen[0])) <= 80

@@ -85,11 +85,35 @@ def test_curve_of_documents(spark):
     assert all(sum(s) == 1 for s in steps(rows)) and all(sum(s) == 1 for s in steps(want))
 
 
+def test_a_filter_prunes_shards(spark):
+    """Each dimension's values lie in some of the shards only, up to copies, which follow their group."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", "n_chars", F.xxhash64("text").alias("h"))
+    once = docs.groupBy("h").agg(F.count("*").alias("n")).where("n = 1")
+    rows = queries.op4_hilbert_shards(spark, sf).select("doc_id", "shard").join(docs.join(once, "h"), "doc_id").collect()
+    held = lambda test: len({r["shard"] for r in rows if test(r)})
+    mean = lambda column: np.mean([held(lambda r, x=x: r[column] == x) for x in {r[column] for r in rows}])
+    assert mean("lang") <= 6 and mean("source") <= 7
+    sizes = sorted(r["n_chars"] for r in rows)
+    assert held(lambda r: r["n_chars"] <= sizes[len(sizes) // 4]) <= 5
+    ids = sorted(r["doc_id"] for r in rows)
+    assert held(lambda r: r["doc_id"] <= ids[len(ids) // 16]) <= 7
+
+
+def test_coordinates_use_their_range(spark):
+    df = spark.createDataFrame([(x, n) for x in "abcd" for n in (1, 10, 100, 1000)], "v string, n long")
+    at = {(r["v"], r["n"]): (r["a"], r["b"]) for r in df.select("v", "n", hilbert.by_value(df, "v").alias("a"), hilbert.by_quantile(df, "n").alias("b")).collect()}
+    assert [at[v, 1][0] for v in "abcd"] == [2, 6, 10, 14]
+    assert [at["a", n][1] for n in (1, 10, 100, 1000)] == sorted({b for _, b in at.values()}) and at["a", 1][1] == 0 and at["a", 1000][1] > 8
+    empty = df.limit(0)
+    assert empty.select(hilbert.by_value(empty, "v"), hilbert.by_quantile(empty, "n")).count() == 0
+
+
 def test_shards_of_odd_rows(spark, monkeypatch):
     """One cell dealt into sub-cells; a group of a third of the rows, null and repeated ids; a column that clashes."""
     monkeypatch.setattr(hilbert, "CELL_ROWS", 4)
     df = spark.range(37).select(F.when(F.col("id") < 33, F.col("id") % 30).alias("k"), F.lit("en").alias("lang"), F.lit(None).cast("long").alias("size"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("_group"))
-    dims = [hilbert.by_value(df, "lang"), hilbert.by_size(F.col("size")), hilbert.by_range(F.col("k"), 0, 10**9)]
+    dims = [hilbert.by_value(df, "lang"), hilbert.by_quantile(df, "size"), hilbert.by_range(F.col("k"), 0, 10**9)]
     shard = lambda d: hilbert.shard(d, dims, 5, "k", F.lit(1), F.xxhash64("_group"), {"k": F.col("k"), "g": F.col("_group")})
     rows = shard(df).collect()
     assert len(rows) == 37 and len({r["shard"] for r in rows if r["g"] == "hot"}) == 1

@@ -137,6 +137,11 @@ def test_packing(spark, sf, libraries):
     assert sum(r["length"] for r in rows) / (2048 * len(used)) > 0.9
 
 
+def test_no_ids_no_piece(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"")), (2, bytearray(b"\1\0\0\0" * 5))], "doc_id long, ids binary")
+    assert [tuple(r) for r in packing.pieces(rows, 3).select("doc_id", "start", "length").orderBy("start").collect()] == [(2, 0, 3), (2, 3, 2)]
+
+
 def test_packing_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, "word " * 5000), (3, "")], "doc_id long, text string")
     cut = packing.pieces(packing.tokenise(df, WORDS))
