@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.llm import exact_dedup, language_id, packing, pii, simhash
-from propgraph.llm.common import prepare, stored, table, without
+from propgraph.llm.common import prepare, stored, table
 
 #: Share of a text's n-grams that its best language must contain, corrected for false positives.
 LEAST_SCORE = 0.2
@@ -42,10 +42,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each component of near duplicates.  Rows of null doc_id stay."""
+    """One document, of the smallest id (nulls first), of each component of near duplicates."""
     prepare(spark)
-    gone = stored(simhash.near_classes(docs).where("doc_id <> component_id").select("doc_id"), "near-gone")
-    return without(docs, gone, "doc_id")
+    return simhash.without_near_copies(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
