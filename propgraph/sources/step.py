@@ -1,20 +1,20 @@
-"""Building models in STEP files (one record to a line, as exporters write them, or over several), read as text.
+"""Building models in STEP files.
 
-A file is split between tasks like any text file; records are cut into arguments with regular
-expressions, and references are joined by (file, id), so many models load as one job.
+A file is split between tasks at any byte (see step_scan), and references are joined by (file, id), so
+many models load as one job.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TEXT = r"'(?:[^']|'')*'"
-_FLAT = rf"(?:[^()']|{_TEXT})*"
-#: One argument: a text, a list (of typed values or lists), a typed value, a reference, number, enumeration, $ or *.
-ARGUMENT = rf"({_TEXT}|[A-Za-z0-9_]*\((?:[^()']|{_TEXT}|\({_FLAT}\))*\)|[^,()']+)"
-RECORD = r"^\s*#([0-9]+)\s*=\s*([A-Za-z0-9_]+)\s*\((.*)\)\s*;\s*$"
+from propgraph.sources import step_scan
+from propgraph.sources.shipping import ship
 
+_TEXT = r"'(?:[^']|'')*'"
 #: Class, parent of the classes that the loader knows by name.
 SUPERTYPES = [
     ("IfcRoot", None), ("IfcObjectDefinition", "IfcRoot"), ("IfcObject", "IfcObjectDefinition"), ("IfcProduct", "IfcObject"), ("IfcElement", "IfcProduct"),
@@ -45,29 +45,37 @@ RELATIONS = {
 }
 
 
-def _lines(spark: SparkSession, path: str, ends: str | None) -> DataFrame:
-    if ends is None:
-        return spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    pieces = spark.read.option("lineSep", ends).text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\s*[\r\n]+\s*", " ").alias("value"))
-    return pieces.select("file", F.concat(F.rtrim("value"), F.when(F.rtrim("value").endswith(";"), "").otherwise(F.lit(";"))).alias("value"))
+def statements(spark: SparkSession, path: str, split_bytes: int = step_scan.SPLIT) -> DataFrame:
+    """(file, at, id, class, args, raw) of every statement of a file or folder, by the byte at which it begins.
+
+    Records have an id, class and arguments; header entries and section marks a class, no id.  What is neither
+    (brackets that do not match, a record of several classes, a last statement without its end) has its text in raw.
+    Any bytes may be between records, in texts and in comments; split_bytes does not change the rows.
+    A missing path fails when it is read.
+    """
+    ship(spark)
+    spark.dataSource.register(step_scan.StepSource)
+    read = spark.read.format("step").option("path", path).option("splitBytes", split_bytes)
+    if all(size <= split_bytes for _, size in step_scan.files(path)):
+        return read.load()
+    passed = read.option("pass", "states").load().select("file", "start", "state", "ended", "some").collect()  # a row a split
+    return spark.read.format("step").option("path", path).option("splitBytes", split_bytes).option("begins", json.dumps(step_scan.begins([tuple(r) for r in passed]))).load()
 
 
-def records(spark: SparkSession, path: str, ends: str | None = None) -> DataFrame:
-    """(file, id, class, args: array<string>) of every record.  A missing path fails when it is read.
+def records(spark: SparkSession, path: str, split_bytes: int = step_scan.SPLIT) -> DataFrame:
+    """(file, id, class, args: array<string>) of every record.  What else a file holds is counted by unread()."""
+    return statements(spark, path, split_bytes).where("id IS NOT NULL").select("file", "id", "class", "args")
 
-    ends: None for a record to a line; for files whose records go over several lines, what a record ends with,
-    semicolon and line break (";\\n" or ";\\r\\n").  What is left out either way is counted by unread().
-    """
-    lines = _lines(spark, path, ends)
-    parts = lines.where(F.col("value").rlike(RECORD)).select(
-        "file", F.regexp_extract("value", RECORD, 1).cast("long").alias("id"), F.upper(F.regexp_extract("value", RECORD, 2)).alias("class"), F.regexp_extract("value", RECORD, 3).alias("body")
-    )
-    return parts.select("file", "id", "class", F.transform(F.regexp_extract_all("body", F.lit(ARGUMENT), F.lit(1)), lambda a: F.trim(a)).alias("args"))
+
+def unread(spark: SparkSession, path: str, split_bytes: int = step_scan.SPLIT) -> DataFrame:
+    """(file, n): per file the statements that are no record, header entry or section mark, so that records() leaves them out."""
+    return statements(spark, path, split_bytes).where("raw IS NOT NULL").groupBy("file").agg(F.count("*").alias("n"))
 
 
-def unread(spark: SparkSession, path: str, ends: str | None = None) -> DataFrame:
-    """(file, n): per file the lines that begin like a record but are none as a whole, so that records() leaves them out."""
-    return _lines(spark, path, ends).where(F.col("value").rlike(r"^\s*#[0-9]+\s*=") & ~F.col("value").rlike(RECORD)).groupBy("file").agg(F.count("*").alias("n"))
+def schema_names(spark: SparkSession, path: str) -> DataFrame:
+    """(file, schema): the schema that a file's header names, such as IFC4."""
+    heads = statements(spark, path).where("id IS NULL AND class = 'FILE_SCHEMA'")
+    return heads.select("file", F.regexp_extract(F.get("args", F.lit(0)), "'([^']*)'", 1).alias("schema"))
 
 
 def text_of(arg: Column) -> Column:

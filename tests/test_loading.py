@@ -32,11 +32,9 @@ def test_records_over_several_lines(spark, tmp_path, line_break):
     head = ["ISO-10303-21;", "HEADER;", "ENDSEC;", "DATA;"]
     whole.write_bytes(line_break.join([*head, *RECORDS, "ENDSEC;"]).encode())
     wrapped.write_bytes(line_break.join([*head, *(r.replace("$,#", f"$,{line_break}  #").replace("(#1)", f"({line_break}#1)") for r in RECORDS), "ENDSEC;"]).encode())
-    assert found(step.records(spark, str(whole))) == WANTED and step.unread(spark, str(whole)).count() == 0
-    assert found(step.records(spark, str(wrapped))) == [] and step.unread(spark, str(wrapped)).first()["n"] == 3
-    ends = ";" + line_break
-    assert found(step.records(spark, str(wrapped), ends)) == WANTED and step.unread(spark, str(wrapped), ends).count() == 0
-    assert {r["Name"] for r in step.nodes(step.records(spark, str(wrapped), ends)).collect()} == {"Room; big", "Wall"}
+    for path in (whole, wrapped):
+        assert found(step.records(spark, str(path))) == WANTED and step.unread(spark, str(path)).count() == 0
+    assert {r["Name"] for r in step.nodes(step.records(spark, str(wrapped))).collect()} == {"Room; big", "Wall"}
 
 
 def graph(spark, leaves, kinds):
