@@ -36,6 +36,6 @@ def transitive_closure(edges: DataFrame, most: int | None = None, sources: DataF
 
 def derived_containment(contains: DataFrame, decomposes: DataFrame) -> DataFrame:
     """(src, dst, derived = true) for what a container's elements decompose into, where no such pair is contained already."""
-    below = transitive_closure(decomposes).select(F.col("src").alias("mid"), "dst")
+    below = transitive_closure(decomposes, sources=contains.select(F.col("dst").alias("src"))).select(F.col("src").alias("mid"), "dst")
     reach = contains.select("src", F.col("dst").alias("mid")).join(below, "mid").select("src", "dst").distinct()
     return reach.join(contains.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("derived", F.lit(True))

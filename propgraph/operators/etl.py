@@ -14,14 +14,21 @@ SKIPPED = ("id", "type", "GlobalId", "OwnerHistory")
 def flatten_properties(rows: DataFrame, element: str = "element", group: str = "pset", name: str = "name", value: str = "value", position: str = "position") -> DataFrame:
     """(element, key, value): canonical property names, made unique within an element in order of position.
 
-    Skipped and null values go.  Names that canonicalise alike within an element become name, name_1,
-    name_2: the first free, which takes the element's names as one array (an element's properties, not
-    an unbounded group).
+    Skipped and null values go.  Names that canonicalise alike within an element become name, name_1, name_2: the
+    first that is free.  Where no property is called like a number's name by itself that is the rank among equal
+    names, so an element's properties are not gathered; the others' elements take their names in order, as one array.
     """
     kept = rows.where(F.col(value).isNotNull() & ~F.col(name).isin(*SKIPPED)).withColumn("_key", names.canonical(F.col(name))).where("_key <> ''")
-    own = kept.groupBy(element).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col(group).alias("g"), F.col("_key").alias("k"), F.col(value).alias("v")))).alias("all"))
+    numbered = r"^(.+)_([1-9][0-9]{0,8})$"
+    likely = kept.where(F.col("_key").rlike(numbered)).select(F.col(element).alias("_e"), F.regexp_extract("_key", numbered, 1).alias("_of"), F.regexp_extract("_key", numbered, 2).cast("long").alias("_m")).distinct()
+    taken = kept.join(likely, (F.col(element) == F.col("_e")) & (F.col("_key") == F.col("_of"))).groupBy("_e", "_of", "_m").count().where(F.col("count") > F.col("_m")).select("_e").distinct()
+    rank = F.row_number().over(Window.partitionBy(element, "_key").orderBy(position, group, value)) - 1
+    easy = kept.join(taken, F.col(element) == F.col("_e"), "left_anti").withColumn("_n", rank)
+    ranked = easy.select(element, F.when(F.col("_n") == 0, F.col("_key")).otherwise(F.concat_ws("_", "_key", F.col("_n").cast("string"))).alias("key"), F.col(value).alias("value"))
+    hard = kept.join(taken, F.col(element) == F.col("_e"), "left_semi")
+    own = hard.groupBy(element).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col(group).alias("g"), F.col("_key").alias("k"), F.col(value).alias("v")))).alias("all"))
     paired = own.select(element, F.arrays_zip(names.unique_names(F.col("all.k")).alias("key"), F.col("all.v").alias("value")).alias("pairs"))
-    return paired.select(element, F.inline("pairs"))
+    return ranked.unionAll(paired.select(element, F.inline("pairs")))
 
 
 def property_map(flat: DataFrame, element: str = "element") -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +35,24 @@ class EdgePart:
 
     load: makes the table of src, dst and, on edges made by closure, derived = true (null on others).
     merge: of equal pairs one counts; whether a pair is there at all can be asked without merging.
+    load_in: the same table laid out by dst, if there is one.
     """
 
     load: Callable[[], DataFrame]
     src: str | None = None
     dst: str | None = None
     merge: bool = False
+    load_in: Callable[[], DataFrame] | None = None
 
     @cached_property
     def raw(self) -> DataFrame:
         return self.load()
 
+    @cached_property
+    def inward(self) -> DataFrame:
+        """The same edges, laid out for hops against their direction where there is such a table."""
+        return self.load_in() if self.load_in else self.raw
+
     @cached_property
     def df(self) -> DataFrame:
         return self.raw.distinct() if self.merge else self.raw
@@ -63,10 +69,13 @@ class EdgeTable:
     def df(self) -> DataFrame:
         return self.between(None, None)
 
-    def between(self, src: set[str] | None, dst: set[str] | None, raw: bool = False) -> DataFrame:
-        """The edges whose ends may have these leaf labels (None: any); parts between others are not read.  raw: equal pairs may repeat."""
+    def between(self, src: set[str] | None, dst: set[str] | None, raw: bool = False, inward: bool = False) -> DataFrame:
+        """The edges whose ends may have these leaf labels (None: any); parts between others are not read.
+
+        raw: equal pairs may repeat.  inward: they are going to be joined by dst.
+        """
         fits = lambda leaf, wanted: leaf is None or wanted is None or leaf in wanted
-        kept = [p.raw if raw else p.df for p in self.parts if fits(p.src, src) and fits(p.dst, dst)]
+        kept = [p.inward if inward and p.load_in else p.raw if raw else p.df for p in self.parts if fits(p.src, src) and fits(p.dst, dst)]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept) if kept else self.parts[0].df.where(F.lit(False))
 
     def ends(self) -> DataFrame | None:
@@ -134,25 +143,15 @@ class PropertyGraph:
         """node_ids that more than one node has: empty if ids are the keys they should be."""
         return self.labelled().groupBy("node_id").count().where("count > 1")
 
-    def write(self, path: str) -> None:
-        """Node tables by leaf and edge tables by type, in place of what was there: leaves and types that the graph lacks are emptied."""
-        for leaf, t in self.tables.items():
-            t.df.write.mode("overwrite").parquet(f"{path}/nodes/leaf={leaf}")
-        for kind, e in self.edges.items():
-            e.df.write.mode("overwrite").parquet(f"{path}/edges/type={kind}")
-        session = next(iter(self.tables.values())).df.sparkSession
-        _wipe(session, f"{path}/nodes", "leaf", set(self.tables))
-        _wipe(session, f"{path}/edges", "type", set(self.edges))
-
-
-def _wipe(session: SparkSession, folder: str, part: str, kept: set[str]) -> None:
-    """Empties the parts of a folder that are not kept; names of parts are a few hundred."""
-    try:
-        there = session.read.parquet(folder)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no part was ever written
-            return
-        raise
-    for name in sorted({str(r[0]) for r in there.select(part).distinct().collect()} - kept):
-        old = session.read.parquet(f"{folder}/{part}={name}").schema
-        session.createDataFrame([], old).write.mode("overwrite").parquet(f"{folder}/{part}={name}")
+    def write(self, path: str, **options: object) -> dict[tuple[str, str], dict[str, int]]:
+        """Write the graph in place of what was there (see store.write)."""
+        from propgraph.operators import store
+
+        return store.write(self, path, **options)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> PropertyGraph:
+        """The graph that was written (see store.read)."""
+        from propgraph.operators import store
+
+        return store.read(spark, path)

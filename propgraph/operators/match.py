@@ -50,7 +50,7 @@ class Pattern:
         else:
             table = self.graph.edges[kind]
             ends = {"out": (near, far), "in": (far, near)}.get(direction, (None, None))
-            df = table.between(*ends, raw).select("src", "dst")
+            df = table.between(*ends, raw, direction == "in").select("src", "dst")
             settled = not labels or direction != "both" and table.known("dst" if direction == "out" else "src")
         if identified:
             df = with_ids(df, bool(kind) and self.graph.edges[kind].unique)

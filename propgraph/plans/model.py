@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from propgraph.functions import names
-from propgraph.operators import etl, profile, vocabulary
+from propgraph.operators import etl, load, profile, store, vocabulary
+from propgraph.operators.graph import PropertyGraph
+from propgraph.operators.match import match
 from propgraph.plans.aggregation import EDGES, LABELLED
 from propgraph.sources.tables import LABELS
 from propgraph.sources.tables import trading_graph as graph
@@ -31,6 +33,13 @@ def flatten_props(spark: SparkSession, sf: str) -> DataFrame:
     return etl.flatten_properties(_property_rows(spark, sf))
 
 
+def clashing_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The second property of every order is called Flag_1 by itself: the next Flag is Flag_2, where an order has three."""
+    rows = _property_rows(spark, sf)
+    second = F.row_number().over(Window.partitionBy("element").orderBy("position")) == 2
+    return etl.flatten_properties(rows.withColumn("name", F.when(second, "Flag 1").otherwise(F.lit("Flag"))))
+
+
 def property_maps(spark: SparkSession, sf: str) -> DataFrame:
     """The flattened properties as maps, counted by how many an element has."""
     return etl.property_map(etl.flatten_properties(_property_rows(spark, sf))).groupBy(F.size("props").alias("keys")).agg(F.count("*").alias("n"))
@@ -73,6 +82,36 @@ def created_edges(spark: SparkSession, sf: str) -> DataFrame:
     return etl.load_statistics(asked.select(kind), made.select(kind))
 
 
+def observed_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts, observed by the pass that makes the edges."""
+    g = graph(spark, sf)
+    asked = g.edges["IS_OF_TYPE"].df.withColumn("type", F.lit("IS_OF_TYPE"))
+    nodes = g.nodes("Order").select("node_id").unionAll(g.nodes("Part").where("p_size < 20").select("node_id"))
+    made, submitted, created = load.observed(asked, nodes, ["IS_OF_TYPE"])
+    made.write.format("noop").mode("overwrite").save()
+    return load.statistics(spark, submitted, created)
+
+
+def _stored(spark: SparkSession, sf: str, leaves: list[str], kinds: list[str]) -> PropertyGraph:
+    """Some tables of the graph, written to a folder of the session and read from there."""
+    g = graph(spark, sf)
+    path = store.scratch(spark)
+    PropertyGraph({k: g.tables[k] for k in leaves}, {k: g.edges[k] for k in kinds}).write(path, both_ways=False)
+    return PropertyGraph.read(spark, path)
+
+
+def id_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of a stored graph by id, whatever their label; an id that no node has gives no row."""
+    g = _stored(spark, sf, ["Nation", "Customer", "Order", "Part"], [])
+    return store.lookup(g, "C:7", "O:1", "N:3", "P:12", "X:1", "O:-5").select("node_id", "leaf", F.array_join("labels", ">").alias("labels"), "Name", "o_totalprice", "p_size")
+
+
+def stored_hops(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with how many parts they open, over a stored graph: buckets of nodes and edges meet without an exchange."""
+    m = match(_stored(spark, sf, ["Order", "Part"], ["HAS_OPENING"]), "o", "Order").hop("HAS_OPENING", None, "Part", how="left")
+    return m.groupBy(F.col("o.node_id").alias("o")).agg(F.count("_1").alias("parts")).groupBy("parts").agg(F.count("*").alias("n"))
+
+
 def label_counts(spark: SparkSession, sf: str) -> DataFrame:
     return profile.label_counts(graph(spark, sf))
 
@@ -140,7 +179,7 @@ def vocab_difference(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_names, flatten_props, property_maps, unique_names, humanised_labels, label_closure, material_dedup, created_edges, label_counts, rel_type_counts, graph_totals, rel_signatures,
+        canonical_names, flatten_props, property_maps, unique_names, humanised_labels, label_closure, material_dedup, created_edges, observed_edges, id_lookup, stored_hops, clashing_names, label_counts, rel_type_counts, graph_totals, rel_signatures,
         endpoint_label_pairs, known_keys, value_enumerations, class_profiles, duplicate_ids, property_classes, vocab_union, vocab_difference,
     )
 }
@@ -202,7 +241,17 @@ ORACLES = {
     "known_keys": f"SELECT DISTINCT label, key FROM {_ALL_KEYS} k JOIN (SELECT DISTINCT leaf, label FROM {LABELLED}) l USING (leaf)",
     "value_enumerations": f"SELECT label, key, count(*) AS n, string_agg(s, '|' ORDER BY s) AS choices FROM (SELECT DISTINCT label, key, s FROM {_texts()}) GROUP BY 1, 2 HAVING count(*) BETWEEN 1 AND 50 AND bool_and(trim(s) <> '') AND avg(length(s)) <= 80",
     "class_profiles": f"SELECT leaf, n, string_agg(key, ',' ORDER BY key) AS keys FROM {_ALL_KEYS} JOIN (SELECT leaf, count(*) AS n FROM {LABELLED} WHERE place = 0 GROUP BY 1) USING (leaf) GROUP BY 1, 2",
-    "duplicate_ids": "SELECT 0::BIGINT AS n",
+    "duplicate_ids": """SELECT count(*) AS n FROM (
+        SELECT id FROM (SELECT 'R:' || r_regionkey AS id FROM region UNION ALL SELECT 'N:' || n_nationkey FROM nation UNION ALL SELECT 'C:' || c_custkey FROM customer UNION ALL SELECT 'S:' || s_suppkey FROM supplier
+          UNION ALL SELECT 'O:' || o_orderkey FROM orders UNION ALL SELECT 'P:' || p_partkey FROM part UNION ALL SELECT DISTINCT 'M:' || p_type FROM part) GROUP BY id HAVING count(*) > 1)""",
+    "id_lookup": """SELECT 'C:' || c_custkey AS node_id, 'Customer' AS leaf, 'Customer>Party>Element>Root' AS labels, c_name AS "Name", NULL::DOUBLE AS o_totalprice, NULL::INT AS p_size FROM customer WHERE c_custkey = 7
+        UNION ALL SELECT 'O:' || o_orderkey, 'Order', 'Order>Element>Root', NULL, o_totalprice, NULL FROM orders WHERE o_orderkey IN (1, -5)
+        UNION ALL SELECT 'N:' || n_nationkey, 'Nation', 'Nation>Spatial>Root', n_name, NULL, NULL FROM nation WHERE n_nationkey = 3
+        UNION ALL SELECT 'P:' || p_partkey, 'Part', 'Part>TypeProduct>Root', p_name, NULL, p_size FROM part WHERE p_partkey = 12""",
+    "stored_hops": "SELECT parts, count(*) AS n FROM (SELECT o_orderkey, count(DISTINCT l_partkey) AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY 1",
+    "observed_edges": "SELECT 'IS_OF_TYPE' AS type, count(*) AS submitted, count(*) FILTER (p_size < 20) AS created FROM lineitem LEFT JOIN part ON l_partkey = p_partkey",
+    "clashing_names": """WITH k AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS n FROM lineitem)
+        SELECT l_orderkey AS element, CASE n WHEN 1 THEN 'Flag' WHEN 2 THEN 'Flag_1' ELSE 'Flag_' || (n - 1) END AS key, l_quantity::INT::VARCHAR AS value FROM k""",
     "property_classes": f"""WITH m AS (SELECT DISTINCT key AS property FROM {_ALL_KEYS}), d(property, choices) AS (VALUES ('c_mktsegment', 'AUTOMOBILE|BUILDING|MACHINERY'), ('p_size', ''), ('ISEXTERNAL', ''), ('NetVolume', ''), ('p_brand', ''), ('p_name', ''), ('o_totalprice', ''), ('Closed', ''))
         SELECT property, CASE WHEN m.property IS NULL THEN 'document' WHEN d.property IS NULL THEN 'model' ELSE 'both' END AS source,
           CASE property WHEN 'c_mktsegment' THEN 'STRICT' WHEN 'p_size' THEN 'NUMERIC' WHEN 'o_totalprice' THEN 'NUMERIC' WHEN 'NetVolume' THEN 'NUMERIC' WHEN 'ISEXTERNAL' THEN 'BOOLEAN' WHEN 'Closed' THEN 'BOOLEAN' WHEN 'p_brand' THEN 'STRING' WHEN 'p_name' THEN 'STRING' ELSE 'OPEN' END AS kind, choices

@@ -112,16 +112,21 @@ def nodes(recs: DataFrame) -> DataFrame:
     return rooted.select("file", "id", _named(recs).alias("class"), *(text_of(F.get("args", F.lit(k))).alias(name) for k, name in ((0, "node_id"), (2, "Name"), (3, "Description"), (4, "ObjectType"))))
 
 
-def edges(recs: DataFrame) -> DataFrame:
-    """(type, src, dst) of all relations between nodes; pairs with an end that is no node vanish."""
+def submitted(recs: DataFrame) -> DataFrame:
+    """(type, src, dst) of all relations' pairs of records, by node_id; an end that is no node is null."""
     known = F.create_map(*(F.lit(x) for c, (kind, _, _) in RELATIONS.items() for x in (c, kind)))
     at = [F.create_map(*(F.lit(x) for c, r in RELATIONS.items() for x in (c, r[k]))) for k in (1, 2)]
     pairs = recs.where(F.col("class").isin(*RELATIONS)).select(
         "file", known[F.col("class")].alias("type"), references(F.get("args", at[0][F.col("class")])).alias("a"), F.explode(references(F.get("args", at[1][F.col("class")]))).alias("dst_ref")
     ).select("file", "type", F.explode("a").alias("src_ref"), "dst_ref")
     ids = nodes(recs).select("file", "id", "node_id")
-    one = pairs.join(ids.select("file", F.col("id").alias("src_ref"), F.col("node_id").alias("src")), ["file", "src_ref"])
-    return one.join(ids.select("file", F.col("id").alias("dst_ref"), F.col("node_id").alias("dst")), ["file", "dst_ref"]).select("type", "src", "dst")
+    one = pairs.join(ids.select("file", F.col("id").alias("src_ref"), F.col("node_id").alias("src")), ["file", "src_ref"], "left")
+    return one.join(ids.select("file", F.col("id").alias("dst_ref"), F.col("node_id").alias("dst")), ["file", "dst_ref"], "left").select("type", "src", "dst")
+
+
+def edges(recs: DataFrame) -> DataFrame:
+    """(type, src, dst) of all relations between nodes; pairs with an end that is no node vanish."""
+    return submitted(recs).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def property_rows(recs: DataFrame) -> DataFrame:

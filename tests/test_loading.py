@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from propgraph.operators import etl
 from propgraph.operators.graph import EdgePart, EdgeTable, NodeTable, PropertyGraph
 from propgraph.sources import documents, step
 
@@ -49,9 +50,30 @@ def test_reload_leaves_nothing_of_the_old_model(spark, tmp_path):
     graph(spark, ["Wall", "Slab"], ["CONTAINS"]).write(path)
     assert {r["Name"] for r in spark.read.parquet(f"{path}/nodes").collect()} == {"Wall", "Slab"}
     assert {r["type"] for r in spark.read.parquet(f"{path}/edges").collect()} == {"CONTAINS"}
+    again = PropertyGraph.read(spark, path)
+    assert {r["Name"] for r in again.nodes().collect()} == {"Wall", "Slab"} and list(again.edges) == ["CONTAINS"]
 
 
 def test_context_within_a_budget(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.lit("x" * 7)).when(F.col("id") % 5 == 0, F.lit("")).alias("t"))
     assert [r["id"] for r in documents.within_budget(rows, ["id"], "t", 7).orderBy("id").collect()] == [0, 2, 4]
     assert documents.within_budget(rows, ["id"], "t", 0).count() == 0
+
+
+def test_names_by_rank_and_repair(spark):
+    """Many properties on one element, and elements where a numbered name is taken by itself, as the fold over each has them."""
+    rows = [("hot", "p", "Wide Name" if k % 3 else f"N {k}", str(k), k) for k in range(10_000)]
+    rows += [("a", "p", n, str(k), k) for k, n in enumerate(["A", "A_1", "A", "A", "A_1", "A_1_1", "B"])] + [("b", "p", n, str(k), k) for k, n in enumerate(["A_5", "A", "A", "A_01", "A_1x"])]
+    rows += [("c", "p", n, str(k), k) for k, n in enumerate(["A", "A", "A_1"])] + [("c", "p", "A", None, 9), ("c", "p", "id", "x", 10)]
+    got = {(r["element"], r["key"]): r["value"] for r in etl.flatten_properties(spark.createDataFrame(rows, "element string, pset string, name string, value string, position int")).collect()}
+    want = {}
+    for element, _, name, value, _ in rows:
+        if value is None or name == "id":
+            continue
+        key = base = name.replace(" ", "_")
+        n = 0
+        while (element, key) in want:
+            n += 1
+            key = f"{base}_{n}"
+        want[element, key] = value
+    assert got == want
