@@ -24,7 +24,7 @@ def reverse_hop(spark: SparkSession, sf: str) -> DataFrame:
 def two_hop_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers that fill a part which an order opens: FILLS, then HAS_OPENING backwards."""
     m = match(graph(spark, sf), "s", "Supplier").hop("FILLS", None, "Part").hop("HAS_OPENING", "o", "Order", direction="in").where(F.col("o.o_totalprice") > 450000)
-    return m.select(F.col("s.node_id").alias("s")).distinct()
+    return m.distinct(F.col("s.node_id").alias("s"))
 
 
 def untyped_endpoint(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +109,7 @@ def orders_without_lines(spark: SparkSession, sf: str) -> DataFrame:
 def hop_through_opening(spark: SparkSession, sf: str) -> DataFrame:
     """Diagnostics: orders one of whose parts a supplier of low balance fills."""
     g = graph(spark, sf)
-    poor = match(g, "s", "Supplier").where(F.col("s.s_acctbal") < -900).hop("FILLS", None, "Part").select(F.col("_1.node_id").alias("part")).distinct()
+    poor = match(g, "s", "Supplier").where(F.col("s.s_acctbal") < -900).hop("FILLS", None, "Part").distinct(F.col("_1.node_id").alias("part"))
     opened = g.edges["HAS_OPENING"].df.join(poor, F.col("dst") == F.col("part"), "left_semi").select("src")
     return opened.distinct().agg(F.count("*").alias("n"))
 
@@ -121,7 +121,7 @@ def count_distinct_hop(spark: SparkSession, sf: str) -> DataFrame:
 
 def distinct_property_hop(spark: SparkSession, sf: str) -> DataFrame:
     m = match(graph(spark, sf), "n", "Nation").where(F.col("n.Name") == "NATION_7").hop("CONTAINS", "c", "Customer")
-    return m.select(F.col("c.c_mktsegment").alias("segment")).distinct()
+    return m.distinct(F.col("c.c_mktsegment").alias("segment"))
 
 
 def closure_pairs(spark: SparkSession, sf: str) -> DataFrame:
