@@ -45,6 +45,11 @@ def class_case(name: Column, known: Column | None = None) -> Column:
     return F.coalesce(known[F.upper(name)], guess) if known is not None else guess
 
 
+def safe_text(name: str) -> str:
+    """The same of a text that the driver has."""
+    return name.translate(str.maketrans("/: \\", "____"))[:50]
+
+
 def file_safe(model: Column) -> Column:
     """A model name for file names: slashes, colons and blanks as underscores, at most 50 characters."""
     return F.substring(F.translate(model, "/: \\", "____"), 1, 50)

@@ -27,11 +27,15 @@ def whole_number(digits: Column) -> Column:
 
 
 def decimal(col: Column) -> Column:
-    """Rounded to six digits (ties to even), in positional form below 1e16; -0.0 is 0.0."""
+    """Rounded to six digits (ties to even), shortest form: positional from 1e-4 to below 1e16, else as 5e-05 and 1e+20; -0.0 is 0.0."""
     number = F.bround(col.cast("double"), 6) + F.lit(0.0)
     positional = F.regexp_replace(number.try_cast("decimal(38,6)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
     positional = F.when(positional.endswith("."), F.concat(positional, F.lit("0"))).otherwise(positional)
-    return F.concat(F.lit(NUMBER), F.when(F.abs(number) < 1e16, positional).otherwise(number.cast("string")))
+    power = F.regexp_replace(F.regexp_replace(F.replace(number.cast("string"), F.lit(".0E"), F.lit("E")), r"E-([0-9])$", "e-0$1"), r"E([0-9])", "e+$1")
+    power = F.replace(power, F.lit("E-"), F.lit("e-"))
+    odd = F.when(F.isnan(number), "nan").when(number == float("inf"), "inf").when(number == float("-inf"), "-inf")
+    plain = (number == 0) | (F.abs(number) >= 1e-4) & (F.abs(number) < 1e16)
+    return F.concat(F.lit(NUMBER), F.coalesce(odd, F.when(plain, positional).otherwise(power)))
 
 
 def boolean(col: Column) -> Column:
@@ -70,10 +74,27 @@ def value_token(v: Column) -> Column:
     )
 
 
+def answer_text(col: Column) -> Column:
+    """A text in a direct answer: a number if it is one but for blanks around it, else itself."""
+    bare = F.trim(col)
+    number = F.when(bare.rlike(r"^[+-]?[0-9]+$"), whole_number(bare)).otherwise(decimal(bare.try_cast("double")))
+    return F.when(bare.rlike(NUMERIC), number).otherwise(col)
+
+
+def nested(json: Column) -> Column:
+    """A list or object in a direct answer, given as JSON, as the text that tokens have."""
+    outside = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    spaced = F.regexp_replace(json, f"([,:]){outside}", "$1 ")
+    for word, name in (("null", "None"), ("true", "True"), ("false", "False")):
+        spaced = F.regexp_replace(spaced, rf"\b{word}\b{outside}", name)
+    return F.replace(spaced, F.lit('"'), F.lit("'"))
+
+
 def answer_tokens(answer: Column) -> Column:
     """array<string> of a JSON list given as text (perhaps fenced or within prose); null if there is no such list.
 
-    Elements: true and false are booleans, numbers and numeric text are numbers, other text is itself.
+    Elements: true and false are booleans, numbers and numeric text are numbers, other text is itself with its blanks.
+    Null is None, and a list or object within the list is its text, with single quotes and blanks after commas and colons.
     """
     bare = F.regexp_replace(F.trim(answer), r"(?s)^```[a-zA-Z]*\s*|\s*```$", "")
     first, last = F.instr(bare, "["), F.char_length(bare) - F.instr(F.reverse(bare), "]") + 1
@@ -82,11 +103,15 @@ def answer_tokens(answer: Column) -> Column:
 
     def token(v: Column) -> Column:
         kind, as_text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+        long_number = kind.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
         return (
             F.when(kind == "BOOLEAN", boolean(F.try_variant_get(v, "$", "boolean")))
+            .when(kind == "VOID", F.lit("None"))
             .when(kind == "BIGINT", integer(F.try_variant_get(v, "$", "bigint")))
+            .when(long_number, whole_number(as_text))
             .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), decimal(F.try_variant_get(v, "$", "double")))
-            .when(kind == "STRING", text(as_text))
+            .when(kind == "STRING", answer_text(as_text))
+            .otherwise(nested(as_text))
         )
 
-    return F.array_distinct(F.filter(F.transform(parsed, token), lambda t: t.isNotNull()))
+    return F.array_distinct(F.transform(parsed, token))

@@ -70,6 +70,14 @@ def accepted(query: Column, regex: str | None) -> Column:
     return F.lit(True) if regex is None else F.coalesce(F.trim(query).rlike(rf"^(?:{regex})$"), F.lit(False))
 
 
+def cleaned_column(output: Column) -> Column:
+    """`cleaned` of a column: null stays null."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(output, "```[a-zA-Z]*", ""), "`", " "))
+    found = F.regexp_extract(text, r"(?is)\bMATCH\b.*?\bRETURN\b[^;\n]*", 0)
+    flat = F.regexp_replace(F.when(found != "", found).otherwise(text), r"\s+", " ")
+    return F.regexp_replace(flat, "^[ ;]+|[ ;]+$", "")
+
+
 def cleaned(output: str) -> str:
     """A query out of generated text: without fences and back quotes, from MATCH to the end of the line (or ;) of its RETURN."""
     text = re.sub(r"```[a-zA-Z]*", "", output).replace("`", " ").strip()

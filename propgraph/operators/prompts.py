@@ -13,23 +13,23 @@ class Context:
 
 
 #: The settings, and what each does.
-SETTINGS = ("direct", "direct_grounded", "query_soft", "query_strict")
+SETTINGS = ("direct_qa_baseline", "direct_qa_grounded", "cypher_soft", "cypher_strict")
 
 
 def answers_directly(setting: str) -> bool:
-    return setting.startswith("direct")
+    return setting in SETTINGS[:2]
 
 
 def writes_queries(setting: str) -> bool:
-    return setting.startswith("query")
+    return setting in SETTINGS[2:]
 
 
 def grounded(setting: str) -> bool:
-    return setting != "direct"
+    return setting in (SETTINGS[1], SETTINGS[3])
 
 
 def strict(setting: str) -> bool:
-    return setting == "query_strict"
+    return setting == SETTINGS[3]
 
 
 def system_prompt(context: Context, setting: str, most_examples: int = 3) -> str:

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propgraph.operators import grammar, scoring
+from propgraph.operators.closure import keep
 from propgraph.operators.prompts import SETTINGS
 
 #: The output types, and the metrics that settings are ranked by.
-QUERY, DIRECT = "query", "direct"
+QUERY, DIRECT = "cypher", "direct_qa"
 RANKED = ("ea_mean", "svr_mean", "scr_mean", "f1_mean")
 #: Fixed value: the place of a setting that is not known.
 LAST = 99
@@ -84,16 +85,27 @@ def comparison(results: DataFrame, settings: tuple[str, ...] = SETTINGS) -> dict
     setting_results: means by setting; complexity_results: by setting and difficulty; category_results: by setting
     and category; ranking: settings by each metric, best first, ties in the order of the settings.
     """
-    named = results.withColumn("difficulty", scoring.difficulty(F.col("difficulty"))).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("unknown")))
-    means = scoring.summary(named, ["setting"])
+    rows = keep(grouped(results))  # a row per setting, level and category
+    part = lambda name, *level: rows.where(F.col("part") == name).select("setting", *level, *(c for c in rows.columns if c not in ("part", "setting", "level")))
+    means = part("all")
     return {
         "setting_results": means,
-        "complexity_results": scoring.summary(named, ["setting", "difficulty"]),
-        "category_results": scoring.summary(named, ["setting", "category"]),
+        "complexity_results": part("difficulty", F.col("level").alias("difficulty")),
+        "category_results": part("category", F.col("level").alias("category")),
         "ranking": scoring.ranking(means, "setting", list(RANKED), settings),
     }
 
 
+def grouped(results: DataFrame) -> DataFrame:
+    """(part, setting, level, metrics): means by setting, by setting and difficulty, by setting and category, in one pass over the results."""
+    named = results.withColumn("difficulty", scoring.difficulty(F.col("difficulty"))).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("unknown")))
+    keys = [F.col(c) for c in ("setting", "difficulty", "category")]
+    rows = named.groupingSets([keys[:1], keys[:2], [keys[0], keys[2]]], *keys).agg(F.grouping("difficulty").alias("_d"), F.grouping("category").alias("_c"), *scoring.metrics())
+    part = F.when(F.col("_d") == 0, "difficulty").when(F.col("_c") == 0, "category").otherwise(F.lit("all"))
+    level = F.when(F.col("_d") == 0, F.col("difficulty")).when(F.col("_c") == 0, F.col("category")).otherwise(F.lit(""))
+    return rows.select(part.alias("part"), "setting", level.alias("level"), *(c for c in rows.columns if c not in ("setting", "difficulty", "category", "_d", "_c")))
+
+
 def best(parts: dict[str, DataFrame], metric: str = "ea_mean") -> DataFrame:
     """(setting, score): the best setting by a metric; no rows if there are no results."""
     first = parts["ranking"].where((F.col("metric") == metric) & (F.col("place") == 1)).select("setting")

@@ -24,11 +24,22 @@ def used_properties(query: Column) -> Column:
     return F.filter(found, lambda x: ~x.isin(*NO_PROPERTIES))
 
 
-def schema_compliance(query: Column, labels: Column, properties: Column) -> Column:
+#: Texts, with escapes, and decimal numbers.
+LITERALS = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|(?<![\w.])[0-9]+\.[0-9]+"""
+
+
+def masked(query: Column) -> Column:
+    """A query with a blank in place of each text and decimal number, so that names in them are not taken for used ones."""
+    return F.regexp_replace(query, f"(?s){LITERALS}", " ")
+
+
+def schema_compliance(query: Column, labels: Column, properties: Column, mask: bool = False) -> Column:
     """struct<scr, invalid_labels, invalid_properties>: the share of used names that are valid, in any case of letters.
 
-    Blank query: 0; nothing used: 1.  labels, properties: arrays of valid names in lower case.
+    Blank query: 0; nothing used: 1.  labels, properties: arrays of valid names in lower case.  mask: leave out what
+    only looks like a name, within texts and decimal numbers.
     """
+    query = masked(query) if mask else query
     bad = lambda used, valid: F.array_sort(F.filter(used, lambda x: ~F.array_contains(valid, F.lower(x))))
     bl, bp = bad(used_labels(query), labels), bad(used_properties(query), properties)
     total = F.size(used_labels(query)) + F.size(used_properties(query))
@@ -82,8 +93,13 @@ def _mean(col: str, when: Column | None = None) -> Column:
 
 def summary(results: DataFrame, by: list[str]) -> DataFrame:
     """Means of the metrics by group ([]: over all): scalar and set gold apart, and over non-empty gold alone."""
+    return results.groupBy(*by).agg(*metrics())
+
+
+def metrics() -> list[Column]:
+    """The aggregates of a summary."""
     scalar, filled = scalar_gold(F.col("gold")), F.size("gold") > 0
-    return results.groupBy(*by).agg(
+    return [
         F.count("*").alias("n"),
         *(_mean(m).alias(f"{m}_mean") for m in ("svr", "scr", "ea", "f1")),
         F.count_if(F.col("svr") > 0).alias("valid"),
@@ -92,7 +108,8 @@ def summary(results: DataFrame, by: list[str]) -> DataFrame:
         _mean("ea", filled & ~scalar).alias("ea_mean_set"),
         _mean("ea", filled).alias("ea_mean_non_trivial"),
         _mean("f1", filled).alias("f1_mean_non_trivial"),
-    )
+        *(c for m in ("svr", "scr", "ea", "f1") for c in (F.coalesce(F.sum(m), F.lit(0.0)).alias(f"{m}_sum"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"))),
+    ]
 
 
 def ranking(summaries: DataFrame, setting: str, metrics: list[str], order: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propgraph.operators import grammar, profile, reports, schema, scoring
+from propgraph.functions import tokens
+from propgraph.operators import grammar, profile, reports, runs, schema, scoring, store
 from propgraph.operators.prompts import SETTINGS
 from propgraph.plans.aggregation import EDGES
 from propgraph.plans.model import ORACLES as MODEL
@@ -28,11 +29,7 @@ def _compared(spark: SparkSession, sf: str) -> DataFrame:
 
 def comparison_report(spark: SparkSession, sf: str) -> DataFrame:
     """Means by setting, by setting and level, by setting and category, one below the other."""
-    parts = reports.comparison(_compared(spark, sf))
-    metrics = ["n", "valid", "perfect", F.round("ea_mean", 4).alias("ea"), F.round("f1_mean_non_trivial", 4).alias("f1")]
-    own = parts["setting_results"].select(F.lit("all").alias("part"), "setting", F.lit("").alias("level"), *metrics)
-    levels = parts["complexity_results"].select(F.lit("difficulty").alias("part"), "setting", F.col("difficulty").alias("level"), *metrics)
-    return own.unionAll(levels).unionAll(parts["category_results"].select(F.lit("category").alias("part"), "setting", F.col("category").alias("level"), *metrics))
+    return reports.grouped(_compared(spark, sf)).select("part", "setting", "level", "n", "valid", "perfect", F.round("ea_mean", 4).alias("ea"), F.round("f1_mean_non_trivial", 4).alias("f1"))
 
 
 def comparison_ranking(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,11 +130,38 @@ def perfect_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.summary(rows, ["o_orderstatus"]).select("o_orderstatus", "n", "perfect", F.round("scr_mean", 4).alias("scr"))
 
 
+class Script:
+    """A generator whose outputs follow from the question's number: some are right, some no list, some fail now and then or always."""
+
+    def __init__(self) -> None:
+        self.asked: dict[str, int] = {}
+
+    def generate(self, question: str, setting: str, context: str) -> str:
+        k = int(question.rsplit(" ", 1)[1])
+        self.asked[question] = self.asked.get(question, 0) + 1
+        if k % 7 == 0 or k % 7 == 1 and self.asked[question] < 3:
+            raise RuntimeError(f"no answer to {k}")
+        if setting == "cypher_soft":
+            return f"```MATCH (n:Nation)  RETURN n.Name{k % 2}```"
+        return "none" if k % 7 == 2 else f'The regions: ["{k % 5}", 99]'
+
+
+def setting_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Two settings over a question for each nation: asked in tasks, scored by type, with an error row where all attempts failed."""
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    cases = n.select(F.col("n_nationkey").cast("int").alias("index"), F.concat(F.lit("the region of nation "), F.col("n_nationkey")).alias("question"), F.array(tokens.integer(F.col("n_regionkey"))).alias("gold"), F.lit("1").alias("difficulty"))
+    texts = spark.createDataFrame([("MATCH (n:Nation) RETURN n.Name0", ["num:0", "num:1"])], "output string, tokens array<string>")
+    run = runs.Run(Script, store.scratch(spark), ("Nation",), ("Name0",), grammar.query_regex(["Nation"], ["Name0", "Name1"], []), texts)
+    results = [runs.scored(cases, runs.answers(cases, run, s), run) for s in ("direct_qa_grounded", "cypher_soft")]
+    rows = results[0].unionByName(results[1])
+    return rows.select("index", "setting", "output_type", "svr", "scr", F.round("ea", 6).alias("ea"), "error", "num_generated_results", F.array_join("invalid_properties", ",").alias("invalid_properties"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         comparison_report, comparison_ranking, best_setting, means_by_output_type, gold_statistics, client_summary, client_difficulties, setting_order, svr_dispatch, property_sets, entity_properties,
-        class_relations, first_names, name_lists, first_choice, json_rows, perfect_scores,
+        class_relations, first_names, name_lists, first_choice, json_rows, perfect_scores, setting_run,
     )
 }
 
@@ -146,7 +170,9 @@ def _names(of: str, names: tuple[str, ...]) -> str:
     return f"CASE {of} " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(names)) + " END"
 
 
-_SETTING = _names("index % 4", SETTINGS)
+#: The settings as files have them, written out, so that SQL would notice another name.
+_WRITTEN = ("direct_qa_baseline", "direct_qa_grounded", "cypher_soft", "cypher_strict")
+_SETTING = _names("index % 4", _WRITTEN)
 _LEVEL = "CASE left(o_orderpriority, 1) WHEN '1' THEN 'easy' WHEN '2' THEN 'medium' WHEN '3' THEN 'hard' ELSE 'unknown' END"
 _CATEGORY = "CASE WHEN index % 7 = 0 THEN 'unknown' ELSE o_orderstatus END"
 
@@ -164,15 +190,15 @@ ORACLES = {
     "comparison_report": f"{_part('all', chr(39) * 2)} UNION ALL {_part('difficulty', _LEVEL)} UNION ALL {_part('category', _CATEGORY)}",
     "comparison_ranking": f"""WITH s AS (SELECT index % 4 AS k, avg(ea) AS ea_mean, avg(svr) AS svr_mean, 1::DOUBLE AS scr_mean, avg(f1) AS f1_mean FROM {_RESULTS} GROUP BY 1),
         u AS (UNPIVOT s ON ea_mean, svr_mean, scr_mean, f1_mean INTO NAME metric VALUE score)
-        SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY score DESC, k)::INT AS place, {_names("k", SETTINGS)} AS setting FROM u""",
+        SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY score DESC, k)::INT AS place, {_names("k", _WRITTEN)} AS setting FROM u""",
     "best_setting": f"SELECT {_SETTING} AS setting, round(avg(ea), 4) AS score FROM {_RESULTS} GROUP BY 1 ORDER BY avg(ea) DESC LIMIT 1",
-    "means_by_output_type": f"""SELECT count(*) AS n, count(*) FILTER (svr > 0) AS valid, count(*) FILTER (svr = 1 AND ea = 1) AS perfect, round(avg(svr) FILTER (index % 4 > 1), 4) AS query_svr_mean, 1::DOUBLE AS query_scr_mean,
-        round(avg(ea) FILTER (index % 4 > 1), 4) AS query_ea_mean, round(avg(svr) FILTER (index % 4 < 2), 4) AS direct_svr_mean, round(avg(ea) FILTER (index % 4 < 2), 4) AS direct_ea_mean FROM {_RESULTS}""",
+    "means_by_output_type": f"""SELECT count(*) AS n, count(*) FILTER (svr > 0) AS valid, count(*) FILTER (svr = 1 AND ea = 1) AS perfect, round(avg(svr) FILTER (index % 4 > 1), 4) AS cypher_svr_mean, 1::DOUBLE AS cypher_scr_mean,
+        round(avg(ea) FILTER (index % 4 > 1), 4) AS cypher_ea_mean, round(avg(svr) FILTER (index % 4 < 2), 4) AS direct_qa_svr_mean, round(avg(ea) FILTER (index % 4 < 2), 4) AS direct_qa_ea_mean FROM {_RESULTS}""",
     "gold_statistics": f"SELECT count(*) AS cases, coalesce(sum(size), 0)::BIGINT AS tokens, count(gold) AS non_empty FROM {_RESULTS}",
     "client_summary": f"""SELECT count(*) AS count, {", ".join(f"round(avg({x}), 4) AS {m}_mean" for m, x in _SCORES.items())}, count(*) FILTER (svr > 0) AS syntax_valid_count, count(*) FILTER (index % 5 = 0) AS error_count,
         count(gold) AS non_trivial_count, {", ".join(f"round(coalesce(avg({x}) FILTER (gold IS NOT NULL), 0), 4) AS {m}_mean_non_trivial" for m, x in _SCORES.items() if m not in ("svr", "scr"))} FROM {_RESULTS}""",
     "client_difficulties": f"SELECT {_names('index % 3', ('unknown', 'Easy', 'easy'))} AS difficulty, count(*) AS n, round(avg({_CLIENT_EA}), 4) AS ea, round(avg(f1), 4) AS f1 FROM {_RESULTS} GROUP BY 1",
-    "setting_order": f"""SELECT o_orderstatus AS model, {_names("o_orderkey % 5", (*SETTINGS, "other"))} AS setting, count(*) AS n, CASE WHEN o_orderkey % 5 = 4 THEN 99 ELSE (o_orderkey % 5)::INT END AS place
+    "setting_order": f"""SELECT o_orderstatus AS model, {_names("o_orderkey % 5", (*_WRITTEN, "other"))} AS setting, count(*) AS n, CASE WHEN o_orderkey % 5 = 4 THEN 99 ELSE (o_orderkey % 5)::INT END AS place
         FROM orders GROUP BY model, setting, place""",
     "svr_dispatch": "SELECT o_orderkey, (o_orderkey % 4 < 2)::INT::DOUBLE AS svr, CASE WHEN o_orderkey % 4 = 2 THEN 0.5 ELSE 1 END::DOUBLE AS scr FROM orders",
     "property_sets": f"SELECT pset, pset LIKE 'Qto%' AS quantity, string_agg(DISTINCT property, ',' ORDER BY property) AS properties FROM {_PROPS} GROUP BY 1",
@@ -188,4 +214,9 @@ ORACLES = {
     "json_rows": """SELECT '{"o_orderkey":' || o_orderkey || ',"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","status":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END
         || ',"late":' || (o_custkey > 50)::VARCHAR || '}' AS json FROM orders""",
     "perfect_scores": f"SELECT o_orderstatus, count(*) AS n, count(*) FILTER (svr = 1 AND ea = 1 AND index % 2 = 1) AS perfect, round(avg(CASE index % 2 WHEN 0 THEN 0.5 ELSE 1 END), 4) AS scr FROM {_RESULTS} GROUP BY 1",
+    "setting_run": """WITH c AS (SELECT n_nationkey::INT AS index, n_regionkey AS r, n_nationkey % 7 AS k, n_nationkey % 5 AS said FROM nation), e AS (SELECT *, CASE WHEN k = 0 THEN 'Generation failed: no answer to ' || index END AS error FROM c)
+        SELECT index, 'direct_qa_grounded' AS setting, 'direct_qa' AS output_type, CASE WHEN k IN (0, 2) THEN 0 ELSE 1 END::DOUBLE AS svr, CASE WHEN k = 0 THEN 0 ELSE 1 END::DOUBLE AS scr,
+          CASE WHEN k IN (0, 2) OR said <> r THEN 0 ELSE 0.5 END::DOUBLE AS ea, error, CASE WHEN k IN (0, 2) THEN 0 ELSE 2 END AS num_generated_results, NULL AS invalid_properties FROM e
+        UNION ALL SELECT index, 'cypher_soft', 'cypher', CASE WHEN k = 0 THEN 0 ELSE 1 END, CASE WHEN k = 0 THEN 0 WHEN index % 2 = 1 THEN 0.5 ELSE 1 END,
+          CASE WHEN k = 0 OR index % 2 = 1 OR r > 1 THEN 0 ELSE 0.5 END, error, CASE WHEN k = 0 OR index % 2 = 1 THEN 0 ELSE 2 END, CASE WHEN k = 0 THEN NULL WHEN index % 2 = 1 THEN 'Name1' ELSE '' END FROM e""",
 }

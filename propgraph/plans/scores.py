@@ -35,11 +35,6 @@ def svr_json(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(spark.read.parquet(f"{sf}/orders.parquet"))
 
 
-def svr_json_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Direct answers of all orders."""
-    return _answers(spark.read.parquet(f"{sf}/orders.parquet"))
-
-
 def _answers(o: DataFrame) -> DataFrame:
     answer = (
         F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('```json\n["'), "o_orderstatus", F.lit('", 5]\n```')))
@@ -52,6 +47,26 @@ def _answers(o: DataFrame) -> DataFrame:
     return found.select("o_orderkey", F.col("tokens").isNotNull().alias("valid"), F.array_join(F.array_sort("tokens"), ",").alias("tokens"))
 
 
+def svr_json_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Direct answers whose elements are of every form: null, nested, with blanks, long, with exponents, empty."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    forms = ['[null, {"a": 1}, [1, "q"]]', '[" pad ", "  5 "]', '[0.00005, 1e20]', '[5.0, "5.50", "1e3"]', '["0123456789012345678901", true, "true"]']
+    own = F.concat(F.lit("["), F.col("o_custkey").cast("string"), F.lit(', ""]'))
+    answer = F.coalesce(F.get(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % 6).cast("int")), own)
+    found = o.select("o_orderkey", tokens.answer_tokens(answer).alias("tokens"))
+    return found.select("o_orderkey", F.size("tokens").alias("n"), F.array_join(F.array_sort("tokens"), "|").alias("tokens"))
+
+
+def scr_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Compliance of queries with texts and decimals that look like names, as they stand and masked."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    query = F.concat(F.lit("MATCH (p:Part) WHERE p.p_type = 'a.wide "), F.col("p_type"), F.lit(" (x:Planet)' AND p.p_retailprice > "), F.when(F.col("p_partkey") % 2 == 0, "10.25").otherwise(F.lit("10")), F.lit(' RETURN p.p_name, "b.c"'))
+    valid = [F.array(F.lit("part")), F.array(*map(F.lit, ("p_type", "p_retailprice", "p_name")))]
+    shown = lambda s: F.array_join(F.concat(s["invalid_labels"], s["invalid_properties"]), ",")
+    s = p.select("p_partkey", scoring.schema_compliance(query, *valid).alias("plain"), scoring.schema_compliance(query, *valid, mask=True).alias("masked"))
+    return s.select("p_partkey", F.round("plain.scr", 6).alias("scr"), shown(F.col("plain")).alias("invalid"), F.col("masked.scr").alias("scr_masked"), shown(F.col("masked")).alias("invalid_masked"))
+
+
 def scr_labels_props(spark: SparkSession, sf: str) -> DataFrame:
     """Compliance of queries whose labels and properties are partly unknown."""
     n = spark.read.parquet(f"{sf}/customer.parquet")
@@ -124,8 +139,11 @@ def stddev_by_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stddev_by_group_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All customers as runs of their nations."""
-    return _runs(spark.read.parquet(f"{sf}/customer.parquet"))
+    """Orders as runs of their status and priority: two metrics, and their text for a table."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderstatus", "o_orderpriority", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
+    s = scoring.across_runs(o, ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"])
+    rounded = {m: F.round(m, 2).alias(m) for m in ("o_totalprice_mean", "o_totalprice_std", "o_custkey_mean", "o_custkey_std")}
+    return s.select("o_orderstatus", "o_orderpriority", "runs", *rounded.values(), scoring.mean_and_deviation(F.round(F.col("o_custkey_mean"), 1), F.lit(0.5)).alias("shown"))
 
 
 def _runs(c: DataFrame) -> DataFrame:
@@ -137,7 +155,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         record_tokens, list_tokens, numeric_text, svr_json, scr_labels_props, token_jaccard, ea_prf, gold_shape, difficulty_summary, category_summary, metrics_by_group, scalar_set_split, stddev_by_group,
-        svr_json_all, stddev_by_group_all,
+        svr_json_all, stddev_by_group_all, scr_masked,
     )
 }
 
@@ -165,7 +183,10 @@ ORACLES = {
     "metrics_by_group": f"SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(ea), 4) AS ea FROM {_RESULTS} GROUP BY 1, 2",
     "scalar_set_split": f"SELECT round(avg(ea) FILTER (gold IS NOT NULL), 4) AS scalar, 0::DOUBLE AS sets, count(*) AS n FROM {_RESULTS}",
     "stddev_by_group": "SELECT c_nationkey, count(*) AS runs, round(avg(c_acctbal), 4) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 4) AS std FROM customer GROUP BY 1",
-    "svr_json_all": """SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 4) AS valid, CASE o_orderkey % 5 WHEN 0 THEN o_orderstatus || ',num:5' WHEN 1 THEN array_to_string(list_sort(list_distinct(['bool:1', 'num:' || o_custkey, 'num:7'])), ',') WHEN 4 THEN '' END AS tokens
-        FROM orders""",
-    "stddev_by_group_all": "SELECT c_nationkey, count(*) AS runs, round(avg(c_acctbal), 4) AS mean, round(coalesce(stddev_samp(c_acctbal), 0), 4) AS std FROM customer GROUP BY 1",
+    "svr_json_all": """SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 3, 4) THEN 3 ELSE 2 END AS n, CASE o_orderkey % 6 WHEN 0 THEN 'None|[1, ''q'']|{''a'': 1}' WHEN 1 THEN ' pad |num:5' WHEN 2 THEN 'num:1e+20|num:5e-05'
+          WHEN 3 THEN 'num:1000.0|num:5.0|num:5.5' WHEN 4 THEN 'bool:1|num:123456789012345678901|true' ELSE '|num:' || o_custkey END AS tokens FROM orders""",
+    "stddev_by_group_all": """SELECT o_orderstatus, o_orderpriority, count(*) AS runs, round(avg(o_totalprice), 2) AS o_totalprice_mean, round(coalesce(stddev_samp(o_totalprice), 0), 2) AS o_totalprice_std,
+          round(avg(o_custkey), 2) AS o_custkey_mean, round(coalesce(stddev_samp(o_custkey), 0), 2) AS o_custkey_std, printf('%.3f ± 0.500', round(avg(o_custkey), 1)) AS shown FROM orders GROUP BY 1, 2""",
+    "scr_masked": """SELECT p_partkey, round((4 + 0) / (CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 7 END), 6)::DOUBLE AS scr, CASE WHEN p_partkey % 2 = 0 THEN 'Planet,25,c,wide' ELSE 'Planet,c,wide' END AS invalid,
+          1::DOUBLE AS scr_masked, '' AS invalid_masked FROM part""",
 }

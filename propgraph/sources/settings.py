@@ -18,7 +18,7 @@ class Settings:
     document_path: str | None = None
     test_set_path: str | None = None
     model: str = "unknown"
-    setting: str = "query_strict"
+    setting: str = "cypher_strict"
     max_context_chars: int = 100_000
 
     @classmethod

@@ -245,9 +245,9 @@ def test_grammar(spark):
 
 
 def test_prompts():
-    text = prompts.system_prompt(prompts.Context("Node labels: A", {"A.x": ["1"]}, [{"question": "q", "query": "m"}]), "query_strict")
+    text = prompts.system_prompt(prompts.Context("Node labels: A", {"A.x": ["1"]}, [{"question": "q", "query": "m"}]), "cypher_strict")
     assert "Known values" in text and "Examples" in text and "one of them" in text
-    assert "Known values" not in prompts.system_prompt(prompts.Context("s"), "query_soft")
+    assert "Known values" not in prompts.system_prompt(prompts.Context("s"), "cypher_soft")
     assert prompts.truncated('[{"a": 1},{"b": 2},{"c": 3}]', 20) == '[{"a": 1},{"b": 2}]'
 
 

@@ -45,9 +45,9 @@ def test_gold_scores_one(engine, spark):
 
 
 def test_generators(engine):
-    out = engine.run(["a", "b"], Gold({"a": "x"}), "query_soft")
+    out = engine.run(["a", "b"], Gold({"a": "x"}), "cypher_soft")
     assert out[0]["output"] == "x" and out[1]["error"].startswith("generation_failed")
-    assert engine.run(["a"], Scripted(["y"]), "direct")[0]["output"] == "y"
+    assert engine.run(["a"], Scripted(["y"]), "direct_qa_baseline")[0]["output"] == "y"
     assert engine.health()
 
 
@@ -65,11 +65,11 @@ def test_stream_of_rates(spark, sf, tmp_path):
 
 def test_scores_and_comparison_of_settings(engine, spark):
     made = spark.createDataFrame(
-        [(0, "query_soft", "query", "MATCH (n:Nation) RETURN n.Name", ["a"]), (0, "direct", "direct", "no list", ["a"]), (1, "query_soft", "query", "MATCH (n:Planet) RETURN n.Name", None)],
+        [(0, "cypher_soft", "cypher", "MATCH (n:Nation) RETURN n.Name", ["a"]), (0, "direct_qa_baseline", "direct_qa", "no list", ["a"]), (1, "cypher_soft", "cypher", "MATCH (n:Planet) RETURN n.Name", None)],
         "index int, setting string, output_type string, output string, tokens array<string>",
     ).select("*", F.lit(None).cast("string").alias("difficulty"), F.lit("names").alias("category"))
     scored = engine.score(made)
-    assert sorted((r["setting"], r["index"], r["svr"], r["scr"]) for r in scored.collect()) == [("direct", 0, 0.0, 1.0), ("query_soft", 0, 1.0, 1.0), ("query_soft", 1, 0.0, 0.5)]
+    assert sorted((r["setting"], r["index"], r["svr"], r["scr"]) for r in scored.collect()) == [("cypher_soft", 0, 1.0, 1.0), ("cypher_soft", 1, 0.0, 0.5), ("direct_qa_baseline", 0, 0.0, 1.0)]
     cases = spark.createDataFrame([(0, ["a"]), (1, ["b"])], "index int, gold array<string>")
     means = {r["setting"]: (r["n"], r["ea_mean"], r["perfect"]) for r in engine.compare(cases, scored)["setting_results"].collect()}
-    assert means == {"query_soft": (2, 0.5, 1), "direct": (1, 0.0, 0)}
+    assert means == {"cypher_soft": (2, 0.5, 1), "direct_qa_baseline": (1, 0.0, 0)}

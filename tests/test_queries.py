@@ -45,7 +45,7 @@ def test_scores_read_every_row(spark, sf):
     from propgraph.plans import scores
 
     assert scores.svr_json_all(spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
-    runs = scores.stddev_by_group_all(spark, sf).agg(F.sum("runs")).first()[0]
+    runs = scores.stddev_by_group(spark, sf).agg(F.sum("runs")).first()[0]
     assert runs == spark.read.parquet(f"{sf}/customer.parquet").count()
     made = spark.createDataFrame([(1, 2.5), (2, 1.0), (2, 3.0)], "nation long, v double")
     got = {r["nation"]: (r["runs"], r["v_mean"], round(r["v_std"], 6)) for r in scoring.across_runs(made, ["nation"], ["v"]).collect()}

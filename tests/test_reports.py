@@ -11,9 +11,9 @@ RESULTS = "setting string, difficulty string, category string, svr double, scr d
 def results(spark):
     return spark.createDataFrame(
         [
-            ("query_soft", "Level 1", "count", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, ["num:5"]),
-            ("query_soft", None, None, 0.0, 0.5, 0.0, 0.0, 0.0, 0.0, ["a", "b"]),
-            ("direct", "L1", "count", 1.0, 1.0, 0.5, 0.5, 0.5, 0.5, ["num:5"]),
+            ("cypher_soft", "Level 1", "count", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, ["num:5"]),
+            ("cypher_soft", None, None, 0.0, 0.5, 0.0, 0.0, 0.0, 0.0, ["a", "b"]),
+            ("direct_qa_baseline", "L1", "count", 1.0, 1.0, 0.5, 0.5, 0.5, 0.5, ["num:5"]),
         ],
         RESULTS,
     )
@@ -22,12 +22,12 @@ def results(spark):
 def test_comparison_is_one_object(spark):
     parts = reports.comparison(results(spark))
     got = json.loads(reports.comparison_json(parts, {"model": "m"}, "2020-01-01T00:00:00"))
-    assert got["model_name"] == "m" and got["setting_results"]["query_soft"]["ea_mean"] == 0.5
-    assert got["setting_matrix"]["direct"]["baseline"]["n"] == 1 and got["setting_matrix"]["query"]["strict"] == {}
-    assert got["complexity_results"]["query_soft"]["easy"]["perfect"] == 1 and got["category_results"]["query_soft"]["unknown"]["n"] == 1
+    assert got["model_name"] == "m" and got["setting_results"]["cypher_soft"]["ea_mean"] == 0.5
+    assert got["setting_matrix"]["direct_qa"]["baseline"]["n"] == 1 and got["setting_matrix"]["cypher"]["strict"] == {}
+    assert got["complexity_results"]["cypher_soft"]["easy"]["perfect"] == 1 and got["category_results"]["cypher_soft"]["unknown"]["n"] == 1
     # equal accuracy: the order of the settings decides, not the name
-    assert got["ranking"]["ea_mean"] == ["direct", "query_soft"] and got["ranking"]["svr_mean"] == ["direct", "query_soft"]
-    assert [tuple(r) for r in reports.best(parts).collect()] == [("direct", 0.5)]
+    assert got["ranking"]["ea_mean"] == ["direct_qa_baseline", "cypher_soft"] and got["ranking"]["svr_mean"] == ["direct_qa_baseline", "cypher_soft"]
+    assert [tuple(r) for r in reports.best(parts).collect()] == [("direct_qa_baseline", 0.5)]
 
 
 def test_comparison_of_nothing(spark):
@@ -52,7 +52,7 @@ def test_client_rows_without_scores(spark):
 
 def test_syntax_by_output_type(spark):
     regex = grammar.query_regex(["Wall"], ["Name"], ["CONTAINS"])
-    rows = spark.createDataFrame([("MATCH (n:Wall) RETURN n.Name", "query"), ("[1]", "query"), ("[1]", "direct"), (None, "direct"), (None, "query")], "o string, t string")
+    rows = spark.createDataFrame([("MATCH (n:Wall) RETURN n.Name", "cypher"), ("[1]", "cypher"), ("[1]", "direct_qa"), (None, "direct_qa"), (None, "cypher")], "o string, t string")
     got = [r[0] for r in rows.select(reports.syntax_validity(F.col("o"), F.col("t"), regex)).collect()]
     assert got == [1.0, 0.0, 1.0, 0.0, 0.0]
 
@@ -82,9 +82,9 @@ def test_vocabulary_of_each_source(spark):
 
 
 def test_prompts_of_settings():
-    assert "no schema loaded" in prompts.choose("query_soft", None) and "  - Wall" in prompts.choose("query_strict", None, ["Wall"], ["Name"])
-    assert "Schema:\nS" in prompts.choose("query_soft", prompts.Context("S"))
-    assert prompts.choose("direct", None, grounding="G") == prompts.choose("direct_grounded", None) and prompts.choose("direct_grounded", None, grounding="G").endswith("G")
+    assert "no schema loaded" in prompts.choose("cypher_soft", None) and "  - Wall" in prompts.choose("cypher_strict", None, ["Wall"], ["Name"])
+    assert "Schema:\nS" in prompts.choose("cypher_soft", prompts.Context("S"))
+    assert prompts.choose("direct_qa_baseline", None, grounding="G") == prompts.choose("direct_qa_grounded", None) and prompts.choose("direct_qa_grounded", None, grounding="G").endswith("G")
 
 
 def test_settings(tmp_path):
