@@ -123,10 +123,10 @@ class Engine:
         """Scores of outputs (index, svr, scr, tokens) against cases (index, gold)."""
         return scoring.evaluate(cases, outputs)
 
-    def score(self, outputs: DataFrame) -> DataFrame:
-        """outputs (output, output_type) with svr and scr, each by its type."""
+    def score(self, outputs: DataFrame, bounded: bool = True) -> DataFrame:
+        """outputs (output, output_type) with svr and scr, each by its type.  bounded: queries must be in the bounded language, else hang together."""
         valid = [F.array(*(F.lit(x.lower()) for x in names)) for names in (self.labels, self.properties)]
-        svr = reports.syntax_validity(F.col("output"), F.col("output_type"), self.regex)
+        svr = reports.syntax_validity(F.col("output"), F.col("output_type"), self.regex if bounded else None)
         return outputs.select("*", svr.alias("svr"), reports.compliance(F.col("output"), F.col("output_type"), *valid).alias("scr"))
 
     def compare(self, cases: DataFrame, outputs: DataFrame) -> dict[str, DataFrame]:

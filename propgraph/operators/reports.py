@@ -11,7 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propgraph.operators import grammar, scoring
+from propgraph.operators import grammar, scoring, wellformed
 from propgraph.operators.closure import keep
 from propgraph.operators.prompts import SETTINGS
 
@@ -24,8 +24,9 @@ MEANS = ("svr", "scr", "ea", "precision", "recall", "f1")
 
 
 def syntax_validity(output: Column, output_type: Column, regex: str | None) -> Column:
-    """1.0 or 0.0: a query text is held against the grammar, any other output must be a JSON list."""
-    valid = F.when(output_type == QUERY, grammar.accepted(output, regex)).otherwise(scoring.valid_answer(output))
+    """1.0 or 0.0: a query text is held against the grammar (None: must hang together, whatever it names), any other output must be a JSON list."""
+    query = wellformed.well_formed(output) if regex is None else grammar.accepted(output, regex)
+    valid = F.when(output_type == QUERY, query).otherwise(scoring.valid_answer(output))
     return F.coalesce(valid, F.lit(False)).cast("double")
 
 

@@ -125,10 +125,14 @@ def gold_answers(cases: DataFrame, setting: str) -> DataFrame:
 
 
 def scored(cases: DataFrame, outputs: DataFrame, run: Run) -> DataFrame:
-    """Result rows of outputs: syntax, compliance, tokens by type, accuracy; a failed generation scores 0 throughout."""
+    """Result rows of outputs: syntax, compliance, tokens by type, accuracy; a failed generation scores 0 throughout.
+
+    Of what is said for a query the query text counts, without what stands around it.
+    """
     valid = [F.array(*(F.lit(x.lower()) for x in own)).cast("array<string>") for own in (run.labels, run.properties)]
     kind = F.when(F.col("setting").isin(*prompts.SETTINGS[:2]), reports.DIRECT).otherwise(F.lit(reports.QUERY))
-    typed = outputs.withColumn("output_type", kind)
+    typed = outputs.withColumn("output_type", kind).withColumn("_said", F.col("output"))
+    typed = typed.withColumn("output", F.when(F.col("output_type") == reports.QUERY, grammar.cleaned_column(F.col("output"))).otherwise(F.col("output")))
     failed = F.col("output").isNull()
     svr = F.when(failed, 0.0).otherwise(reports.syntax_validity(F.col("output"), F.col("output_type"), run.regex))
     names_ = F.when(F.col("output_type") == reports.QUERY, scoring.schema_compliance(F.col("output"), *valid))
@@ -140,7 +144,7 @@ def scored(cases: DataFrame, outputs: DataFrame, run: Run) -> DataFrame:
     count = lambda c: F.coalesce(F.size(F.array_distinct(c)), F.lit(0))
     return rows.join(facts, "index", "left").select(
         "index", "question", "setting", F.col("setting").alias("experiment_setting"), "output_type", F.when(F.col("output_type") == reports.QUERY, F.col("output")).alias("generated_cypher"), "gold_cypher",
-        F.col("output").alias("raw_output"), "svr", "scr", "ea", (F.col("svr") > 0).alias("is_valid_syntax"), "invalid_labels", "invalid_properties", count(F.col("tokens")).alias("num_generated_results"),
+        F.col("_said").alias("raw_output"), "svr", "scr", "ea", (F.col("svr") > 0).alias("is_valid_syntax"), "invalid_labels", "invalid_properties", count(F.col("tokens")).alias("num_generated_results"),
         count(F.col("gold")).alias("num_gold_results"), "precision", "recall", "f1", "error", "category", "difficulty", F.lit(run.model).alias("model"), "gold", "tokens",
     )
 

@@ -142,7 +142,7 @@ class Script:
         if k % 7 == 0 or k % 7 == 1 and self.asked[question] < 3:
             raise RuntimeError(f"no answer to {k}")
         if setting == "cypher_soft":
-            return f"```MATCH (n:Nation)  RETURN n.Name{k % 2}```"
+            return f"Here it is:\n```\nMATCH (n:Nation)\n RETURN n.Name{k % 2};\n```"
         return "none" if k % 7 == 2 else f'The regions: ["{k % 5}", 99]'
 
 

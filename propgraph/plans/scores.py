@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.functions import tokens
-from propgraph.operators import scoring
+from propgraph.operators import reports, scoring
 
 
 def record_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,6 +67,18 @@ def scr_masked(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("p_partkey", F.round("plain.scr", 6).alias("scr"), shown(F.col("plain")).alias("invalid"), F.col("masked.scr").alias("scr_masked"), shown(F.col("masked")).alias("invalid_masked"))
 
 
+def svr_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """Query texts of several clauses, some with a name that nothing binds, a bracket too few or clauses out of order."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    forms = [
+        "MATCH (o:Order)-[:R]->(p:Part)<-[r:S]-(x) WHERE o.price * 2 > {0} AND NOT (o)-[:T]->(:Lot) RETURN o.id AS id, count(DISTINCT p) AS n, r ORDER BY n DESC LIMIT 5",
+        "MATCH (o:Order) WHERE q.price > {0} RETURN o", "MATCH (o:Order) WITH o.price / {0} AS part, o WHERE part > 1 RETURN o.id, part", "MATCH (o:Order) WITH o.price AS part RETURN o.id",
+        "MATCH (o:Order) WHERE (o.price > {0} RETURN o", "MATCH (o:Order) UNWIND keys(o) AS k WITH DISTINCT k WHERE k CONTAINS 'RETURN (' RETURN collect(k), {0}", "RETURN o MATCH (o) WHERE o.x = {0}", "MATCH (o:Order) RETURN o.a, {0}, o.a",
+    ]
+    text = F.replace(F.get(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % 8).cast("int")), F.lit("{0}"), F.col("o_custkey").cast("string"))
+    return o.select("o_orderkey", reports.syntax_validity(text, F.lit(reports.QUERY), None).alias("svr"))
+
+
 def scr_labels_props(spark: SparkSession, sf: str) -> DataFrame:
     """Compliance of queries whose labels and properties are partly unknown."""
     n = spark.read.parquet(f"{sf}/customer.parquet")
@@ -155,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         record_tokens, list_tokens, numeric_text, svr_json, scr_labels_props, token_jaccard, ea_prf, gold_shape, difficulty_summary, category_summary, metrics_by_group, scalar_set_split, stddev_by_group,
-        svr_json_all, stddev_by_group_all, scr_masked,
+        svr_json_all, stddev_by_group_all, scr_masked, svr_bound,
     )
 }
 
@@ -189,4 +201,5 @@ ORACLES = {
           round(avg(o_custkey), 2) AS o_custkey_mean, round(coalesce(stddev_samp(o_custkey), 0), 2) AS o_custkey_std, printf('%.3f ± 0.500', round(avg(o_custkey), 1)) AS shown FROM orders GROUP BY 1, 2""",
     "scr_masked": """SELECT p_partkey, round((4 + 0) / (CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 7 END), 6)::DOUBLE AS scr, CASE WHEN p_partkey % 2 = 0 THEN 'Planet,25,c,wide' ELSE 'Planet,c,wide' END AS invalid,
           1::DOUBLE AS scr_masked, '' AS invalid_masked FROM part""",
+    "svr_bound": "SELECT o_orderkey, (o_orderkey % 8 IN (0, 2, 5))::INT::DOUBLE AS svr FROM orders",
 }
