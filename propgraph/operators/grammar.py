@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 #: Keywords of the language.
 COMPARISONS = (r"=", r"<>", r"!=", r"<=", r">=", r"<", r">")
-TEXT_TESTS = ("CONTAINS", "STARTS WITH", "ENDS WITH")
-AGGREGATES = ("count", "sum", "avg", "min", "max", "collect")
+TEXT_TESTS = ("CONTAINS", "STARTS WITH", "ENDS WITH", "contains", "starts with", "ends with")
+AGGREGATES = ("count", "sum", "avg", "min", "max", "collect", "COUNT", "SUM", "AVG", "MIN", "MAX", "COLLECT")
+CONSTANTS = ("true", "false", "TRUE", "FALSE", "null", "NULL")
+#: Fixed value: the relations of a vocabulary that has none.
+RELATIONS = ("CONTAINS", "DECOMPOSES", "HAS_MATERIAL")
 CONVERSIONS = ("toInteger", "toFloat", "toBoolean", "toString", "toLower", "toUpper")
 
 
@@ -28,24 +31,25 @@ class Limits:
 
 
 def one_of(names: list[str]) -> str:
-    """An alternation, longer names first so that none hides behind its own prefix."""
-    return "(?:" + "|".join(re.escape(n) for n in sorted(set(names), key=lambda n: (-len(n), n))) + ")"
+    """An alternation, longer names first so that none hides behind its own prefix; of no names, what matches nothing."""
+    return "(?!)" if not names else "(?:" + "|".join(re.escape(n) for n in sorted(set(names), key=lambda n: (-len(n), n))) + ")"
 
 
 def query_regex(labels: list[str], properties: list[str], relations: list[str], choices: dict[str, list[str]] | None = None, limits: Limits = Limits()) -> str:
     """The language's regular expression: one pattern of at most one hop, conditions, returned items, order and limit.
 
-    A property with listed choices compares by = and <> with one of them alone.
+    A property with listed choices compares by = and <> with one of them alone.  Blanks are blanks and tabs, no line
+    breaks.  Without relations the usual ones count.
     """
     choices = choices or {}
-    ws, opt = rf"\s{{1,{limits.blanks}}}", rf"\s{{0,{limits.blanks}}}"
+    ws, opt = rf"[ \t]{{1,{limits.blanks}}}", rf"[ \t]{{0,{limits.blanks}}}"
     var = r"[a-z][a-z0-9]{0,2}"
-    label, prop, rel = one_of(labels), one_of(properties), one_of(relations)
+    label, prop, rel = one_of(labels), one_of(properties), one_of(relations or list(RELATIONS))
     node = rf"\((?:{var}(?::{label})?|:{label})\)"
     hop = rf"(?:-\[:{rel}\]->{node})?"
     text = rf"'[^'\\]{{0,{limits.text}}}'"
     number = r"-?[0-9]{1,9}(?:\.[0-9]{1,4})?"
-    literal = f"(?:{text}|{number}|true|false)"
+    literal = f"(?:{text}|{number}|{'|'.join(CONSTANTS)})"
     free = sorted(set(properties) - {p for p, own in choices.items() if own})  # a property of listed values takes no other text
     access = rf"{var}\.{one_of(free)}"
     tests = [
@@ -55,12 +59,12 @@ def query_regex(labels: list[str], properties: list[str], relations: list[str],
     ]
     condition = "(?:" + "|".join(tests) + ")"
     predicate = rf"(?:NOT{ws})?\({var}\)-\[:{rel}\]->\((?::{label})?\)"
-    joined = rf"{condition}(?:{ws}(?:AND|OR){ws}{condition}){{0,{limits.conditions - 1}}}"
-    body = rf"(?:{joined}(?:{ws}(?:AND|OR){ws}{predicate})?|{predicate})" if limits.predicates else joined
+    joined = rf"{condition}(?:{ws}(?:AND|OR|and|or){ws}{condition}){{0,{limits.conditions - 1}}}"
+    body = rf"(?:{joined}(?:{ws}(?:AND|OR|and|or){ws}{predicate})?|{predicate})" if limits.predicates else joined
     where = rf"(?:{ws}WHERE{ws}{body})?"
-    item = rf"(?:{var}(?:\.{prop})?|(?:{'|'.join(AGGREGATES)})\((?:DISTINCT{ws})?(?:\*|{var}(?:\.{prop})?)\))(?:{ws}AS{ws}[A-Za-z][A-Za-z0-9_]{{0,{limits.alias - 1}}})?"
+    item = rf"(?:{var}(?:\.{prop})?|(?:{'|'.join(AGGREGATES)})\((?:DISTINCT{ws})?(?:\*|{var}(?:\.{prop})?)\))(?:{ws}AS{ws}[A-Za-z_][A-Za-z0-9_]{{0,{limits.alias - 1}}})?"
     items = rf"{item}(?:{opt},{opt}{item}){{0,{limits.items - 1}}}"
-    order = rf"(?:{ws}ORDER{ws}BY{ws}[A-Za-z][A-Za-z0-9_]{{0,{limits.alias - 1}}}(?:\.{prop})?(?:{ws}(?:ASC|DESC))?)?"
+    order = rf"(?:{ws}ORDER{ws}BY{ws}[A-Za-z_][A-Za-z0-9_]{{0,{limits.alias - 1}}}(?:\.{prop})?(?:{ws}(?:ASC|DESC))?)?"
     limit = rf"(?:{ws}LIMIT{ws}[1-9][0-9]{{0,3}})?"
     return rf"MATCH{ws}{node}{hop}{where}{ws}RETURN{ws}(?:DISTINCT{ws})?{items}{order}{limit}"
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.functions import tokens
-from propgraph.operators import grammar, profile, reports, runs, schema, scoring, store
+from propgraph.operators import grammar, profile, reports, runs, schema, scoring, store, templates
 from propgraph.operators.prompts import SETTINGS
 from propgraph.plans.aggregation import EDGES
 from propgraph.plans.model import ORACLES as MODEL
@@ -157,11 +159,26 @@ def setting_run(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("index", "setting", "output_type", "svr", "scr", F.round("ea", 6).alias("ea"), "error", "num_generated_results", F.array_join("invalid_properties", ",").alias("invalid_properties"))
 
 
+def few_shot_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """The templates' examples over the trading graph, each with what it gives: a count, a sum, a name or the nodes found."""
+    g = graph(spark, sf)
+    signatures = [("Nation", "CONTAINS", "Customer"), ("Nation", "CONTAINS", "Supplier"), ("Customer", "DECOMPOSES", "Order")]
+    known = templates.Known({"Customer": 1, "Supplier": 1, "Nation": 1, "Order": 1, "Part": 0}, {("Customer", "c_mktsegment"): ["BUILDING"], ("Nation", "Name"): ["NATION_3"], ("Supplier", "s_none"): ["x"]}, signatures, {"Customer": ["c_acctbal"], "Supplier": ["s_none"]})
+    domain = templates.Domain(("Part", "Customer"), ("Part", "Customer"), ("Order", "Customer"), ("Customer",), ("Supplier", "Customer"), "Nation", "Supplier", "suppliers")
+    parts = []
+    for e in templates.examples(g, known, domain):
+        df = e.run(g)
+        name = df.columns[0]
+        found = F.count("*").cast("string") if name == "n" else F.max(F.round(F.col(f"`{name}`"), 2).cast("decimal(18,2)").cast("string") if name.startswith("sum") else F.col(f"`{name}`").cast("string"))
+        parts.append(df.agg(found.alias("found")).select(F.lit(e.question).alias("question"), F.lit(e.text).alias("text"), "found"))
+    return functools.reduce(DataFrame.unionAll, parts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         comparison_report, comparison_ranking, best_setting, means_by_output_type, gold_statistics, client_summary, client_difficulties, setting_order, svr_dispatch, property_sets, entity_properties,
-        class_relations, first_names, name_lists, first_choice, json_rows, perfect_scores, setting_run,
+        class_relations, first_names, name_lists, first_choice, json_rows, perfect_scores, setting_run, few_shot_templates,
     )
 }
 
@@ -219,4 +236,9 @@ ORACLES = {
           CASE WHEN k IN (0, 2) OR said <> r THEN 0 ELSE 0.5 END::DOUBLE AS ea, error, CASE WHEN k IN (0, 2) THEN 0 ELSE 2 END AS num_generated_results, NULL AS invalid_properties FROM e
         UNION ALL SELECT index, 'cypher_soft', 'cypher', CASE WHEN k = 0 THEN 0 ELSE 1 END, CASE WHEN k = 0 THEN 0 WHEN index % 2 = 1 THEN 0.5 ELSE 1 END,
           CASE WHEN k = 0 OR index % 2 = 1 OR r > 1 THEN 0 ELSE 0.5 END, error, CASE WHEN k = 0 OR index % 2 = 1 THEN 0 ELSE 2 END, CASE WHEN k = 0 THEN NULL WHEN index % 2 = 1 THEN 'Name1' ELSE '' END FROM e""",
+    "few_shot_templates": """SELECT 'How many customer elements are in the model?' AS question, 'MATCH (n:Customer) RETURN count(n)' AS text, count(*)::VARCHAR AS found FROM customer
+        UNION ALL SELECT 'Find customer elements where c_mktsegment is ''BUILDING''', 'MATCH (n:Customer) WHERE n.c_mktsegment = ''BUILDING'' RETURN n', count(*)::VARCHAR FROM customer WHERE c_mktsegment = 'BUILDING'
+        UNION ALL SELECT 'How many customer elements are on ''NATION_3''?', 'MATCH (s:Nation)-[:CONTAINS]->(d:Customer) WHERE s.Name = ''NATION_3'' RETURN count(d)', count(*)::VARCHAR FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'
+        UNION ALL SELECT 'How many suppliers are on ''NATION_3''?', 'MATCH (s:Nation)-[:CONTAINS]->(sp:Supplier) WHERE s.Name = ''NATION_3'' RETURN count(sp)', count(*)::VARCHAR FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_3'
+        UNION ALL SELECT 'What is the total c_acctbal of all customer elements?', 'MATCH (n:Customer) RETURN sum(n.c_acctbal)', sum(c_acctbal)::DECIMAL(18,2)::VARCHAR FROM customer""",
 }

@@ -241,6 +241,11 @@ def test_grammar(spark):
     bad = ["MATCH (w:IfcRoof) RETURN w", "MATCH (d:IfcDoor) WHERE d.FireRating = 'EI99' RETURN d", "DROP x", "MATCH (w:IfcWall) RETURN w LIMIT 0", ""]
     df = spark.createDataFrame([(q,) for q in good + bad], "q string").select(grammar.accepted(F.col("q"), rx).alias("ok"))
     assert [r["ok"] for r in df.collect()] == [True] * 3 + [False] * 5
+    more = grammar.query_regex(["IfcWall", "IfcDoor"], ["Name", "Width"], [])
+    forms = ["MATCH (w:IfcWall) RETURN COUNT(w)", "MATCH (w:IfcWall) WHERE w.Name contains 'x' and w.Width > 1 or w.Name IS NULL RETURN w", "MATCH (w:IfcWall) WHERE w.Name = TRUE RETURN w.Name AS _n", "MATCH (w:IfcWall) WHERE w.Name = null RETURN w", "MATCH (w:IfcWall)-[:DECOMPOSES]->(d:IfcDoor)\tRETURN d"]
+    none = ["MATCH (w:IfcWall)-[:]->(d:IfcDoor) RETURN d", "MATCH (w:IfcWall)\nRETURN w", "MATCH (w:IfcWall)-[:FILLS]->(d:IfcDoor) RETURN d", "MATCH (w:) RETURN w"]
+    df = spark.createDataFrame([(q,) for q in forms + none], "q string").select(grammar.accepted(F.col("q"), more).alias("ok"))
+    assert [r["ok"] for r in df.collect()] == [True] * 5 + [False] * 4
     assert grammar.cleaned("```cypher\nMATCH (n)\nRETURN n;\n``` done") == "MATCH (n) RETURN n"
 
 
