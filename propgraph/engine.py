@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.functions import tokens, values
-from propgraph.operators import grammar, profile, reports, scoring
+from propgraph.operators import grammar, profile, reports, runs, scoring
 from propgraph.operators.closure import keep
 from propgraph.operators.graph import PropertyGraph
 
@@ -116,6 +116,21 @@ class Engine:
         found = rows.groupBy("index").agg(F.collect_set("token").alias("gold"))
         return errors.join(found, "index", "left").select("index", F.coalesce("gold", F.array().cast("array<string>")).alias("gold"), "error")
 
+    def gold_at(self, names: list[str], index: int) -> DataFrame:
+        """(index, gold, error) of one of the named queries, which alone is run.  An index outside of the names is an error."""
+        if not 0 <= index < len(names):
+            raise IndexError(f"no gold query {index}: there are {len(names)}")
+        return self.gold([names[index]]).withColumn("index", F.lit(index))
+
+    def evaluate_one(self, output: str, output_type: str, gold_ids: list[str] | None = None, names: list[str] | None = None, index: int | None = None) -> DataFrame:
+        """The scores of one output against given gold ids, or those of a named query by its index: one or the other."""
+        if (gold_ids is None) == (index is None):
+            raise ValueError("give gold ids or the index of a gold query")
+        spark = self.graph_session()
+        cases = self.gold_at(names or [], index) if index is not None else spark.createDataFrame([(0, gold_ids)], "index int, gold array<string>")
+        made = spark.createDataFrame([(0 if index is None else index, output, output_type)], "index int, output string, output_type string")
+        return self.evaluate(cases, runs.output_tokens(self.score(made)))
+
     def graph_session(self) -> SparkSession:
         return next(iter(self.graph.tables.values())).df.sparkSession
 

@@ -48,15 +48,15 @@ def label_closure(supertypes: DataFrame) -> DataFrame:
 
     A class hierarchy is a small dimension, so the walk is a recursive query over it.
     """
-    supertypes.createOrReplaceTempView("_supertypes")
-    rows = supertypes.sparkSession.sql(
+    rows = supertypes.select("class", "parent").sparkSession.sql(
         """
         WITH RECURSIVE up(leaf, label, depth) AS (
-          SELECT class, class, 0 FROM _supertypes
+          SELECT class, class, 0 FROM {supertypes}
           UNION ALL
-          SELECT up.leaf, s.parent, up.depth + 1 FROM up JOIN _supertypes s ON up.label = s.class WHERE s.parent IS NOT NULL
+          SELECT up.leaf, s.parent, up.depth + 1 FROM up JOIN {supertypes} s ON up.label = s.class WHERE s.parent IS NOT NULL
         )
-        SELECT leaf, label, depth FROM up"""
+        SELECT leaf, label, depth FROM up""",
+        supertypes=supertypes,
     )
     return rows.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "label"))).alias("own")).select("leaf", F.col("own.label").alias("labels"))
 

@@ -36,13 +36,6 @@ def totals(graph: PropertyGraph) -> DataFrame:
     return nodes.join(F.broadcast(graph.all_edges().agg(F.count("*").alias("edges"))), how="cross")
 
 
-def rarest_labels(graph: PropertyGraph) -> DataFrame:
-    """(node_id, label): each node's label with the fewest nodes; of equal counts the first in its order."""
-    counts = label_counts(graph)  # a row per label
-    rows = graph.labelled().select("node_id", F.posexplode("labels").alias("place", "label")).join(F.broadcast(counts), "label")
-    return rows.groupBy("node_id").agg(F.min_by("label", F.struct("n", "place")).alias("label"))
-
-
 def joined_leaves(graph: PropertyGraph) -> DataFrame:
     """(type, sl, dl): the leaf labels that edges of a type join.  Parts between known leaves are asked for one edge; only others join the nodes."""
     rows = []
@@ -106,15 +99,17 @@ def priority(name: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), name), F.lit(0)), F.lit(len(PRIORITY) + 1))
 
 
-def enumerations(graph: PropertyGraph, excluded: tuple[str, ...] = EXCLUDED, most: int = MOST_VALUES, probes: int = PROBES) -> DataFrame:
+def enumerations(graph: PropertyGraph, excluded: tuple[str, ...] = EXCLUDED, most: int = MOST_VALUES, probes: int = PROBES, strict: tuple[str, ...] = ()) -> DataFrame:
     """(label, key, choices): properties whose values on a label are few, all text, none blank and short on average.
 
-    Of a label's keys the first `probes` by priority and name are looked at.  A first pass over each node
+    Of a label's keys the first `probes` by priority and name are looked at, those left out that are excluded or strict
+    (their values are listed by a document).  A first pass over each node
     table counts its columns (and about how many values each has, within 5 %), which settles what cannot
     be an enumeration: other types, and more than four times as many values as allowed.  Only what is
     left is grouped by value.
     """
-    stats = key_statistics(graph).where((F.col("n") > 0) & ~F.col("key").isin(*excluded)) if excluded else key_statistics(graph).where("n > 0")
+    out = (*excluded, *strict)
+    stats = key_statistics(graph).where((F.col("n") > 0) & ~F.col("key").isin(*out)) if out else key_statistics(graph).where("n > 0")
     of_label = stats.select(F.explode("labels").alias("label"), "leaf", "key", "kind", "about")
     place = F.dense_rank().over(Window.partitionBy("label").orderBy(priority(F.col("key")), "key"))
     probed = of_label.withColumn("place", place).where(F.col("place") <= probes)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from propgraph.operators.vocabulary import Vocabulary
+
 #: Fixed value: the columns of a results file.
 RESULT_COLUMNS = (
     "question", "experiment_setting", "output_type", "generated_cypher", "gold_cypher", "raw_output", "svr", "scr", "ea", "is_valid_syntax",
@@ -51,6 +55,39 @@ def bundle(entities: DataFrame, properties: DataFrame, signatures: DataFrame) ->
     return one.select(F.to_json(F.struct(F.lit(2).alias("schema_version"), "entities", "properties", "signatures")).alias("value"))
 
 
+def whole_bundle(vocabulary: Vocabulary, stats: dict[str, DataFrame], choices: DataFrame, examples: list[dict[str, str]], source: dict[str, str | None], dump: str | None = None) -> DataFrame:
+    """One row of JSON: vocabulary, graph statistics, listed values (label, key, choices) by Label.key, examples and where all is from.
+
+    These are some hundred names, gathered in one row.  A model's dump is not: it is written beside (write_dump), and the
+    bundle has its path.  stats: frames by name, such as Engine.vocabulary.
+    """
+    listed_rows = lambda df: df.agg(F.sort_array(F.collect_list(F.struct(*sorted(df.columns)))).alias("rows"))
+    parts = {"entities": vocabulary.entities, "properties": vocabulary.properties, "relations": vocabulary.relations, "signatures": vocabulary.signatures}
+    spark = vocabulary.entities.sparkSession
+    one = spark.range(1).select()
+    for name, df in parts.items():
+        one = one.join(listed_rows(df).withColumnRenamed("rows", f"v_{name}"), how="cross")
+    for name, df in stats.items():
+        one = one.join(listed_rows(df).withColumnRenamed("rows", f"s_{name}"), how="cross")
+    pairs = choices.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat_ws(".", "label", "key").alias("k"), F.sort_array("choices").alias("v"))))).alias("value_enumerations"))
+    own = F.from_json(F.lit(json.dumps(examples)), "array<map<string,string>>")
+    place = F.from_json(F.lit(json.dumps(source)), "map<string,string>")
+    return one.join(pairs, how="cross").select(F.to_json(F.struct(
+        F.lit(2).alias("schema_version"), place.alias("source"), F.struct(*(F.col(f"v_{n}").alias(n) for n in parts)).alias("combined_vocabulary"), F.struct(*(F.col(f"s_{n}").alias(n) for n in stats)).alias("graph_stats"),
+        "value_enumerations", own.alias("few_shot_examples"), F.lit(dump).cast("string").alias("model_dump"),
+    )).alias("value"))
+
+
+def read_whole_bundle(text: DataFrame, schemas: dict[str, str]) -> tuple[dict[str, DataFrame], dict[str, list[str]], list[dict[str, str]], dict[str, str]]:
+    """(frames of the vocabulary by name, listed values, examples, source) of a bundle's row; schemas: DDL fields of each frame."""
+    own = ", ".join(f"{n}: array<struct<{ddl}>>" for n, ddl in schemas.items())
+    kind = f"schema_version int, source map<string,string>, combined_vocabulary struct<{own}>, value_enumerations map<string,array<string>>, few_shot_examples array<map<string,string>>"
+    row = text.select(F.from_json("value", kind).alias("b"))
+    told = row.select("b.value_enumerations", "b.few_shot_examples", "b.source").first()
+    frames = {n: row.select(F.inline(f"b.combined_vocabulary.{n}")) for n in schemas}
+    return frames, dict(told[0] or {}), [dict(e) for e in told[1] or []], dict(told[2] or {})
+
+
 def read_bundle(text: DataFrame, entities: str, properties: str, signatures: str) -> dict[str, DataFrame]:
     """The frames of a bundle; the schemas are DDL of each list's rows.  A bundle without one of the lists is an error when it is read."""
     schema = f"schema_version int, entities array<struct<{entities}>>, properties array<struct<{properties}>>, signatures array<struct<{signatures}>>"

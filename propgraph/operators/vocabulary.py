@@ -7,6 +7,7 @@ signatures (src_label, type, dst_label).
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -81,6 +82,38 @@ def merge(document: tuple[DataFrame, DataFrame] | None, model: tuple[DataFrame,
     return (entities, properties) if graph is None else with_graph(entities, properties, *graph)
 
 
+@dataclass(frozen=True)
+class Vocabulary:
+    """entities and properties as above, relations (type, n: edges of the graph, in_vocabulary), signatures (src_label, type, dst_label)."""
+
+    entities: DataFrame
+    properties: DataFrame
+    relations: DataFrame
+    signatures: DataFrame
+
+
+def with_relations(relations: DataFrame, type_counts: DataFrame) -> DataFrame:
+    """(type, n, in_vocabulary): relations (type) and those of a graph (type, n), one row each; the graph's own are new."""
+    own = relations.select("type").distinct().withColumn("v", F.lit(True))
+    return own.join(type_counts.select("type", "n"), "type", "full").select("type", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("v", F.lit(False)).alias("in_vocabulary"))
+
+
+def additions(entities: DataFrame, relations: DataFrame, label_counts: DataFrame, type_counts: DataFrame) -> DataFrame:
+    """(kind, name): labels and relations that a graph has and a vocabulary (entities, relations: type) has not."""
+    labels = label_counts.where(F.col("label") != "").select("label").distinct().join(entities, F.col("label") == F.col("entity"), "left_anti")
+    types = type_counts.select("type").distinct().join(relations.select(F.col("type").alias("_t")), F.col("type") == F.col("_t"), "left_anti")
+    return labels.select(F.lit("label").alias("kind"), F.col("label").alias("name")).unionAll(types.select(F.lit("relation"), "type"))
+
+
+def merge_whole(document: tuple[DataFrame, DataFrame] | None, model: tuple[DataFrame, DataFrame] | None, relations: DataFrame, graph: dict[str, DataFrame]) -> Vocabulary:
+    """The vocabulary of a document, a model with its relations (type) and a graph's labels, types, signatures and keys (Engine.vocabulary).
+
+    Entities and properties as in `merge`; the graph's relations are added to the model's, and signatures are the graph's.
+    """
+    entities, properties = merge(document, model, (graph["labels"], graph["keys"]))
+    return Vocabulary(entities, properties, with_relations(relations, graph["types"]), graph["signatures"].select("src_label", "type", "dst_label"))
+
+
 def named(properties: DataFrame, name: str) -> DataFrame:
     """The property of a name: exactly, else in any case."""
     exact = properties.where(F.col("property") == name).withColumn("_r", F.lit(0))

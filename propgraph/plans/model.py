@@ -169,6 +169,17 @@ def vocab_union(spark: SparkSession, sf: str) -> DataFrame:
     return vocabulary.merge_entities(counts, document)
 
 
+def vocab_additions(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels and relations that the graph adds to a vocabulary of some, and all relations with their edges."""
+    g = graph(spark, sf)
+    entities = spark.read.parquet(f"{sf}/nation.parquet").select(F.when(F.col("n_nationkey") % 2 == 0, "Nation").otherwise(F.lit("Order")).alias("entity"))
+    relations = spark.read.parquet(f"{sf}/region.parquet").select(F.when(F.col("r_regionkey") % 2 == 0, "CONTAINS").otherwise(F.lit("OWNS")).alias("type"))
+    types = profile.type_counts(g)
+    added = vocabulary.additions(entities, relations, profile.label_counts(g), types).withColumn("n", F.lit(None).cast("long"))
+    whole = vocabulary.with_relations(relations, types).select(F.when(F.col("in_vocabulary"), "known").otherwise(F.lit("graph")).alias("kind"), F.col("type").alias("name"), "n")
+    return added.unionAll(whole)
+
+
 def vocab_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Document properties that the graph never has."""
     keys = profile.known_keys(graph(spark, sf)).select("key").distinct()
@@ -180,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_names, flatten_props, property_maps, unique_names, humanised_labels, label_closure, material_dedup, created_edges, observed_edges, id_lookup, stored_hops, clashing_names, label_counts, rel_type_counts, graph_totals, rel_signatures,
-        endpoint_label_pairs, known_keys, value_enumerations, class_profiles, duplicate_ids, property_classes, vocab_union, vocab_difference,
+        endpoint_label_pairs, known_keys, value_enumerations, class_profiles, duplicate_ids, property_classes, vocab_union, vocab_difference, vocab_additions,
     )
 }
 
@@ -259,4 +270,7 @@ ORACLES = {
     "vocab_union": f"""WITH m AS (SELECT label AS entity, count(*) AS n FROM {LABELLED} GROUP BY 1), d AS (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'Nation' ELSE n_name END AS entity FROM nation)
         SELECT entity, coalesce(n, 0)::BIGINT AS n, m.entity IS NOT NULL AS from_model, d.entity IS NOT NULL AS from_document FROM m FULL JOIN d USING (entity)""",
     "vocab_difference": "SELECT unnest(['Width', 'FireRating']) AS key",
+    "vocab_additions": f"""WITH t AS (SELECT type, count(*) AS n FROM {EDGES} GROUP BY 1)
+        SELECT DISTINCT 'label' AS kind, label AS name, NULL::BIGINT AS n FROM {LABELLED} WHERE label NOT IN ('Nation', 'Order') UNION ALL SELECT 'relation', type, NULL FROM t WHERE type <> 'CONTAINS'
+        UNION ALL SELECT CASE WHEN type = 'CONTAINS' THEN 'known' ELSE 'graph' END, type, n FROM t UNION ALL SELECT 'known', 'OWNS', 0""",
 }

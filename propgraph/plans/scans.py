@@ -149,7 +149,8 @@ def keys_unwind(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def constant_project(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1).select(F.lit(1).alias("one"))
+    """A constant for every node of a label."""
+    return match(graph(spark, sf), "r", "Region").select(F.lit(1).alias("one"))
 
 
 QUERIES = {
@@ -190,5 +191,5 @@ ORACLES = {
     "guarded_division": "SELECT true AS nan, true AS inf, count(*) AS n FROM part",
     "mixed_types": "SELECT CASE WHEN p_size % 2 = 0 THEN p_size = 10 ELSE false END AS same, CASE WHEN p_size % 2 = 0 THEN p_size < 20 END AS below, count(*) AS n FROM part GROUP BY 1, 2",
     "keys_unwind": "SELECT unnest(['Name', 'c_mktsegment']) AS key",
-    "constant_project": "SELECT 1 AS one",
+    "constant_project": "SELECT 1 AS one FROM region",
 }

@@ -139,6 +139,12 @@ def metrics_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("o_orderstatus", "o_orderpriority", "n", F.round("ea_mean", 4).alias("ea"))
 
 
+def metric_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Sum, least and most of the metrics by status."""
+    s = scoring.summary(_results(spark, sf), ["o_orderstatus"])
+    return s.select("o_orderstatus", *(F.round(f"{m}_{k}", 2).alias(f"{m}_{k}") for m in ("svr", "ea", "f1") for k in ("sum", "min", "max")))
+
+
 def scalar_set_split(spark: SparkSession, sf: str) -> DataFrame:
     """Means over scalar and over set gold, 0 where there is none."""
     s = scoring.summary(_results(spark, sf), [])
@@ -167,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         record_tokens, list_tokens, numeric_text, svr_json, scr_labels_props, token_jaccard, ea_prf, gold_shape, difficulty_summary, category_summary, metrics_by_group, scalar_set_split, stddev_by_group,
-        svr_json_all, stddev_by_group_all, scr_masked, svr_bound,
+        svr_json_all, stddev_by_group_all, scr_masked, svr_bound, metric_totals,
     )
 }
 
@@ -202,4 +208,5 @@ ORACLES = {
     "scr_masked": """SELECT p_partkey, round((4 + 0) / (CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 7 END), 6)::DOUBLE AS scr, CASE WHEN p_partkey % 2 = 0 THEN 'Planet,25,c,wide' ELSE 'Planet,c,wide' END AS invalid,
           1::DOUBLE AS scr_masked, '' AS invalid_masked FROM part""",
     "svr_bound": "SELECT o_orderkey, (o_orderkey % 8 IN (0, 2, 5))::INT::DOUBLE AS svr FROM orders",
+    "metric_totals": f"SELECT o_orderstatus, {', '.join(f'round({k}({m}), 2) AS {m}_{k}' for m in ('svr', 'ea', 'f1') for k in ('sum', 'min', 'max'))} FROM {_RESULTS} GROUP BY 1",
 }

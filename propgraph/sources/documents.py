@@ -37,6 +37,14 @@ def specifications(spark: SparkSession, path: str, prefix: str = "ids:", type_at
     return named.withColumn("properties", F.transform("properties", lambda p: p.withField("_dataType", p[f"_{type_attribute}"])))
 
 
+def info(spark: SparkSession, path: str, prefix: str = "ids:") -> DataFrame:
+    """(title, version): what a document says of itself, empty where it does not."""
+    fields = ("title", "version")
+    schema = T.StructType([T.StructField(f"{prefix}{f}", T.StringType()) for f in fields])
+    rows = spark.read.format("xml").option("rowTag", f"{prefix}info").option("charset", "UTF-8").schema(schema).load(path)
+    return rows.select(*(F.coalesce(F.trim(F.col(f"`{prefix}{f}`")), F.lit("")).alias(f) for f in fields))
+
+
 def _choices(value: Column) -> Column:
     return F.coalesce(value.getField("xs:restriction").getField("xs:enumeration").getField("_value"), F.array().cast("array<string>"))
 

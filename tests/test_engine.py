@@ -73,3 +73,30 @@ def test_scores_and_comparison_of_settings(engine, spark):
     cases = spark.createDataFrame([(0, ["a"]), (1, ["b"])], "index int, gold array<string>")
     means = {r["setting"]: (r["n"], r["ea_mean"], r["perfect"]) for r in engine.compare(cases, scored)["setting_results"].collect()}
     assert means == {"cypher_soft": (2, 0.5, 1), "direct_qa_baseline": (1, 0.0, 0)}
+
+
+def test_one_output(engine):
+    names = ["nations", "rich"]
+    assert [r["ea"] for r in engine.evaluate_one('["x", "y"]', "direct_qa", gold_ids=["x"]).collect()] == [0.5]
+    n = engine.gold_at(names, 1).first()["gold"][0].removeprefix("num:")
+    assert [(r["index"], r["ea"]) for r in engine.evaluate_one(f"[{n}]", "direct_qa", names=names, index=1).collect()] == [(1, 1.0)]
+    with pytest.raises(IndexError):
+        engine.evaluate_one("[]", "direct_qa", names=names, index=2)
+    with pytest.raises(ValueError, match="gold ids or"):
+        engine.evaluate_one("[]", "direct_qa", gold_ids=["x"], names=names, index=0)
+
+
+def test_whole_bundle_round_trip(engine, spark):
+    from propgraph.operators import sinks, vocabulary
+
+    stats = engine.vocabulary()
+    document = (spark.createDataFrame([("Wall",)], "entity string"), spark.createDataFrame([("Name", "IFCLABEL", ["a"])], "property string, data_type string, choices array<string>"))
+    v = vocabulary.merge_whole(document, None, spark.createDataFrame([("OWNS",)], "type string"), stats)
+    choices = spark.createDataFrame([("Nation", "Name", ["b", "a"])], "label string, key string, choices array<string>")
+    text = sinks.whole_bundle(v, {k: stats[k] for k in ("labels", "types")}, choices, [{"question": "q", "cypher": "MATCH (n) RETURN n"}], {"ifc_file": "m.ifc", "ids_file": None}, "/dump")
+    schemas = {"entities": "entity:string,n:bigint,from_model:boolean,from_document:boolean", "relations": "type:string,n:bigint,in_vocabulary:boolean", "signatures": "src_label:string,type:string,dst_label:string"}
+    frames, listed, examples, source = sinks.read_whole_bundle(text, schemas)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    assert rows(frames["entities"]) == rows(v.entities) and rows(frames["signatures"]) == rows(v.signatures) and rows(frames["relations"]) == rows(v.relations)
+    assert {r["type"]: r["in_vocabulary"] for r in v.relations.collect()}["OWNS"] and listed == {"Nation.Name": ["a", "b"]}
+    assert examples == [{"question": "q", "cypher": "MATCH (n) RETURN n"}] and source["ifc_file"] == "m.ifc"

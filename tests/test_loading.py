@@ -54,6 +54,19 @@ def test_reload_leaves_nothing_of_the_old_model(spark, tmp_path):
     assert {r["Name"] for r in again.nodes().collect()} == {"Wall", "Slab"} and list(again.edges) == ["CONTAINS"]
 
 
+def test_what_a_document_says_of_itself(spark, tmp_path):
+    (tmp_path / "a.ids").write_text('<ids:ids xmlns:ids="x"><ids:info><ids:title> Doors </ids:title><ids:version>1.2</ids:version><ids:author>a</ids:author></ids:info></ids:ids>')
+    (tmp_path / "b.ids").write_text('<ids:ids xmlns:ids="x"><ids:info><ids:author>a</ids:author></ids:info></ids:ids>')
+    assert [tuple(r) for r in documents.info(spark, str(tmp_path / "a.ids")).collect()] == [("Doors", "1.2")]
+    assert [tuple(r) for r in documents.info(spark, str(tmp_path / "b.ids")).collect()] == [("", "")]
+
+
+def test_two_class_hierarchies_in_one_session(spark):
+    one = etl.label_closure(spark.createDataFrame([("A", None), ("B", "A")], "class string, parent string"))
+    two = etl.label_closure(spark.createDataFrame([("X", None), ("Y", "X")], "class string, parent string"))
+    assert {r["leaf"]: r["labels"] for r in one.collect()} == {"A": ["A"], "B": ["B", "A"]} and {r["leaf"] for r in two.collect()} == {"X", "Y"}
+
+
 def test_context_within_a_budget(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, F.lit("x" * 7)).when(F.col("id") % 5 == 0, F.lit("")).alias("t"))
     assert [r["id"] for r in documents.within_budget(rows, ["id"], "t", 7).orderBy("id").collect()] == [0, 2, 4]
