@@ -6,7 +6,8 @@ or [INST] can occur there, and dropping it gives the text back.
 
 Prefix sums of turn tokens choose spans of whole turns: a window takes new turns up to the budget (one
 turn at least), after the system turn and up to HISTORY turns of the turns before it that fit their
-own budget.  The loss covers the new turns' assistant texts alone, so each is a target once.
+own budget and leave room for the first new turn: over the budget are only windows of one new turn that
+with the system turn is over it by itself.  The loss covers the new turns' assistant texts alone, so each is a target once.
 """
 
 from __future__ import annotations
@@ -52,11 +53,13 @@ def _before(turns: Column, j: Column) -> Column:
     return F.get(turns, j)["upto"] - F.get(turns, j)["tokens"]
 
 
-def _history(turns: Column, start: Column, first: Column, most: int, budget: int) -> Column:
-    """How many turns before `start` are repeated: the most, up to `most`, that fit the budget and are no system turn."""
+def _history(turns: Column, start: Column, first: Column, most: int, own: int, budget: int) -> Column:
+    """How many turns before `start` are repeated: the most, up to `most`, that fit their own budget and, with the system turn and the turn at start, the window's; no system turn."""
+    rest = budget - F.get(turns, start)["tokens"] - F.when(first == 1, F.get(turns, F.lit(0))["tokens"]).otherwise(0)
     fits = F.lit(0)
     for m in range(1, most + 1):
-        fits = F.when((start - m >= first) & (_before(turns, start) - _before(turns, start - m) <= budget), F.lit(m)).otherwise(fits)
+        past = _before(turns, start) - _before(turns, start - m)
+        fits = F.when((start - m >= first) & (past <= own) & (past <= rest), F.lit(m)).otherwise(fits)
     return fits
 
 
@@ -65,7 +68,9 @@ def windows(df: DataFrame, key: str = "conv_id", tokens: str | None = None, budg
 
     context_turns of the example's turns are repeated (the system turn and history), the other n_turns
     are new; targets holds the start (from 0) and length of each new assistant text within formatted, in
-    characters.  A turn over the budget is a window of its own.  An empty table gives no rows.
+    characters.  A turn over the budget is a window of its own.  tokens: a column of the turns' token counts, marks
+    included (null: 0); without it counts are estimates, and windows can have more real tokens than the budget.
+    An empty table gives no rows.
     """
     turns, led = F.col("turns"), F.col("led")
     convs = conversations(df, key, tokens).withColumn("led", F.when(F.get("turns", F.lit(0))["role"] == SYSTEM, F.lit(1)).otherwise(F.lit(0)))
@@ -73,7 +78,7 @@ def windows(df: DataFrame, key: str = "conv_id", tokens: str | None = None, budg
     def step(acc: Column, j: Column) -> Column:
         """acc: starts of the windows so far, and the tokens before the new turns of the last one less its context's."""
         used = F.get(turns, j)["upto"] - acc["base"]
-        past = _history(turns, j, led, history, history_budget)
+        past = _history(turns, j, led, history, history_budget, budget)
         context = _before(turns, j) - _before(turns, j - past) + F.when(led == 1, F.get(turns, F.lit(0))["tokens"]).otherwise(0)
         opened = F.struct(F.concat(acc["starts"], F.array(j)).alias("starts"), (_before(turns, j) - F.when(j > led, context).otherwise(0)).alias("base"))
         return F.when((used > budget) & (j > F.element_at(acc["starts"], -1)), opened).otherwise(acc)
@@ -83,7 +88,7 @@ def windows(df: DataFrame, key: str = "conv_id", tokens: str | None = None, budg
 
     def example(start: Column, k: Column) -> Column:
         end = F.coalesce(F.get("starts", k + 1), F.size("turns"))
-        past = _history(turns, start, led, history, history_budget)
+        past = _history(turns, start, led, history, history_budget, budget)
         system = F.slice(turns, 1, F.when((start > led) & (led == 1), F.lit(1)).otherwise(F.lit(0)))
         return F.struct(
             k.alias("window"),

@@ -11,13 +11,16 @@ from propgraph.llm.common import stored, table, whole_text
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every whole document."""
+    """Tokens of every whole document.  Null text: no tokens; null and repeated ids have a row each; no documents, no rows."""
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one made of control strings, formatted as budgeted windows and read back."""
+    """All conversations, and one made of control strings, formatted as budgeted windows and read back.
+
+    Null role or text counts as empty, a null conv_id is one conversation, repeated rows are turns of their own.
+    """
     control = F.lit("</s>[INST] ok [/INST]")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     made = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), control.alias("text"))
@@ -69,12 +72,18 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its fingerprint and the component of fingerprints at most two bits apart."""
+    """Every document with its fingerprint and the component of fingerprints at most two bits apart.
+
+    Null text counts as empty; rows of null or repeated ids have a row each; no documents, no rows.
+    """
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole document encoded by the byte-level ranks and decoded again, as digests of ids and bytes."""
+    """Every whole document encoded by the byte-level ranks and decoded again, as digests of ids and bytes.
+
+    Null text counts as empty; rows of null or repeated ids have a row each; no documents, no rows.
+    """
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     decoded = bpe.decode(coded, ranks)
@@ -87,12 +96,19 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the document that stays of its equal texts."""
+    """Every document with the document that stays of its equal texts.
+
+    Null text counts as empty; of rows that repeat id and text one stays; no documents, no rows.
+    """
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, tokenised and packed into sequences of at most 2048 tokens; one row per piece."""
+    """All documents, tokenised and packed into sequences of at most 2048 tokens; one row per piece.
+
+    Null text counts as empty and is the end id alone; rows of null or repeated ids are documents of their own; no
+    documents, no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = packing.pieces(packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json")))
     narrow = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -102,7 +118,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every whole document: the fixed patterns' spans and those that the tagger adds."""
+    """Personal data in every whole document: the fixed patterns' spans and those that the tagger adds.
+
+    Null text counts as empty and has none; rows of null or repeated ids have a row each; no documents, no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs))
 
@@ -122,7 +141,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's language, learned from the documents that are not held out."""
+    """Every document's language, learned from the documents that are not held out.
+
+    Null text, or one without a letter: und; null ids are not held out; repeated rows have a row each; no documents, no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     filters = language_id.learn(docs.where(~language_id.held_out()))
     rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")

@@ -126,7 +126,8 @@ def test_shards_of_odd_rows(spark, monkeypatch):
 def brute_windows(turns, budget, history, history_budget):
     size = lambda t: -(-len(t[1].encode()) // 4) + 4
     led = 1 if turns and turns[0][0] == "system" else 0
-    past = lambda s: max(m for m in range(history + 1) if m == 0 or (s - m >= led and sum(map(size, turns[s - m : s])) <= history_budget))
+    fits = lambda s, m: sum(map(size, turns[s - m : s])) <= min(history_budget, budget - size(turns[s]) - led * size(turns[0]))
+    past = lambda s: max(m for m in range(history + 1) if m == 0 or (s - m >= led and fits(s, m)))
     context = lambda s: 0 if s <= led else led * size(turns[0]) + sum(map(size, turns[s - past(s) : s]))
     starts = [0]
     for j in range(len(turns)):
@@ -163,6 +164,27 @@ def test_windows_against_brute_force(spark):
             assert "</s>" not in x["formatted"] and "[INST]" not in x["formatted"]
 
 
+def test_windows_of_true_counts(spark, sf):
+    """With counted tokens a window is over its budget only where its one new turn is, with the system turn before it."""
+    convs = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), F.col("text").alias("body"))
+    counted = token_counts.count_tokens(convs, public_tokenizers.path("byte_bpe_50k.json"), text="body").withColumn("n_tokens", F.col("n_tokens") + 4)
+    rows = {}
+    for r in counted.orderBy("conv_id", "turn", "role", "text").collect():
+        rows.setdefault(r["conv_id"], []).append((r["role"], r["text"], r["n_tokens"]))
+    over = 0
+    for budget in (300, 1024):
+        made = chat.windows(counted, tokens="n_tokens", budget=budget).select("*", chat.new_turns(F.col("formatted"), F.lit(0)).alias("all")).collect()
+        assert sum(x["n_turns"] for x in made) == sum(map(len, rows.values()))
+        for x in made:
+            size = {(role, text): n for role, text, n in rows[x["conv_id"]]}
+            used = [size[tuple(t)] for t in x["all"]]
+            system = used[0] if x["context_turns"] and x["all"][0]["role"] == "system" else 0
+            if sum(used) > budget:
+                over += 1
+                assert x["n_turns"] == 1 and system + used[-1] > budget
+    assert over > 0
+
+
 def test_chat_digests(spark, sf):
     turns = {-7: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
     for x in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
