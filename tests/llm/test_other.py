@@ -326,7 +326,7 @@ def test_gradients():
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.train(pii.labelled_windows(["The quick brown fox, jumping over lazy dogs. Nothing happens here at all! " * 4], count=2500))
+    return pii.train(pii.labelled_windows(["The quick brown fox, jumping over lazy dogs. Nothing happens here at all! " * 4]))  # as many windows as in use
 
 
 def test_tagger_on_held_out_windows(tagger):
@@ -353,9 +353,15 @@ def test_added_spans_on_held_out_items(tagger):
     assert found >= 0.8 * n and found >= 0.9 * (found + extra)
 
 
+def score(tagger, e, tags):
+    """What a path over the whole text is worth, with tag 0 before and after, in double precision."""
+    tr, path = tagger.tr.astype("f8"), [0, *tags, 0]
+    return sum(tr[a, b] for a, b in zip(path, path[1:], strict=False)) + sum(e[k, t] for k, t in enumerate(tags))
+
+
 def whole_path(tagger, e):
     """Viterbi over the whole text, one position after the other, with tag 0 before and after."""
-    best, back = tagger.tr[0] + e[0], []
+    best, back = tagger.tr[0].astype("f8") + e[0], []
     for now in e[1:]:
         paths = best[:, None] + tagger.tr
         back.append(paths.argmax(axis=0))
@@ -378,7 +384,9 @@ def test_decoding_is_viterbi_across_seams(tagger):
     got = pii.tag_texts(texts, tagger)
     for text, e, tags in zip(texts, pii.emissions_of(texts, tagger), got, strict=True):
         assert len(tags) == len(e) == len(text)
-        assert not len(e) or tags.tolist() == whole_path(tagger, e)
+        best = whole_path(tagger, e.astype("f8")) if len(e) else []
+        # equal but for ties: sums of thousands of terms in single precision settle them by the last bit
+        assert tags.tolist() == best or abs(score(tagger, e, tags.tolist()) - score(tagger, e, best)) < 1e-2
     step = pii.WINDOW - pii.OVERLAP
     item = "+49 (555) 010-9999"
     for at in range(step - 12, step + pii.OVERLAP, 7):  # an item in, before and after a seam
