@@ -7,6 +7,8 @@ type holds the content.  A missing property is a null value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,3 +108,44 @@ def to_boolean(col: Column) -> Column:
 def whole_division(a: str, b: str) -> Column:
     """a div b of two integer columns, cut towards zero."""
     return F.expr(f"{a} div {b}")
+
+
+def once(col: Column, made: Callable[[Column], Column]) -> Column:
+    """made(col), in which col is computed once however often it is named."""
+    return F.get(F.transform(F.array(col), made), F.lit(0))
+
+
+def json_text(col: Column) -> Column:
+    """A text as a JSON string; null stays null."""
+    whole = F.to_json(F.struct(col.cast("string").alias("v")))
+    return F.when(col.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
+
+
+def item(json: Column) -> Column:
+    """An element of a list, given as JSON, with the text that it has among elements of other types; null of null.
+
+    true and false are True and False, numbers as they stand, texts themselves.
+    """
+
+    def made(j: Column) -> Column:
+        text = F.when(j == "true", "True").when(j == "false", "False").when(j.startswith('"'), F.try_variant_get(F.try_parse_json(j), "$", "string")).otherwise(j)
+        return F.when(j.isNotNull(), F.struct(j.alias("json"), text.alias("text")))
+
+    return once(json, made)
+
+
+def coerced_list(items: Column) -> Column:
+    """The JSON of a list of `item`s, all of one type: elements of mixed types become texts, null ones go, of none the list is null.
+
+    Booleans count as whole numbers where the first element is one (and not the other way round), whole and
+    decimal numbers are of different types.
+    """
+    kind = lambda j: F.when(j.isin("true", "false"), "boolean").when(j.startswith('"'), "text").when(j.rlike("[.eE]"), "decimal").otherwise(F.lit("whole"))
+
+    def joined(kept: Column) -> Column:
+        first = kind(F.get(kept, F.lit(0))["json"])
+        alike = F.forall(kept, lambda x: (kind(x["json"]) == first) | (first == "whole") & (kind(x["json"]) == "boolean"))
+        shown = F.when(alike, F.transform(kept, lambda x: x["json"])).otherwise(F.transform(kept, lambda x: json_text(x["text"])))
+        return F.when(F.size(kept) > 0, F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]")))
+
+    return once(F.filter(items, lambda x: x.isNotNull()), joined)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propgraph.functions import names
+from propgraph.functions import names, values
+from propgraph.sources import step
 
 #: Fixed value: raw names that never become properties.
 SKIPPED = ("id", "type", "GlobalId", "OwnerHistory")
@@ -111,3 +112,38 @@ def dump_properties(rows: DataFrame, element: str = "element") -> DataFrame:
 def quantity(*parts: Column) -> Column:
     """A quantity's value: the first of length, area, volume, count, weight and time that is there, as a float."""
     return F.coalesce(*(p.cast("double") for p in parts))
+
+
+def objects(base: DataFrame, props: DataFrame, element: str = "element") -> DataFrame:
+    """(element, json): a JSON object for each row of base, its columns first, then (element, position, name, json) properties by name.
+
+    Null columns and values are left out.  Names take the looser form of dumps; of equal ones the last by position
+    wins, also over a column of base, whose place it takes.
+    """
+    fields = [c for c in base.columns if c != element]
+    named = props.where("json IS NOT NULL").withColumn("key", names.dump_name(F.col("name")))
+    last = named.groupBy(element, "key").agg(F.max_by("json", "position").alias("json"))
+    own = last.groupBy(element).agg(F.map_from_entries(F.collect_list(F.struct("key", "json"))).alias("_props"))
+    kept = base.join(own, element, "left").withColumn("_props", F.coalesce("_props", F.create_map().cast("map<string,string>")))
+    kinds = dict(base.dtypes)
+    plain = lambda c: F.col(f"`{c}`").cast("string") if kinds[c] in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double") else values.json_text(F.col(f"`{c}`"))
+    entry = lambda key, json: F.concat(values.json_text(key), F.lit(": "), json)  # noqa: E731  null of a null value
+    first = F.array(*(entry(F.lit(c), F.coalesce(F.col("_props")[c], plain(c))) for c in fields))
+    rest = F.array_sort(F.filter(F.map_keys("_props"), lambda k: ~k.isin(*fields)))
+    body = F.array_compact(F.concat(first, F.transform(rest, lambda k: entry(k, F.col("_props")[k]))))
+    return kept.select(element, F.concat(F.lit("{"), F.array_join(body, ", "), F.lit("}")).alias("json"))
+
+
+def products(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """(file, id, type, json): a JSON object for each product of STEP records: id, type, name, description, object type and its own sets' values.
+
+    limit: at most so many of each file and type, the first by number.  Types' sets are no part of a dump.
+    """
+    own = step.nodes(records).where(step.is_a(F.col("class"), "IfcProduct"))
+    if limit is not None:
+        own = own.withColumn("_kind", F.struct("file", "class"))
+        own = first_per_type(own, "_kind", ["id"], limit).drop("_kind")
+    base = own.select("node_id", F.col("node_id").alias("GlobalId"), F.col("class").alias("type"), "Name", "Description", "ObjectType")
+    props = step.property_rows(records, inherit=False).withColumnRenamed("element", "node_id")
+    made = objects(base.dropDuplicates(["node_id"]), props, "node_id")
+    return own.select("file", "id", F.col("class").alias("type"), "node_id").join(made, "node_id").select("file", "id", "type", "json")

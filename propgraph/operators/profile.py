@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,24 +66,29 @@ def endpoint_labels(graph: PropertyGraph) -> DataFrame:
     return joined_leaves(graph).select("type", own[F.col("sl")].alias("src_labels"), own[F.col("dl")].alias("dst_labels")).distinct()
 
 
-def key_statistics(graph: PropertyGraph) -> DataFrame:
-    """(leaf, labels, key, kind, n, about): per leaf and key its column type, how many nodes have it, and about how many values there are.
+def _per_key(graph: PropertyGraph, aggregates: Callable[[str], list[Column]]) -> DataFrame:
+    """(leaf, labels, key, kind, aggregates): a row per leaf and key with aggregates of its column.
 
-    One aggregate per node table, so no row is multiplied by its properties; the result is a row per column.
+    One aggregate per node table, so no row is multiplied by its properties.
     """
     parts = []
     for leaf, t in graph.tables.items():
         fields = [f for f in t.df.schema.fields if f.name != "node_id"]
         if not fields:
             continue
-        own = [F.struct(F.lit(f.name).alias("key"), F.lit(f.dataType.simpleString()).alias("kind"), F.count(f"`{f.name}`").alias("n"), F.approx_count_distinct(f"`{f.name}`").alias("about")) for f in fields]
+        own = [F.struct(F.lit(f.name).alias("key"), F.lit(f.dataType.simpleString()).alias("kind"), *aggregates(f.name)) for f in fields]
         parts.append(t.df.agg(F.array(*own).alias("all")).select(F.lit(leaf).alias("leaf"), F.array(*map(F.lit, t.labels)).alias("labels"), F.inline("all")))
     return reduce(DataFrame.unionAll, parts)
 
 
+def key_statistics(graph: PropertyGraph) -> DataFrame:
+    """(leaf, labels, key, kind, n, about): per leaf and key its column type, how many nodes have it, and about how many values there are."""
+    return _per_key(graph, lambda name: [F.count(f"`{name}`").alias("n"), F.approx_count_distinct(f"`{name}`").alias("about")])
+
+
 def known_keys(graph: PropertyGraph) -> DataFrame:
     """(label, key): every property key that occurs on nodes of a label."""
-    return key_statistics(graph).where("n > 0").select(F.explode("labels").alias("label"), "key").distinct()
+    return _per_key(graph, lambda name: [F.count(f"`{name}`").alias("n")]).where("n > 0").select(F.explode("labels").alias("label"), "key").distinct()
 
 
 def degrees(graph: PropertyGraph, kind: str, label: str) -> DataFrame:
@@ -135,7 +141,7 @@ def enumerations(graph: PropertyGraph, excluded: tuple[str, ...] = EXCLUDED, mos
 def class_profile(graph: PropertyGraph) -> DataFrame:
     """(leaf, n, keys): per leaf label its nodes and sorted property keys."""
     n = graph.labelled().groupBy("leaf").agg(F.count("*").alias("n"))
-    keys = key_statistics(graph).where("n > 0").groupBy("leaf").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    keys = _per_key(graph, lambda name: [F.count(f"`{name}`").alias("n")]).where("n > 0").groupBy("leaf").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     return n.join(keys, "leaf", "left")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from propgraph.functions import names
 from propgraph.operators import profile
 from propgraph.operators.graph import PropertyGraph
+from propgraph.sources import step
 
 #: The prefix of quantity sets, what no set's key may be, and the properties every entity has.
 QUANTITIES = "Qto_"
@@ -38,6 +39,38 @@ def entity_properties(props: DataFrame) -> DataFrame:
     return own.unionByName(core).distinct()
 
 
+def scanned(records: DataFrame, products: str = "IfcProduct", types: str = "IfcTypeProduct") -> dict[str, DataFrame]:
+    """A model's schema from its STEP records alone, without a graph.
+
+    entities: (entity, n) of products.  properties: (entity, property, quantity) of products, with their types' sets and the
+    core ones.  sets: (pset, quantity, properties) of products and types.  all_properties: (property, quantity) of both.
+    relations: (entity, relations) of products.  info: (file, label, name) of each file's first project, site and building.
+    A class is a product or a type if the table of known classes has it below that root (or, for types, its name ends in Type).
+    """
+    named = step.nodes(records)
+    is_product, is_type = step.is_a(F.col("class"), products), step.is_a(F.col("class"), types) | F.col("class").endswith("Type")
+    kinds = named.select(F.col("node_id").alias("element"), F.col("class").alias("entity"), is_product.alias("product"), is_type.alias("typed")).where("product OR typed").distinct()
+    rows = step.property_rows(records).join(kinds, "element").select("entity", "product", "pset", F.col("name").alias("key"))
+    own = rows.where("product").select("entity", "pset", "key")
+    entities = kinds.where("product").groupBy("entity").agg(F.count("*").alias("n"))
+    bare = entities.select("entity", F.lit("").alias("pset"), F.lit(SKIPPED[0]).alias("key"))  # an entity without sets has the core properties
+    properties = entity_properties(own.unionAll(bare))
+    every = rows.where(~F.col("key").isin(*SKIPPED)).select(names.canonical(F.col("key")).alias("property"), is_quantity(F.col("pset")).alias("quantity"))
+    of = lambda end: kinds.where("product").select(F.col("element").alias(end), F.col("entity").alias(f"{end}_entity"))
+    inverse = F.create_map(*(F.lit(x) for kind, back in RELATIONS.items() for x in (kind, back or "")))
+    ends = step.edges(records).where(F.col("type").isin(*RELATIONS)).join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    both = ends.select(F.inline(F.array(F.struct(F.col("src_entity").alias("entity"), F.col("type").alias("relation")), F.struct(F.col("dst_entity").alias("entity"), inverse[F.col("type")].alias("relation")))))
+    info = named.where(F.col("class").isin("IfcProject", "IfcSite", "IfcBuilding")).groupBy("file", F.col("class").alias("label")).agg(F.min_by("Name", "id").alias("name"))
+    return {
+        "entities": entities,
+        "properties": properties,
+        "sets": property_sets(rows.select("pset", "key")),
+        "all_properties": every.unionAll(records.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, CORE))), F.lit(False))).distinct(),
+        "relations": both.where("entity IS NOT NULL AND relation <> ''").groupBy("entity").agg(F.sort_array(F.collect_set("relation")).alias("relations")),
+        "info": info,
+    }
+
+
 def class_relations(graph: PropertyGraph) -> DataFrame:
     """(leaf, relations): the sorted relations of each leaf label, by their inverse names where it is the target."""
     inverse = F.create_map(*(F.lit(x) for kind, back in RELATIONS.items() for x in (kind, back or "")))

@@ -126,5 +126,41 @@ def across_runs(summaries: DataFrame, by: list[str], metrics: list[str]) -> Data
     return summaries.groupBy(*by).agg(F.count("*").alias("runs"), *parts)
 
 
-def mean_and_deviation(mean: Column, std: Column, latex: bool = False) -> Column:
-    return F.format_string("$%.3f \\pm %.3f$" if latex else "%.3f ± %.3f", mean, std)
+def mean_and_deviation(mean: Column, std: Column, latex: bool = False, digits: int = 2) -> Column:
+    """A mean with its deviation, or alone where that is 0; ties are rounded to even."""
+    one = lambda c: F.format_string(f"%.{digits}f", F.bround(c.cast("double"), digits))
+    both = F.concat(F.lit("$"), one(mean), F.lit(" \\pm "), one(std), F.lit("$")) if latex else F.concat(one(mean), F.lit(" ± "), one(std))
+    return F.when(std == 0, one(mean)).otherwise(both)
+
+
+#: What settings and metrics are called in tables.
+SETTING_NAMES = {"direct_qa_baseline": "S1 (Naive QA)", "direct_qa_grounded": "S2 (Grounded QA)", "cypher_soft": "S3 (Soft Cypher)", "cypher_strict": "S4 (Strict Cypher)"}
+METRIC_NAMES = {"svr_mean": "SVR", "scr_mean": "SCR", "ea_mean": "EA"}
+
+
+def setting_name(setting: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in SETTING_NAMES.items() for x in pair))[setting], setting)
+
+
+def run_table(runs: DataFrame, by: tuple[str, ...] = ("model", "setting", "difficulty"), run: str = "run") -> DataFrame:
+    """(by, metric, runs, values, shown) of (by, run, svr_mean, scr_mean, ea_mean): each metric's values in the order of runs, and mean ± deviation.
+
+    The groups' runs are a handful each.  Groups whose metric is null throughout have no row of it.
+    """
+    each = runs.select(*by, run, F.inline(F.array(*(F.struct(F.lit(k).alias("place"), F.lit(name).alias("metric"), F.col(m).cast("double").alias("v")) for k, (m, name) in enumerate(METRIC_NAMES.items()))))).where("v IS NOT NULL")
+    found = each.groupBy(*by, "place", "metric").agg(F.count("*").alias("runs"), F.array_sort(F.collect_list(F.struct(run, "v"))).alias("all"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"))
+    values = F.array_join(F.transform("all", lambda x: F.format_string("%.4f", F.bround(x["v"], 4))), ", ")
+    return found.select(*by, "metric", "runs", values.alias("values"), mean_and_deviation(F.col("mean"), F.col("std")).alias("shown"))
+
+
+def latex_rows(runs: DataFrame, order: tuple[str, ...] = tuple(SETTING_NAMES)) -> DataFrame:
+    """(model, place, setting, line) of (model, setting, run, metrics): each model's name, its settings' rows in the given order, and a rule.
+
+    Ordered by model, place and setting the lines are the table's rows.
+    """
+    own = across_runs(runs, ["model", "setting"], list(METRIC_NAMES))
+    cells = [mean_and_deviation(F.col(f"{m}_mean"), F.col(f"{m}_std"), latex=True) for m in METRIC_NAMES]
+    at = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("setting")), F.lit(0)), F.lit(len(order) + 1)).cast("int")
+    rows = own.select("model", at.alias("place"), "setting", F.concat(F.concat_ws(" & ", F.lit(" "), setting_name(F.col("setting")), *cells), F.lit(" \\\\")).alias("line"))
+    ends = F.inline(F.array(F.struct(F.lit(0).alias("place"), F.concat(F.lit("\\textit{"), "model", F.lit("}")).alias("line")), F.struct(F.lit(len(order) + 2).alias("place"), F.lit("\\hline").alias("line"))))
+    return rows.unionByName(runs.select("model").distinct().select("model", F.lit("").alias("setting"), ends))

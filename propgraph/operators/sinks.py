@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.operators.vocabulary import Vocabulary
@@ -100,3 +100,23 @@ def read_bundle(text: DataFrame, entities: str, properties: str, signatures: str
 def write_dump(nodes: DataFrame, path: str) -> None:
     """Nodes as JSON lines, absent properties left out."""
     nodes.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+
+
+def write_array(rows: DataFrame, order: list[str], path: str, json: str = "json", files: int | None = None) -> None:
+    """Rows' JSON objects as one JSON array: the part files, joined in the order of their names, are its text, an object a line.
+
+    Rows are sorted by range, so no task sees all of them.  `order` must tell rows apart.  No rows: an empty array.
+    files: 1 for a small array that is to be one file (documents.dump reads it).
+    """
+    keyed = rows.select(F.struct(*order).alias("k"), F.col(json).alias("v"))
+    ends = keyed.agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"))
+    lines = keyed.join(F.broadcast(ends), how="cross").select("k", F.concat(F.when(F.col("k") == F.col("first"), "[").otherwise(F.lit("")), "v", F.when(F.col("k") == F.col("last"), "]").otherwise(F.lit(","))).alias("value"))
+    none = ends.where("n = 0").select(F.col("first").alias("k"), F.lit("[]").alias("value"))
+    text = lines.unionAll(none).orderBy("k").select("value")
+    (text if files is None else text.coalesce(files)).write.mode("overwrite").text(path)
+
+
+def read_array(spark: SparkSession, path: str) -> DataFrame:
+    """(json) of what write_array wrote: each file is read by as many tasks as its size asks for."""
+    inner = F.regexp_replace("value", r"^\[|[,\]]$", "")
+    return spark.read.text(path).select(inner.alias("json")).where("json <> ''")

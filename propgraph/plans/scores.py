@@ -161,7 +161,7 @@ def stddev_by_group_all(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderstatus", "o_orderpriority", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
     s = scoring.across_runs(o, ["o_orderstatus", "o_orderpriority"], ["o_totalprice", "o_custkey"])
     rounded = {m: F.round(m, 2).alias(m) for m in ("o_totalprice_mean", "o_totalprice_std", "o_custkey_mean", "o_custkey_std")}
-    return s.select("o_orderstatus", "o_orderpriority", "runs", *rounded.values(), scoring.mean_and_deviation(F.round(F.col("o_custkey_mean"), 1), F.lit(0.5)).alias("shown"))
+    return s.select("o_orderstatus", "o_orderpriority", "runs", *rounded.values(), scoring.mean_and_deviation(F.round(F.col("o_custkey_mean"), 1), F.lit(0.5), digits=3).alias("shown"))
 
 
 def _runs(c: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from propgraph.functions import values
 from propgraph.sources import step_scan
 from propgraph.sources.shipping import ship
 
@@ -129,16 +130,71 @@ def edges(recs: DataFrame) -> DataFrame:
     return submitted(recs).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
-def property_rows(recs: DataFrame) -> DataFrame:
-    """(element, pset, name, value, position) of property sets and quantities, for etl.flatten_properties."""
-    sets = recs.where(F.col("class").isin("IFCPROPERTYSET", "IFCELEMENTQUANTITY")).select(
-        "file", F.col("id").alias("set_id"), text_of(F.get("args", F.lit(2))).alias("pset"), F.posexplode(references(F.element_at("args", -1))).alias("k", "prop")
+def is_a(name: Column, root: str) -> Column:
+    """Whether a class, by its proper name, is a root class or below it in the table of known classes."""
+    below, grew = {root}, True
+    while grew:
+        more = {c for c, parent in SUPERTYPES if parent in below} - below
+        below, grew = below | more, bool(more)
+    return name.isin(*sorted(below))
+
+
+def items_of(arg: Column) -> Column:
+    """The values of a bracketed list such as (IFCLABEL('a'),IFCREAL(2.)): array<struct<json, text>>, as values.coerced_list takes them."""
+    each = F.regexp_extract_all(F.regexp_extract(arg, r"(?s)^\((.*)\)$", 1), F.lit(rf"(?:[A-Za-z0-9_]+\((?:{_TEXT}|[^()']*)\)|{_TEXT}|[^,()']+)"), F.lit(0))
+    return F.transform(each, lambda x: values.item(json_value(F.trim(x))))
+
+
+def json_value(arg: Column) -> Column:
+    """A property's value as JSON: booleans, numbers (those with a point as decimals), other values as text; null for $ and *."""
+    whole, inside = F.coalesce(arg, F.lit("$")), r"(?s)^[A-Za-z0-9_]+\((.*)\)$"
+
+    def shown(inner: Column) -> Column:
+        number = F.when(inner.rlike(r"^[+-]?[0-9]{1,18}$"), inner.cast("long").cast("string")).when(inner.rlike(r"^[+-]?[0-9]+\.[0-9]*([eE][+-]?[0-9]+)?$"), inner.cast("double").cast("string"))
+        return F.when(inner.isin("$", "*"), None).when(inner == ".T.", "true").when(inner == ".F.", "false").otherwise(F.coalesce(number, values.json_text(F.coalesce(text_of(inner), inner))))
+
+    return values.once(F.coalesce(F.nullif(F.regexp_extract(whole, inside, 1), F.lit("")), whole), shown)
+
+
+def _property_values(recs: DataFrame) -> DataFrame:
+    """(file, prop, name, value, json) of single, listed and enumerated values and of quantities.  A list's value is its JSON."""
+    at = F.when(F.col("class").startswith("IFCQUANTITY"), F.get("args", F.lit(3))).otherwise(F.get("args", F.lit(2)))
+    several = F.col("class").isin("IFCPROPERTYLISTVALUE", "IFCPROPERTYENUMERATEDVALUE")
+    listed = values.coerced_list(items_of(at))
+    rows = recs.where((F.col("class") == "IFCPROPERTYSINGLEVALUE") | several | F.col("class").startswith("IFCQUANTITY"))
+    amount = F.when(F.col("class").startswith("IFCQUANTITY"), at.try_cast("double").cast("string"))
+    return rows.select(
+        "file", F.col("id").alias("prop"), text_of(F.get("args", F.lit(0))).alias("name"), F.when(several, listed).otherwise(plain_value(at)).alias("value"), F.when(several, listed).otherwise(F.coalesce(amount, json_value(at))).alias("json")
     )
-    simple = recs.where(F.col("class") == "IFCPROPERTYSINGLEVALUE").select("file", F.col("id").alias("prop"), text_of(F.get("args", F.lit(0))).alias("name"), plain_value(F.get("args", F.lit(2))).alias("value"))
-    amounts = recs.where(F.col("class").startswith("IFCQUANTITY")).select("file", F.col("id").alias("prop"), text_of(F.get("args", F.lit(0))).alias("name"), plain_value(F.get("args", F.lit(3))).alias("value"))
-    given = recs.where(F.col("class") == "IFCRELDEFINESBYPROPERTIES").select("file", F.col("id").alias("rel"), F.explode(references(F.get("args", F.lit(4)))).alias("id"), F.get(references(F.get("args", F.lit(5))), F.lit(0)).alias("set_id"))
-    rows = given.join(sets, ["file", "set_id"]).join(simple.unionAll(amounts), ["file", "prop"]).join(nodes(recs).select("file", "id", F.col("node_id").alias("element")), ["file", "id"])
-    return rows.select("element", "pset", "name", "value", F.struct("rel", "set_id", "k").alias("position"))
+
+
+def _sets(recs: DataFrame) -> DataFrame:
+    """(file, set_id, pset, k, prop): the property and quantity sets with their properties in order."""
+    sets = recs.where(F.col("class").isin("IFCPROPERTYSET", "IFCELEMENTQUANTITY"))
+    return sets.select("file", F.col("id").alias("set_id"), text_of(F.get("args", F.lit(2))).alias("pset"), F.posexplode(references(F.element_at("args", -1))).alias("k", "prop"))
+
+
+def _given(recs: DataFrame) -> DataFrame:
+    """(file, id, rel, set_id, own): the sets of each record: its own (1), and for types and what they type the type's (0)."""
+    own = recs.where(F.col("class") == "IFCRELDEFINESBYPROPERTIES").select("file", F.explode(references(F.get("args", F.lit(4)))).alias("id"), F.col("id").alias("rel"), F.get(references(F.get("args", F.lit(5))), F.lit(0)).alias("set_id"))
+    types = recs.where(is_a(_named(recs), "IfcTypeObject") | F.col("class").rlike("^IFC[A-Z]+(TYPE|STYLE)$")).select("file", "id", F.posexplode(references(F.get("args", F.lit(5)))).alias("rel", "set_id"))
+    typed = recs.where(F.col("class") == "IFCRELDEFINESBYTYPE").select("file", F.explode(references(F.get("args", F.lit(4)))).alias("typed"), F.get(references(F.get("args", F.lit(5))), F.lit(0)).alias("id"))
+    inherited = types.join(typed, ["file", "id"]).select("file", F.col("typed").alias("id"), F.col("rel").cast("long"), "set_id")
+    return own.withColumn("own", F.lit(1)).unionByName(types.withColumn("rel", F.col("rel").cast("long")).unionByName(inherited).withColumn("own", F.lit(0)))
+
+
+def property_rows(recs: DataFrame, inherit: bool = True) -> DataFrame:
+    """(element, pset, name, value, json, position) of property sets and quantities, for etl.flatten_properties.
+
+    An element has its type's sets, too (inherit: false leaves types out): a property that both have is at the type's place and has the element's own value.
+    Of a name that is in a set twice the last value counts.
+    """
+    given = _given(recs) if inherit else _given(recs).where("own = 1")
+    rows = given.join(_sets(recs), ["file", "set_id"]).join(_property_values(recs), ["file", "prop"]).join(nodes(recs).select("file", "id", F.col("node_id").alias("element")), ["file", "id"])
+    at = F.struct("own", "rel", "set_id", "k")
+    one = rows.groupBy("element", "pset", "name").agg(F.max_by(F.struct("value", "json"), at).alias("v"), F.min(at).alias("at"))
+    first = F.min(F.struct("at.own", "at.rel", "at.set_id")).over(Window.partitionBy("element", "pset"))
+    return one.select("element", "pset", "name", "v.value", "v.json", F.struct(first.alias("set"), F.col("at")).alias("position"))
 
 
 def material_rows(recs: DataFrame) -> DataFrame:
