@@ -39,7 +39,8 @@ def result_rows(results: DataFrame, columns: tuple[str, ...] = RESULT_COLUMNS) -
 
 
 def write_results(results: DataFrame, path: str, columns: tuple[str, ...] = RESULT_COLUMNS) -> None:
-    result_rows(results, columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Blanks and line breaks at the ends of texts are kept."""
+    result_rows(results, columns).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').csv(path)
 
 
 def write_summary(summary: DataFrame, config: dict[str, str], path: str) -> None:
