@@ -73,7 +73,8 @@ def graph_of(spark: SparkSession, records: DataFrame) -> tuple[PropertyGraph, Da
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     nodes = kept(step.nodes(records).groupBy("node_id").agg(*(F.min_by(c, F.struct("file", "id")).alias(c) for c in ("class", *BASE))), "nodes")
-    flat = etl.flatten_properties(step.property_rows(records)).join(nodes.select(F.col("node_id").alias("element"), "class"), "element")
+    rows = kept(step.property_rows(records).drop("json"), "rows")  # names are ranked in several passes over them
+    flat = etl.flatten_properties(rows).join(nodes.select(F.col("node_id").alias("element"), "class"), "element")
     flat = kept(flat, "properties")
     chains = {r["leaf"]: tuple(r["labels"]) for r in etl.label_closure(step.supertypes(spark)).collect()}
     types = column_types(flat)

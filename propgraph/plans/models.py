@@ -95,7 +95,9 @@ def step_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def step_properties(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical properties of elements: a wall has its type's width, and its own segment in place of the type's."""
-    return etl.flatten_properties(step.property_rows(_records(spark, sf))).distinct()
+    rows, path = step.property_rows(_records(spark, sf)).drop("json"), store.scratch(spark)
+    rows.write.parquet(path)
+    return etl.flatten_properties(spark.read.schema(rows.schema).parquet(path)).distinct()
 
 
 def step_materials(spark: SparkSession, sf: str) -> DataFrame:
