@@ -43,6 +43,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder}/propgraph-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and written to a new shared folder, for what reads them more than once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _folder(spark: SparkSession, path: str) -> tuple[object, object]:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

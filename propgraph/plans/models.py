@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from propgraph.functions import values
 from propgraph.operators import etl, schema, sinks, store
 from propgraph.sources import documents, step
 
@@ -53,8 +54,11 @@ def _written(spark: SparkSession, sf: str) -> str:
         _record(at + 7, "IFCRELASSOCIATESMATERIAL", _text(_gid("RM", key)), *place, F.concat(F.lit("("), _ref(at), F.lit(")")), _ref(segment)),
         F.when(wall, _record(at + 8, "IFCRELDEFINESBYTYPE", _text(_gid("RT", key)), *place, F.concat(F.lit("("), _ref(at), F.lit(")")), F.lit("#50"))),
     )
-    lines = F.array_compact(own)
-    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")), lambda k: F.concat(F.get(lines, 2 * k), F.when(key % 5 == 0, " ").otherwise(F.lit("\n")), F.coalesce(F.get(lines, 2 * k + 1), F.lit(""))))
+
+    def two_by_two(lines: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")), lambda k: F.concat(F.get(lines, 2 * k), F.when(key % 5 == 0, " ").otherwise(F.lit("\n")), F.coalesce(F.get(lines, 2 * k + 1), F.lit(""))))
+
+    pairs = values.once(F.array_compact(own), two_by_two)
     rows = c.select("file", F.lit(2).alias("place"), F.explode(pairs).alias("value"))
     blocks = c.groupBy("file").agg(F.collect_set("c_mktsegment").alias("segments"))
     storeys = c.select("file", F.col("c_nationkey").alias("n_nationkey")).distinct().join(nation, "n_nationkey").select("file", F.lit(1).alias("place"), _record(1 + F.col("n_nationkey"), "IFCBUILDINGSTOREY", _text(_gid("N", F.col("n_nationkey"))), "$", _text(F.col("n_name")), "$", "$", "$", "$", "$", ".ELEMENT.", "0.").alias("value"))
@@ -72,10 +76,7 @@ def _written(spark: SparkSession, sf: str) -> str:
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     """The records of the written files, kept as a table as several joins read them."""
-    recs = step.records(spark, _written(spark, sf), split_bytes=1 << 18)
-    path = store.scratch(spark)
-    recs.write.parquet(path)
-    return spark.read.schema(recs.schema).parquet(path)
+    return store.kept(step.records(spark, _written(spark, sf), split_bytes=1 << 18))
 
 
 def step_statements(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,9 +96,7 @@ def step_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def step_properties(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical properties of elements: a wall has its type's width, and its own segment in place of the type's."""
-    rows, path = step.property_rows(_records(spark, sf)).drop("json"), store.scratch(spark)
-    rows.write.parquet(path)
-    return etl.flatten_properties(spark.read.schema(rows.schema).parquet(path)).distinct()
+    return etl.flatten_properties(step.property_rows(_records(spark, sf)).drop("json")).distinct()
 
 
 def step_materials(spark: SparkSession, sf: str) -> DataFrame:

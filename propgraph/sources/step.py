@@ -7,6 +7,8 @@ many models load as one job.
 from __future__ import annotations
 
 import json
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,16 +53,21 @@ def statements(spark: SparkSession, path: str, split_bytes: int = step_scan.SPLI
 
     Records have an id, class and arguments; header entries and section marks a class, no id.  What is neither
     (brackets that do not match, a record of several classes, a last statement without its end) has its text in raw.
-    Any bytes may be between records, in texts and in comments; split_bytes does not change the rows.
+    Any bytes may be between records, in texts and in comments; split_bytes does not change the rows.  It is the least
+    that a split has: where that would be more tasks than the cores need, splits have more (step_scan.split_size).
     A missing path fails when it is read.
     """
     ship(spark)
     spark.dataSource.register(step_scan.StepSource)
-    read = spark.read.format("step").option("path", path).option("splitBytes", split_bytes)
-    if all(size <= split_bytes for _, size in step_scan.files(path)):
-        return read.load()
-    passed = read.option("pass", "states").load().select("file", "start", "state", "ended", "some").collect()  # a row a split
-    return spark.read.format("step").option("path", path).option("splitBytes", split_bytes).option("begins", json.dumps(step_scan.begins([tuple(r) for r in passed]))).load()
+    sizes = [size for _, size in step_scan.files(path)]
+    own = step_scan.split_size(sum(sizes) + step_scan.OPEN * len(sizes), split_bytes, spark.sparkContext.defaultParallelism)
+    read = lambda: spark.read.format("step").option("path", path).option("splitBytes", own)
+    if all(size <= own for size in sizes):
+        return read().load()
+    passed = read().option("pass", "states").load().select("file", "start", "state", "ended", "some").collect()  # a row a split
+    begins = Path(tempfile.mkdtemp(prefix="propgraph-")) / "begins.json"
+    begins.write_text(json.dumps(step_scan.begins([tuple(r) for r in passed])))
+    return read().option("begins", str(begins)).load()
 
 
 def records(spark: SparkSession, path: str, split_bytes: int = step_scan.SPLIT) -> DataFrame:
@@ -183,14 +190,17 @@ def _given(recs: DataFrame) -> DataFrame:
     return own.withColumn("own", F.lit(1)).unionByName(types.withColumn("rel", F.col("rel").cast("long")).unionByName(inherited).withColumn("own", F.lit(0)))
 
 
-def property_rows(recs: DataFrame, inherit: bool = True) -> DataFrame:
+def property_rows(recs: DataFrame, inherit: bool = True, wanted: DataFrame | None = None) -> DataFrame:
     """(element, pset, name, value, json, position) of property sets and quantities, for etl.flatten_properties.
 
     An element has its type's sets, too (inherit: false leaves types out): a property that both have is at the type's place and has the element's own value.
-    Of a name that is in a set twice the last value counts.
+    Of a name that is in a set twice the last value counts.  wanted: (node_id) of the elements that are asked for, else all.
     """
+    ids = nodes(recs).select("file", "id", F.col("node_id").alias("element"))
+    if wanted is not None:
+        ids = ids.join(wanted, F.col("element") == F.col("node_id"), "left_semi")
     given = _given(recs) if inherit else _given(recs).where("own = 1")
-    rows = given.join(_sets(recs), ["file", "set_id"]).join(_property_values(recs), ["file", "prop"]).join(nodes(recs).select("file", "id", F.col("node_id").alias("element")), ["file", "id"])
+    rows = given.join(ids, ["file", "id"]).join(_sets(recs), ["file", "set_id"]).join(_property_values(recs), ["file", "prop"])
     at = F.struct("own", "rel", "set_id", "k")
     one = rows.groupBy("element", "pset", "name").agg(F.max_by(F.struct("value", "json"), at).alias("v"), F.min(at).alias("at"))
     first = F.min(F.struct("at.own", "at.rel", "at.set_id")).over(Window.partitionBy("element", "pset"))

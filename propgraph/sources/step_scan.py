@@ -4,7 +4,8 @@ A split may begin inside a text, a comment or a record.  What it means there dep
 but only by one of five states, so a first pass gives for every split the state in which it ends for each
 state in which it may begin; put together from split to split they tell how each begins.  In the second
 pass a split skips to the end of the record that it begins in, and reads the last one that begins in it
-to its end.  A file of one split needs no first pass.
+to its end.  A file of one split needs no first pass.  A task takes one split, or several that are shorter, so
+that tasks grow with the bytes and not with the files.
 
 Files are opened through pyarrow's file systems (local, hdfs, s3, gcs), at most a split and a record at a time.
 """
@@ -15,12 +16,15 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT = 32 << 20
+#: Tasks a core that splits are cut for; bytes that opening a file counts as.
+TASKS, OPEN = 8, 1 << 12
 #: Bytes read beyond a split's end at a time, for its last record; and statements in one batch.
 MORE, BATCH = 1 << 16, 4096
 
@@ -208,7 +212,7 @@ def parsed(raw: bytes, ended: bool) -> tuple[int | None, str | None, list[str] |
 
 
 @dataclass
-class Split(InputPartition):
+class Split:
     file: str
     start: int
     stop: int
@@ -216,6 +220,29 @@ class Split(InputPartition):
     begun: bool = False
 
 
+@dataclass
+class Task(InputPartition):
+    splits: list[Split]
+
+
+def split_size(total: int, least: int, cores: int) -> int:
+    """Bytes of a split: as many as give each core TASKS of them, but `least` at least, and no more than SPLIT for it."""
+    return max(1, least, min(SPLIT, total // (TASKS * cores)))
+
+
+def packed(splits: list[Split], size: int) -> list[Task]:
+    """Splits in order, those that come next to each other and have `size` bytes at most together as one task."""
+    out, room = [], 0
+    for s in splits:
+        cost = s.stop - s.start + OPEN
+        if not out or cost > room:
+            out.append(Task([]))
+            room = size + OPEN
+        out[-1].splits.append(s)
+        room -= cost
+    return out
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else fs_path(uri))
 
@@ -244,17 +271,23 @@ def files(path: str) -> list[tuple[str, int]]:
 class Reader(DataSourceReader):
     options: dict = field(default_factory=dict)
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Task]:
         size = max(1, int(self.options.get("splitbytes", SPLIT)))
-        known = {(f, a): (s, bool(b)) for f, a, s, b in json.loads(self.options.get("begins", "[]"))}
+        known = {}
+        if "begins" in self.options:  # a file of the driver's: options go to every task
+            known = {(f, a): (s, bool(b)) for f, a, s, b in json.loads(Path(self.options["begins"]).read_text())}
         out = []
         for name, length in files(self.options["path"]):
             for start in range(0, max(length, 1), size):
                 state, begun = known.get((name, start), (PLAIN, False))
                 out.append(Split(name, start, min(start + size, length), state, begun))
-        return out
+        return packed(out, size)
+
+    def read(self, task: Task | None) -> Iterator[pa.RecordBatch]:
+        for split in task.splits if task else []:  # no task: no files
+            yield from self._split(split)
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+    def _split(self, split: Split) -> Iterator[pa.RecordBatch]:
         system, at = opened(split.file)
         with system.open_input_file(at) as file:
             if self.options.get("pass") == "states":

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from propgraph.sources import step, step_scan
 
@@ -92,3 +93,23 @@ def test_every_split_is_a_task(spark, tmp_path):
     assert found.groupBy("file").count().where("count <> 399").count() == 0 and found.count() == 3 * 399
     with pytest.raises(FileNotFoundError):
         step.records(spark, str(tmp_path / "none"))
+
+
+def test_short_files_share_a_task(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k}.ifc").write_text(f"#{k}=IFCWALL('{k}');\n" * 3)
+    found = step.statements(spark, str(tmp_path), 16)
+    assert found.rdd.getNumPartitions() < 100 and found.count() == 900
+    assert found.groupBy("file").agg(F.count_distinct("id").alias("ids"), F.min("at").alias("at")).where("ids <> 1 OR at <> 0").count() == 0
+
+
+def test_states_of_splits_do_not_go_to_every_task(spark, tmp_path):
+    (tmp_path / "a.ifc").write_text("".join(f"#{i}=IFCWALL('{i}');\n" for i in range(1, 2000)))
+    read, made = type(spark.read), []
+    option = read.option
+    try:
+        read.option = lambda self, key, value: made.append(len(str(value))) or option(self, key, value)
+        assert step.records(spark, str(tmp_path), 100).count() == 1999
+    finally:
+        read.option = option
+    assert max(made) < 500
