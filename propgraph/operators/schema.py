@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propgraph.functions import names
-from propgraph.operators import profile
+from propgraph.operators import profile, store
 from propgraph.operators.graph import PropertyGraph
 from propgraph.sources import step
 
@@ -50,7 +50,7 @@ def scanned(records: DataFrame, products: str = "IfcProduct", types: str = "IfcT
     named = step.nodes(records)
     is_product, is_type = step.is_a(F.col("class"), products), step.is_a(F.col("class"), types) | F.col("class").endswith("Type")
     kinds = named.select(F.col("node_id").alias("element"), F.col("class").alias("entity"), is_product.alias("product"), is_type.alias("typed")).where("product OR typed").distinct()
-    rows = step.property_rows(records).join(kinds, "element").select("entity", "product", "pset", F.col("name").alias("key"))
+    rows = store.kept(step.property_rows(records).join(kinds, "element").select("entity", "product", "pset", F.col("name").alias("key")).distinct())  # names, not elements
     own = rows.where("product").select("entity", "pset", "key")
     entities = kinds.where("product").groupBy("entity").agg(F.count("*").alias("n"))
     bare = entities.select("entity", F.lit("").alias("pset"), F.lit(SKIPPED[0]).alias("key"))  # an entity without sets has the core properties
