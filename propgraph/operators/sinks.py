@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from propgraph.operators import store
 from propgraph.operators.vocabulary import Vocabulary
 
 #: Fixed value: the columns of a results file.
@@ -109,7 +110,7 @@ def write_array(rows: DataFrame, order: list[str], path: str, json: str = "json"
     Rows are sorted by range, so no task sees all of them.  `order` must tell rows apart.  No rows: an empty array.
     files: 1 for a small array that is to be one file (documents.dump reads it).
     """
-    keyed = rows.select(F.struct(*order).alias("k"), F.col(json).alias("v"))
+    keyed = store.kept(rows.select(F.struct(*order).alias("k"), F.col(json).alias("v")))  # read for its ends, its ranges and itself
     ends = keyed.agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"))
     lines = keyed.join(F.broadcast(ends), how="cross").select("k", F.concat(F.when(F.col("k") == F.col("first"), "[").otherwise(F.lit("")), "v", F.when(F.col("k") == F.col("last"), "]").otherwise(F.lit(","))).alias("value"))
     none = ends.where("n = 0").select(F.col("first").alias("k"), F.lit("[]").alias("value"))
