@@ -59,7 +59,7 @@ def svr_json_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def scr_masked(spark: SparkSession, sf: str) -> DataFrame:
     """Compliance of queries with texts and decimals that look like names, as they stand and masked."""
-    p = spark.read.parquet(f"{sf}/part.parquet")
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_type").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")  # few bytes, much work a row
     query = F.concat(F.lit("MATCH (p:Part) WHERE p.p_type = 'a.wide "), F.col("p_type"), F.lit(" (x:Planet)' AND p.p_retailprice > "), F.when(F.col("p_partkey") % 2 == 0, "10.25").otherwise(F.lit("10")), F.lit(' RETURN p.p_name, "b.c"'))
     valid = [F.array(F.lit("part")), F.array(*map(F.lit, ("p_type", "p_retailprice", "p_name")))]
     shown = lambda s: F.array_join(F.concat(s["invalid_labels"], s["invalid_properties"]), ",")
