@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propgraph.operators import store
 from propgraph.operators.graph import PropertyGraph
 
 #: How many distinct values make an enumeration, their greatest mean length, and probes per label.
@@ -18,6 +20,8 @@ PRIORITY = ("Name", "LongName", "ObjectType", "PredefinedType", "FireRating", "M
 EXCLUDED = ("GlobalId", "Tag", "OwnerHistory", "ObjectPlacement", "Description", "LongDescription", "Representation")
 #: Sources of one target that are compared within one cell.
 SOURCES = 1024
+#: Pairs of sources, in both orders, that one task of shared_neighbours meets.
+PAIRS = 2 << 20
 
 
 def label_counts(graph: PropertyGraph) -> DataFrame:
@@ -145,17 +149,23 @@ def class_profile(graph: PropertyGraph) -> DataFrame:
     return n.join(keys, "leaf", "left")
 
 
-def shared_neighbours(edges: DataFrame, block: int = SOURCES) -> DataFrame:
+def shared_neighbours(edges: DataFrame, block: int = SOURCES, pairs: int = PAIRS) -> DataFrame:
     """(a, b): pairs of sources that have a target in common, a < b, once each.
 
     The sources of a target are dealt to blocks of about `block`, and two blocks meet in a cell of their
     own: a target with very many sources is compared by many tasks, in at most about block^2 pairs each.
+    In a cell each source meets the other block's as one array; arrays are dealt by source to as many tasks as give each
+    about `pairs` of the pairs that meet, so that what a task keeps of them does not grow with the input.
     Rows with a null end have no part in it.
     """
-    pair = edges.select("src", "dst").distinct()
-    blocks = pair.groupBy("dst").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    pair = store.kept(edges.select("src", "dst").dropna().distinct())
+    sizes = pair.groupBy("dst").agg(F.count("*").alias("n"))
+    met = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    tasks = math.ceil(met / pairs) + 1
+    blocks = sizes.select("dst", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = pair.join(blocks, "dst").withColumn("own", F.pmod(F.xxhash64("src"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     one = dealt.select(F.col("src").alias("a"), "dst", F.col("own").alias("row"), every.alias("col"))
-    other = dealt.select(F.col("src").alias("b"), "dst", every.alias("row"), F.col("own").alias("col"))
-    return one.join(other, ["dst", "row", "col"]).where("a < b").select("a", "b").distinct()
+    other = dealt.groupBy("dst", "own", "blocks").agg(F.collect_list("src").alias("bs")).select("dst", every.alias("row"), F.col("own").alias("col"), "bs")
+    met_by = one.join(other, ["dst", "row", "col"]).select("a", F.filter("bs", lambda b: F.col("a") < b).alias("bs")).where(F.size("bs") > 0)
+    return met_by.repartition(tasks, "a").select("a", F.explode("bs").alias("b")).distinct()
