@@ -26,7 +26,8 @@ def unique_names(names: Column) -> Column:
 
     def place(acc: Column, name: Column) -> Column:
         numbered = F.transform(F.sequence(F.lit(0), F.size(acc)), lambda k: F.when(k == 0, name).otherwise(F.concat_ws("_", name, k.cast("string"))))
-        return F.concat(acc, F.array(F.get(F.filter(numbered, lambda n: ~F.array_contains(acc, n)), F.lit(0))))
+        free = F.get(F.filter(numbered, lambda n: ~F.array_contains(acc, n)), F.lit(0))
+        return F.concat(acc, F.array(F.when(~F.array_contains(acc, name), name).otherwise(free)))
 
     return F.aggregate(names, F.array().cast("array<string>"), place)
 

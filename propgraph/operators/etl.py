@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propgraph.functions import names, values
+from propgraph.operators import store
 from propgraph.sources import step
 
 #: Fixed value: raw names that never become properties.
@@ -18,11 +19,14 @@ def flatten_properties(rows: DataFrame, element: str = "element", group: str = "
     Skipped and null values go.  Names that canonicalise alike within an element become name, name_1, name_2: the
     first that is free.  Where no property is called like a number's name by itself that is the rank among equal
     names, so an element's properties are not gathered; the others' elements take their names in order, as one array.
+    The rows are computed once and written to the shared folder when this is called.
     """
-    kept = rows.where(F.col(value).isNotNull() & ~F.col(name).isin(*SKIPPED)).withColumn("_key", names.canonical(F.col(name))).where("_key <> ''")
+    found = rows.where(F.col(value).isNotNull() & ~F.col(name).isin(*SKIPPED)).withColumn("_key", names.canonical(F.col(name))).where("_key <> ''")
+    kept = store.kept(found.select(*dict.fromkeys((element, group, value, position, "_key"))))
     numbered = r"^(.+)_([1-9][0-9]{0,8})$"
     likely = kept.where(F.col("_key").rlike(numbered)).select(F.col(element).alias("_e"), F.regexp_extract("_key", numbered, 1).alias("_of"), F.regexp_extract("_key", numbered, 2).cast("long").alias("_m")).distinct()
-    taken = kept.join(likely, (F.col(element) == F.col("_e")) & (F.col("_key") == F.col("_of"))).groupBy("_e", "_of", "_m").count().where(F.col("count") > F.col("_m")).select("_e").distinct()
+    counts = kept.groupBy(element, "_key").agg(F.count("*").alias("_n")).where("_n > 1")
+    taken = counts.join(likely, (F.col(element) == F.col("_e")) & (F.col("_key") == F.col("_of")) & (F.col("_n") > F.col("_m"))).select("_e").distinct()
     rank = F.row_number().over(Window.partitionBy(element, "_key").orderBy(position, group, value)) - 1
     easy = kept.join(taken, F.col(element) == F.col("_e"), "left_anti").withColumn("_n", rank)
     ranked = easy.select(element, F.when(F.col("_n") == 0, F.col("_key")).otherwise(F.concat_ws("_", "_key", F.col("_n").cast("string"))).alias("key"), F.col(value).alias("value"))
@@ -144,6 +148,7 @@ def products(records: DataFrame, limit: int | None = None) -> DataFrame:
         own = own.withColumn("_kind", F.struct("file", "class"))
         own = first_per_type(own, "_kind", ["id"], limit).drop("_kind")
     base = own.select("node_id", F.col("node_id").alias("GlobalId"), F.col("class").alias("type"), "Name", "Description", "ObjectType")
-    props = step.property_rows(records, inherit=False).withColumnRenamed("element", "node_id")
+    wanted = own.select("node_id").distinct() if limit is not None else None
+    props = step.property_rows(records, inherit=False, wanted=wanted).withColumnRenamed("element", "node_id")
     made = objects(base.dropDuplicates(["node_id"]), props, "node_id")
     return own.select("file", "id", F.col("class").alias("type"), "node_id").join(made, "node_id").select("file", "id", "type", "json")

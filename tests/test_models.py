@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from propgraph.functions import values
-from propgraph.operators import etl, schema, scoring, sinks
+from propgraph.operators import etl, profile, schema, scoring, sinks
 from propgraph.sources import documents, step
 
 
@@ -82,3 +82,66 @@ def test_tables_of_runs(spark):
     assert shown["cypher_soft", "SVR"] == ("0.5000, 1.0000", "0.75 ± 0.35") and shown["cypher_soft", "SCR"] == ("1.0000, 1.0000", "1.00") and ("direct_qa_baseline", "SCR") not in shown
     lines = [r["line"] for r in scoring.latex_rows(runs.fillna(0.0)).orderBy("model", "place", "setting").collect()]
     assert lines == ["\\textit{m}", "  & S1 (Naive QA) & 1.00 & 0.00 & 0.00 \\\\", "  & S3 (Soft Cypher) & $0.75 \\pm 0.35$ & 1.00 & $0.25 \\pm 0.18$ \\\\", "  & own & 1.00 & 1.00 & 1.00 \\\\", "\\hline"]
+
+
+def counted(spark, df):
+    """df, and a count of the rows that are computed of it."""
+    n = spark.sparkContext.accumulator(0)
+    first = df.columns[0]
+
+    @F.udf(dict(df.dtypes)[first])
+    def seen(x):
+        n.add(1)
+        return x
+
+    return df.withColumn(first, seen(F.col(first))), n
+
+
+def test_rows_of_an_array_are_computed_once(spark, tmp_path):
+    rows, n = counted(spark, spark.range(40).select("id", F.format_string('{"a": %d}', "id").alias("json")))
+    sinks.write_array(rows, ["id"], str(tmp_path / "dump"))
+    assert n.value == 40 and sinks.read_array(spark, str(tmp_path / "dump")).count() == 40
+
+
+def test_properties_are_computed_once_before_they_are_numbered(spark):
+    names = ["Flag", "Flag 1", "Flag", "id", "Other"]
+    made = spark.createDataFrame([(f"e{e}", "s", name, str(k), k) for e in range(5) for k, name in enumerate(names)], "element string, pset string, name string, value string, position int")
+    rows, n = counted(spark, made)
+    found = etl.flatten_properties(rows)
+    assert {(r["key"], r["value"]) for r in found.where("element = 'e3'").collect()} == {("Flag", "0"), ("Flag_1", "1"), ("Flag_2", "2"), ("Other", "4")}
+    assert found.count() == 20 and n.value == 20  # "id" goes first
+
+
+def test_names_of_a_query_are_sought_once(spark):
+    query = F.concat(F.lit("MATCH (a:Wall:Lost) WHERE a.x = 'b.c' RETURN a.Name, "), F.col("id").cast("string"))
+    made = spark.range(3).select(scoring.schema_compliance(query, F.array(F.lit("wall")), F.array(F.lit("name")), mask=True).alias("s")).select("s.*")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    assert [tuple(r) for r in made.collect()] == [(0.5, ["Lost"], ["x"])] * 3
+
+
+def test_properties_of_wanted_elements(spark):
+    wanted = spark.createDataFrame([(gid(1),)], "node_id string")
+    assert {int(r["element"]) for r in step.property_rows(records(spark), wanted=wanted).collect()} == {1}
+
+
+def test_a_schema_keeps_names_and_not_elements(spark):
+    many = [("f", k, "IFCWALL", [f"'{gid(k)}'", "$", "$", "$", "$", "$", "$", "$"]) for k in range(100, 160)] + [("f", 6000 + k, "IFCRELDEFINESBYPROPERTIES", [f"'{gid(6000 + k)}'", "$", "$", "$", f"(#{k})", "#12"]) for k in range(100, 160)]
+    recs = records(spark).unionAll(spark.createDataFrame(many, "file string, id long, class string, args array<string>"))
+    found = schema.scanned(recs)
+    assert found["entities"].collect()[0]["n"] == 62 and found["sets"].count() == 2
+    plan = found["properties"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RELDEFINES" not in plan and "RELDEFINES" in found["relations"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shared_neighbours_are_dealt_by_how_many_meet(spark):
+    rows = [(f"s{k * 7 % 23}", f"t{k % 5}") for k in range(60)] + [("s1", "t1"), (None, "t1"), ("s2", None)]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    of = {}
+    for s, t in rows:
+        if s and t:
+            of.setdefault(t, set()).add(s)
+    want = {(a, b) for group in of.values() for a in group for b in group if a < b}
+    for block, pairs in ((1024, 1 << 20), (3, 40), (1, 1)):
+        found = profile.shared_neighbours(edges, block, pairs)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
