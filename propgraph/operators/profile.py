@@ -6,10 +6,10 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from propgraph.operators import store
+from propgraph.operators import meetings, store
 from propgraph.operators.graph import PropertyGraph
 
 #: How many distinct values make an enumeration, their greatest mean length, and probes per label.
@@ -20,8 +20,10 @@ PRIORITY = ("Name", "LongName", "ObjectType", "PredefinedType", "FireRating", "M
 EXCLUDED = ("GlobalId", "Tag", "OwnerHistory", "ObjectPlacement", "Description", "LongDescription", "Representation")
 #: Sources of one target that are compared within one cell.
 SOURCES = 1024
-#: Pairs of sources, in both orders, that one task of shared_neighbours meets.
-PAIRS = 2 << 20
+#: Pairs of sources, in both orders, that one task of shared_neighbours meets: to make those found in several tasks one, and to find them.
+PAIRS, AHEAD = 4 << 20, 64 << 20
+#: Rows that one task of shared_neighbours puts into lists, and names that are broadcast.
+ROWS, NAMES = 1 << 20, 1 << 20
 
 
 def label_counts(graph: PropertyGraph) -> DataFrame:
@@ -149,23 +151,45 @@ def class_profile(graph: PropertyGraph) -> DataFrame:
     return n.join(keys, "leaf", "left")
 
 
-def shared_neighbours(edges: DataFrame, block: int = SOURCES, pairs: int = PAIRS) -> DataFrame:
+def _dealt(lists: DataFrame, block: int, tasks: int) -> DataFrame:
+    """(ids, cut) for meetings.meet: lists cut in blocks, every two as a row, dealt by their first numbers.  Lists that begin alike may go to several tasks."""
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("ids") / block).cast("int") - 1), lambda k: F.slice("ids", k * block + 1, block))
+    each = lists.select(blocks.alias("blocks")).select("blocks", F.posexplode("blocks").alias("k", "own"))
+    two = each.select("own", F.posexplode(F.slice("blocks", F.col("k") + 1, F.size("blocks"))).alias("on", "other"))
+    rows = two.select(F.when(F.col("on") == 0, F.col("own")).otherwise(F.concat("own", "other")).alias("ids"), F.when(F.col("on") == 0, 0).otherwise(F.size("own")).alias("cut"))
+    first = F.get("ids", F.lit(0))
+    spread = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(tasks, first, F.get("ids", F.col("cut")), "at")
+    return spread.sortWithinPartitions(first).select("ids", "cut")
+
+
+def shared_neighbours(edges: DataFrame, block: int = SOURCES, pairs: int = PAIRS, ahead: int = AHEAD) -> DataFrame:
     """(a, b): pairs of sources that have a target in common, a < b, once each.
 
-    The sources of a target are dealt to blocks of about `block`, and two blocks meet in a cell of their
-    own: a target with very many sources is compared by many tasks, in at most about block^2 pairs each.
-    In a cell each source meets the other block's as one array; arrays are dealt by source to as many tasks as give each
-    about `pairs` of the pairs that meet, so that what a task keeps of them does not grow with the input.
-    Rows with a null end have no part in it.
+    Sources are numbered in an order that has like names side by side.  The numbers of a target are one list;
+    a list of more than `block` is cut in blocks, and two of them meet as a row of their own, so that a target with very many
+    sources is compared by many tasks.  Lists go by their first number to tasks that meet about `ahead` pairs each (in both
+    orders), and such a task gives each pair that it finds once, or again if it can't hold all in between: what is
+    sent is about what the result has, not what meets, where targets with much the same sources are many.  Pairs from several tasks become one in as many tasks
+    as give each about `pairs` of the pairs that meet.  Edges may repeat and are read twice.  Rows with a null end have no part in it.
     """
-    pair = store.kept(edges.select("src", "dst").dropna().distinct())
-    sizes = pair.groupBy("dst").agg(F.count("*").alias("n"))
-    met = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
-    tasks = math.ceil(met / pairs) + 1
-    blocks = sizes.select("dst", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = pair.join(blocks, "dst").withColumn("own", F.pmod(F.xxhash64("src"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = dealt.select(F.col("src").alias("a"), "dst", F.col("own").alias("row"), every.alias("col"))
-    other = dealt.groupBy("dst", "own", "blocks").agg(F.collect_list("src").alias("bs")).select("dst", every.alias("row"), F.col("own").alias("col"), "bs")
-    met_by = one.join(other, ["dst", "row", "col"]).select("a", F.filter("bs", lambda b: F.col("a") < b).alias("bs")).where(F.size("bs") > 0)
-    return met_by.repartition(tasks, "a").select("a", F.explode("bs").alias("b")).distinct()
+    ends = edges.select("src", "dst").dropna()
+    seen = Observation()
+    counted = ends.groupBy("src").agg(F.count("*").alias("rows")).orderBy(F.length("src"), "src")
+    placed = store.kept(counted.observe(seen, F.count("*").alias("names"), F.sum("rows").alias("rows")).select("src", F.monotonically_increasing_id().alias("at")))
+    there = store.told(seen)
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)  # as numbers of rows are made
+    parts = {r["part"]: r["n"] for r in placed.groupBy(part.cast("int").alias("part")).agg(F.count("*").alias("n")).collect()}  # a row per file
+    before = [sum(n for k, n in parts.items() if k < own) for own in range(max(parts, default=0) + 1)]
+    names = placed.select("src", (F.get(F.array(*map(F.lit, before)), part.cast("int")) + place).cast("int").alias("id"))
+    known = F.broadcast(names) if (there.get("names") or 0) <= NAMES else names
+
+    lists = ends.join(known, "src").select("dst", "id").repartition(math.ceil((there.get("rows") or 0) / ROWS) + 1, "dst")
+    lists = lists.groupBy("dst").agg(F.sort_array(F.collect_set("id")).alias("ids")).select("ids").where(F.size("ids") > 1)
+    seen = Observation()
+    lists = store.kept(lists.observe(seen, F.sum(F.size("ids").cast("double") * F.size("ids")).alias("met")))
+    met = store.told(seen).get("met") or 0.0
+
+    found = _dealt(lists, block, math.ceil(met / ahead) + 1).mapInArrow(meetings.meet, "x int, ys array<int>")
+    once = found.repartition(math.ceil(met / pairs) + 1, "x").select("x", F.explode("ys").alias("y")).distinct()
+    named = once.join(known.toDF("a", "x"), "x").join(known.toDF("b", "y"), "y")
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -141,7 +141,7 @@ def derived_contains(spark: SparkSession, sf: str) -> DataFrame:
 
 def shared_neighbour_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers that fill a part together."""
-    return profile.shared_neighbours(graph(spark, sf).edges["FILLS"].df)
+    return profile.shared_neighbours(graph(spark, sf).edges["FILLS"].between(None, None, raw=True))
 
 
 QUERIES = {

@@ -1,11 +1,13 @@
 """Types' properties, listed values, a model's schema from its records, dumps, tables of runs."""
 
 import json
+import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from propgraph.functions import values
-from propgraph.operators import etl, profile, schema, scoring, sinks
+from propgraph.operators import etl, meetings, profile, schema, scoring, sinks
 from propgraph.sources import documents, step
 
 
@@ -145,3 +147,58 @@ def test_shared_neighbours_are_dealt_by_how_many_meet(spark):
         found = profile.shared_neighbours(edges, block, pairs)
         assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_neighbours_send_each_pair_once_and_not_what_meets(spark):
+    """Few sources that meet at many targets: what is written between tasks stays below a byte for each pair that meets."""
+
+    def written():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        own = context.statusStore().executorList(False)
+        return sum(own.apply(k).totalShuffleWrite() for k in range(own.size()))
+
+    draw = random.Random(4)
+    of = {t: draw.sample(range(80), 60) for t in range(600)}
+    edges = spark.createDataFrame([(f"s{s}", f"t{t}") for t, own in of.items() for s in own], "src string, dst string")
+    before = written()
+    found = profile.shared_neighbours(edges).collect()
+    sent = written() - before
+    assert 0 < sent < len(of) * 60 * 59 / 2
+    assert sorted(map(tuple, found)) == sorted((a, b) for a in (f"s{k}" for k in range(80)) for b in (f"s{k}" for k in range(80)) if a < b)
+
+
+def test_shared_neighbours_in_ranges_with_names_joined(spark, monkeypatch):
+    """Many tasks that find, names too many to broadcast, targets cut in blocks, edges that repeat."""
+    monkeypatch.setattr(profile, "NAMES", 0)
+    draw = random.Random(5)
+    rows = [(f"s{draw.randrange(150)}", f"t{draw.randrange(40)}") for _ in range(500)] + [(None, "t1"), ("s2", None)]
+    of = {}
+    for s, t in rows:
+        if s and t:
+            of.setdefault(t, set()).add(s)
+    want = {(a, b) for group in of.values() for a in group for b in group if a < b}
+    for block, ahead in ((1024, 500), (4, 500), (4, 1 << 20)):
+        found = profile.shared_neighbours(spark.createDataFrame(rows * 2, "src string, dst string"), block, 2000, ahead)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_lists_that_begin_alike_are_dealt_to_many_tasks(spark):
+    lists = spark.createDataFrame([([1, 2, 3],)] * 400, "ids array<int>")
+    for block, n in ((8, 400), (2, 1200)):
+        sizes = [r["count"] for r in profile._dealt(lists, block, 8).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == n and len(sizes) > 4 and max(sizes) < n / 2
+
+
+def test_pairs_met_beyond_what_is_held(monkeypatch):
+    draw = random.Random(6)
+    lists = sorted(sorted(draw.sample(range(at, at + 30), draw.choice((1, 2, 12)))) for at in range(0, 400, 4) for _ in range(3))
+    cuts = [draw.choice((0, len(x) // 2)) for x in lists]
+    want = {(x, y) for own, cut in zip(lists, cuts, strict=True) for i, x in enumerate(own) for k, y in enumerate(own) if k > i and (not cut or i < cut <= k)}
+    batches = [pa.RecordBatch.from_arrays([pa.array(lists[k : k + 50], pa.list_(pa.int32())), pa.array(cuts[k : k + 50], pa.int32())], names=["ids", "cut"]) for k in range(0, 300, 50)]
+    for held, once in ((1 << 20, True), (2000, True), (40, False)):
+        monkeypatch.setattr(meetings, "AT_ONCE", 100)
+        monkeypatch.setattr(meetings, "HELD", held)
+        got = [(r["x"], y) for batch in meetings.meet(iter(batches)) for r in batch.to_pylist() for y in r["ys"]]
+        assert set(got) == want and (not once or len(got) == len(want))
+    assert list(meetings.meet(iter([]))) == []
